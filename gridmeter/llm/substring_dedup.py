@@ -26,7 +26,7 @@ from . import kernels as K
 from .storage import BROADCAST_ROWS, materialize, partitions
 
 #: Bytes of text whose windows are sorted at once in a task.
-FLUSH_BYTES = 12 << 20
+FLUSH_BYTES = 3 << 20
 _BLOCKS = "part int, doc_id long, payload binary"
 
 
@@ -73,17 +73,25 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _later_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by part: one range of hashes at a time is in memory."""
     blocks: list[bytes] = []
+    at = None
     for batch in batches:
-        known = pc.is_valid(batch["doc_id"])
-        through = batch.filter(known)
+        through = batch.filter(pc.is_valid(batch["doc_id"]))
         if through.num_rows:
             yield through.select(["doc_id", "payload"])
-        blocks += batch.filter(pc.invert(known))["payload"].to_pylist()
+        batch = batch.filter(pc.is_null(batch["doc_id"]))
+        for part, payload in zip(batch["part"].to_pylist(), batch["payload"], strict=True):
+            if part != at and blocks:
+                yield from _losers(blocks)
+                blocks = []
+            at = part
+            blocks.append(payload.as_py())
+    yield from _losers(blocks)
+
+
+def _losers(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
     hashes, doc, start = K.unpack_all(blocks, np.uint64, np.int64, np.int32)
-    del blocks
-    if not len(hashes):
-        return
     order = np.argsort(hashes, kind="stable")
     hashes = hashes[order]
     twin = np.zeros(len(hashes), dtype=bool)
@@ -91,17 +99,22 @@ def _later_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     twin[1:] |= same
     twin[:-1] |= same
     order, hashes = order[twin], hashes[twin]
+    if not len(order):
+        return
     doc, start = doc[order], start[order]
     order = np.lexsort((start, doc, hashes))
     hashes, doc, start = hashes[order], doc[order], start[order]
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = hashes[1:] != hashes[:-1]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, int)
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
     lost = (doc != doc[first]) | (start != start[first])
-    rows = list(_start_lists(doc[lost], start[lost]))
-    for i in range(0, len(rows), 10_000):
-        ids, payload = zip(*rows[i : i + 10_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(payload, pa.binary())], ["doc_id", "payload"])
+    if lost.any():
+        yield _lists(list(_start_lists(doc[lost], start[lost])))
+
+
+def _lists(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    ids, payload = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(payload, pa.binary())], ["doc_id", "payload"])
 
 
 def removed_starts(docs: DataFrame, width: int = 20) -> DataFrame:
@@ -109,7 +122,7 @@ def removed_starts(docs: DataFrame, width: int = 20) -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
     blocks = docs.select("doc_id", "text").mapInArrow(_first_occurrences(width, K.part_bits(n)), _BLOCKS)
-    lost = blocks.repartition(n, "part").mapInArrow(_later_ones, "doc_id long, payload binary")
+    lost = blocks.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_later_ones, "doc_id long, payload binary")
     return materialize(lost.groupBy("doc_id").agg(F.collect_list("payload").alias("starts")))
 
 
