@@ -177,6 +177,8 @@ def gathered(batches: Iterable[pa.RecordBatch], limit: int, column: str = "text"
 
     A batch that holds much more is cut, so that memory depends on limit and on the longest row.
     """
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())  # which gives memory back
     held, size = [], 0
     for batch in batches:
         for piece in _cut(batch, limit, column):

@@ -14,7 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.digests(substring_dedup.remove_repeated(_read(spark, sf_dir, "documents"), width=20))
+    return substring_dedup.remove_repeated(_read(spark, sf_dir, "documents"), width=20, digest=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

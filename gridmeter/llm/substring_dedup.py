@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import BROADCAST_ROWS, materialize, partitions
+from .storage import BROADCAST_ROWS, materialize, partitions, small_batches
 
 #: Bytes of text whose windows are sorted at once in a task.
 FLUSH_BYTES = 3 << 20
@@ -126,7 +126,7 @@ def removed_starts(docs: DataFrame, width: int = 20) -> DataFrame:
     return materialize(lost.groupBy("doc_id").agg(F.collect_list("payload").alias("starts")))
 
 
-def _keep(width: int):
+def _keep(width: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, texts = [], [], []
@@ -142,21 +142,20 @@ def _keep(width: int):
                     kept = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
                     words = [words[i] for i in kept.tolist()]
                 n_removed.append(n_words[-1] - len(words))
-                texts.append(b" ".join(words))
-            out = {"doc_id": batch["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(texts, pa.binary()).cast(pa.string())}
+                kept = b" ".join(words)
+                texts.append(hashlib.sha256(kept).hexdigest() if digest else kept.decode())
+            out = {"doc_id": batch["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return run
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch["kept_text"]]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_words"], batch["n_removed"], pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
+def remove_repeated(docs: DataFrame, width: int = 20, digest: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (or kept_sha256) of every row of docs (columns doc_id, text).
 
-def remove_repeated(docs: DataFrame, width: int = 20) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text of every row of docs (columns doc_id, text)."""
+    Kept words are joined by one space; digest hashes that text where it is made.
+    """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lost = removed_starts(docs, width)
     none = F.lit(None).cast("array<binary>").alias("starts")
@@ -166,9 +165,5 @@ def remove_repeated(docs: DataFrame, width: int = 20) -> DataFrame:
         both = docs.join(ids, "doc_id", "left_semi").join(lost.hint("shuffle_hash"), "doc_id").unionByName(whole)
     else:
         both = docs.join(lost, "doc_id", "left")
-    return both.select("doc_id", "text", "starts").mapInArrow(_keep(width), "doc_id long, n_words long, n_removed long, kept_text string")
-
-
-def digests(kept: DataFrame) -> DataFrame:
-    """remove_repeated's rows with kept_sha256 in the place of the text."""
-    return kept.mapInArrow(_hashed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    kept = both.select("doc_id", "text", "starts").mapInArrow(_keep(width, digest), "doc_id long, n_words long, n_removed long, kept string")
+    return kept.withColumnRenamed("kept", "kept_sha256" if digest else "kept_text")
