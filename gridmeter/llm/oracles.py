@@ -16,4 +16,22 @@ SELECT docs.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - c
 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op6_substring_dedup": OP6}
+OP2 = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s FROM docs),
+token AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+pair AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS i
+  FROM token a JOIN token b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY ALL),
+link AS (SELECT x, y FROM pair WHERE 100 * i >= 90 * (nx + ny - i)),
+way AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM docs UNION SELECT reach.x, way.y FROM reach JOIN way ON reach.y = way.x)
+SELECT sets.doc_id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m AS component_id
+FROM sets JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) r ON r.x = sets.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_ngram_join": OP2, "op6_substring_dedup": OP6}
