@@ -4,8 +4,9 @@ Documents whose sets of word shingles have a Jaccard similarity of at least a th
 
 1. Every text is read once for its set's size, a signature (documents with equal sets are one node from
    here on) and a sketch of how often each shingle occurs.
-2. Ordered by class (rare before frequent, by the sketch) and hash, two similar sets share a token among
-   each one's first n - ceil(t n) + 1. Nodes that share such a token with a node of fitting size stay.
+2. Ordered by class (rare before frequent, by the sketch) and hash, two similar sets share at least
+   d + 1 tokens among each one's first 2 d + 1, where d = n - ceil(t n) is how many a set may have alone.
+   Nodes stay that share so many of these with nodes of fitting size.
 3. Over these, each token's exact frequency is counted. Ordered by frequency, two similar sets share at
    least 2 tokens of their prefixes extended by one; single tokens are indexed where rare, pairs of
    tokens where both are frequent (in long sets, where pairs would be many, frequent tokens are indexed
@@ -156,7 +157,7 @@ def _prefixes(k: int, percent: int, frequent: np.ndarray, bits: int):
             key = (values >> np.uint64(1)) | (often[(values & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(63))
             order = np.lexsort((key, rows))  # rows stay in place
             first = np.searchsorted(rows, rows)
-            length = n - -(-n * percent // 100) + 1
+            length = 2 * (n - -(-n * percent // 100)) + 1
             order = order[np.arange(len(rows)) - first < length[rows]]
             tokens, rows = values[order], rows[order]
             order = np.argsort(tokens)
@@ -166,9 +167,10 @@ def _prefixes(k: int, percent: int, frequent: np.ndarray, bits: int):
 
 
 def _sharing(percent: int):
-    """Nodes that share a prefix token with another of fitting size."""
+    """How many prefix tokens each node shares with nodes of fitting size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_nodes, all_n = [], []
         for blocks in _ranges(batches):
             tokens, nodes, n = K.unpack_all(blocks, np.uint64, np.int64, np.uint32)
             order = np.argsort(tokens, kind="stable")
@@ -183,10 +185,18 @@ def _sharing(percent: int):
             new = np.ones(len(tokens), bool)
             new[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
             tokens, nodes, n = tokens[new], nodes[new], n[new]
-            fits = (tokens[1:] == tokens[:-1]) & (100 * n[:-1] >= percent * n[1:])
-            found = np.unique(np.concatenate([nodes[1:][fits], nodes[:-1][fits]]))
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found)], ["node"])
+            fits = np.zeros(len(tokens), bool)
+            close = (tokens[1:] == tokens[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            fits[1:] |= close
+            fits[:-1] |= close
+            all_nodes.append(nodes[fits])
+            all_n.append(n[fits])
+        if all_nodes:
+            nodes, first, times = np.unique(np.concatenate(all_nodes), return_index=True, return_counts=True)
+            n = np.concatenate(all_n)[first]
+            for i in range(0, len(nodes), 10_000):
+                s = slice(i, i + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[s]), pa.array(n[s]), pa.array(times[s])], ["node", "n", "shared"])
 
     return run
 
@@ -280,7 +290,8 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     sizes = read.filter("part IS NULL").select("doc_id", "n", "node")
     frequent = _frequent(read.filter("part IS NOT NULL").select("part", "payload"), sizes.agg(F.sum("n")).first()[0] or 0)
     prefixes = known.mapInArrow(_prefixes(k, percent, frequent, bits), block)
-    near = _by_part(prefixes).mapInArrow(_sharing(percent), "node long").distinct()
+    near = _by_part(prefixes).mapInArrow(_sharing(percent), "node long, n long, shared long").groupBy("node", "n").agg(F.sum("shared").alias("shared"))
+    near = near.filter(F.col("shared") > F.floor(F.col("n") * (100 - percent) / 100)).select("node")  # n - ceil(t n)
     first = materialize(sizes.filter("doc_id IS NOT NULL").join(near, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     chosen = known.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "doc_id", "left_semi")
     shared = _by_part(chosen.mapInArrow(_tokens(k, bits), block)).mapInArrow(_shared_tokens(bits), block)
