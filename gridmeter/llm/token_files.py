@@ -36,7 +36,7 @@ PERCENTILE = 90
 SEGMENT_IDS = 1 << 19
 FLUSH_BYTES = 3 << 20
 #: Words whose ids a worker remembers from one piece of text to the next.
-REMEMBERED = 700_000
+REMEMBERED = 2_000_000
 #: Words that go through the tokenizer at once, and characters of which the first with a single id stands between them.
 JOINED = 512
 MARKS = "¤¦§¶†‡€™"
@@ -103,16 +103,44 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LETTER, _TAIL = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[list(_CAPITALS.encode() + _CAPITALS.lower().encode())] = True
+_TAIL[list(b",.!?;:")] = True
+
+
+def _without_tails(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words that end in up to three of `,.!?;:` after an ASCII letter become two spans."""
+    tail = ends.copy()
+    for _ in range(3):
+        tail -= (tail - starts > 1) & _TAIL[data[tail - 1]]
+    cut = np.flatnonzero((tail < ends) & _LETTER[data[np.maximum(tail - 1, 0)]])
+    if not len(cut):
+        return starts, ends, rows
+    before = np.concatenate([[0], np.cumsum((tail < ends) & _LETTER[data[np.maximum(tail - 1, 0)]])])
+    old_ends = ends[cut]
+    ends = ends.copy()
+    ends[cut] = tail[cut]
+    return np.insert(starts, cut + 1, tail[cut]), np.insert(ends, cut + 1, old_ends), rows + before[rows]
+
+
 class WordEncoder:
     """Encodes texts word by word.
 
     The vocabulary's pre-tokenizer drops white space, and so neither its normalizer nor its merges
     reach across it: a text's ids are those of its words, one after another. Each distinct word of a
-    piece is encoded once, and the commonest stay known for the next.
+    piece is encoded once, and the commonest stay known for the next. Where the vocabulary's own parts
+    show that it reads capitals as small letters, or cuts letters from punctuation, words that differ
+    in that only are encoded once.
     """
 
     def __init__(self, path: str, end_id: int):
         self.tokenizer, self.end_id = _tokenizer(path), end_id
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        normal, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.folds = normal is not None and normal.normalize_str(_CAPITALS) == _CAPITALS.lower()
+        self.added = [t.lower().encode() for t in added]
+        self.cuts = cutter is not None and all(len(cutter.pre_tokenize_str(f"a{c}")) == 2 and not any(c in t for t in added) for c in ",.!?;:")
         marks = ((c, self.tokenizer.encode(c, add_special_tokens=False).ids) for c in MARKS)
         self.mark = next(((c, ids[0]) for c, ids in marks if len(ids) == 1), None)
         self.known = np.zeros(0, np.uint64)
@@ -126,7 +154,7 @@ class WordEncoder:
         for i in range(0, len(words), JOINED):
             some = words[i : i + JOINED]
             if self.mark:
-                ids = np.array(self.tokenizer.encode(f" {self.mark[0]} ".join(some), add_special_tokens=False).ids, np.uint32)
+                ids = np.array(self.tokenizer.encode_batch_fast([f" {self.mark[0]} ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
                 is_mark = ids == self.mark[1]
                 if int(is_mark.sum()) == len(some) - 1:  # no word holds the mark
                     edges = np.concatenate([[-1], np.flatnonzero(is_mark), [len(ids)]])
@@ -142,12 +170,16 @@ class WordEncoder:
         """The ids of all rows, each ending with end_id, and the number of each."""
         data, offsets = K.utf8(column)
         starts, ends, rows = K.word_spans(data, offsets)
-        hashes, first, inverse = np.unique(K.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if self.cuts:
+            starts, ends, rows = _without_tails(data, starts, ends, rows)
+        raw = data.tobytes()
+        low = raw.lower()
+        folds = self.folds and not any(t in low for t in self.added)  # added tokens are matched before letters are changed
+        hashes, first, inverse = np.unique(K.span_hashes(data, starts, ends, K.FOLDED if folds else K.BYTES), return_index=True, return_inverse=True)
         slot = np.searchsorted(self.known, hashes)
         slot[slot == len(self.known)] = 0
         old = self.known[slot] == hashes if len(self.known) else np.zeros(len(hashes), bool)
         new = np.flatnonzero(~old)
-        raw = data.tobytes()
         words = [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
         length, ids = self._learn(words)
         at = np.cumsum(length) - length
@@ -157,11 +189,11 @@ class WordEncoder:
         pool = np.concatenate([self.pool, ids, np.array([self.end_id], np.uint32)])
         all_length[-1], all_at[-1] = 1, len(pool) - 1
         if len(self.known) + len(new) <= REMEMBERED:
-            known = np.concatenate([self.known, hashes[new]])
-            order = np.argsort(known)
-            self.known, self.pool = known[order], pool[:-1]
-            self.length = np.concatenate([self.length, length])[order]
-            self.at = np.concatenate([self.at, all_at[new]])[order]
+            here = np.searchsorted(self.known, hashes[new])
+            self.pool = pool[:-1]
+            self.known = np.insert(self.known, here, hashes[new])
+            self.length = np.insert(self.length, here, length)
+            self.at = np.insert(self.at, here, all_at[new])
         word = np.insert(inverse, rows[1:], len(hashes))  # the end of each row
         n = all_length[word]
         before = np.cumsum(n) - n
