@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, substring_dedup, token_files, toxicity
+from . import mixing, ngram_join, site_style, substring_dedup, token_files, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(_read(spark, sf_dir, "documents"), width=20, digest=True)
 
 
+def op1_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(_read(spark, sf_dir, "pages"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(_read(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -36,6 +40,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_site_style": op1_site_style,
     "op2_ngram_join": op2_ngram_join,
     "op5_source_mixing": op5_source_mixing,
     "op9_toxicity": op9_toxicity,
