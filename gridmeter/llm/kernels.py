@@ -6,12 +6,14 @@ computed modulo 2**64 with odd multipliers over randomised byte values, then mix
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+_libc = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _CHUNK = 1 << 18
@@ -172,6 +174,12 @@ def part_bits(n_partitions: int) -> int:
     return max(4, min(22, (8 * n_partitions - 1).bit_length()))
 
 
+def trim() -> None:
+    """Gives freed memory back, where the C library can: workers of several tasks share an executor."""
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def gathered(batches: Iterable[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.Table]:
     """Tables of some consecutive batches whose column holds at least limit bytes, and the rest.
 
@@ -187,6 +195,7 @@ def gathered(batches: Iterable[pa.RecordBatch], limit: int, column: str = "text"
             if size >= limit:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
+                trim()
     if held:
         yield pa.Table.from_batches(held)
 

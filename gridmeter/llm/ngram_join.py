@@ -111,42 +111,40 @@ def _sizes(k: int):
     return run
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the chunks of this partition, one for each part."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, payload in zip(batch["part"].to_pylist(), batch["payload"], strict=True):
-            raw = payload.as_buffer()
-            wide = np.frombuffer(raw, np.uint8 if len(raw) == SKETCH_CHUNK else np.uint64)
-            if part in sums:
-                sums[part] += wide
-            else:
-                sums[part] = wide.astype(np.uint64)
-    for part, s in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([s.tobytes()], pa.binary())], ["part", "payload"])
+def _add(level: int | None):
+    """Sums of the chunks of this partition, one for each part; with a level, a bit for each sum: whether it is above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, payload in zip(batch["part"].to_pylist(), batch["payload"], strict=True):
+                raw = payload.as_buffer()
+                wide = np.frombuffer(raw, np.uint8 if len(raw) == SKETCH_CHUNK else np.uint64)
+                if part in sums:
+                    sums[part] += wide
+                else:
+                    sums[part] = wide.astype(np.uint64)
+        for part, s in sums.items():
+            out = s.tobytes() if level is None else np.packbits(s > level).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out], pa.binary())], ["part", "payload"])
+
+    return run
 
 
 def _frequent(chunks: DataFrame, tokens: int) -> np.ndarray:
     """A bit for each counter: whether it is far above the mean. SKETCH / 8 bytes on the driver, whatever the input."""
     kind, n = "part int, payload binary", partitions(chunks.sparkSession)
-    level = 2 * tokens // SKETCH + 32
-    spread = chunks.repartition(n, "part", F.pmod(F.xxhash64("payload"), F.lit(16))).mapInArrow(_add, kind)
-    summed = spread.repartition(min(n, SKETCH // SKETCH_CHUNK), "part").mapInArrow(_add, kind)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [np.packbits(np.frombuffer(x.as_buffer(), np.uint64) > level).tobytes() for x in batch["payload"]]
-            yield pa.RecordBatch.from_arrays([batch["part"], pa.array(bits, pa.binary())], ["part", "payload"])
-
+    spread = chunks.repartition(n, "part", F.pmod(F.xxhash64("payload"), F.lit(16))).mapInArrow(_add(None), kind)
+    summed = spread.repartition(min(n, SKETCH // SKETCH_CHUNK), "part").mapInArrow(_add(2 * tokens // SKETCH + 32), kind)
     out = np.zeros(SKETCH // 8, np.uint8)
-    for part, bits in summed.mapInArrow(mark, kind).collect():
+    for part, bits in summed.collect():
         out[part * SKETCH_CHUNK // 8 : (part + 1) * SKETCH_CHUNK // 8] = np.frombuffer(bits, np.uint8)
     return out
 
 
 def _prefixes(k: int, percent: int, frequent: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, seen = np.unpackbits(frequent).astype(np.uint64), set()
+        seen: set[int] = set()
         for table in K.gathered(batches, FLUSH_BYTES):
             values, at, signatures = _sets(table, k)
             n = np.diff(at)
@@ -154,7 +152,9 @@ def _prefixes(k: int, percent: int, frequent: np.ndarray, bits: int):
             rows = np.repeat(np.arange(len(n)), n)
             here = use[rows]
             values, rows = values[here], rows[here]
-            key = (values >> np.uint64(1)) | (often[(values & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(63))
+            at_bit = (values & np.uint64(SKETCH - 1)).astype(np.int64)
+            often = (frequent[at_bit >> 3] >> (7 - (at_bit & 7)).astype(np.uint8)) & 1
+            key = (values >> np.uint64(1)) | (often.astype(np.uint64) << np.uint64(63))
             order = np.lexsort((key, rows))  # rows stay in place
             first = np.searchsorted(rows, rows)
             length = 2 * (n - -(-n * percent // 100)) + 1
