@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, site_style, substring_dedup, token_files, toxicity
+from . import decontamination, mixing, ngram_join, sharding, site_style, substring_dedup, token_files, toxicity
+from .storage import shared_folder
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +27,16 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(_read(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document is after arrival and compaction, from the committed version; its hash is of the text read back."""
+    store = sharding.shard(_read(spark, sf_dir, "documents"), shared_folder(spark))
+    return sharding.placed(store).select("doc_id", "shard", "tier", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_read(spark, sf_dir, "documents")).drop("source")
 
@@ -42,6 +54,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_style": op1_site_style,
     "op2_ngram_join": op2_ngram_join,
+    "op3_sharding": op3_sharding,
+    "op8_decontamination": op8_decontamination,
     "op5_source_mixing": op5_source_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
