@@ -33,9 +33,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of so many texts at most: their buffers, in Java and in Python, otherwise hold 10,000."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Arrow batches of so many rows and bytes at most: their buffers, in Java and in Python, otherwise hold 10,000 rows or 64 MB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 #: A side of at most so many rows of a few longs (some 64 MB) may be broadcast; a larger one is shuffled.

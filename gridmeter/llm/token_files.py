@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import partitions, shared_folder
+from .storage import partitions, shared_folder, small_batches
 
 BLOCK = 1024
 PERCENTILE = 90
@@ -229,6 +229,7 @@ def _encode(path: str, end_id: int):
 
 def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1) -> None:
     """Files of the ids of every row of docs (doc_id, text), in ascending doc_id order, under path."""
+    small_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(_encode(vocabulary, end_id), _FILES).write.option("compression", "none").parquet(path)
