@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, ngram_join, sharding, site_style, substring_dedup, token_files, toxicity
+from . import decontamination, mixing, ngram_join, sharding, site_style, stable_projection, substring_dedup, token_files, toxicity
 from .storage import shared_folder
 
 
@@ -37,6 +37,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_stable_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stable_projection.search(_read(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_read(spark, sf_dir, "documents")).drop("source")
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_sharding": op3_sharding,
     "op8_decontamination": op8_decontamination,
+    "op4_stable_projection": op4_stable_projection,
     "op5_source_mixing": op5_source_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
