@@ -6,7 +6,7 @@ aggregate, and lineage is cut by tables in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +37,17 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _similar(percent: int):
+def packed(tokens: memoryview) -> np.ndarray:
+    return np.frombuffer(tokens, np.uint64)
+
+
+def _similar(percent: int, read: Callable[[memoryview], np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, n_b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
             shared = np.zeros(len(n_a), np.int64)
             for i, (x, y) in enumerate(zip(batch["t_a"], batch["t_b"], strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = read(x.as_buffer()), read(y.as_buffer())
                 if len(x) and len(y):
                     x, y = (x, y) if len(x) <= len(y) else (y, x)
                     at = np.searchsorted(y, x)
@@ -54,13 +58,16 @@ def _similar(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have percent % Jaccard similarity. sets: node, n (size), tokens (packed, ascending; those of no other node may be absent)."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, read: Callable[[memoryview], np.ndarray] = packed) -> DataFrame:
+    """The pairs (a, b) whose sets have percent % Jaccard similarity.
+
+    sets: node, n (size), tokens (from which read makes the ascending set; tokens of no other node may be absent).
+    """
     side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(_similar(percent), "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(_similar(percent, read), "a long, b long")
 
 
-def connect(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def connect(postings: DataFrame, sets: DataFrame, percent: int, read: Callable[[memoryview], np.ndarray] = packed) -> DataFrame | None:
     """The edges between similar nodes that connect all of them: nodes that any chain of similar pairs links are linked.
 
     postings: key, node, n (set size), u (how many of its tokens no other node has); similar nodes share a key.
@@ -88,7 +95,7 @@ def connect(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame | N
             pairs = x.join(y, "key").filter(F.expr("a < b AND c_a <> c_b") & sized("n_a", "n_b") & bound("n_a", "u_a", "u_b") & bound("n_b", "u_b", "u_a")).select("a", "b")
         else:
             pairs = open_.filter(F.expr("comp <> p.comp") & sized("n", "p.n") & bound("n", "u", "p.u") & bound("p.n", "p.u", "u")).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
-        found = materialize(verified(pairs.distinct(), sets, percent))
+        found = materialize(verified(pairs.distinct(), sets, percent, read))
         edges = found if edges is None else edges.unionByName(found)
         if turn == PIVOT_ROUNDS or cells <= 4 * rows:
             break

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, ngram_join, sharding, site_style, stable_projection, substring_dedup, token_files, toxicity
+from . import decontamination, line_dedup, mixing, ngram_join, sharding, site_style, stable_projection, substring_dedup, token_files, toxicity
 from .storage import shared_folder
 
 
@@ -33,6 +33,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(store).select("doc_id", "shard", "tier", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_read(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_style": op1_site_style,
     "op2_ngram_join": op2_ngram_join,
     "op3_sharding": op3_sharding,
+    "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op4_stable_projection": op4_stable_projection,
     "op5_source_mixing": op5_source_mixing,

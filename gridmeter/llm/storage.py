@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/gridmeter-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, wherever the driver was started; once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_gridmeter_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="gridmeter-code-")) / "gridmeter.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, str(file.relative_to(root.parent)))
+    context.addPyFile(str(target))
+    context._gridmeter_shipped = True
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder as Parquet and read again: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
@@ -35,6 +51,7 @@ def partitions(spark: SparkSession) -> int:
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
     """Arrow batches of so many rows and bytes at most: their buffers, in Java and in Python, otherwise hold 10,000 rows or 64 MB."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
