@@ -160,18 +160,40 @@ def unpack_all(blocks: Iterable[bytes], *kinds: type) -> list[np.ndarray]:
     return [np.concatenate([g[i] for g in got]) if got else np.zeros(0, k) for i, k in enumerate(kinds)]
 
 
-def by_part(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """The slices of an ascending array of hashes that fall into each of 2**bits equal ranges."""
-    top = (hashes >> U(64 - bits)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(top)) + 1
+def _murmur(value: int) -> int:
+    """The hash by which repartition() deals out an int: Murmur3, 32 bits, seed 42."""
+    m = 0xFFFFFFFF
+    k = value * 0xCC9E2D51 & m
+    k = (k << 15 | k >> 17) & m
+    h = 42 ^ k * 0x1B873593 & m
+    h = (h << 13 | h >> 19) & m
+    h = (h * 5 + 0xE6546B64 & m) ^ 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & m
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def even_keys(n: int, each: int) -> np.ndarray:
+    """each x n ints of which repartition(n, key) gives every partition exactly `each`."""
+    found: list[list[int]] = [[] for _ in range(n)]
+    missing, key = n, 0
+    while missing:
+        at = found[_murmur(key) % n]
+        if len(at) < each:
+            at.append(key)
+            missing -= len(at) == each
+        key += 1
+    return np.array([keys[i] for i in range(each) for keys in found], np.int32)
+
+
+def by_part(hashes: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The slices of an ascending array of hashes that fall into each of len(keys) equal ranges, with the range's key."""
+    top = ((hashes >> U(32)) * U(len(keys))) >> U(32)
+    cuts = np.flatnonzero(top[1:] != top[:-1]) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(top)], strict=True):
         if b > a:
-            yield int(top[a]), slice(a, b)
-
-
-def part_bits(n_partitions: int) -> int:
-    """So many bits that hashing the ranges over the partitions is even."""
-    return max(4, min(22, (8 * n_partitions - 1).bit_length()))
+            yield int(keys[int(top[a])]), slice(a, b)
 
 
 def trim() -> None:

@@ -89,7 +89,7 @@ def tokens(line: memoryview) -> np.ndarray:
     return np.unique(_grams(data, np.zeros(1, np.int64), np.array([len(data)]))[0])
 
 
-def _occurrences_and_bands(bits: int):
+def _occurrences_and_bands(parts: np.ndarray):
     """kind 0: packed occurrences of lines; kind 1: packed postings of the lines new to this task, by range of key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +112,7 @@ def _occurrences_and_bands(bits: int):
                 keys = keys.reshape(-1)
                 order = np.argsort(keys)
                 keys, own = keys[order], own[order]
-                rows += [(1, part, K.pack(keys[s], own[s])) for part, s in K.by_part(keys, bits)]
+                rows += [(1, part, K.pack(keys[s], own[s])) for part, s in K.by_part(keys, parts)]
             kind, part, payload = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(payload, pa.binary())], ["kind", "part", "payload"])
 
@@ -179,7 +179,7 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     small_batches(spark)
     n = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    read = materialize(docs.mapInArrow(_occurrences_and_bands(K.part_bits(n)), "kind int, part int, payload binary"))
+    read = materialize(docs.mapInArrow(_occurrences_and_bands(K.even_keys(n, 4)), "kind int, part int, payload binary"))
     occurrences = read.filter("kind = 0").select("payload").mapInArrow(_occurrences, "node long, doc_id long, line int")
     postings = materialize(read.filter("kind = 1").select("part", "payload").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_buckets, "key long, node long"))
     first = materialize(occurrences.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times")))

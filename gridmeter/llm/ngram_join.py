@@ -52,10 +52,10 @@ def _sets(table: pa.Table, k: int):
     return values, at, K.mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
-def _blocks(values: np.ndarray, bits: int, *columns: np.ndarray) -> pa.RecordBatch:
+def _blocks(values: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     """Packed rows by range of values, which ascend."""
     parts, blocks = [], []
-    for part, s in K.by_part(values, bits):
+    for part, s in K.by_part(values, keys):
         parts.append(part)
         blocks.append(K.pack(values[s], *(c[s] for c in columns)))
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blocks, pa.binary())], ["part", "payload"])
@@ -142,7 +142,7 @@ def _frequent(chunks: DataFrame, tokens: int) -> np.ndarray:
     return out
 
 
-def _prefixes(k: int, percent: int, frequent: np.ndarray, bits: int):
+def _prefixes(k: int, percent: int, frequent: np.ndarray, keys: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for table in K.gathered(batches, FLUSH_BYTES):
@@ -161,12 +161,12 @@ def _prefixes(k: int, percent: int, frequent: np.ndarray, bits: int):
             order = order[np.arange(len(rows)) - first < length[rows]]
             tokens, rows = values[order], rows[order]
             order = np.argsort(tokens)
-            yield _blocks(tokens[order], bits, signatures[rows[order]], n[rows[order]].astype(np.uint32))
+            yield _blocks(tokens[order], keys, signatures[rows[order]], n[rows[order]].astype(np.uint32))
 
     return run
 
 
-def _sharing(percent: int):
+def _sharing(percent: int, keys: np.ndarray):
     """How many prefix tokens each node shares with nodes of fitting size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,16 +192,30 @@ def _sharing(percent: int):
             all_nodes.append(nodes[fits])
             all_n.append(n[fits])
         if all_nodes:
-            nodes, first, times = np.unique(np.concatenate(all_nodes), return_index=True, return_counts=True)
+            nodes, first, times = np.unique(np.concatenate(all_nodes).view(np.uint64), return_index=True, return_counts=True)
             n = np.concatenate(all_n)[first]
-            for i in range(0, len(nodes), 10_000):
-                s = slice(i, i + 10_000)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[s]), pa.array(n[s]), pa.array(times[s])], ["node", "n", "shared"])
+            if len(nodes):
+                yield _blocks(nodes, keys, n.astype(np.uint32), times.astype(np.uint32))
 
     return run
 
 
-def _tokens(k: int, bits: int):
+def _enough(percent: int):
+    """The nodes whose shared tokens, over all ranges, are more than they may have alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks in _ranges(batches):
+            nodes, n, times = K.unpack_all(blocks, np.uint64, np.uint32, np.uint32)
+            nodes, first, inverse = np.unique(nodes, return_index=True, return_inverse=True)
+            n = n[first].astype(np.int64)
+            near = np.bincount(inverse, times, len(nodes)) > n - -(-n * percent // 100)
+            if near.any():
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[near].view(np.int64))], ["node"])
+
+    return run
+
+
+def _tokens(k: int, keys: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for table in K.gathered(batches, FLUSH_BYTES):
@@ -212,15 +226,16 @@ def _tokens(k: int, bits: int):
             values, rows = values[here], rows[here]
             order = np.argsort(values)
             rows = rows[order]
-            yield _blocks(values[order], bits, signatures[rows], n[rows].astype(np.uint32))
+            yield _blocks(values[order], keys, signatures[rows], n[rows].astype(np.uint32))
 
     return run
 
 
-def _shared_tokens(bits: int):
+def _shared_tokens(keys: np.ndarray):
     """Back to the nodes: their tokens that others have too, with the number of nodes that have each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for blocks in _ranges(batches):
             tokens, nodes, n = K.unpack_all(blocks, np.uint64, np.int64, np.uint32)
             order = np.lexsort((nodes, tokens))
@@ -231,10 +246,12 @@ def _shared_tokens(bits: int):
             _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
             df = counts[inverse]
             many = df > 1
-            tokens, nodes, n, df = tokens[many], nodes[many].view(np.uint64), n[many], df[many].astype(np.uint32)
+            held.append([nodes[many].view(np.uint64), tokens[many], df[many].astype(np.uint32), n[many]])
+        if held:
+            nodes, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.argsort(nodes, kind="stable")
             if len(order):
-                yield _blocks(nodes[order], bits, tokens[order], df[order], n[order])
+                yield _blocks(nodes[order], keys, *(c[order] for c in columns))
 
     return run
 
@@ -282,19 +299,18 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    bits = K.part_bits(partitions(spark))
+    keys, per_node = K.even_keys(partitions(spark), 4), K.even_keys(partitions(spark), 1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.filter("doc_id IS NOT NULL")
     block = "part int, payload binary"
     read = materialize(docs.mapInArrow(_sizes(k), "doc_id long, n long, node long, part int, payload binary"))
     sizes = read.filter("part IS NULL").select("doc_id", "n", "node")
     frequent = _frequent(read.filter("part IS NOT NULL").select("part", "payload"), sizes.agg(F.sum("n")).first()[0] or 0)
-    prefixes = known.mapInArrow(_prefixes(k, percent, frequent, bits), block)
-    near = _by_part(prefixes).mapInArrow(_sharing(percent), "node long, n long, shared long").groupBy("node", "n").agg(F.sum("shared").alias("shared"))
-    near = near.filter(F.col("shared") > F.floor(F.col("n") * (100 - percent) / 100)).select("node")  # n - ceil(t n)
+    prefixes = known.mapInArrow(_prefixes(k, percent, frequent, keys), block)
+    near = _by_part(_by_part(prefixes).mapInArrow(_sharing(percent, per_node), block)).mapInArrow(_enough(percent), "node long")
     first = materialize(sizes.filter("doc_id IS NOT NULL").join(near, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     chosen = known.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "doc_id", "left_semi")
-    shared = _by_part(chosen.mapInArrow(_tokens(k, bits), block)).mapInArrow(_shared_tokens(bits), block)
+    shared = _by_part(chosen.mapInArrow(_tokens(k, keys), block)).mapInArrow(_shared_tokens(per_node), block)
     sets = materialize(_by_part(shared).mapInArrow(_index(percent), "node long, n long, u long, tokens binary, keys array<long>"))
     edges = connect(sets.select(F.explode("keys").alias("key"), "node", "n", "u"), sets.select("node", "n", "tokens"), percent)
     least = sizes.filter("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))

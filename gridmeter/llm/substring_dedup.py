@@ -30,7 +30,7 @@ FLUSH_BYTES = 3 << 20
 _BLOCKS = "part int, doc_id long, payload binary"
 
 
-def _first_occurrences(width: int, bits: int):
+def _first_occurrences(width: int, keys: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in K.gathered(batches, FLUSH_BYTES):
             table = table.filter(pc.is_valid(table["doc_id"])).sort_by("doc_id")
@@ -50,9 +50,9 @@ def _first_occurrences(width: int, bits: int):
             out: list[tuple] = []
             here = ~lost
             hashes, kept_doc, kept_start = hashes[here], doc[here], start[here]
-            for part, at in K.by_part(hashes, bits):
+            for part, at in K.by_part(hashes, keys):
                 out.append((part, None, K.pack(hashes[at], kept_doc[at], kept_start[at])))
-            out += [(int(d) & ((1 << bits) - 1), int(d), s) for d, s in _start_lists(doc[lost], start[lost])]
+            out += [(int(keys[d % len(keys)]), d, s) for d, s in _start_lists(doc[lost], start[lost])]
             yield _rows(out)
 
     return run
@@ -121,7 +121,7 @@ def removed_starts(docs: DataFrame, width: int = 20) -> DataFrame:
     """doc_id, starts (array of packed 32-bit starts): every window that occurs earlier elsewhere, for documents that have any."""
     spark = docs.sparkSession
     n = partitions(spark)
-    blocks = docs.select("doc_id", "text").mapInArrow(_first_occurrences(width, K.part_bits(n)), _BLOCKS)
+    blocks = docs.select("doc_id", "text").mapInArrow(_first_occurrences(width, K.even_keys(n, 4)), _BLOCKS)
     lost = blocks.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_later_ones, "doc_id long, payload binary")
     return materialize(lost.groupBy("doc_id").agg(F.collect_list("payload").alias("starts")))
 
