@@ -47,7 +47,7 @@ def zero_based(b: Column) -> Column:
 def clamped(b: Column, max_row: Column, max_col: Column) -> Column:
     """A 1-based box within the sheet; null if nothing of it is."""
     cut = make(F.greatest(b["first_row"], F.lit(1)), F.greatest(b["first_col"], F.lit(1)), F.least(b["last_row"], max_row), F.least(b["last_col"], max_col))
-    return F.when((cut["first_row"] <= cut["last_row"]) & (cut["first_col"] <= cut["last_col"]), cut)
+    return F.when(b.isNotNull() & (cut["first_row"] <= cut["last_row"]) & (cut["first_col"] <= cut["last_col"]), cut)
 
 
 def moved(b: Column, edge: Column, delta: Column) -> Column:
