@@ -30,6 +30,9 @@ from .storage import BROADCAST_ROWS, materialize, partitions, small_batches
 
 FLUSH_BYTES = 2 << 20
 SHINGLE, BANDS, ROWS, PERCENT = 8, 10, 4, 80
+#: 64-bit words of a line's parity sketch; shingles whose minima are taken at once.
+SKETCH, CACHED = 12, 1 << 16
+SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCH)]
 _random = np.random.default_rng(97)
 MULTIPLY = _random.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ADD = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -72,17 +75,33 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 
 def _bands(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """lines x BANDS keys."""
-    base = ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+    """lines x BANDS keys; some lines at a time, so that their shingles stay in the processor's cache."""
     keys = np.empty((len(at), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(at), band + 1, np.uint64)
-        for r in range(band * ROWS, (band + 1) * ROWS):
-            key = K.mix(key * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(base * MULTIPLY[r] + ADD[r], at))
-        keys[:, band] = key
+    ends = np.append(at[1:], len(grams))
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(ends, at[i] + CACHED, side="right")))
+        base = ((grams[at[i] : ends[j - 1]] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+        begin = at[i:j] - at[i]
+        scratch = np.empty_like(base)
+        for band in range(BANDS):
+            key = np.full(j - i, band + 1, np.uint64)
+            for r in range(band * ROWS, (band + 1) * ROWS):
+                np.multiply(base, MULTIPLY[r], out=scratch)
+                scratch += ADD[r]
+                key = K.mix(key * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(scratch, begin))
+            keys[i:j, band] = key
+        i = j
     return keys
 
 
+def _parity(tokens: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
+    """rows x SKETCH words: a bit for each of 64 x SKETCH classes of tokens, set where the row has an odd number of that class."""
+    bit = (K.mix(tokens) >> np.uint64(32)) % np.uint64(64 * SKETCH)
+    odd = np.bincount(rows * (64 * SKETCH) + bit.astype(np.int64), minlength=n_rows * 64 * SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n_rows, 64 * SKETCH), axis=1, bitorder="little").view(np.int64)
+
+
 def tokens(line: memoryview) -> np.ndarray:
     """A normalised line's set of shingles, ascending."""
     data = np.frombuffer(line, np.uint8)
@@ -169,8 +188,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = data.tobytes()
             texts = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
             grams, begin = _grams(data, starts[at], ends[at])
-            sizes = np.diff(K.distinct_by_row(grams, np.repeat(np.arange(len(at)), np.diff(np.append(begin, len(grams)))), len(at))[1])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(sizes.astype(np.int64)), pa.array(texts, pa.binary())], ["node", "n", "tokens"])
+            sets, edges = K.distinct_by_row(grams, np.repeat(np.arange(len(at)), np.diff(np.append(begin, len(grams)))), len(at))
+            sizes = np.diff(edges)
+            sketch = _parity(sets, np.repeat(np.arange(len(at)), sizes), len(at))
+            words = [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(sizes.astype(np.int64)), pa.array(texts, pa.binary()), *words], ["node", "n", "tokens", *SKETCH_COLUMNS])
 
 
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -186,9 +208,9 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     needed = postings.select("node").distinct().join(first, "node").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("node").alias("nodes"))
     needed = materialize(needed)
     few = needed.count() <= BROADCAST_ROWS // 8
-    sets = materialize(docs.join(F.broadcast(needed) if few else needed, "doc_id").select("text", "nodes").mapInArrow(_texts, "node long, n long, tokens binary").dropDuplicates(["node"]))
-    sized = postings.join(sets.select("node", "n"), "node").select("key", "node", "n", F.lit(0).cast("long").alias("u"))
-    edges = connect(sized, sets, percent, tokens)
+    sets = materialize(docs.join(F.broadcast(needed) if few else needed, "doc_id").select("text", "nodes").mapInArrow(_texts, "node long, n long, tokens binary, " + ", ".join(f"{c} long" for c in SKETCH_COLUMNS)).dropDuplicates(["node"]))
+    sized = postings.join(sets.drop("tokens"), "node").select("key", "node", "n", F.lit(0).cast("long").alias("u"), *SKETCH_COLUMNS)
+    edges = connect(sized, sets.select("node", "n", "tokens"), percent, tokens)
     keep = first.filter("times > 1").select("node", F.col("first").alias("kept"))
     if edges is not None:
         labels = components(edges).join(first, "node")

@@ -7,16 +7,17 @@ aggregate, and lineage is cut by tables in the shared folder.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
 
 #: Rounds of comparing with pivots before what is left of the buckets is compared pair by pair.
-PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 2
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -71,34 +72,48 @@ def connect(postings: DataFrame, sets: DataFrame, percent: int, read: Callable[[
     """The edges between similar nodes that connect all of them: nodes that any chain of similar pairs links are linked.
 
     postings: key, node, n (set size), u (how many of its tokens no other node has); similar nodes share a key.
+    Columns s0, s1, ..., if any, are a parity sketch: bits that each token of the set flips.
     A bucket's node with the fewest tokens of its own, the pivot, is compared with all the others, and
     the buckets whose nodes are then in one component are done: a group of copies costs a comparison
     for each copy. A node's own tokens bound its similarity to any other: |A & B| <= n - u and
     |A | B| >= n + u_other; whom even the bucket's smallest u rules out leaves the bucket, uncompared.
+    Two sketches differ in at most as many bits as the sets in tokens, which rules out pairs unread.
     A compared pivot leaves too. After some rounds the pairs that are still open are compared directly.
     """
-    live = materialize(postings.withColumn("comp", F.col("node")))
+    sketch = sorted((c for c in postings.columns if c[0] == "s" and c[1:].isdigit()), key=lambda c: int(c[1:]))
+    own = ["node", "n", "u", *sketch]
     bound = lambda n, u, other: 100 * (F.col(n) - F.col(u)) >= percent * (F.col(n) + F.col(other))
-    sized = lambda n, m: (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
+
+    def possible(x: str, y: str) -> Column:
+        """Whether what is known of x and y leaves room for similarity; both are prefixes of columns."""
+        c = lambda side, name: F.col(f"{side}{name}")
+        out = (100 * c(x, "n") >= percent * c(y, "n")) & (100 * c(y, "n") >= percent * c(x, "n")) & bound(f"{x}n", f"{x}u", f"{y}u") & bound(f"{y}n", f"{y}u", f"{x}u")
+        if sketch:
+            apart = reduce(lambda a, b: a + b, (F.bit_count(c(x, s).bitwiseXOR(c(y, s))) for s in sketch))
+            out &= (100 + percent) * apart <= (100 - percent) * (c(x, "n") + c(y, "n"))
+        return out
+
+    live = materialize(postings.withColumn("comp", F.col("node")))
     edges = None
     for turn in range(PIVOT_ROUNDS + 1):
-        buckets = live.groupBy("key").agg(F.min(F.struct("u", "node", "n", "comp")).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        buckets = live.groupBy("key").agg(F.min(F.struct("u", "node", "n", "comp", *sketch)).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         open_ = live.join(buckets.filter("low <> high").select("key", "p"), "key").filter(bound("n", "u", "p.u"))
         again = open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high")
         open_ = materialize(open_.join(again.select("key", "size"), "key"))
         rows, cells = open_.agg(F.count("*"), F.sum("size")).first()
         if not rows:
             break
-        if turn == PIVOT_ROUNDS or cells <= 4 * rows:
-            x = open_.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"), F.col("comp").alias("c_a"))
-            y = open_.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"), F.col("comp").alias("c_b"))
-            pairs = x.join(y, "key").filter(F.expr("a < b AND c_a <> c_b") & sized("n_a", "n_b") & bound("n_a", "u_a", "u_b") & bound("n_b", "u_b", "u_a")).select("a", "b")
+        last = turn == PIVOT_ROUNDS or cells <= 4 * rows
+        if last:
+            x, y = open_.select("key", *(F.col(c).alias(f"x_{c}") for c in (*own, "comp"))), open_.select("key", *(F.col(c).alias(f"y_{c}") for c in (*own, "comp")))
+            pairs = x.join(y, (x["key"] == y["key"]) & F.expr("x_node < y_node AND x_comp <> y_comp") & possible("x_", "y_")).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
         else:
-            pairs = open_.filter(F.expr("comp <> p.comp") & sized("n", "p.n") & bound("n", "u", "p.u") & bound("p.n", "p.u", "u")).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
+            flat = open_.select(*own, "comp", *(F.col(f"p.{c}").alias(f"p_{c}") for c in (*own, "comp"))).filter("comp <> p_comp").filter(possible("", "p_"))
+            pairs = flat.select(F.col("p_node").alias("a"), F.col("node").alias("b"))
         found = materialize(verified(pairs.distinct(), sets, percent, read))
         edges = found if edges is None else edges.unionByName(found)
-        if turn == PIVOT_ROUNDS or cells <= 4 * rows:
+        if last:
             break
-        rest = open_.filter("node <> p.node").select("key", "node", "n", "u")
-        live = materialize(rest.join(components(edges), "node", "left").select("key", "node", "n", "u", F.coalesce("component", "node").alias("comp")))
+        rest = open_.filter("node <> p.node").select("key", *own)
+        live = materialize(rest.join(components(edges), "node", "left").select("key", *own, F.coalesce("component", "node").alias("comp")))
     return edges
