@@ -137,6 +137,17 @@ def distinct_by_row(values: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[
     return values[new], np.searchsorted(rows, np.arange(n_rows + 1))
 
 
+def parity(tokens: np.ndarray, rows: np.ndarray, n_rows: int, words: int) -> np.ndarray:
+    """n_rows x words 64-bit numbers: a bit for each of 64 x words classes of tokens, set where the row has an odd number of that class.
+
+    Two rows' sketches differ in at most as many bits as their sets differ in tokens.
+    """
+    size = 64 * words
+    bit = ((mix(tokens) >> U(32)) % U(size)).astype(np.int64)
+    odd = np.bincount(rows * size + bit, minlength=n_rows * size).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n_rows, size), axis=1, bitorder="little").view(np.int64)
+
+
 def planes(a: np.ndarray) -> bytes:
     """The bytes of an array, all first bytes, then all second ones and so on: what is alike stands together for the shuffle's codec."""
     return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()

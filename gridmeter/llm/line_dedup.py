@@ -95,13 +95,6 @@ def _bands(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _parity(tokens: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
-    """rows x SKETCH words: a bit for each of 64 x SKETCH classes of tokens, set where the row has an odd number of that class."""
-    bit = (K.mix(tokens) >> np.uint64(32)) % np.uint64(64 * SKETCH)
-    odd = np.bincount(rows * (64 * SKETCH) + bit.astype(np.int64), minlength=n_rows * 64 * SKETCH).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(n_rows, 64 * SKETCH), axis=1, bitorder="little").view(np.int64)
-
-
 def tokens(line: memoryview) -> np.ndarray:
     """A normalised line's set of shingles, ascending."""
     data = np.frombuffer(line, np.uint8)
@@ -190,7 +183,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, begin = _grams(data, starts[at], ends[at])
             sets, edges = K.distinct_by_row(grams, np.repeat(np.arange(len(at)), np.diff(np.append(begin, len(grams)))), len(at))
             sizes = np.diff(edges)
-            sketch = _parity(sets, np.repeat(np.arange(len(at)), sizes), len(at))
+            sketch = K.parity(sets, np.repeat(np.arange(len(at)), sizes), len(at), SKETCH)
             words = [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH)]
             yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(sizes.astype(np.int64)), pa.array(texts, pa.binary()), *words], ["node", "n", "tokens", *SKETCH_COLUMNS])
 

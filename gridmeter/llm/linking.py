@@ -72,12 +72,12 @@ def connect(postings: DataFrame, sets: DataFrame, percent: int, read: Callable[[
     """The edges between similar nodes that connect all of them: nodes that any chain of similar pairs links are linked.
 
     postings: key, node, n (set size), u (how many of its tokens no other node has); similar nodes share a key.
-    Columns s0, s1, ..., if any, are a parity sketch: bits that each token of the set flips.
+    Columns s0, s1, ..., if any, are a parity sketch: bits that each token flips which other nodes may have.
     A bucket's node with the fewest tokens of its own, the pivot, is compared with all the others, and
     the buckets whose nodes are then in one component are done: a group of copies costs a comparison
     for each copy. A node's own tokens bound its similarity to any other: |A & B| <= n - u and
     |A | B| >= n + u_other; whom even the bucket's smallest u rules out leaves the bucket, uncompared.
-    Two sketches differ in at most as many bits as the sets in tokens, which rules out pairs unread.
+    Two sketches differ in at most as many bits as the sets in such tokens, which rules out pairs unread.
     A compared pivot leaves too. After some rounds the pairs that are still open are compared directly.
     """
     sketch = sorted((c for c in postings.columns if c[0] == "s" and c[1:].isdigit()), key=lambda c: int(c[1:]))
@@ -90,7 +90,7 @@ def connect(postings: DataFrame, sets: DataFrame, percent: int, read: Callable[[
         out = (100 * c(x, "n") >= percent * c(y, "n")) & (100 * c(y, "n") >= percent * c(x, "n")) & bound(f"{x}n", f"{x}u", f"{y}u") & bound(f"{y}n", f"{y}u", f"{x}u")
         if sketch:
             apart = reduce(lambda a, b: a + b, (F.bit_count(c(x, s).bitwiseXOR(c(y, s))) for s in sketch))
-            out &= (100 + percent) * apart <= (100 - percent) * (c(x, "n") + c(y, "n"))
+            out &= (100 + percent) * (apart + c(x, "u") + c(y, "u")) <= (100 - percent) * (c(x, "n") + c(y, "n"))
         return out
 
     live = materialize(postings.withColumn("comp", F.col("node")))

@@ -39,6 +39,9 @@ FLUSH_BYTES = 3 << 20
 SKETCH, SKETCH_CHUNK = 1 << 22, 1 << 16
 #: A token with at most so many nodes is rare and indexed alone; sets larger than LONG index frequent tokens alone too.
 RARE, LONG = 32, 300
+#: 64-bit words of a node's parity sketch over its shared tokens, and the nodes sketched at once.
+PARITY, TOGETHER = 12, 4096
+_PARITY_COLUMNS = [f"s{i}" for i in range(PARITY)]
 
 
 def _sets(table: pa.Table, k: int):
@@ -274,23 +277,27 @@ def _keys(tokens: np.ndarray, df: np.ndarray, n: int, percent: int) -> np.ndarra
 
 
 def _index(percent: int):
+    """node, n, u, tokens, keys and parity sketch of the nodes that have keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks in _ranges(batches):
             nodes, tokens, df, n = K.unpack_all(blocks, np.uint64, np.uint64, np.uint32, np.uint32)
             order = np.lexsort((tokens, df, nodes))
             nodes, tokens, df, n = nodes[order], tokens[order], df[order], n[order].astype(np.int64)
             cuts = np.flatnonzero(np.diff(nodes)) + 1
-            out: list[tuple] = []
+            found: list[tuple] = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(nodes)], strict=True):
                 size = int(n[a])
                 keys = _keys(tokens[a:b], df[a:b], size, percent)
                 if len(keys):
-                    out.append((int(nodes[a : a + 1].view(np.int64)[0]), size, size - (b - a), np.sort(tokens[a:b]).tobytes(), keys.view(np.int64)))
-            if out:
-                node, size, own, packed, keys = zip(*out, strict=True)
+                    found.append((int(nodes[a : a + 1].view(np.int64)[0]), size, size - (b - a), np.sort(tokens[a:b]), keys.view(np.int64)))
+            for i in range(0, len(found), TOGETHER):
+                node, size, own, sets, keys = zip(*found[i : i + TOGETHER], strict=True)
                 offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(own, pa.int64()), pa.array(packed, pa.binary()), lists], ["node", "n", "u", "tokens", "keys"])
+                sketch = K.parity(np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets))), len(sets), PARITY)
+                columns = [pa.array(x, pa.int64()) for x in (node, size, own)] + [pa.array([t.tobytes() for t in sets], pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(PARITY)], ["node", "n", "u", "tokens", "keys", *_PARITY_COLUMNS])
 
     return run
 
@@ -311,8 +318,8 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     first = materialize(sizes.filter("doc_id IS NOT NULL").join(near, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     chosen = known.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "doc_id", "left_semi")
     shared = _by_part(chosen.mapInArrow(_tokens(k, keys), block)).mapInArrow(_shared_tokens(per_node), block)
-    sets = materialize(_by_part(shared).mapInArrow(_index(percent), "node long, n long, u long, tokens binary, keys array<long>"))
-    edges = connect(sets.select(F.explode("keys").alias("key"), "node", "n", "u"), sets.select("node", "n", "tokens"), percent)
+    sets = materialize(_by_part(shared).mapInArrow(_index(percent), "node long, n long, u long, tokens binary, keys array<long>, " + ", ".join(f"{c} long" for c in _PARITY_COLUMNS)))
+    edges = connect(sets.select(F.explode("keys").alias("key"), "node", "n", "u", *_PARITY_COLUMNS), sets.select("node", "n", "tokens"), percent)
     least = sizes.filter("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     if edges is not None:
         labels = components(edges).join(least, "node")
