@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,9 @@ from .storage import small_batches
 
 FLUSH_BYTES = 1 << 20
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
-MAX_ROWS, EPOCHS, BATCH, SEED = 6000, 6, 32, 7
+MAX_ROWS, EPOCHS, BATCH, SEED = 4000, 6, 32, 7
+#: Words whose responses are in memory at once.
+TOGETHER = 1 << 15
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 
@@ -81,15 +84,26 @@ class Model:
         return np.concatenate(out, axis=1) + self.offset
 
     def logits(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Raw score and guessed language of each row."""
+        """Raw score and guessed language of each row; some rows at a time, and a longer text by pieces that overlap."""
         n = len(rows) - 1
-        pooled, language = np.zeros((n, len(self.weight)), np.float32), np.zeros(n, np.int64)
-        full = np.flatnonzero(np.diff(rows) > 0)
-        if len(full):
-            starts = rows[:-1][full]
-            pooled[full] = np.maximum(0, np.maximum.reduceat(self.responses(self.embed(words), rows), starts, axis=0))
-            language[full] = np.add.reduceat(self.languages[words[:, 0]], starts, axis=0).argmax(axis=1)
-        return pooled @ self.weight + np.float32(self.bias), language
+        pooled, language = np.zeros((n, len(self.weight)), np.float32), np.zeros((n, self.languages.shape[1]))
+        i = 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(rows, rows[i] + TOGETHER, side="right")) - 1)
+            for a in range(int(rows[i]), max(int(rows[j]), int(rows[i]) + 1), TOGETHER):
+                b = min(int(rows[j]), a + TOGETHER + max(WIDTHS) - 1) if j == i + 1 else int(rows[j])
+                part = np.clip(rows[i : j + 1], a, b) - a
+                full = np.flatnonzero(np.diff(part) > 0)
+                if len(full):
+                    z = self.responses(self.embed(words[a:b]), part)
+                    if b < rows[j]:  # what the piece's end cuts off belongs to the next
+                        z = z[: 1 - max(WIDTHS)]
+                    pooled[i + full] = np.maximum(pooled[i + full], np.maximum.reduceat(z, part[:-1][full], axis=0))
+                    language[i + full] += np.add.reduceat(self.languages[words[a:b, 0]], part[:-1][full], axis=0)
+                if j > i + 1:
+                    break
+            i = j
+        return pooled @ self.weight + np.float32(self.bias), language.argmax(axis=1)
 
     def scores(self, column: pa.ChunkedArray) -> np.ndarray:
         raw, language = self.logits(*features(column))
@@ -116,7 +130,10 @@ def train(texts: pa.ChunkedArray, y: np.ndarray, lang: list[str | None], seed: i
     model, rng = Model(), np.random.default_rng(seed)
     if not len(y) or y.min() == y.max():
         return model
-    words, rows = features(texts)
+    parts = [features(texts.slice(i, 256)) for i in range(0, len(texts), 256)]
+    words = np.concatenate([w for w, _ in parts])
+    rows = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(r) for _, r in parts]))])
+    del parts
     check = rng.random(len(y)) < 0.25  # calibrates thresholds and takes no part in the fit
     if not 0 < y[~check].sum() < (~check).sum():
         check[:] = False
@@ -215,12 +232,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     half = [rows.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2) for t in (0, 1)]
     chosen = half[0].unionByName(half[1]).dropDuplicates(["doc_id"])
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(F.broadcast(chosen), "doc_id").toArrow()  # max_rows rows bound the broadcast and the result
-    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    texts = got["text"].fill_null("").to_pylist()
-    new = list({t: i for i, t in reversed(list(enumerate(texts)))}.values())
-    got = got.take(pa.array(sorted(new), pa.int64()))
-    return train(got["text"], got["toxic"].to_numpy().astype(np.float64), got["lang"].to_pylist())
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(F.broadcast(chosen), "doc_id").toArrow()  # max_rows rows bound the broadcast and the result
+    got = got.take(pc.sort_indices(got.select(["doc_id", "h"]), [("doc_id", "ascending"), ("h", "ascending")]))
+    got = got.take(pa.array(np.sort(np.unique(got["h"].to_numpy(), return_index=True)[1])))
+    model = train(got["text"], got["toxic"].to_numpy().astype(np.float64), got["lang"].to_pylist())
+    del got
+    K.trim()
+    return model
 
 
 def _score(model):
