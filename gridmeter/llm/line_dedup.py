@@ -102,7 +102,7 @@ def tokens(line: memoryview) -> np.ndarray:
 
 
 def _occurrences_and_bands(parts: np.ndarray):
-    """kind 0: packed occurrences of lines; kind 1: packed postings of the lines new to this task, by range of key."""
+    """kind 0: packed occurrences of lines by range of node; kind 1: packed postings of the lines new to this task, by range of key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -112,7 +112,9 @@ def _occurrences_and_bands(parts: np.ndarray):
             if not len(starts):
                 continue
             nodes = K.span_hashes(data, starts, ends).view(np.int64)
-            rows = [(0, 0, K.pack(nodes, table["doc_id"].to_numpy()[row], number.astype(np.int32)))]
+            order = np.argsort(nodes.view(np.uint64))
+            sorted_nodes, sorted_docs, sorted_lines = nodes.view(np.uint64)[order], table["doc_id"].to_numpy()[row[order]], number[order].astype(np.int32)
+            rows = [(0, part, K.pack(sorted_nodes[s], sorted_docs[s], sorted_lines[s])) for part, s in K.by_part(sorted_nodes, parts)]
             new = np.zeros(len(nodes), bool)
             for i, x in enumerate(nodes.tolist()):
                 if x not in seen:
@@ -131,19 +133,41 @@ def _occurrences_and_bands(parts: np.ndarray):
     return run
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The blocks of each part; rows come sorted by part."""
+    held: list[bytes] = []
+    at = None
     for batch in batches:
-        for block in batch["payload"]:
-            node, doc, number = K.unpack(block.as_buffer(), np.int64, np.int64, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(doc), pa.array(number)], ["node", "doc_id", "line"])
+        for part, payload in zip(batch["part"].to_pylist(), batch["payload"].to_pylist(), strict=True):
+            if part != at and held:
+                yield held
+                held = []
+            at = part
+            held.append(payload)
+    if held:
+        yield held
+
+
+def _first_and_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, doc_id, line, later of all occurrences: a line's first one, and the later ones."""
+    for blocks in _parts(batches):
+        nodes, doc, number = K.unpack_all(blocks, np.uint64, np.int64, np.int32)
+        order = np.lexsort((number, doc, nodes))
+        nodes, doc, number = nodes[order], doc[order], number[order]
+        later = np.zeros(len(nodes), bool)
+        later[1:] = nodes[1:] == nodes[:-1]
+        twin = np.zeros(len(nodes), bool)  # of one occurrence, in rows that repeat a doc_id
+        twin[1:] = later[1:] & (doc[1:] == doc[:-1]) & (number[1:] == number[:-1])
+        start = np.flatnonzero(~later)[np.cumsum(~later) - 1]
+        same = (doc == doc[start]) & (number == number[start])
+        keep = ~twin
+        nodes, doc, number, later = nodes[keep], doc[keep], number[keep], (later & ~same)[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(doc), pa.array(number), pa.array(later)], ["node", "doc_id", "line", "later"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, node of the buckets with several nodes; rows come sorted by part."""
-    held: list[bytes] = []
-    at = None
-
-    def several(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """key, node of the buckets with several nodes."""
+    for blocks in _parts(batches):
         keys, nodes = K.unpack_all(blocks, np.uint64, np.int64)
         order = np.lexsort((nodes, keys))
         keys, nodes = keys[order], nodes[order]
@@ -157,16 +181,6 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if twin.any():
             yield pa.RecordBatch.from_arrays([pa.array(keys[twin].view(np.int64)), pa.array(nodes[twin])], ["key", "node"])
 
-    for batch in batches:
-        for part, payload in zip(batch["part"].to_pylist(), batch["payload"].to_pylist(), strict=True):
-            if part != at and held:
-                yield from several(held)
-                held = []
-            at = part
-            held.append(payload)
-    if held:
-        yield from several(held)
-
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, n, tokens (the normalised line) of the lines asked for."""
@@ -195,22 +209,21 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     n = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     read = materialize(docs.mapInArrow(_occurrences_and_bands(K.even_keys(n, 4)), "kind int, part int, payload binary"))
-    occurrences = read.filter("kind = 0").select("payload").mapInArrow(_occurrences, "node long, doc_id long, line int")
-    postings = materialize(read.filter("kind = 1").select("part", "payload").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_buckets, "key long, node long"))
-    first = materialize(occurrences.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times")))
-    needed = postings.select("node").distinct().join(first, "node").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("node").alias("nodes"))
+    dealt = lambda kind: read.filter(F.col("kind") == kind).select("part", "payload").repartition(n, "part").sortWithinPartitions("part")
+    occurrences = materialize(dealt(0).mapInArrow(_first_and_later, "node long, doc_id long, line int, later boolean"))
+    first = occurrences.filter("NOT later").select("node", "doc_id", "line")
+    postings = materialize(dealt(1).mapInArrow(_buckets, "key long, node long"))
+    needed = postings.select("node").distinct().join(first, "node").groupBy("doc_id").agg(F.collect_list("node").alias("nodes"))
     needed = materialize(needed)
     few = needed.count() <= BROADCAST_ROWS // 8
     sets = materialize(docs.join(F.broadcast(needed) if few else needed, "doc_id").select("text", "nodes").mapInArrow(_texts, "node long, n long, tokens binary, " + ", ".join(f"{c} long" for c in SKETCH_COLUMNS)).dropDuplicates(["node"]))
     sized = postings.join(sets.drop("tokens"), "node").select("key", "node", "n", F.lit(0).cast("long").alias("u"), *SKETCH_COLUMNS)
     edges = connect(sized, sets.select("node", "n", "tokens"), percent, tokens)
-    keep = first.filter("times > 1").select("node", F.col("first").alias("kept"))
+    lost = occurrences.filter("later").select("doc_id", "line")
     if edges is not None:
-        labels = components(edges).join(first, "node")
+        labels = components(edges).join(first, "node").select("component", F.struct("doc_id", "line").alias("first"))
         kept = labels.groupBy("component").agg(F.min("first").alias("kept"))
-        labels = materialize(labels.select("node", "component").join(kept, "component").select("node", "kept"))
-        keep = keep.join(labels.select("node"), "node", "left_anti").unionByName(labels)
-    lost = occurrences.join(keep, "node").filter(F.struct("doc_id", "line") != F.col("kept"))
+        lost = lost.unionByName(labels.join(kept, "component").filter("first <> kept").select("first.*"))
     return lost.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 

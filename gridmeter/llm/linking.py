@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .storage import materialize
 
 #: Rounds of comparing with pivots before what is left of the buckets is compared pair by pair.
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 3
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -73,7 +73,8 @@ def connect(postings: DataFrame, sets: DataFrame, percent: int, read: Callable[[
 
     postings: key, node, n (set size), u (how many of its tokens no other node has); similar nodes share a key.
     Columns s0, s1, ..., if any, are a parity sketch: bits that each token flips which other nodes may have.
-    A bucket's node with the fewest tokens of its own, the pivot, is compared with all the others, and
+    A bucket's node with the fewest tokens of its own (of such, the one in the most and largest
+    buckets), the pivot, is compared with all the others, and
     the buckets whose nodes are then in one component are done: a group of copies costs a comparison
     for each copy. A node's own tokens bound its similarity to any other: |A & B| <= n - u and
     |A | B| >= n + u_other; whom even the bucket's smallest u rules out leaves the bucket, uncompared.
@@ -93,10 +94,13 @@ def connect(postings: DataFrame, sets: DataFrame, percent: int, read: Callable[[
             out &= (100 + percent) * (apart + c(x, "u") + c(y, "u")) <= (100 - percent) * (c(x, "n") + c(y, "n"))
         return out
 
-    live = materialize(postings.withColumn("comp", F.col("node")))
+    sizes = postings.groupBy("key").agg(F.count("*").alias("size"))
+    central = postings.select("key", "node").join(sizes, "key").groupBy("node").agg((-F.sum("size")).alias("rim"))
+    live = materialize(postings.join(central, "node").withColumn("comp", F.col("node")))
+    own.insert(3, "rim")
     edges = None
     for turn in range(PIVOT_ROUNDS + 1):
-        buckets = live.groupBy("key").agg(F.min(F.struct("u", "node", "n", "comp", *sketch)).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        buckets = live.groupBy("key").agg(F.min(F.struct("u", "rim", "node", "n", "comp", *sketch)).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         open_ = live.join(buckets.filter("low <> high").select("key", "p"), "key").filter(bound("n", "u", "p.u"))
         again = open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high")
         open_ = materialize(open_.join(again.select("key", "size"), "key"))
