@@ -48,7 +48,7 @@ def funnel(cells: DataFrame) -> DataFrame:
 
 def percent(x: Column, digits: int = 1) -> Column:
     """A share as text; a dash where it is null."""
-    return F.coalesce(F.format_string(f"%.{digits}f%%", x * 100), F.lit("―"))
+    return F.when(x.isNull(), "―").otherwise(F.format_string(f"%.{digits}f%%", x * 100))
 
 
 def typst_escape(x: Column) -> Column:
