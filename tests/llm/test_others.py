@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import EDGES
+from cases import EDGES
 from gridmeter.llm import decontamination, mixing, sharding, site_style, stable_projection, token_files, toxicity
 from gridmeter.llm.storage import shared_folder
 

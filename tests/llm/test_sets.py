@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import EDGES
+from cases import EDGES
 from gridmeter.llm import kernels, line_dedup, ngram_join, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
