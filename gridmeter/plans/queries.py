@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as B
 from ..functions import text as T
 from ..functions.numeric import wilson_high, wilson_low
-from ..operators import catalog, checks, evidence, fingerprint, layout, reports, rules, sampling, sensitivity
+from ..operators import catalog, checks, evidence, fingerprint, layout, reports, rules, sampling, sensitivity, tables
 from .standins import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -647,3 +647,51 @@ def text_functions(spark: SparkSession, d: str) -> DataFrame:
     r = view(spark, d, "resources").select("ord", F.when(o % 2 == 0, F.concat(F.lit("L"), (o % 4).cast("string"), F.lit("-0"))).otherwise("x").alias("rule"), F.concat(F.lit("http://x?statInfId="), o.cast("string"), F.lit("&k=1")).alias("url"), F.when(o % 3 == 0, "A.b.XLS").otherwise("none").alias("name"),
         F.when(o % 4 == 0, "△1,234.5%").when(o % 4 == 1, "n/a").when(o % 4 == 2, " 12 ").otherwise("-.5e3").alias("x"))
     return r.select("ord", "rule", T.rule_level(F.col("rule")).alias("level"), T.resource_number(F.col("url")).alias("number"), T.extension(F.col("name")).alias("ext"), T.is_numeric(F.col("x")).alias("numeric"))
+
+
+# --- publication tables -----------------------------------------------------------------------
+@_add("clamped_truth", "WITH s AS (SELECT doc, sheet, max(last_row) - 1 AS max_row, max(last_col) AS max_col FROM gt WHERE doc % 9 <> 0 GROUP BY ALL), r AS (SELECT g.doc, g.sheet, g.first_row + 1 AS a, g.first_col + 1 AS b, g.last_row + 1 AS c, g.last_col + 1 AS e, max_row, max_col FROM gt g LEFT JOIN s ON s.doc = g.doc AND s.sheet = g.sheet) SELECT doc, count(*) AS n_boxes, count(*) FILTER (max_row IS NOT NULL AND a <= max_row AND b <= max_col AND (c > max_row OR e > max_col)) AS n_adjusted, count(*) FILTER (max_row IS NOT NULL AND NOT (a <= max_row AND b <= max_col)) AS n_dropped, count(DISTINCT CASE WHEN max_row IS NULL THEN sheet END) AS n_missing_sheets FROM r GROUP BY doc", "gt")
+def clamped_truth(spark: SparkSession, d: str) -> DataFrame:
+    g = view(spark, d, "gt")
+    sheets = g.filter("doc % 9 <> 0").groupBy("doc", "sheet").agg((F.max("last_row") - 1).alias("max_row"), F.max("last_col").alias("max_col"))
+    return tables.clamped_truth(g, sheets)
+
+
+@_add("strata_table", "WITH f AS (SELECT doc_id AS file, source, n_chars % 9 AS n_tables FROM documents) SELECT source, count(DISTINCT f.file) AS n, round(median(n_tables), 6) AS median_tables, round(avg(score), 6) AS mean_score, round(count(*) FILTER (score = 0) / nullif(count(score), 0) * 100, 6) AS zero_percent FROM f JOIN levels l ON l.file = f.file GROUP BY source", "levels")
+def strata_table(spark: SparkSession, d: str) -> DataFrame:
+    f = view(spark, d, "documents").select(F.col("doc_id").alias("file"), "source", (F.col("n_chars") % 9).alias("n_tables"))
+    return _six(tables.strata_table(view(spark, d, "levels").select("file", "score"), f, "source"), "median_tables", "mean_score", "zero_percent")
+
+
+@_add("occupancy", "SELECT doc, count(DISTINCT sheet) AS n_sheets, count(*) FILTER (trim(value) <> '') AS n_cells, CASE WHEN count(*) FILTER (trim(value) <> '') = 0 THEN 'empty' ELSE 'ok' END AS status FROM cells GROUP BY doc", "cells")
+def occupancy(spark: SparkSession, d: str) -> DataFrame:
+    return tables.occupancy(view(spark, d, "cells"))
+
+
+@_add("sheet_order", "WITH f AS (SELECT doc, sheet, min(ord) AS f FROM gt GROUP BY ALL) SELECT doc, sheet, CAST(row_number() OVER (PARTITION BY doc ORDER BY f, sheet) - 1 AS INT) AS sheet_index FROM f", "gt")
+def sheet_order(spark: SparkSession, d: str) -> DataFrame:
+    return tables.sheet_order(view(spark, d, "gt"))
+
+
+@_add("flip_matrix", "WITH r AS (SELECT v.rule_id, family, avg(CASE WHEN v.state <> s.state THEN 1 ELSE 0 END) * 100 AS x FROM variant_states v JOIN families USING (variant) JOIN states s ON s.file = v.file AND s.rule_id = v.rule_id GROUP BY ALL) SELECT rule_id, round(max(x) FILTER (family = 'shift'), 1) AS shift, round(max(x) FILTER (family = 'split'), 1) AS split, round(max(x) FILTER (family = 'detector'), 1) AS detector FROM r GROUP BY rule_id", "states", "variant_states", "families")
+def flip_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return tables.flip_matrix(flip_rates(spark, d), ["shift", "split", "detector"])
+
+
+@_add("corrected_rates", f"WITH {DENSE}, g AS (SELECT rule_id, count(*) FILTER (file_state IN ('pass', 'fail')) AS n_applicable, count(*) FILTER (file_state = 'pass') AS n_pass, count(*) FILTER (NOT file_skipped AND file_state = 'abstain') AS n_moved FROM st GROUP BY rule_id) SELECT rule_id, n_applicable, round(n_pass / nullif(n_applicable, 0), 6) AS pass_rate, n_moved, CASE WHEN n_applicable > 0 THEN NULL WHEN rule_id IN ('L3-02', 'L3-03', 'L3-08') THEN 'not implemented' WHEN rule_id = 'L3-07' THEN 'needs several files' ELSE 'no file' END AS reason FROM g", "checks")
+def corrected_rates(spark: SparkSession, d: str) -> DataFrame:
+    states = _states(spark, d)
+    rates = states.filter(F.col("file_state").isin("pass", "fail")).groupBy("rule_id").agg(F.count("*").alias("n_applicable"), F.avg((F.col("file_state") == "pass").cast("int")).alias("pass_rate"))
+    return _six(tables.corrected_rates(rates, evidence.reconciliation(states)), "pass_rate")
+
+
+@_add("fetch_summary", "WITH l AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 'error' WHEN o_orderkey % 4 = o_custkey % 4 THEN 'ok' ELSE 'incomplete' END AS status, o_custkey % 4 AS n FROM orders) SELECT count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'incomplete') AS n_incomplete, count(*) FILTER (status = 'error') AS n_error, CAST(coalesce(sum(n) FILTER (status = 'ok'), 0) AS BIGINT) AS n_datasets FROM l")
+def fetch_summary(spark: SparkSession, d: str) -> DataFrame:
+    log = view(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "P", "failed").alias("error"), (F.col("o_orderkey") % 4).alias("number"), (F.col("o_custkey") % 4).alias("n_datasets"))
+    return tables.fetch_summary(catalog.fetch_status(log))
+
+
+@_add("pass_rate_sql", f"WITH {DENSE}, r AS (SELECT rule_id, CAST(substr(rule_id, 2, 1) AS INT) AS level FROM (SELECT DISTINCT rule_id FROM checks) q WHERE rule_id <> 'L1-02'), pc AS (SELECT rule_id, count(*) FILTER (file_state = 'pass') AS n_pass, count(*) FILTER (file_state IN ('pass', 'fail')) AS n_applicable FROM st GROUP BY rule_id) SELECT pc.rule_id, level, n_pass, n_applicable, round(100 * n_pass / nullif(n_applicable, 0), 2) AS pass_percent FROM pc LEFT JOIN r USING (rule_id)", "checks")
+def pass_rate_sql(spark: SparkSession, d: str) -> DataFrame:
+    known = view(spark, d, "checks").select("rule_id").distinct().filter("rule_id <> 'L1-02'").withColumn("level", T.rule_level(F.col("rule_id")))
+    return tables.pass_rate_sql(_states(spark, d), known)
