@@ -326,7 +326,6 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         groups = labels.groupBy("component").agg(F.min("least").alias("smallest"))
         labels = labels.join(groups, "component").select("node", "smallest")
         least = least.join(labels, "node", "left").select("node", F.coalesce("smallest", "least").alias("least"))
-    # a doc_id that repeats with another text joins both texts' components
     out = sizes.join(least, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

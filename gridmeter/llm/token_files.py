@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .storage import partitions, shared_folder, small_batches
 
-BLOCK = 1024
+BLOCK = 2048
 PERCENTILE = 90
 #: Ids after which a segment is closed; a longer document has a segment of its own.
 SEGMENT_IDS = 1 << 19
@@ -45,7 +45,8 @@ _FILES = "part int, seq int, n_ids long, payload binary"
 
 def _bits(values: np.ndarray, width: int) -> bytes:
     """values, each in width bits, lowest first."""
-    return np.packbits(((values[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8), bitorder="little").tobytes()
+    bits = np.unpackbits(values.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    return np.packbits(bits.reshape(-1), bitorder="little").tobytes()
 
 
 def encode_block(values: np.ndarray, percentile: int = PERCENTILE) -> bytes:
@@ -64,9 +65,9 @@ def decode_block(payload: memoryview, n: int) -> np.ndarray:
     at = 7 + -(-n * width // 8)
     out = np.zeros(n, np.uint32)
     if width:
-        packed = np.unpackbits(np.frombuffer(payload[7:at], np.uint8), count=n * width, bitorder="little").reshape(n, width)
-        for bit in range(width):
-            out |= packed[:, bit].astype(np.uint32) << np.uint32(bit)
+        bits = np.zeros((n, 32), np.uint8)
+        bits[:, :width] = np.unpackbits(np.frombuffer(payload[7:at], np.uint8), count=n * width, bitorder="little").reshape(n, width)
+        out = np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(n).astype(np.uint32)
     if over:
         where = np.frombuffer(payload[at : at + 2 * over], np.uint16)
         out[where] |= np.frombuffer(payload[at + 2 * over : at + 6 * over], np.uint32) << np.uint32(width)
