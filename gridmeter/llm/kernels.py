@@ -144,8 +144,13 @@ def parity(tokens: np.ndarray, rows: np.ndarray, n_rows: int, words: int) -> np.
     """
     size = 64 * words
     bit = ((mix(tokens) >> U(32)) % U(size)).astype(np.int64)
-    odd = np.bincount(rows * size + bit, minlength=n_rows * size).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(n_rows, size), axis=1, bitorder="little").view(np.int64)
+    edges = np.searchsorted(rows, np.arange(0, n_rows + 1024, 1024))  # rows ascend; some at a time
+    out = []
+    for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        n = min(1024, n_rows - 1024 * i)
+        odd = np.bincount((rows[a:b] - 1024 * i) * size + bit[a:b], minlength=n * size).astype(np.uint8) & 1
+        out.append(np.packbits(odd.reshape(n, size), axis=1, bitorder="little").view(np.int64))
+    return np.concatenate(out) if out else np.zeros((0, words), np.int64)
 
 
 def planes(a: np.ndarray) -> bytes:

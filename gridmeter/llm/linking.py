@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, small_job
 
 #: Rounds of comparing with pivots before what is left of the buckets is compared pair by pair.
 PIVOT_ROUNDS = 3
@@ -23,6 +23,11 @@ PIVOT_ROUNDS = 3
 def components(edges: DataFrame) -> DataFrame:
     """node, component of every end of edges (a, b): the component's smallest node. Alternates large and small stars until nothing changes."""
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    with small_job(e.sparkSession, e.count()):
+        return _stars(e)
+
+
+def _stars(e: DataFrame) -> DataFrame:
     state = None
     while True:
         ways = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -69,6 +74,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, read: Callable[[me
 
 
 def connect(postings: DataFrame, sets: DataFrame, percent: int, read: Callable[[memoryview], np.ndarray] = packed) -> DataFrame | None:
+    """The edges between similar nodes; see _connect."""
+    postings = materialize(postings)
+    with small_job(postings.sparkSession, postings.count()):
+        return _connect(postings, sets, percent, read)
+
+
+def _connect(postings: DataFrame, sets: DataFrame, percent: int, read: Callable[[memoryview], np.ndarray]) -> DataFrame | None:
     """The edges between similar nodes that connect all of them: nodes that any chain of similar pairs links are linked.
 
     postings: key, node, n (set size), u (how many of its tokens no other node has); similar nodes share a key.

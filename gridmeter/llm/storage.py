@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,5 +58,29 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+#: Rows up to which a job is small, and rows for each of its partitions.
+SMALL_ROWS, SMALL_PART = 2_000_000, 50_000
+
+
+@contextmanager
+def small_job(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, queries over so few rows run in few partitions and without re-planning, which holds a driver thread for every exchange.
+
+    More rows than SMALL_ROWS change nothing: then plans adapt, and skewed joins are split.
+    """
+    if rows > SMALL_ROWS:
+        yield
+        return
+    n = min(partitions(spark), max(4, rows // SMALL_PART))
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 #: A side of at most so many rows of a few longs (some 64 MB) may be broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 2_000_000
