@@ -27,7 +27,7 @@ from .storage import BROADCAST_ROWS, materialize, partitions, small_batches
 
 #: Bytes of text whose windows are sorted at once in a task.
 FLUSH_BYTES = 3 << 20
-_BLOCKS = "part int, doc_id long, payload binary"
+_BLOCKS = "part int, later boolean, payload binary"
 
 
 def _first_occurrences(width: int, keys: np.ndarray):
@@ -47,50 +47,54 @@ def _first_occurrences(width: int, keys: np.ndarray):
             new[1:] = hashes[1:] != hashes[:-1]
             first = np.flatnonzero(new)[np.cumsum(new) - 1]
             lost = (doc != doc[first]) | (start != start[first])
-            out: list[tuple] = []
             here = ~lost
             hashes, kept_doc, kept_start = hashes[here], doc[here], start[here]
-            for part, at in K.by_part(hashes, keys):
-                out.append((part, None, K.pack(hashes[at], kept_doc[at], kept_start[at])))
-            out += [(int(keys[d % len(keys)]), d, s) for d, s in _start_lists(doc[lost], start[lost])]
-            yield _rows(out)
+            out = [(part, False, K.pack(hashes[at], kept_doc[at], kept_start[at])) for part, at in K.by_part(hashes, keys)]
+            yield _rows(out + _by_document(doc[lost], start[lost], keys))
 
     return run
 
 
-def _start_lists(doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(doc, kind="stable")
-    doc, start = doc[order], start[order]
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(doc)], strict=True):
-        if b > a:
-            yield int(doc[a]), start[a:b].tobytes()
+def _by_document(doc: np.ndarray, start: np.ndarray, keys: np.ndarray) -> list[tuple]:
+    """Packed starts by range of the documents' hashes."""
+    hashes = K.mix(doc.view(np.uint64))
+    order = np.argsort(hashes, kind="stable")
+    hashes, doc, start = hashes[order], doc[order], start[order]
+    return [(part, True, K.pack(doc[at], start[at])) for part, at in K.by_part(hashes, keys)]
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    part, doc, payload = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(doc, pa.int64()), pa.array(payload, pa.binary())], ["part", "doc_id", "payload"])
+    part, later, payload = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(later, pa.bool_()), pa.array(payload, pa.binary())], ["part", "later", "payload"])
 
 
-def _later_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by part: one range of hashes at a time is in memory."""
-    blocks: list[bytes] = []
-    at = None
-    for batch in batches:
-        through = batch.filter(pc.is_valid(batch["doc_id"]))
-        if through.num_rows:
-            yield through.select(["doc_id", "payload"])
-        batch = batch.filter(pc.is_null(batch["doc_id"]))
-        for part, payload in zip(batch["part"].to_pylist(), batch["payload"], strict=True):
-            if part != at and blocks:
-                yield from _losers(blocks)
-                blocks = []
-            at = part
-            blocks.append(payload.as_py())
-    yield from _losers(blocks)
+def _later_ones(keys: np.ndarray):
+    """The later occurrences, by document. Rows come sorted by part: one range of hashes at a time is in memory, and its losers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: list[bytes] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        at = None
+        for batch in batches:
+            through = batch.filter(batch["later"])
+            if through.num_rows:
+                yield through
+            batch = batch.filter(pc.invert(batch["later"]))
+            for part, payload in zip(batch["part"].to_pylist(), batch["payload"], strict=True):
+                if part != at and blocks:
+                    found.append(_losers(blocks))
+                    blocks = []
+                at = part
+                blocks.append(payload.as_py())
+        if blocks:
+            found.append(_losers(blocks))
+        if found:
+            yield _rows(_by_document(np.concatenate([d for d, _ in found]), np.concatenate([s for _, s in found]), keys))
+
+    return run
 
 
-def _losers(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _losers(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     hashes, doc, start = K.unpack_all(blocks, np.uint64, np.int64, np.int32)
     order = np.argsort(hashes, kind="stable")
     hashes = hashes[order]
@@ -100,7 +104,7 @@ def _losers(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
     twin[:-1] |= same
     order, hashes = order[twin], hashes[twin]
     if not len(order):
-        return
+        return doc[:0], start[:0]
     doc, start = doc[order], start[order]
     order = np.lexsort((start, doc, hashes))
     hashes, doc, start = hashes[order], doc[order], start[order]
@@ -108,22 +112,42 @@ def _losers(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
     new[1:] = hashes[1:] != hashes[:-1]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     lost = (doc != doc[first]) | (start != start[first])
-    if lost.any():
-        yield _lists(list(_start_lists(doc[lost], start[lost])))
+    return doc[lost], start[lost]
+
+
+def _start_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, starts: a row for each document of a range. Rows come sorted by part."""
+    blocks: list[bytes] = []
+    at = None
 
+    def lists() -> Iterator[pa.RecordBatch]:
+        doc, start = K.unpack_all(blocks, np.int64, np.int32)
+        order = np.argsort(doc, kind="stable")
+        doc, start = doc[order], start[order]
+        cuts = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]
+        for i in range(0, len(cuts) - 1, 10_000):
+            some = cuts[i : i + 10_001]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[some[:-1]]), pa.array([start[a:b].tobytes() for a, b in zip(some, some[1:], strict=False)], pa.binary())], ["doc_id", "starts"])
 
-def _lists(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    ids, payload = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(payload, pa.binary())], ["doc_id", "payload"])
+    for batch in batches:
+        for part, payload in zip(batch["part"].to_pylist(), batch["payload"], strict=True):
+            if part != at and blocks:
+                yield from lists()
+                blocks = []
+            at = part
+            blocks.append(payload.as_py())
+    if blocks:
+        yield from lists()
 
 
 def removed_starts(docs: DataFrame, width: int = 20) -> DataFrame:
-    """doc_id, starts (array of packed 32-bit starts): every window that occurs earlier elsewhere, for documents that have any."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    blocks = docs.select("doc_id", "text").mapInArrow(_first_occurrences(width, K.even_keys(n, 4)), _BLOCKS)
-    lost = blocks.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_later_ones, "doc_id long, payload binary")
-    return materialize(lost.groupBy("doc_id").agg(F.collect_list("payload").alias("starts")))
+    """doc_id, starts (packed 32-bit numbers): every window that occurs earlier elsewhere, for documents that have any."""
+    n = partitions(docs.sparkSession)
+    keys = K.even_keys(n, 4)
+    dealt = lambda df: df.repartition(n, "part").sortWithinPartitions("part")
+    blocks = docs.select("doc_id", "text").mapInArrow(_first_occurrences(width, keys), _BLOCKS)
+    later = dealt(blocks).mapInArrow(_later_ones(keys), _BLOCKS)
+    return materialize(dealt(later).mapInArrow(_start_lists, "doc_id long, starts binary"))
 
 
 def _keep(width: int, digest: bool):
@@ -134,7 +158,7 @@ def _keep(width: int, digest: bool):
                 words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
                 n_words.append(len(words))
                 if starts.is_valid and words:
-                    at = np.concatenate([np.frombuffer(s.as_buffer(), np.int32) for s in starts.values])
+                    at = np.frombuffer(starts.as_buffer(), np.int32)
                     edge = np.zeros(len(words) + 1, np.int32)
                     at = at[at + width <= len(words)]
                     np.add.at(edge, at, 1)
@@ -158,7 +182,7 @@ def remove_repeated(docs: DataFrame, width: int = 20, digest: bool = False) -> D
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lost = removed_starts(docs, width)
-    none = F.lit(None).cast("array<binary>").alias("starts")
+    none = F.lit(None).cast("binary").alias("starts")
     if lost.count() <= BROADCAST_ROWS:  # only the texts that lose words are shuffled
         ids = F.broadcast(lost.select("doc_id"))
         whole = docs.join(ids, "doc_id", "left_anti").select("doc_id", "text", none)
