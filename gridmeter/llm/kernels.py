@@ -236,6 +236,8 @@ def gathered(batches: Iterable[pa.RecordBatch], limit: int, column: str = "text"
                 trim()
     if held:
         yield pa.Table.from_batches(held)
+    held = []
+    trim()
 
 
 def _cut(batch: pa.RecordBatch, limit: int, column: str) -> Iterator[pa.RecordBatch]:

@@ -146,6 +146,8 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
             held.append(payload)
     if held:
         yield held
+    held = []
+    K.trim()
 
 
 def _first_and_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

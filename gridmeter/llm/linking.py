@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import trim
 from .storage import materialize, small_job
 
 #: Rounds of comparing with pivots before what is left of the buckets is compared pair by pair.
@@ -60,6 +61,7 @@ def _similar(percent: int, read: Callable[[memoryview], np.ndarray]):
                     at[at == len(y)] = 0
                     shared[i] = int((y[at] == x).sum())
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(100 * shared >= percent * (n_a + n_b - shared)))
+        trim()
 
     return run
 

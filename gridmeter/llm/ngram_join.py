@@ -77,6 +77,8 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
             held.append(payload)
     if held:
         yield held
+    held = []
+    K.trim()
 
 
 def _by_part(blocks: DataFrame) -> DataFrame:
