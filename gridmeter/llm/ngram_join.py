@@ -4,9 +4,10 @@ Documents whose sets of word shingles have a Jaccard similarity of at least a th
 
 1. Every text is read once for its set's size, a signature (documents with equal sets are one node from
    here on) and a sketch of how often each shingle occurs.
-2. Ordered by class (rare before frequent, by the sketch) and hash, two similar sets share at least
-   d + 1 tokens among each one's first 2 d + 1, where d = n - ceil(t n) is how many a set may have alone.
-   Nodes stay that share so many of these with nodes of fitting size.
+2. Ordered by class (rare before frequent, by the sketch) and hash, each set gives its first 2 d + 1
+   tokens, where d = n - ceil(t n) is how many it may have alone. Two similar sets share at least d + 1
+   of these, or fewer where the smaller one's are too few (_least_shared). Nodes stay that share so many
+   with nodes of fitting size.
 3. Over these, each token's exact frequency is counted. Ordered by frequency, two similar sets share at
    least 2 tokens of their prefixes extended by one; single tokens are indexed where rare, pairs of
    tokens where both are frequent (in long sets, where pairs would be many, frequent tokens are indexed
@@ -24,6 +25,7 @@ as any equal sets are. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -205,15 +207,26 @@ def _sharing(percent: int, keys: np.ndarray):
     return run
 
 
+@lru_cache(maxsize=1 << 16)
+def _least_shared(n: int, percent: int) -> int:
+    """How many prefix tokens a set of n tokens shares at least with any similar set that is not larger; larger ones share as many."""
+    sizes = np.arange(-(-n * percent // 100), n + 1)
+    common = -(-percent * (n + sizes) // (100 + percent))
+    own = 2 * (n - -(-n * percent // 100)) + 1 - (n - common)  # the i-th common token is among a set's first i + n - common
+    other = 2 * (sizes - -(-sizes * percent // 100)) + 1 - (sizes - common)
+    return int(np.minimum(np.minimum(own, other), common).min())
+
+
 def _enough(percent: int):
-    """The nodes whose shared tokens, over all ranges, are more than they may have alone."""
+    """The nodes whose shared tokens, over all ranges, are as many as with a similar set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks in _ranges(batches):
             nodes, n, times = K.unpack_all(blocks, np.uint64, np.uint32, np.uint32)
             nodes, first, inverse = np.unique(nodes, return_index=True, return_inverse=True)
             n = n[first].astype(np.int64)
-            near = np.bincount(inverse, times, len(nodes)) > n - -(-n * percent // 100)
+            size, of = np.unique(n, return_inverse=True)
+            near = np.bincount(inverse, times, len(nodes)) >= np.array([_least_shared(x, percent) for x in size.tolist()], np.int64)[of]
             if near.any():
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[near].view(np.int64))], ["node"])
 

@@ -117,6 +117,25 @@ def test_ngram_join_of_a_large_near_copy_group(make_docs, vocabulary):
     assert got == brute_components(docs, 3, 90)
 
 
+@pytest.mark.parametrize("percent", [90, 80])
+def test_ngram_join_links_all_small_sizes_at_the_threshold(make_docs, percent):
+    """Pairs that share no word with any other document, with as few words in common as may link."""
+    docs = []
+    for a in range(1, 41):
+        for b in range(-(-a * percent // 100), a + 1):
+            common = -(-percent * (a + b) // (100 + percent))
+            name = lambda kind, n: [f"{kind}{a}x{b}x{i}" for i in range(n)]  # noqa: B023, E731
+            docs += [(len(docs), " ".join(name("c", common) + name("a", a - common))), (len(docs) + 1, " ".join(name("c", common) + name("b", b - common)))]
+    got = {r.doc_id: r.component_id for r in ngram_join.linked(make_docs([(i, t, "en", "s") for i, t in docs]), 1, percent).collect()}
+    assert got == {i: i - i % 2 for i, _ in docs}
+
+
+def test_ngram_join_links_a_document_and_one_shorter_by_a_word(make_docs):
+    text = "a b c d e f g h i j k l"
+    got = {r.doc_id: r.component_id for r in ngram_join.linked(make_docs([text, text[:-2]]), 3, 90).collect()}
+    assert got == {0: 0, 1: 0}
+
+
 def test_ngram_join_on_edges(make_docs):
     rows = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.linked(make_docs(EDGES)).collect()]
     assert len(rows) == len(EDGES)
