@@ -29,3 +29,10 @@ def test_stages_take_effect(spark, make_docs, vocabulary, tmp_path):
     assert set(mix) <= set(leaks) and 203 not in mix and max(map(mix.count, mix)) <= 2
     assert sorted(map(str, shards)) == sorted(map(str, mix))
     assert "pipeline" in __spark_entry__.queries() and "pipeline" not in __spark_entry__.oracle_sql()
+
+
+def test_near_duplicates_one_word_longer(spark, make_docs):
+    """Four of five shingles in common: 80 %."""
+    text = "one two three four five six seven eight nine"
+    docs = make_docs([text.rsplit(" ", 1)[0], text, "nothing else here has any of those words at all"])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2]
