@@ -48,8 +48,8 @@ VIEWS: dict[str, str] = {
     "cells": """SELECT doc_id AS doc, CAST(doc_id % 2 AS INT) AS sheet, r AS row, c AS col, (doc_id + r * 3 + c * 5) % 3 <> 0 AND r > 1 AS numeric, 'v' || CAST((doc_id + r + c) % 10 AS STRING) AS value
         FROM {documents} CROSS JOIN (SELECT linenumber AS r FROM (SELECT DISTINCT l_linenumber + 7 * (l_suppkey % 3) - 1 AS linenumber FROM {lineitem}) a) rr
         CROSS JOIN (SELECT DISTINCT l_linenumber - 1 AS c FROM {lineitem} WHERE l_linenumber <= 5) cc
-        WHERE doc_id < 400 AND (doc_id + r) % 7 > 1 AND r < 5 + doc_id % 14 AND (c > 0 OR r > doc_id % 3) AND (r > 0 OR c = 1)""",
-    "merged": "SELECT doc_id AS doc, CAST(doc_id % 2 AS INT) AS sheet, doc_id % 11 AS n_merged FROM {documents} WHERE doc_id < 400",
+        WHERE (doc_id + r) % 7 > 1 AND r < 5 + doc_id % 14 AND (c > 0 OR r > doc_id % 3) AND (r > 0 OR c = 1)""",
+    "merged": "SELECT doc_id AS doc, CAST(doc_id % 2 AS INT) AS sheet, doc_id % 11 AS n_merged FROM {documents}",
     "files": "SELECT o_orderkey AS file, CASE WHEN o_orderkey % 3 = 0 THEN '.xls' ELSE '.xlsx' END AS ext, CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE year(o_orderdate) END AS year, o_custkey % 60 AS survey, CASE o_orderkey % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'timeout' ELSE 'ok' END AS status FROM {orders}",
     "ranges": "SELECT 'own' || CAST(l_suppkey % 9 AS STRING) || '__' || CAST(l_orderkey % 700 AS STRING) AS file, 's' || CAST(l_linenumber % 3 AS STRING) AS sheet, CASE l_partkey % 5 WHEN 0 THEN 'Derived' WHEN 1 THEN 'Notes' ELSE 'Table' END AS label FROM {lineitem}",
 }

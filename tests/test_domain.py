@@ -45,6 +45,18 @@ def test_twins(spark, name):
     assert rows == sorted(repr([plain(x[i]) for i in at]) for x in r.fetchall())
 
 
+def test_grids_hold_every_document(spark, tmp_path):
+    """Cells by brute force, of documents on both sides of 400 and of large ids."""
+    ids, rows, cols = [0, 1, 399, 400, 401, 9_999, 12_345_678], range(3), range(3)
+    spark.createDataFrame([(i,) for i in ids], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n, 3) for n in (1, 2, 3)], "l_linenumber int, l_suppkey int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {(d, r, c) for d in ids for r in rows for c in cols if (d + r) % 7 > 1 and r < 5 + d % 14 and (c > 0 or r > d % 3) and (r > 0 or c == 1)}
+    got = [(x.doc, x.row, x.col) for x in view(spark, str(tmp_path), "cells").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {x.doc: x.n_merged for x in view(spark, str(tmp_path), "merged").collect()} == {i: i % 11 for i in ids}
+    assert {x.doc for x in Q.QUERIES["occupancy"](spark, str(tmp_path)).collect()} == {d for d, _, _ in want}
+
+
 def one(spark, *columns):
     return spark.range(1).select(*columns).first()
 
