@@ -5,10 +5,13 @@ by ln(1 + items / items with the shingle), in hundredths. A document holds an it
 item's length has at least `similarity` of the item's weight.
 
 1. Windows: such a window must share a shingle with the item, so a window starts wherever aligning a
-   shared shingle puts the item's first word. No other window can pass; none is sampled away.
+   shared shingle puts the item's first word. These hold all that a window can if its shared shingles
+   are aligned alike. For reordered passages a window starts at each shared shingle, too, from which one
+   aligned differently is within reach: moved on to its first shared shingle, no window loses any.
 2. SimHash: 64 signed weight sums give each window and item a fingerprint.
 3. Multi-index: fingerprints within RADIUS bits agree on at least one of RADIUS + 1 blocks, so joining on
-   (item, block, value) meets all of them. At 0.8 a window differs in 13 bits, give or take 3.
+   (item, block, value) meets all of them. At 0.8 a window differs in 13 bits, give or take 3. As windows
+   know their item, this only filters.
 4. The exact weighted similarity decides.
 
 Defined results: null texts hold nothing; an item without words matches nothing; a null doc_id is kept as
@@ -18,7 +21,7 @@ repeat a doc_id count as one document. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import BROADCAST_ROWS, materialize
@@ -92,8 +95,14 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE, similarity
             met = places.select("doc_id", "s", F.posexplode("s").alias("pos", "mark")).join(F.broadcast(own), "mark")
         else:
             met = places.select("doc_id", "s", F.posexplode("s").alias("pos", "mark")).join(own, "mark")
-        start = F.greatest(F.col("pos") - F.col("offset"), F.lit(0))
-        cut = met.select("doc_id", "item_id", start.alias("start"), F.array_distinct(F.slice("s", start + 1, F.col("size") - j + 1)).alias("s"))
+        start, length = F.greatest(F.col("pos") - F.col("offset"), F.lit(0)), F.col("size") - j + 1
+        anchored = met.select("doc_id", "item_id", "pos", (F.col("pos") - F.col("offset")).alias("line"), start.alias("start"), length.alias("length"), F.slice("s", start + 1, F.col("pos") - start + length).alias("s"))
+        after = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("pos"), F.desc("line"))
+        turns = anchored.withColumn("turn", F.when(F.lag("line").over(after) != F.col("line"), F.lag("pos").over(after)))
+        turns = turns.withColumn("turn", F.last("turn", ignorenulls=True).over(after.rowsBetween(Window.unboundedPreceding, 0)))  # the next shingle that is aligned differently
+        starts = F.when(F.col("turn") - F.col("pos") < F.col("length"), F.array_distinct(F.array("start", "pos"))).otherwise(F.array("start"))
+        opened = turns.select("doc_id", "item_id", "length", "s", F.col("start").alias("base"), F.explode(starts).alias("start"))
+        cut = opened.select("doc_id", "item_id", "start", F.array_distinct(F.slice("s", F.col("start") - F.col("base") + 1, F.col("length"))).alias("s"))
         windows = cut if windows is None else windows.unionByName(cut)
     if windows is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start int, distance int, similarity double")

@@ -199,6 +199,16 @@ def test_leaks_against_brute_force(spark, make_docs, vocabulary):
     assert all(r.similarity >= 0.8 and r.distance <= decontamination.RADIUS for r in got)
 
 
+@pytest.mark.parametrize("cut", [8, 20, 33])
+def test_leaks_of_reordered_passages(spark, make_docs, vocabulary, cut):
+    """Two parts of an item in the other order share 32 of 36 shingles with it."""
+    rng = random.Random(cut)
+    item, before, after = (rng.choices(vocabulary, k=k) for k in (40, 30, 30))
+    docs = make_docs([" ".join(before + item[cut:] + item[:cut] + after), " ".join(before + item + after), " ".join(before + item[20:] + after + item[:20])])
+    got = {r.doc_id: (r.start, round(r.similarity, 2)) for r in decontamination.contaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {0: (30, 0.89), 1: (30, 1.0)}
+
+
 def test_leaks_on_edges(spark, make_docs):
     items = spark.createDataFrame([(1, "same text here and there"), (2, "one"), (3, "lost and found again and")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(make_docs(EDGES), items).collect()}
