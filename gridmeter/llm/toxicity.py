@@ -30,7 +30,7 @@ from .storage import small_batches
 
 FLUSH_BYTES = 1 << 20
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
-MAX_ROWS, EPOCHS, BATCH, SEED = 4000, 6, 32, 7
+MAX_ROWS, EPOCHS, BATCH, SEED = 6000, 6, 32, 7
 #: Words whose responses are in memory at once.
 TOGETHER = 1 << 15
 PUNCTUATION = np.zeros(256, bool)
@@ -50,7 +50,7 @@ def features(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(3):
         b -= (b - a > 1) & PUNCTUATION[data[b - 1]]
         a += (b - a > 1) & PUNCTUATION[data[a]]
-    out = np.empty((len(a), 3), np.int32)
+    out = np.empty((len(a), 3), np.uint16)  # BUCKETS fit
     for i, most in enumerate((None, 6, 4)):
         end = b if most is None else np.minimum(b, a + most)
         out[:, i] = (K.span_hashes(data, a, end, K.FOLDED) >> np.uint64(40)) % np.uint64(BUCKETS)
@@ -118,32 +118,47 @@ def _slices(rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(rows[:-1][chosen] - at[:-1], n) + np.arange(at[-1]), at
 
 
+def _words_of(words: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the chosen rows (ascending), and their new ranges."""
+    use = np.zeros(len(rows) - 1, bool)
+    use[chosen] = True
+    return words[np.repeat(use, np.diff(rows))], np.concatenate([[0], np.cumsum(np.diff(rows)[chosen])])
+
+
 def _presence(words: np.ndarray, rows: np.ndarray, column: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """In how many rows of label 1 and 0 each bucket occurs."""
-    row = np.repeat(np.arange(len(y)), np.diff(rows))
-    pairs = np.unique(row.astype(np.int64) * BUCKETS + words[:, column])
-    hit, doc = pairs % BUCKETS, pairs // BUCKETS
-    return np.bincount(hit, y[doc], BUCKETS), np.bincount(hit, 1 - y[doc], BUCKETS)
+    one, zero = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for i in range(0, len(y), 256):
+        part = rows[i : i + 257]
+        row = np.repeat(np.arange(i, i + len(part) - 1), np.diff(part))
+        pairs = np.unique(row * BUCKETS + words[part[0] : part[-1], column])
+        hit, doc = pairs % BUCKETS, pairs // BUCKETS
+        one += np.bincount(hit, y[doc], BUCKETS)
+        zero += np.bincount(hit, 1 - y[doc], BUCKETS)
+    return one, zero
+
+
+def _packed(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """features of many texts, some at a time: six bytes a word."""
+    parts = [features(texts.slice(i, 256)) for i in range(0, len(texts), 256)] or [features(texts)]
+    return np.concatenate([w for w, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(r) for _, r in parts]))])
 
 
-def train(texts: pa.ChunkedArray, y: np.ndarray, lang: list[str | None], seed: int = SEED) -> Model:
+def train(words: np.ndarray, rows: np.ndarray, y: np.ndarray, lang: list[str | None], seed: int = SEED) -> Model:
     model, rng = Model(), np.random.default_rng(seed)
     if not len(y) or y.min() == y.max():
         return model
-    parts = [features(texts.slice(i, 256)) for i in range(0, len(texts), 256)]
-    words = np.concatenate([w for w, _ in parts])
-    rows = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(r) for _, r in parts]))])
-    del parts
     check = rng.random(len(y)) < 0.25  # calibrates thresholds and takes no part in the fit
     if not 0 < y[~check].sum() < (~check).sum():
         check[:] = False
     fit = np.flatnonzero(~check)
-    index, at = _slices(rows, fit)
+    some, at = _words_of(words, rows, fit)
     model.tables[:] = rng.normal(0, 0.05, model.tables.shape)
     for i in range(3):  # a start at the smoothed log odds of each bucket
-        one, zero = _presence(words[index], at, i, y[fit])
+        one, zero = _presence(some, at, i, y[fit])
         odds = np.log((one + 0.5) / (y[fit].sum() + 1)) - np.log((zero + 0.5) / ((1 - y[fit]).sum() + 1))
         model.tables[i, :, i] = np.clip(odds, -4, 6) * (one + zero) / (one + zero + 8)
+    del some
     model.filters[:] = rng.normal(0, 0.1, model.filters.shape)
     model.filters[:, 0] = 0
     model.filters[:3, 0] = 0.6
@@ -210,8 +225,7 @@ def _calibrate(model: Model, words: np.ndarray, rows: np.ndarray, y: np.ndarray,
     word_lang = np.repeat(row_lang, np.diff(rows))
     counts = np.stack([np.bincount(words[word_lang == i, 0], minlength=BUCKETS) for i in range(len(names))], axis=1) + 0.1
     model.languages = np.log(counts / counts.sum(axis=0)).astype(np.float32)
-    index, at = _slices(rows, check)
-    raw, guessed = model.logits(words[index], at)
+    raw, guessed = model.logits(*_words_of(words, rows, check))
     common = _threshold(raw, y[check], 0.0)
     model.thresholds = np.array([_threshold(raw[guessed == i], y[check][guessed == i], common) for i in range(len(names))], np.float32)
 
@@ -235,8 +249,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(F.broadcast(chosen), "doc_id").toArrow()  # max_rows rows bound the broadcast and the result
     got = got.take(pc.sort_indices(got.select(["doc_id", "h"]), [("doc_id", "ascending"), ("h", "ascending")]))
     got = got.take(pa.array(np.sort(np.unique(got["h"].to_numpy(), return_index=True)[1])))
-    model = train(got["text"], got["toxic"].to_numpy().astype(np.float64), got["lang"].to_pylist())
+    y, lang = got["toxic"].to_numpy().astype(np.float64), got["lang"].to_pylist()
+    words, rows = _packed(got["text"])
     del got
+    K.trim()  # the texts are gone before training takes memory
+    model = train(words, rows, y, lang)
+    del words
     K.trim()
     return model
 

@@ -239,6 +239,14 @@ def test_classifier_on_held_out_rows(spark, make_docs, vocabulary):
     assert len(held) > 150 and sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def test_classifier_trains_on_6000_rows(spark, make_docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda words, rows, y, lang: seen.append((len(y), len(lang), len(rows) - 1, len(words), int(y.sum()))))
+    docs = [(i, f"word{i} other", "en", "s") for i in range(8000)]
+    toxicity.fit(make_docs(docs), spark.createDataFrame([(i, i % 2) for i, *_ in docs], "doc_id long, toxic int"))
+    assert seen == [(6000, 6000, 6000, 12000, 3000)]
+
+
 def test_classifier_without_labels(spark, make_docs):
     rows = toxicity.scored(make_docs(EDGES), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len(rows) == len(EDGES) and all(r.predicted == 0 for r in rows)
