@@ -4,7 +4,8 @@ A word's embedding is the sum of three hashed ones: of the word (ASCII folded, o
 its first six bytes and of its first four. Filters of several widths slide over the whole text, the
 largest response of each is kept (max pooling), and a logistic layer gives the raw score. The language
 is guessed from the text by hashed word frequencies, and a threshold calibrated for it on a part of the
-training rows shifts the score, so that 0.5 is the threshold of every language.
+training rows shifts the score, so that 0.5 is the threshold of every language. Every language of the
+training rows has a profile (128 KB each); rows without a language are in none.
 
 The model is fitted on the driver on at most `max_rows` labelled rows (half of them of either label, by
 hash of doc_id); scoring is a map over all rows and whole texts.
@@ -16,6 +17,7 @@ are ignored. Other columns are never inputs of a score.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -99,7 +101,8 @@ class Model:
                     if b < rows[j]:  # what the piece's end cuts off belongs to the next
                         z = z[: 1 - max(WIDTHS)]
                     pooled[i + full] = np.maximum(pooled[i + full], np.maximum.reduceat(z, part[:-1][full], axis=0))
-                    language[i + full] += np.add.reduceat(self.languages[words[a:b, 0]], part[:-1][full], axis=0)
+                    for c in range(0, language.shape[1], 16):  # some languages at a time, for memory
+                        language[i + full, c : c + 16] += np.add.reduceat(self.languages[words[a:b, 0], c : c + 16], part[:-1][full], axis=0)
                 if j > i + 1:
                     break
             i = j
@@ -218,13 +221,14 @@ def _descend(model: Model, words: np.ndarray, rows: np.ndarray, y: np.ndarray, f
 
 
 def _calibrate(model: Model, words: np.ndarray, rows: np.ndarray, y: np.ndarray, lang: list[str | None], check: np.ndarray) -> None:
-    """Language profiles from all training rows; for each language the threshold with the best F1 on the check rows."""
-    names = [n for n, _ in sorted(((n, lang.count(n)) for n in set(lang) if n), key=lambda x: (-x[1], x[0]))[:16]] or [None]
+    """Profiles of all languages from all training rows that have one; for each language the threshold with the best F1 on the check rows."""
+    names = [n for n, _ in sorted(Counter(n for n in lang if n).items(), key=lambda x: (-x[1], x[0]))] or [None]
     code = {n: i for i, n in enumerate(names)}
-    row_lang = np.array([code.get(n, 0) for n in lang])
-    word_lang = np.repeat(row_lang, np.diff(rows))
-    counts = np.stack([np.bincount(words[word_lang == i, 0], minlength=BUCKETS) for i in range(len(names))], axis=1) + 0.1
-    model.languages = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    row_lang = np.array([code.get(n, -1) for n in lang])
+    model.languages = np.empty((BUCKETS, len(names)), np.float32)
+    for i in range(len(names)):
+        counts = np.bincount(_words_of(words, rows, np.flatnonzero(row_lang == i))[0][:, 0], minlength=BUCKETS) + 0.1
+        model.languages[:, i] = np.log(counts / counts.sum())
     raw, guessed = model.logits(*_words_of(words, rows, check))
     common = _threshold(raw, y[check], 0.0)
     model.thresholds = np.array([_threshold(raw[guessed == i], y[check][guessed == i], common) for i in range(len(names))], np.float32)

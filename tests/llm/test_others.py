@@ -247,6 +247,20 @@ def test_classifier_trains_on_6000_rows(spark, make_docs, monkeypatch):
     assert seen == [(6000, 6000, 6000, 12000, 3000)]
 
 
+def test_classifier_knows_every_language():
+    """Twenty languages, the rarest with few rows, and rows without one."""
+    lang = [f"l{i:02}" for i in range(20) for _ in range(60 - i)] + [None] * 100
+    texts = [" ".join(f"{n or 'none'}w{j}" for j in range(r % 7, r % 7 + 12)) + (" vile" if r % 2 else "") for r, n in enumerate(lang)]
+    column = pa.chunked_array([pa.array(texts)])
+    model = toxicity.train(*toxicity.features(column), np.arange(len(lang)) % 2.0, lang)
+    assert model.languages.shape[1] == len(model.thresholds) == 20
+    _, guessed = model.logits(*toxicity.features(column))
+    assert [guessed[i] for i, n in enumerate(lang) if n] == [int(n[1:]) for n in lang if n]
+    alone = toxicity.features(pa.chunked_array([pa.array(["nonew1 nonew2 nonew3"])]))[0][:, 0]
+    own = set(toxicity.features(column.slice(0, 60))[0][:, 0].tolist())
+    assert all(model.languages[b, 0] == model.languages[:, 0].min() for b in alone.tolist() if b not in own)
+
+
 def test_classifier_without_labels(spark, make_docs):
     rows = toxicity.scored(make_docs(EDGES), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len(rows) == len(EDGES) and all(r.predicted == 0 for r in rows)
