@@ -1,12 +1,15 @@
 """Size-tiered compaction of shards under versioned manifests. DataFrame operations only.
 
-A store is a folder. Arrivals are appended as small immutable shards (a Parquet file each, tier 0). Once a
-tier has a run of at least FAN_IN shards smaller than the target, they are read together, dealt to as many
-tasks as target-sized files hold them, and written as shards of the next tier; nothing is shuffled. Shards
-that reach the target stay as they are. A commit writes the list of live shards as the next manifest
-beside the old ones and renames it into place: a rename onto an existing version fails, so of two
-committers one wins and the other starts over. Readers take the highest version; files that no manifest
-names are debris of lost attempts, harmless and removable.
+A store is a folder. Arrivals are appended as small immutable shards (a Parquet file each). A shard's tier is
+that of its size: tiers grow by fan_in up to FULL of the target, and shards of at least
+FULL of the target are finished. Once a tier has a run of fan_in shards, which are thus of similar size, they
+are read together, dealt to as many tasks as target-sized files hold them, and written as larger shards;
+nothing is shuffled. A merged shard rises by a tier at least, so no row is written more than TIERS + 1 times. Runs
+go on until no tier has one. A commit writes the list of live shards as one file
+and gives it the next version's name, which fails if that name exists: on a local file system by a hard
+link, elsewhere by a rename that does not overwrite. So of two committers one wins and the other starts
+over. Readers take the highest version; files that no manifest names are debris of lost attempts, harmless
+and removable.
 
 Defined results: an empty table commits a version without shards that reads as no rows; nulls, long texts,
 repeated rows and extra columns are stored as they are.
@@ -16,12 +19,15 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of a finished shard, and shards of one tier that are merged.
 TARGET_BYTES, FAN_IN = 128 << 20, 4
+#: Tiers below the finished shards, and the share of the target from which a shard is finished.
+TIERS, FULL = 4, 0.5
 _ENTRIES = "shard string, tier int, bytes long"
 
 
@@ -59,23 +65,52 @@ class ShardStore:
 
     def commit(self, entries: list[tuple[str, int, int]], base: int) -> int:
         """Makes entries the version after base; Conflict if that exists."""
-        draft, name = f"{self.path}/drafts/{uuid.uuid4().hex}", f"{self.path}/manifests/v{base + 1:09d}"
+        draft = f"{self.path}/drafts/{uuid.uuid4().hex}"
         self.spark.createDataFrame(entries, _ENTRIES).coalesce(1).write.json(draft)
-        fs, source = self._fs(draft)
-        _, target = self._fs(name)
+        fs, folder = self._fs(draft)
+        file = next((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), None)
+        if file is None:  # no entries
+            file = self._fs(f"{draft}/empty")[1]
+            fs.create(file, False).close()
+        _, target = self._fs(f"{self.path}/manifests/v{base + 1:09d}")
         fs.mkdirs(target.getParent())
-        if fs.exists(target) or not fs.rename(source, target) or not fs.exists(self._fs(f"{name}/_SUCCESS")[1]):
+        if not self._publish(file, target):
             raise Conflict(f"version {base + 1} exists")
+        fs.delete(folder, True)
         return base + 1
 
-    def _write(self, df: DataFrame, tier: int) -> list[tuple[str, int, int]]:
+    def _publish(self, file, target) -> bool:
+        """Gives file the name target, in one step that fails if anything has that name."""
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        try:
+            fs, _ = self._fs(target.toString())
+            if fs.getScheme() == "file":  # whose rename overwrites
+                path = lambda p: jvm.java.nio.file.Paths.get(fs.makeQualified(p).toUri())
+                jvm.java.nio.file.Files.createLink(path(target), path(file))
+            else:
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(file.toUri(), conf).rename(file, target, none)
+        except Py4JJavaError as e:
+            if any(name in e.java_exception.getClass().getName() for name in ("FileAlreadyExists", "FileAlreadyExistsException")):
+                return False
+            raise
+        return True
+
+    def tier(self, size: int) -> int:
+        """0 for the smallest shards, TIERS for finished ones."""
+        if size >= FULL * self.target:
+            return TIERS
+        return next(t for t in range(TIERS) if t == TIERS - 1 or size < FULL * self.target / self.fan_in ** (TIERS - 1 - t))
+
+    def _write(self, df: DataFrame, least: int = 0) -> list[tuple[str, int, int]]:
         folder = f"shards/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
-        return [(name, tier, size) for name, size in self._files(folder)]
+        return [(name, max(least, self.tier(size)), size) for name, size in self._files(folder)]
 
     def append(self, df: DataFrame) -> int:
-        """The rows of df as small shards of tier 0, one for each of its partitions with rows."""
-        new = self._write(df.select(*self.schema.fieldNames()), 0)
+        """The rows of df as small shards, one for each of its partitions with rows."""
+        new = self._write(df.select(*self.schema.fieldNames()))
         while True:
             base = self.version()
             try:
@@ -84,10 +119,10 @@ class ShardStore:
                 continue
 
     def runs(self, entries: list[tuple[str, int, int]]) -> dict[int, list[tuple[str, int, int]]]:
-        """By tier, the shards to merge: all below the target, if they are enough."""
+        """By tier, the unfinished shards to merge, if they are enough."""
         small: dict[int, list[tuple[str, int, int]]] = {}
         for e in entries:
-            if e[2] < self.target // 2:
+            if e[1] < TIERS:
                 small.setdefault(e[1], []).append(e)
         return {tier: run for tier, run in small.items() if len(run) >= self.fan_in}
 
@@ -106,17 +141,20 @@ class ShardStore:
         for tier, run in sorted(runs.items()):
             total = sum(e[2] for e in run)
             files = max(1, min(len(run) // self.fan_in, -(-total // self.target)) if total < self.target else -(-total // self.target))
-            merged = self._write(self.read_shards([e[0] for e in run]).coalesce(files), tier + 1)
+            merged = self._write(self.read_shards([e[0] for e in run]).coalesce(files), min(tier + 1, TIERS))
             gone = {e[0] for e in run}
             entries = [e for e in entries if e[0] not in gone] + merged
         return self.commit(entries, base)
 
     def settle(self) -> int:
-        """Rounds until no tier has a run."""
-        while (before := self.version()) != (now := self.compact()):
-            if now == before:
-                break
-        return self.version()
+        """Rounds until no tier has a run; a round that another committer was ahead of is done anew."""
+        while True:
+            before = self.version()
+            try:
+                if self.compact() == before:
+                    return before
+            except Conflict:
+                continue
 
     def read(self, version: int | None = None) -> DataFrame:
         return self.read_shards([e[0] for e in self.manifest(version)])
