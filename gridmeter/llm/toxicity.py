@@ -7,23 +7,23 @@ is guessed from the text by hashed word frequencies, and a threshold calibrated
 training rows shifts the score, so that 0.5 is the threshold of every language. Every language of the
 training rows has a profile (128 KB each); rows without a language are in none.
 
-The model is fitted on the driver on at most `max_rows` labelled rows (half of them of either label, by
+The model is fitted in one task on at most `max_rows` labelled rows (half of them of either label, by
 hash of doc_id); scoring is a map over all rows and whole texts.
 
 Defined results: a text without words, or null, gets the score of the bias alone; held_out of a row
 without doc_id is false; without labelled rows of both kinds all scores are 0. Labels other than 0 and 1
-are ignored. Other columns are never inputs of a score.
+are ignored, and so are those of documents labelled both 0 and 1. Other columns are never inputs of a score.
 """
 
 from __future__ import annotations
 
+import io
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +69,16 @@ class Model:
     languages: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, 1), np.float32))
     thresholds: np.ndarray = field(default_factory=lambda: np.full(1, np.inf, np.float32))
 
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **{f.name: getattr(self, f.name) for f in fields(self)})
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Model:
+        with np.load(io.BytesIO(raw)) as arrays:
+            return cls(**{name: (float(arrays[name]) if name == "bias" else arrays[name]) for name in arrays.files})
+
     def embed(self, words: np.ndarray) -> np.ndarray:
         return self.tables[0][words[:, 0]] + self.tables[1][words[:, 1]] + self.tables[2][words[:, 2]]
 
@@ -141,12 +151,6 @@ def _presence(words: np.ndarray, rows: np.ndarray, column: int, y: np.ndarray) -
     return one, zero
 
 
-def _packed(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """features of many texts, some at a time: six bytes a word."""
-    parts = [features(texts.slice(i, 256)) for i in range(0, len(texts), 256)] or [features(texts)]
-    return np.concatenate([w for w, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(r) for _, r in parts]))])
-
-
 def train(words: np.ndarray, rows: np.ndarray, y: np.ndarray, lang: list[str | None], seed: int = SEED) -> Model:
     model, rng = Model(), np.random.default_rng(seed)
     if not len(y) or y.min() == y.max():
@@ -245,22 +249,38 @@ def _threshold(raw: np.ndarray, y: np.ndarray, otherwise: float) -> float:
     return float((raw[order[i]] + (raw[order[i + 1]] if i + 1 < len(y) else raw[order[i]] - 1)) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """A model of at most max_rows labelled rows of docs (doc_id, text, lang) that are not held out; equal texts count once."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """text, lang, toxic of at most max_rows labelled rows of docs (doc_id, text, lang) that are not held out, in a fixed order.
+
+    Documents labelled both ways teach nothing and are left out; equal texts of a document count once.
+    """
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out(F.col("doc_id")))
+    rows = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other")
     half = [rows.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2) for t in (0, 1)]
-    chosen = half[0].unionByName(half[1]).dropDuplicates(["doc_id"])
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(F.broadcast(chosen), "doc_id").toArrow()  # max_rows rows bound the broadcast and the result
-    got = got.take(pc.sort_indices(got.select(["doc_id", "h"]), [("doc_id", "ascending"), ("h", "ascending")]))
-    got = got.take(pa.array(np.sort(np.unique(got["h"].to_numpy(), return_index=True)[1])))
-    y, lang = got["toxic"].to_numpy().astype(np.float64), got["lang"].to_pylist()
-    words, rows = _packed(got["text"])
-    del got
-    K.trim()  # the texts are gone before training takes memory
-    model = train(words, rows, y, lang)
-    del words
-    K.trim()
-    return model
+    chosen = half[0].unionByName(half[1]).select("doc_id", "toxic")  # max_rows rows bound the broadcast and what follows
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(F.broadcast(chosen), "doc_id")
+    got = got.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).groupBy("h").agg(F.min(F.struct("doc_id", "text", "lang", "toxic")).alias("x"))
+    return got.select("x.*", "h").repartition(1).sortWithinPartitions("doc_id", "h").select("text", "lang", "toxic")
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows of the task. Texts become buckets (six bytes a word) as they come."""
+    words, sizes, y, lang = [np.zeros((0, 3), np.uint16)], [np.zeros(1, np.int64)], [], []
+    for table in K.gathered(batches, FLUSH_BYTES):
+        w, rows = features(table["text"])
+        words.append(w)
+        sizes.append(np.diff(rows))
+        y += table["toxic"].to_pylist()
+        lang += table["lang"].to_pylist()
+    model = train(np.concatenate(words), np.cumsum(np.concatenate(sizes)), np.array(y, np.float64), lang)
+    yield pa.RecordBatch.from_arrays([pa.array([model.to_bytes()], pa.binary())], ["model"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """A model of the training rows, trained in one task; only the model comes to the driver."""
+    small_batches(docs.sparkSession)
+    got = training_rows(docs, labels, max_rows).mapInArrow(_train, "model binary").collect()
+    return Model.from_bytes(bytes(got[0].model)) if got else Model()
 
 
 def _score(model):
