@@ -33,6 +33,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The inverse of mix."""
+    x = (x ^ (x >> U(31)) ^ (x >> U(62))) * U(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = (x ^ (x >> U(27)) ^ (x >> U(54))) * U(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return x ^ (x >> U(30)) ^ (x >> U(60))
+
+
 def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
     """base**0 .. base**(n-1), modulo 2**64."""
     have = _powers.get(int(base))

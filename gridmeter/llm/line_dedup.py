@@ -7,11 +7,14 @@ a similarity of 0.8 a pair is met with a probability of 0.995, at 0.9 of 0.99997
 similarities are verified, and of each component of similar lines the first occurrence in the corpus
 (least doc_id, then line) stays; all others are removed.
 
-Buckets hold each line once and are compared with pivots, not pair by pair (see linking.connect).
+Texts are read once. Their occurrences stay in blocks of some documents; what leaves a block is one row for
+each distinct line (its first occurrence there), so a line that every document has costs a row for each block.
+The line's home learns which of its bands other lines share, linking.connect compares buckets with pivots, not
+pair by pair, and the homes tell the blocks which occurrence stays.
 
 Defined results: blank lines are never removed; null or empty text has 0 lines; a row without doc_id
 neither removes nor loses lines; rows that repeat a doc_id count as one document. Other columns are
-ignored.
+ignored. Lines are told apart by 64-bit hashes of a polynomial modulo a Mersenne prime (see kernels).
 """
 
 from __future__ import annotations
@@ -25,14 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .linking import components, connect
-from .storage import BROADCAST_ROWS, materialize, partitions, small_batches
+from .linking import LABELS, POSTINGS, SETS, U32, U64, connect, packed_sets, picked_sets, ranges, unpacked_sets
+from .ranges import BLOCKS, Row, answers, asked, batch, dealt, each_part, firsts, looked_up, rows_of, spread
+from .storage import materialize, release, small_batches
 
 FLUSH_BYTES = 2 << 20
 SHINGLE, BANDS, ROWS, PERCENT = 8, 10, 4, 80
-#: 64-bit words of a line's parity sketch; shingles whose minima are taken at once.
-SKETCH, CACHED = 12, 1 << 16
-SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCH)]
+#: Shingles whose minima are taken at once; lines a task remembers having sent, which changes the volume only.
+CACHED, REMEMBERED = 1 << 16, 1 << 20
+#: Kinds of blocks beside linking's: occurrences of a block's lines, its first ones, texts of lines, lines with all their bands, shared bands, what stays.
+OCCURRENCES, FIRSTS, TEXTS, BANDED, SHARED, STAYS = range(20, 26)
+_PLACE = (U64, np.int64, np.int32)
 _random = np.random.default_rng(97)
 MULTIPLY = _random.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ADD = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -95,138 +101,216 @@ def _bands(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return keys
 
 
-def tokens(line: memoryview) -> np.ndarray:
-    """A normalised line's set of shingles, ascending."""
-    data = np.frombuffer(line, np.uint8)
-    return np.unique(_grams(data, np.zeros(1, np.int64), np.array([len(data)]))[0])
+def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ascending shingles of normalised lines that stand end to end, and their offsets."""
+    grams, at = _grams(data, offsets[:-1], offsets[1:])
+    rows = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(grams))))
+    return K.distinct_by_row(grams, rows, len(at))
 
 
-def _occurrences_and_bands(parts: np.ndarray):
-    """kind 0: packed occurrences of lines by range of node; kind 1: packed postings of the lines new to this task, by range of key."""
+def _read_lines(keys: np.ndarray):
+    """Per block of documents: its occurrences (which stay), its first ones and the texts of lines (which go to the lines' homes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for table in K.gathered(batches, FLUSH_BYTES):
+        from pyspark import TaskContext
+
+        task, seen = TaskContext.get().partitionId(), set()
+        for number_of_block, table in enumerate(K.gathered(batches, FLUSH_BYTES)):
+            block = task << 12 | number_of_block
             table = table.filter(pc.is_valid(table["doc_id"]))
             data, starts, ends, row, number = lines(table["text"])
             if not len(starts):
                 continue
-            nodes = K.span_hashes(data, starts, ends).view(np.int64)
-            order = np.argsort(nodes.view(np.uint64))
-            sorted_nodes, sorted_docs, sorted_lines = nodes.view(np.uint64)[order], table["doc_id"].to_numpy()[row[order]], number[order].astype(np.int32)
-            rows = [(0, part, K.pack(sorted_nodes[s], sorted_docs[s], sorted_lines[s])) for part, s in K.by_part(sorted_nodes, parts)]
-            new = np.zeros(len(nodes), bool)
-            for i, x in enumerate(nodes.tolist()):
-                if x not in seen:
-                    seen.add(x)
-                    new[i] = True
-            if new.any():
-                keys = _bands(*_grams(data, starts[new], ends[new]))
-                own = np.repeat(nodes[new], BANDS)
-                keys = keys.reshape(-1)
-                order = np.argsort(keys)
-                keys, own = keys[order], own[order]
-                rows += [(1, part, K.pack(keys[s], own[s])) for part, s in K.by_part(keys, parts)]
-            kind, part, payload = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(payload, pa.binary())], ["kind", "part", "payload"])
+            node, doc, number = K.span_hashes(data, starts, ends), table["doc_id"].to_numpy()[row], number.astype(np.int32)
+            order = np.lexsort((number, doc, node))
+            node, doc, number = node[order], doc[order], number[order]
+            new = firsts(node, doc, number)  # rows that repeat a doc_id
+            node, doc, number, order = node[new], doc[new], number[new], order[new]
+            out: list[Row] = [(block, OCCURRENCES, K.pack(node, doc, number))]
+            first = firsts(node)
+            node, doc, number, order = node[first], doc[first], number[first], order[first]
+            out += spread(node, keys, FIRSTS, doc, number, np.full(len(node), block, np.int32))
+            if len(seen) > REMEMBERED:
+                seen = set()
+            fresh = np.fromiter((x not in seen for x in node.tolist()), bool, len(node))
+            seen.update(node[fresh].tolist())
+            node, order = node[fresh], order[fresh]
+            raw = data.tobytes()
+            for part, s in K.by_part(node, keys):
+                at = order[s]
+                nothing = np.zeros(len(at), U32)
+                out.append((part, TEXTS, packed_sets(node[s], nothing, nothing, (ends - starts)[at], b"".join(raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)))))
+            yield batch(out)
 
     return run
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """The blocks of each part; rows come sorted by part."""
-    held: list[bytes] = []
-    at = None
-    for batch in batches:
-        for part, payload in zip(batch["part"].to_pylist(), batch["payload"].to_pylist(), strict=True):
-            if part != at and held:
-                yield held
-                held = []
-            at = part
-            held.append(payload)
+def _distinct(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines once each: node, start and end, ascending, and the bytes."""
+    node, _, _, offsets, data = unpacked_sets(payloads)
+    first = np.sort(np.unique(node, return_index=True)[1])
+    return node[first], offsets[:-1][first], offsets[1:][first], data
+
+
+def _band(keys: np.ndarray):
+    """Each line's sets and bands, which stay; its bands also ask how many lines share them."""
+
+    def step(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
+        node, starts, ends, data = _distinct(blocks[TEXTS])
+        sizes, bands = np.empty(len(node), np.int64), np.empty((len(node), BANDS), U64)
+        for i in range(0, len(node), 4096):
+            s = slice(i, i + 4096)
+            grams, at = _grams(data, starts[s], ends[s])
+            bands[s] = _bands(grams, at)
+            rows = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(grams))))
+            sizes[s] = np.diff(K.distinct_by_row(grams, rows, len(at))[1])
+        raw = data.tobytes()
+        text = packed_sets(node, sizes, np.zeros(len(node), U32), ends - starts, b"".join(raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)))
+        flat = np.sort(bands.reshape(-1))
+        new = np.flatnonzero(firsts(flat))
+        times = np.minimum(np.diff(np.append(new, len(flat))), 2).astype(np.uint8)
+        return [(part, BANDED, K.pack(*(np.ascontiguousarray(bands[:, i]) for i in range(BANDS))) + text), *spread(flat[new], keys, part, times)]
+
+    return step
+
+
+def _shared_bands(_: int, blocks: dict[int, list[bytes]]) -> list[Row]:
+    band, times, home = asked({k: v for k, v in blocks.items() if k != BANDED}, U64, np.uint8)
+    order = np.argsort(band, kind="stable")
+    band, times, home = band[order], times[order], home[order]
+    start = np.flatnonzero(firsts(band))
+    if not len(start):
+        return []
+    several = np.repeat(np.add.reduceat(times.astype(np.int64), start) > 1, np.diff(np.append(start, len(band))))
+    return answers(home[several], SHARED, band[several])
+
+
+def _prepare(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
+    """What linking needs of the lines that share a band."""
+    shared = np.unique(K.unpack_all(blocks.get(SHARED, []), U64)[0])
+    out: list[Row] = []
+    for payload in blocks.get(BANDED, []):
+        bands = np.stack(K.unpack(payload, *[U64] * BANDS), axis=1)
+        node, n, own, offsets, data = unpacked_sets([payload[8 + 8 * BANDS * len(bands) :]])
+        there = looked_up(shared, bands.reshape(-1))[1].reshape(bands.shape)
+        row, column = np.nonzero(there)
+        if not len(row):
+            continue
+        some = np.unique(row)
+        out += [
+            (part, SETS, picked_sets(some, node, n, own, offsets, data)),
+            (part, LABELS, K.pack(node[some], node[some])),
+            (part, POSTINGS, K.pack(bands[row, column], node[row], n[row], own[row], node[row])),
+        ]
+    return out
+
+
+def _ask_kept(keys: np.ndarray):
+    """Of each label the first occurrence that a home knows."""
+
+    def step(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
+        if LABELS not in blocks:
+            return []
+        node, doc, number, _ = K.unpack_all(blocks.get(FIRSTS, []), *_PLACE, np.int32)
+        order = np.lexsort((number, doc, node))
+        node, doc, number = node[order], doc[order], number[order]
+        new = firsts(node)
+        node, doc, number = node[new], doc[new], number[new]
+        own, label = K.unpack_all(blocks[LABELS], U64, U64)
+        at, there = looked_up(node, own)
+        label, doc, number = label[there], doc[at[there]], number[at[there]]
+        order = np.lexsort((number, doc, label))
+        label, doc, number = label[order], doc[order], number[order]
+        new = firsts(label)
+        return spread(label[new], keys, part, doc[new], number[new])
+
+    return step
+
+
+def _answer_kept(_: int, blocks: dict[int, list[bytes]]) -> list[Row]:
+    label, doc, number, home = asked(blocks, *_PLACE)
+    order = np.lexsort((number, doc, label))
+    label, doc, number, home = label[order], doc[order], number[order], home[order]
+    new = firsts(label)
+    at = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return answers(home, STAYS, label, doc[at], number[at])
+
+
+def _tell(_: int, blocks: dict[int, list[bytes]]) -> list[Row]:
+    """To each block that has a line whose kept occurrence is elsewhere: node, doc_id, line of that."""
+    node, doc, number, block = K.unpack_all(blocks.get(FIRSTS, []), *_PLACE, np.int32)
+    order = np.lexsort((number, doc, node))
+    node, doc, number, block = node[order], doc[order], number[order], block[order]
+    new = firsts(node)
+    at = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
+    kept_doc, kept_number = doc[at], number[at]
+    if LABELS in blocks and STAYS in blocks:
+        own, label = K.unpack_all(blocks[LABELS], U64, U64)
+        order = np.argsort(own)
+        own, label = own[order], label[order]
+        name, its_doc, its_number = K.unpack_all(blocks[STAYS], *_PLACE)
+        order = np.argsort(name)
+        name, its_doc, its_number = name[order], its_doc[order], its_number[order]
+        i, linked = looked_up(own, node)
+        j, there = looked_up(name, label[i])
+        linked &= there
+        kept_doc, kept_number = np.where(linked, its_doc[j], kept_doc), np.where(linked, its_number[j], kept_number)
+    away = (kept_doc != doc) | (kept_number != number)
+    return answers(block[away], STAYS, node[away], kept_doc[away], kept_number[away])
+
+
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, removed of the documents of a block that lose lines."""
+
+    def step(_: int, blocks: dict[int, list[bytes]]) -> pa.RecordBatch:
+        node, doc, number = K.unpack_all(blocks.get(OCCURRENCES, []), *_PLACE)  # sorted by node, then place
+        new = firsts(node)
+        at = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
+        kept_doc, kept_number = doc[at], number[at]
+        name, its_doc, its_number = K.unpack_all(blocks.get(STAYS, []), *_PLACE)
+        order = np.argsort(name)
+        name, its_doc, its_number = name[order], its_doc[order], its_number[order]
+        if len(name):
+            i, there = looked_up(name, node)
+            kept_doc, kept_number = np.where(there, its_doc[i], kept_doc), np.where(there, its_number[i], kept_number)
+        gone = (doc != kept_doc) | (number != kept_number)
+        doc, number = doc[gone], number[gone]
+        order = np.lexsort((number, doc))
+        doc, number = doc[order], number[order]
+        start = np.flatnonzero(firsts(doc))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)).astype(np.int32)), pa.array(number))
+        return pa.RecordBatch.from_arrays([pa.array(doc[start]), lists], ["doc_id", "removed"])
+
+    at, held = None, {}
+    for part, kind, payload in rows_of(batches):
+        if part != at and held:
+            yield step(at, held)
+            held = {}
+        at = part
+        held.setdefault(kind, []).append(payload)
     if held:
-        yield held
-    held = []
-    K.trim()
-
-
-def _first_and_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, doc_id, line, later of all occurrences: a line's first one, and the later ones."""
-    for blocks in _parts(batches):
-        nodes, doc, number = K.unpack_all(blocks, np.uint64, np.int64, np.int32)
-        order = np.lexsort((number, doc, nodes))
-        nodes, doc, number = nodes[order], doc[order], number[order]
-        later = np.zeros(len(nodes), bool)
-        later[1:] = nodes[1:] == nodes[:-1]
-        twin = np.zeros(len(nodes), bool)  # of one occurrence, in rows that repeat a doc_id
-        twin[1:] = later[1:] & (doc[1:] == doc[:-1]) & (number[1:] == number[:-1])
-        start = np.flatnonzero(~later)[np.cumsum(~later) - 1]
-        same = (doc == doc[start]) & (number == number[start])
-        keep = ~twin
-        nodes, doc, number, later = nodes[keep], doc[keep], number[keep], (later & ~same)[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(doc), pa.array(number), pa.array(later)], ["node", "doc_id", "line", "later"])
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, node of the buckets with several nodes."""
-    for blocks in _parts(batches):
-        keys, nodes = K.unpack_all(blocks, np.uint64, np.int64)
-        order = np.lexsort((nodes, keys))
-        keys, nodes = keys[order], nodes[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-        keys, nodes = keys[new], nodes[new]
-        twin = np.zeros(len(keys), bool)
-        same = keys[1:] == keys[:-1]
-        twin[1:] |= same
-        twin[:-1] |= same
-        if twin.any():
-            yield pa.RecordBatch.from_arrays([pa.array(keys[twin].view(np.int64)), pa.array(nodes[twin])], ["key", "node"])
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, n, tokens (the normalised line) of the lines asked for."""
-    for table in K.gathered(batches, FLUSH_BYTES):
-        data, starts, ends, _, _ = lines(table["text"])
-        nodes = K.span_hashes(data, starts, ends).view(np.int64)
-        asked = np.unique(np.concatenate([x.values.to_numpy() for x in table["nodes"]]))
-        at = np.flatnonzero(np.isin(nodes, asked))
-        _, first = np.unique(nodes[at], return_index=True)
-        at = at[np.sort(first)]
-        if len(at):
-            raw = data.tobytes()
-            texts = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            grams, begin = _grams(data, starts[at], ends[at])
-            sets, edges = K.distinct_by_row(grams, np.repeat(np.arange(len(at)), np.diff(np.append(begin, len(grams)))), len(at))
-            sizes = np.diff(edges)
-            sketch = K.parity(sets, np.repeat(np.arange(len(at)), sizes), len(at), SKETCH)
-            words = [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(sizes.astype(np.int64)), pa.array(texts, pa.binary()), *words], ["node", "n", "tokens", *SKETCH_COLUMNS])
+        yield step(at, held)
 
 
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, removed (ascending line numbers from 0) of the documents of docs (doc_id, text) that lose lines."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = partitions(spark)
+    keys = ranges(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    read = materialize(docs.mapInArrow(_occurrences_and_bands(K.even_keys(n, 4)), "kind int, part int, payload binary"))
-    dealt = lambda kind: read.filter(F.col("kind") == kind).select("part", "payload").repartition(n, "part").sortWithinPartitions("part")
-    occurrences = materialize(dealt(0).mapInArrow(_first_and_later, "node long, doc_id long, line int, later boolean"))
-    first = occurrences.filter("NOT later").select("node", "doc_id", "line")
-    postings = materialize(dealt(1).mapInArrow(_buckets, "key long, node long"))
-    needed = postings.select("node").distinct().join(first, "node").groupBy("doc_id").agg(F.collect_list("node").alias("nodes"))
-    needed = materialize(needed)
-    few = needed.count() <= BROADCAST_ROWS // 8
-    sets = materialize(docs.join(F.broadcast(needed) if few else needed, "doc_id").select("text", "nodes").mapInArrow(_texts, "node long, n long, tokens binary, " + ", ".join(f"{c} long" for c in SKETCH_COLUMNS)).dropDuplicates(["node"]))
-    sized = postings.join(sets.drop("tokens"), "node").select("key", "node", "n", F.lit(0).cast("long").alias("u"), *SKETCH_COLUMNS)
-    edges = connect(sized, sets.select("node", "n", "tokens"), percent, tokens)
-    lost = occurrences.filter("later").select("doc_id", "line")
-    if edges is not None:
-        labels = components(edges).join(first, "node").select("component", F.struct("doc_id", "line").alias("first"))
-        kept = labels.groupBy("component").agg(F.min("first").alias("kept"))
-        lost = lost.unionByName(labels.join(kept, "component").filter("first <> kept").select("first.*"))
-    return lost.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    read = materialize(docs.mapInArrow(_read_lines(keys), BLOCKS), "kind")
+    only = lambda df, *kinds: df.filter(F.col("kind").isin(*kinds))
+    banded = materialize(dealt(only(read, TEXTS)).mapInArrow(each_part(_band(keys)), BLOCKS).withColumn("stays", F.when(F.col("kind") == BANDED, 1).otherwise(0)), "stays")
+    questions = banded.filter("stays = 0").select("part", "kind", "payload")
+    shared = dealt(questions).mapInArrow(each_part(_shared_bands), BLOCKS)
+    prepared = materialize(dealt(banded.filter("stays = 1"), shared).mapInArrow(each_part(_prepare), BLOCKS), "kind")
+    release(banded)
+    labels = connect(prepared, percent, line_sets)
+    first = only(read, FIRSTS)
+    kept = dealt(dealt(first, labels).mapInArrow(each_part(_ask_kept(keys)), BLOCKS)).mapInArrow(each_part(_answer_kept), BLOCKS)
+    told = dealt(first, labels, kept).mapInArrow(each_part(_tell), BLOCKS)
+    lost = dealt(only(read, OCCURRENCES), told).mapInArrow(_removed, "doc_id long, removed array<int>")
+    return lost.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
 
 
 def n_lines(text: Column) -> Column:

@@ -1,137 +1,358 @@
 """Distributed union-find, and joins of sets that lose no component while they avoid all pairs.
 
-Nodes are 64-bit numbers. Nothing here collects nodes, edges or labels: every step is an equi-join or an
-aggregate, and lineage is cut by tables in the shared folder.
+Nodes are 64-bit hashes, spread evenly; a node's home is the range its number falls into. All state is packed
+blocks (see ranges): nothing collects nodes, edges or labels, a hub or a hot bucket costs a row for each home,
+and every step's result is a table in the shared folder. A step is one job of two or three small shuffles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import trim
-from .storage import materialize, small_job
+from . import kernels as K
+from .ranges import BLOCKS, Row, answers, asked, batch, dealt, each_block, each_part, firsts, looked_up, rows_of, spread
+from .storage import materialize, partitions, release
 
-#: Rounds of comparing with pivots before what is left of the buckets is compared pair by pair.
-PIVOT_ROUNDS = 3
+U64, U32 = np.uint64, np.uint32
+#: Kinds of blocks: edges (u, v); labels (node, label); postings (key, node, n, own, label); sets (node, n, own, bytes; all bytes);
+#: what a label becomes (from, to); pivots of keys (like postings); wanted sets (node, home); lent sets (like sets).
+EDGES, LABELS, POSTINGS, SETS, TURNS, PIVOTS, WANTED, LENT = range(8)
+_POSTING = (U64, U64, U32, U32, U64)
+#: Ranges for each shuffle partition, words of a parity sketch, pairs compared at once, and by how much the pivots of a bucket grow from round to round.
+RANGES, SKETCH, PAIRS, GROWTH = 4, 12, 1 << 18, 4
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component of every end of edges (a, b): the component's smallest node. Alternates large and small stars until nothing changes."""
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    with small_job(e.sparkSession, e.count()):
-        return _stars(e)
+def ranges(spark: SparkSession) -> np.ndarray:
+    return K.even_keys(partitions(spark), RANGES)
 
 
-def _stars(e: DataFrame) -> DataFrame:
-    state = None
-    while True:
-        ways = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = ways.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = materialize(small.select("x.u", "x.v").filter("u <> v").distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def packed(tokens: memoryview) -> np.ndarray:
-    return np.frombuffer(tokens, np.uint64)
-
-
-def _similar(percent: int, read: Callable[[memoryview], np.ndarray]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
-            shared = np.zeros(len(n_a), np.int64)
-            for i, (x, y) in enumerate(zip(batch["t_a"], batch["t_b"], strict=True)):
-                x, y = read(x.as_buffer()), read(y.as_buffer())
-                if len(x) and len(y):
-                    x, y = (x, y) if len(x) <= len(y) else (y, x)
-                    at = np.searchsorted(y, x)
-                    at[at == len(y)] = 0
-                    shared[i] = int((y[at] == x).sum())
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(100 * shared >= percent * (n_a + n_b - shared)))
-        trim()
-
-    return run
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, read: Callable[[memoryview], np.ndarray] = packed) -> DataFrame:
-    """The pairs (a, b) whose sets have percent % Jaccard similarity.
-
-    sets: node, n (size), tokens (from which read makes the ascending set; tokens of no other node may be absent).
+# --- union-find
+def _ask_turn(keys: np.ndarray):
+    """For each label of a block its smallest neighbour there."""
+
+    def step(part: int, kind: int, payload: bytes) -> list[Row]:
+        if kind == EDGES:
+            u, v = K.unpack(payload, U64, U64)
+            label, near = np.concatenate([u, v]), np.concatenate([v, u])
+            order = np.lexsort((near, label))
+            label, near = label[order], near[order]
+            new = firsts(label)
+            label, near = label[new], near[new]
+        else:
+            label = near = np.unique(K.unpack(payload, *(_POSTING if kind == POSTINGS else (U64, U64)))[-1])
+        return spread(label, keys, part, near)
+
+    return step
+
+
+def _answer_turn(_: int, blocks: dict[int, list[bytes]]) -> list[Row]:
+    label, near, home = asked(blocks, U64, U64)
+    order = np.lexsort((near, label))
+    label, near, home = label[order], near[order], home[order]
+    new = firsts(label)
+    to = near[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    less = to < label
+    return answers(home[less], TURNS, label[less], to[less])
+
+
+def _turn(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
+    """Every label becomes its smallest neighbour, everywhere alike: so an edge that is left still ties what has either label."""
+    before, to = K.unpack_all(blocks.get(TURNS, []), U64, U64)
+    before, first = np.unique(before, return_index=True)
+    to = to[first]
+
+    def turned(x: np.ndarray) -> np.ndarray:
+        at, there = looked_up(before, x)
+        return np.where(there, to[at], x) if len(before) else x
+
+    out: list[Row] = []
+    u, v = (turned(x) for x in K.unpack_all(blocks.get(EDGES, []), U64, U64))
+    u, v = np.maximum(u, v), np.minimum(u, v)
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    keep = firsts(u, v) & (u != v)
+    if keep.any():
+        out.append((part, EDGES, K.pack(u[keep], v[keep])))
+    for kind, columns in ((LABELS, (U64, U64)), (POSTINGS, _POSTING)):
+        for payload in blocks.get(kind, []):
+            *own, label = K.unpack(payload, *columns)
+            out.append((part, kind, K.pack(*own, turned(label))))
+    return out
+
+
+def _unite(state: DataFrame) -> DataFrame:
+    """state (edges between labels, labels of nodes, postings) with all edges contracted.
+
+    A label that has a smaller neighbour becomes the smallest of them. As labels are hashes, chains of ever
+    smaller labels are short, and the rounds are about the logarithm of the largest component's size.
     """
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(_similar(percent, read), "a long, b long")
+    keys = ranges(state.sparkSession)
+    while not state.filter(F.col("kind") == EDGES).isEmpty():
+        turns = dealt(state.mapInArrow(each_block(_ask_turn(keys)), BLOCKS)).mapInArrow(each_part(_answer_turn), BLOCKS)
+        new = materialize(dealt(state, turns).mapInArrow(each_part(_turn), BLOCKS), "kind")
+        release(state)
+        state = new
+    return state
+
+
+# --- comparing buckets with pivots
+def packed_sets(node: np.ndarray, n: np.ndarray, own: np.ndarray, size: np.ndarray, raw: bytes) -> bytes:
+    return K.pack(node, n.astype(U32), own.astype(U32), size.astype(np.int64)) + raw
+
+
+def unpacked_sets(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """node, n, own, offsets of their bytes, and all bytes."""
+    heads = [K.unpack(p, U64, U32, U32, np.int64) for p in payloads]
+    node, n, own, size = (np.concatenate([h[i] for h in heads]) if heads else np.zeros(0, k) for i, k in enumerate((U64, U32, U32, np.int64)))
+    data = np.concatenate([np.frombuffer(p, np.uint8)[8 + 24 * len(h[0]) :] for p, h in zip(payloads, heads, strict=True)]) if heads else np.zeros(0, np.uint8)
+    return node, n, own, np.concatenate([[0], np.cumsum(size)]), data
+
+
+def picked_sets(chosen: np.ndarray, node: np.ndarray, n: np.ndarray, own: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> bytes:
+    raw = b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in chosen.tolist())
+    return packed_sets(node[chosen], n[chosen], own[chosen], np.diff(offsets)[chosen], raw)
+
+
+def _propose(pivots: int, keys: np.ndarray):
+    """Of each key the least and greatest label of a block, and the nodes of its rarest labels there."""
+
+    def step(part: int, kind: int, payload: bytes) -> list[Row]:
+        key, node, n, own, label = K.unpack(payload, *_POSTING)
+        order = np.lexsort((label, key))
+        key, node, n, own, label = (x[order] for x in (key, node, n, own, label))
+        start = np.flatnonzero(firsts(key))
+        of = np.flatnonzero(firsts(key, label))
+        times = np.repeat(np.diff(np.append(of, len(key))), np.diff(np.append(of, len(key)))).astype(U32)
+        out = spread(key[start], keys, 2 * part, label[start], label[np.append(start[1:], len(key)) - 1])
+        order = np.lexsort((node, own, times, key))
+        rank = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
+        order = order[rank < pivots]
+        return out + spread(key[order], keys, 2 * part + 1, node[order], n[order], own[order], label[order], times[order])
+
+    return step
+
+
+def _choose(pivots: int, keys: np.ndarray):
+    """The pivots of the keys that have several labels, to all homes that asked, and the pivots' sets wanted there."""
+
+    def step(_: int, blocks: dict[int, list[bytes]]) -> list[Row]:
+        key, low, high, home = asked({k // 2: v for k, v in blocks.items() if k % 2 == 0}, U64, U64, U64)
+        order = np.argsort(key, kind="stable")
+        key, low, high, home = key[order], low[order], high[order], home[order]
+        start = np.flatnonzero(firsts(key))
+        several = np.minimum.reduceat(low, start) < np.maximum.reduceat(high, start)
+        several = np.repeat(several, np.diff(np.append(start, len(key))))
+        key, home = key[several], home[several]
+        if not len(key):
+            return []
+        rows = K.unpack_all([p for k, v in blocks.items() if k % 2 for p in v], U64, U64, U32, U32, U64, U32)
+        rows = [x[looked_up(key, rows[0])[1]] for x in rows]
+        order = np.lexsort((rows[4], rows[0]))
+        rows = [x[order] for x in rows]
+        of = np.flatnonzero(firsts(rows[0], rows[4]))
+        times = np.repeat(np.add.reduceat(rows[5].astype(np.int64), of), np.diff(np.append(of, len(order))))
+        order = np.lexsort((rows[1], rows[3], times, rows[0]))
+        rows = [x[order] for x in rows[:5]]
+        start = np.flatnonzero(firsts(rows[0]))
+        few = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order)))) < pivots
+        rows = [x[few] for x in rows]
+        at = np.searchsorted(rows[0], key)  # every home gets all pivots of its keys
+        count = np.searchsorted(rows[0], key, side="right") - at
+        index = np.repeat(at - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        to = np.repeat(home, count)
+        out = answers(to, PIVOTS, *(x[index] for x in rows))
+        node = rows[1][index]
+        order = np.lexsort((to, node))
+        node, to = node[order], to[order]
+        new = firsts(node, to)
+        return out + spread(node[new], keys, WANTED, to[new])
+
+    return step
+
 
+def _lend(_: int, blocks: dict[int, list[bytes]]) -> list[Row]:
+    """The wanted sets, to the homes that want them."""
+    if WANTED not in blocks:
+        return []
+    wanted, home = K.unpack_all(blocks[WANTED], U64, np.int32)
+    sets = unpacked_sets(blocks.get(SETS, []))
+    node, first = np.unique(sets[0], return_index=True)
+    at, there = looked_up(node, wanted)
+    order = np.lexsort((wanted, home))
+    wanted, home, at, there = wanted[order], home[order], at[order], there[order]
+    keep = firsts(home, wanted) & there
+    home, at = home[keep], first[at[keep]]
+    cuts = [0, *(np.flatnonzero(np.diff(home)) + 1).tolist(), len(home)]
+    return [(int(home[a]), LENT, picked_sets(at[a:b], *sets)) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
-def connect(postings: DataFrame, sets: DataFrame, percent: int, read: Callable[[memoryview], np.ndarray] = packed) -> DataFrame | None:
-    """The edges between similar nodes; see _connect."""
-    postings = materialize(postings)
-    with small_job(postings.sparkSession, postings.count()):
-        return _connect(postings, sets, percent, read)
 
+Read = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-def _connect(postings: DataFrame, sets: DataFrame, percent: int, read: Callable[[memoryview], np.ndarray]) -> DataFrame | None:
-    """The edges between similar nodes that connect all of them: nodes that any chain of similar pairs links are linked.
 
-    postings: key, node, n (set size), u (how many of its tokens no other node has); similar nodes share a key.
-    Columns s0, s1, ..., if any, are a parity sketch: bits that each token flips which other nodes may have.
-    A bucket's node with the fewest tokens of its own (of such, the one in the most and largest
-    buckets), the pivot, is compared with all the others, and
-    the buckets whose nodes are then in one component are done: a group of copies costs a comparison
-    for each copy. A node's own tokens bound its similarity to any other: |A & B| <= n - u and
-    |A | B| >= n + u_other; whom even the bucket's smallest u rules out leaves the bucket, uncompared.
-    Two sketches differ in at most as many bits as the sets in such tokens, which rules out pairs unread.
-    A compared pivot leaves too. After some rounds the pairs that are still open are compared directly.
+def packed_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets whose bytes are their ascending tokens."""
+    return np.ascontiguousarray(data).view(U64), offsets // 8
+
+
+class _Sets:
+    """Sets by node: tokens, sizes and parity sketches."""
+
+    def __init__(self, payloads: list[bytes], read: Read):
+        self.raw = unpacked_sets(payloads)
+        node, n, own, offsets, data = self.raw
+        self.node, self.first = np.unique(node, return_index=True)
+        self.n, self.own = n.astype(np.int64), own.astype(np.int64)
+        self.tokens, self.offsets = read(data, offsets)
+        size = np.diff(self.offsets)
+        self.sketch = K.parity(self.tokens, np.repeat(np.arange(len(size)), size), len(size), SKETCH).view(U64)
+
+    def at(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, there = looked_up(self.node, nodes)
+        return (self.first[at] if len(self.first) else at), there
+
+
+def similar(a: _Sets, i: np.ndarray, b: _Sets, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (i of a, j of b) are similar.
+
+    A node's own tokens, which no other node has and which its bytes may lack, bound its similarity: |A & B|
+    <= n - own and |A | B| >= n + own of the other. Two parity sketches differ in at most as many bits as the
+    sets in such tokens as others have, too, which rules out most pairs unread.
     """
-    sketch = sorted((c for c in postings.columns if c[0] == "s" and c[1:].isdigit()), key=lambda c: int(c[1:]))
-    own = ["node", "n", "u", *sketch]
-    bound = lambda n, u, other: 100 * (F.col(n) - F.col(u)) >= percent * (F.col(n) + F.col(other))
-
-    def possible(x: str, y: str) -> Column:
-        """Whether what is known of x and y leaves room for similarity; both are prefixes of columns."""
-        c = lambda side, name: F.col(f"{side}{name}")
-        out = (100 * c(x, "n") >= percent * c(y, "n")) & (100 * c(y, "n") >= percent * c(x, "n")) & bound(f"{x}n", f"{x}u", f"{y}u") & bound(f"{y}n", f"{y}u", f"{x}u")
-        if sketch:
-            apart = reduce(lambda a, b: a + b, (F.bit_count(c(x, s).bitwiseXOR(c(y, s))) for s in sketch))
-            out &= (100 + percent) * (apart + c(x, "u") + c(y, "u")) <= (100 - percent) * (c(x, "n") + c(y, "n"))
+    na, nb, ua, ub = a.n[i], b.n[j], a.own[i], b.own[j]
+    maybe = (100 * (na - ua) >= percent * (na + ub)) & (100 * (nb - ub) >= percent * (nb + ua)) & (100 * na >= percent * nb) & (100 * nb >= percent * na)
+    at = np.flatnonzero(maybe)
+    apart = np.bitwise_count(a.sketch[i[at]] ^ b.sketch[j[at]]).sum(axis=1, dtype=np.int64)
+    at = at[(100 + percent) * (apart + ua[at] + ub[at]) <= (100 - percent) * (na[at] + nb[at])]
+    out = np.zeros(len(i), bool)
+    for k in at.tolist():
+        x, y = a.tokens[a.offsets[i[k]] : a.offsets[i[k] + 1]], b.tokens[b.offsets[j[k]] : b.offsets[j[k] + 1]]
+        if len(x) > len(y):
+            x, y = y, x
+        if len(x):
+            where = np.searchsorted(y, x)
+            where[where == len(y)] = 0
+            shared = int((y[where] == x).sum())
+            out[k] = 100 * shared >= percent * (int(na[k]) + int(nb[k]) - shared)
+    return out
+
+
+def _compare(percent: int, read: Read):
+    def step(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
+        out: list[Row] = [(part, LABELS, p) for p in blocks.get(LABELS, [])]
+        if PIVOTS not in blocks or POSTINGS not in blocks:
+            return out
+        key, node, n, own, label = K.unpack_all(blocks[POSTINGS], *_POSTING)
+        pivots = K.unpack_all(blocks[PIVOTS], *_POSTING)
+        order = np.lexsort((pivots[1], pivots[0]))
+        p_key, p_node, _, _, p_label = (x[order] for x in pivots)
+        first = np.searchsorted(p_key, key)
+        count = np.searchsorted(p_key, key, side="right") - first
+        mine, lent = _Sets(blocks[SETS], read), _Sets(blocks.get(LENT, []), read)
+        stays = count > 0
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        done = np.zeros((0, 2), np.int64)
+        steps = np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + PAIRS, PAIRS))
+        for a, b in zip(steps, [*steps[1:], len(key)], strict=False):
+            some = np.repeat(np.arange(a, b), count[a:b])
+            if not len(some):
+                continue
+            began = np.cumsum(count[a:b]) - count[a:b]
+            at = np.repeat(first[a:b] - began, count[a:b]) + np.arange(len(some))
+            itself = p_node[at] == node[some]
+            stays[some[itself]] = False  # a pivot that is compared leaves its bucket
+            open_ = p_label[at] != label[some]
+            some, at = some[open_], at[open_]
+            i, mine_there = mine.at(node[some])
+            j, lent_there = lent.at(p_node[at])
+            there = mine_there & lent_there
+            pair, where = np.unique(np.stack([i[there], j[there]], axis=1), axis=0, return_index=True) if there.any() else (done, np.zeros(0, np.int64))
+            hit = where[similar(mine, pair[:, 0], lent, pair[:, 1], percent)] if len(pair) else where
+            edges.append((label[some[there][hit]], p_label[at[there][hit]]))
+        u, v = (np.concatenate([e[k] for e in edges]) if edges else np.zeros(0, U64) for k in (0, 1))
+        if len(u):
+            both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
+            out.append((part, EDGES, K.pack(np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]))))
+        if stays.any():
+            out.append((part, POSTINGS, K.pack(key[stays], node[stays], n[stays], own[stays], label[stays])))
+            at, there = mine.at(np.unique(node[stays]))
+            out.append((part, SETS, picked_sets(at[there], *mine.raw)))
         return out
 
-    sizes = postings.groupBy("key").agg(F.count("*").alias("size"))
-    central = postings.select("key", "node").join(sizes, "key").groupBy("node").agg((-F.sum("size")).alias("rim"))
-    live = materialize(postings.join(central, "node").withColumn("comp", F.col("node")))
-    own.insert(3, "rim")
-    edges = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        buckets = live.groupBy("key").agg(F.min(F.struct("u", "rim", "node", "n", "comp", *sketch)).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        open_ = live.join(buckets.filter("low <> high").select("key", "p"), "key").filter(bound("n", "u", "p.u"))
-        again = open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low <> high")
-        open_ = materialize(open_.join(again.select("key", "size"), "key"))
-        rows, cells = open_.agg(F.count("*"), F.sum("size")).first()
-        if not rows:
-            break
-        last = turn == PIVOT_ROUNDS or cells <= 4 * rows
-        if last:
-            x, y = open_.select("key", *(F.col(c).alias(f"x_{c}") for c in (*own, "comp"))), open_.select("key", *(F.col(c).alias(f"y_{c}") for c in (*own, "comp")))
-            pairs = x.join(y, (x["key"] == y["key"]) & F.expr("x_node < y_node AND x_comp <> y_comp") & possible("x_", "y_")).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
-        else:
-            flat = open_.select(*own, "comp", *(F.col(f"p.{c}").alias(f"p_{c}") for c in (*own, "comp"))).filter("comp <> p_comp").filter(possible("", "p_"))
-            pairs = flat.select(F.col("p_node").alias("a"), F.col("node").alias("b"))
-        found = materialize(verified(pairs.distinct(), sets, percent, read))
-        edges = found if edges is None else edges.unionByName(found)
-        if last:
-            break
-        rest = open_.filter("node <> p.node").select("key", *own)
-        live = materialize(rest.join(components(edges), "node", "left").select("key", *own, F.coalesce("component", "node").alias("comp")))
-    return edges
+    return step
+
+
+def connect(state: DataFrame, percent: int, read: Read = packed_tokens) -> DataFrame:
+    """Blocks of labels (node, label): nodes that any chain of similar pairs links have one label.
+
+    state: blocks at their nodes' homes of sets, postings (similar nodes share a key) and labels (each node's is itself).
+    In each round the homes propose, for every bucket (the nodes of a key) that holds several labels, nodes
+    of its rarest labels; of these some become pivots, and every other node of the bucket is compared with
+    them, at home, by sets that the pivots' homes lend. A pivot then leaves the bucket; buckets with one
+    label are done: a group of copies costs a comparison for each copy. The pivots of a bucket grow fourfold
+    from round to round, so what is not similar at all is compared within a logarithm of rounds. There is no
+    last round: it ends when no bucket holds several labels.
+    """
+    keys, pivots = ranges(state.sparkSession), 1
+    while True:
+        only = lambda *kinds: state.filter(F.col("kind").isin(*kinds))  # noqa: B023, E731
+        proposed = only(POSTINGS).mapInArrow(each_block(_propose(pivots, keys)), BLOCKS)
+        chosen = materialize(dealt(proposed).mapInArrow(each_part(_choose(pivots, keys)), BLOCKS), "kind")
+        if chosen.isEmpty():
+            return only(LABELS)
+        lent = dealt(only(SETS), chosen.filter(F.col("kind") == WANTED)).mapInArrow(each_part(_lend), BLOCKS)
+        compared = materialize(dealt(only(SETS, POSTINGS, LABELS), chosen.filter(F.col("kind") == PIVOTS), lent).mapInArrow(each_part(_compare(percent, read)), BLOCKS), "kind")
+        release(chosen)
+        release(state)
+        united = _unite(compared.filter(F.col("kind") != SETS))
+        sets = compared.filter(F.col("kind") == SETS)
+        state = united.unionByName(sets)
+        state.folders = [*getattr(united, "folders", []), *getattr(compared, "folders", [])]
+        pivots *= GROWTH
+
+
+def _label_rows(batches):
+    for _, _, payload in rows_of(batches):
+        node, label = K.unpack(payload, U64, U64)
+        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(label.view(np.int64))], ["node", "component"])
+
+
+def label_rows(labels: DataFrame) -> DataFrame:
+    """node, component of blocks of labels."""
+    return labels.mapInArrow(_label_rows, "node long, component long")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component of every end of edges (a, b), which are longs: the component's smallest node."""
+    spark = edges.sparkSession
+    keys = ranges(spark)
+
+    def pack(batches):
+        for b in batches:
+            u, v = (K.mix(b[c].to_numpy().view(U64)) for c in ("a", "b"))
+            ends = np.unique(np.concatenate([u, v]))
+            order = np.argsort(u)
+            yield batch(spread(u[order], keys, EDGES, v[order]) + spread(ends, keys, LABELS, ends))
+
+    state = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(pack, BLOCKS), "kind")
+    state = materialize(dealt(state).mapInArrow(each_part(_once), BLOCKS), "kind")
+    rows = label_rows(_unite(state))
+    found = rows.mapInArrow(_unmixed, "node long, component long")
+    least = found.groupBy("component").agg(F.min("node").alias("least"))
+    return found.join(least, "component").select("node", F.col("least").alias("component"))
+
+
+def _once(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
+    out = [(part, EDGES, p) for p in blocks.get(EDGES, [])]
+    nodes = np.unique(K.unpack_all(blocks.get(LABELS, []), U64, U64)[0])
+    return [*out, (part, LABELS, K.pack(nodes, nodes))]
+
+
+def _unmixed(batches):
+    for b in batches:
+        node = K.unmix(b["node"].to_numpy().view(U64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(node), b["component"]], ["node", "component"])

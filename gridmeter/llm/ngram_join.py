@@ -14,6 +14,8 @@ Documents whose sets of word shingles have a Jaccard similarity of at least a th
    singly; lengths near the limit do both). Tokens that only one node has take prefix places but no rows.
 4. linking.connect verifies exact similarities bucket by bucket and links components.
 
+A token that many nodes of a block of texts have leaves the block as a row for each size of set, and
+frequencies are asked for by a row for each block: no task gets a row for each node that has a hot token.
 The order affects only speed: any sketch gives the same links. Tokens are compared by 64-bit hashes.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; fewer words than a shingle's
@@ -33,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .linking import components, connect
+from .linking import LABELS, POSTINGS, SETS, connect, label_rows, packed_sets, ranges, unpacked_sets
+from .ranges import BLOCKS, Row, answers, asked, batch, dealt, each_part, firsts, looked_up, rows_of, spread
 from .storage import BROADCAST_ROWS, materialize, partitions, small_batches
 
 FLUSH_BYTES = 3 << 20
@@ -41,9 +44,10 @@ FLUSH_BYTES = 3 << 20
 SKETCH, SKETCH_CHUNK = 1 << 22, 1 << 16
 #: A token with at most so many nodes is rare and indexed alone; sets larger than LONG index frequent tokens alone too.
 RARE, LONG = 32, 300
-#: 64-bit words of a node's parity sketch over its shared tokens, and the nodes sketched at once.
-PARITY, TOGETHER = 12, 4096
-_PARITY_COLUMNS = [f"s{i}" for i in range(PARITY)]
+#: Nodes of a block that make a token hot there; signatures a task remembers, which changes the volume only.
+HOT, REMEMBERED = 64, 1 << 20
+#: Kinds of blocks beside linking's: tokens of prefixes, counts of shared ones, sets of a block, frequencies of its tokens.
+TOKENS, COUNTS, BLOCK, TIMES = range(30, 34)
 
 
 def _sets(table: pa.Table, k: int):
@@ -57,39 +61,11 @@ def _sets(table: pa.Table, k: int):
     return values, at, K.mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
-def _blocks(values: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """Packed rows by range of values, which ascend."""
-    parts, blocks = [], []
-    for part, s in K.by_part(values, keys):
-        parts.append(part)
-        blocks.append(K.pack(values[s], *(c[s] for c in columns)))
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blocks, pa.binary())], ["part", "payload"])
-
-
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """The blocks of each part; rows come sorted by part."""
-    held: list[bytes] = []
-    at = None
-    for batch in batches:
-        for part, payload in zip(batch["part"].to_pylist(), batch["payload"].to_pylist(), strict=True):
-            if part != at and held:
-                yield held
-                held = []
-            at = part
-            held.append(payload)
-    if held:
-        yield held
-    held = []
-    K.trim()
-
-
-def _by_part(blocks: DataFrame) -> DataFrame:
-    return blocks.repartition(partitions(blocks.sparkSession), "part").sortWithinPartitions("part")
-
-
 def _new(signatures: np.ndarray, seen: set[int]) -> np.ndarray:
     """Which rows are the first of their signature in this task."""
     out = np.zeros(len(signatures), bool)
+    if len(seen) > REMEMBERED:
+        seen.clear()
     for i, s in enumerate(signatures.tolist()):
         if s not in seen:
             seen.add(s)
@@ -167,44 +143,53 @@ def _prefixes(k: int, percent: int, frequent: np.ndarray, keys: np.ndarray):
             length = 2 * (n - -(-n * percent // 100)) + 1
             order = order[np.arange(len(rows)) - first < length[rows]]
             tokens, rows = values[order], rows[order]
-            order = np.argsort(tokens)
-            yield _blocks(tokens[order], keys, signatures[rows[order]], n[rows[order]].astype(np.uint32))
+            yield batch(_prefix_rows(tokens, signatures[rows].view(np.uint64), n[rows].astype(np.uint32), keys))
 
     return run
 
 
+def _prefix_rows(tokens: np.ndarray, nodes: np.ndarray, n: np.ndarray, keys: np.ndarray) -> list[Row]:
+    """Tokens with their nodes, by range. Of a hot token only the first and last node of each size go there, and all its nodes count it as shared."""
+    order = np.lexsort((nodes, n, tokens))
+    tokens, nodes, n = tokens[order], nodes[order], n[order]
+    start = np.flatnonzero(firsts(tokens)) if len(tokens) else np.zeros(0, np.int64)
+    hot = np.repeat(np.diff(np.append(start, len(tokens))) > HOT, np.diff(np.append(start, len(tokens))))
+    edge = firsts(tokens, n)
+    edge[:-1] |= edge[1:]
+    edge[-1:] = True
+    go = ~hot | edge
+    out = spread(tokens[go], keys, TOKENS, nodes[go], n[go])
+    if hot.any():
+        node, first, times = np.unique(nodes[hot], return_index=True, return_counts=True)
+        out += spread(node, keys, COUNTS, n[hot][first], times.astype(np.uint32))
+    return out
+
+
 def _sharing(percent: int, keys: np.ndarray):
     """How many prefix tokens each node shares with nodes of fitting size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_nodes, all_n = [], []
-        for blocks in _ranges(batches):
-            tokens, nodes, n = K.unpack_all(blocks, np.uint64, np.int64, np.uint32)
-            order = np.argsort(tokens, kind="stable")
-            tokens = tokens[order]
-            twin = np.zeros(len(tokens), bool)
-            same = tokens[1:] == tokens[:-1]
-            twin[1:] |= same
-            twin[:-1] |= same
-            tokens, nodes, n = tokens[twin], nodes[order[twin]], n[order[twin]].astype(np.int64)
-            order = np.lexsort((nodes, n, tokens))
-            tokens, nodes, n = tokens[order], nodes[order], n[order]
-            new = np.ones(len(tokens), bool)
-            new[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
-            tokens, nodes, n = tokens[new], nodes[new], n[new]
-            fits = np.zeros(len(tokens), bool)
-            close = (tokens[1:] == tokens[:-1]) & (100 * n[:-1] >= percent * n[1:])
-            fits[1:] |= close
-            fits[:-1] |= close
-            all_nodes.append(nodes[fits])
-            all_n.append(n[fits])
-        if all_nodes:
-            nodes, first, times = np.unique(np.concatenate(all_nodes).view(np.uint64), return_index=True, return_counts=True)
-            n = np.concatenate(all_n)[first]
-            if len(nodes):
-                yield _blocks(nodes, keys, n.astype(np.uint32), times.astype(np.uint32))
-
-    return run
+    def step(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
+        out = [(part, COUNTS, p) for p in blocks.get(COUNTS, [])]
+        tokens, nodes, n = K.unpack_all(blocks.get(TOKENS, []), np.uint64, np.uint64, np.uint32)
+        order = np.argsort(tokens, kind="stable")
+        tokens = tokens[order]
+        twin = np.zeros(len(tokens), bool)
+        same = tokens[1:] == tokens[:-1]
+        twin[1:] |= same
+        twin[:-1] |= same
+        tokens, nodes, n = tokens[twin], nodes[order[twin]], n[order[twin]].astype(np.int64)
+        order = np.lexsort((nodes, n, tokens))
+        tokens, nodes, n = tokens[order], nodes[order], n[order]
+        new = firsts(tokens, nodes)
+        tokens, nodes, n = tokens[new], nodes[new], n[new]
+        fits = np.zeros(len(tokens), bool)
+        close = (tokens[1:] == tokens[:-1]) & (100 * n[:-1] >= percent * n[1:])
+        fits[1:] |= close
+        fits[:-1] |= close
+        node, first, times = np.unique(nodes[fits], return_index=True, return_counts=True)
+        return out + spread(node, keys, COUNTS, n[fits][first].astype(np.uint32), times.astype(np.uint32))
+
+    return step
 
 
 @lru_cache(maxsize=1 << 16)
@@ -220,58 +205,63 @@ def _least_shared(n: int, percent: int) -> int:
 def _enough(percent: int):
     """The nodes whose shared tokens, over all ranges, are as many as with a similar set."""
 
+    def near(payloads: list[bytes]) -> pa.RecordBatch:
+        nodes, n, times = K.unpack_all(payloads, np.uint64, np.uint32, np.uint32)
+        nodes, first, inverse = np.unique(nodes, return_index=True, return_inverse=True)
+        n = n[first].astype(np.int64)
+        size, of = np.unique(n, return_inverse=True)
+        enough = np.bincount(inverse, times, len(nodes)) >= np.array([_least_shared(x, percent) for x in size.tolist()], np.int64)[of]
+        return pa.RecordBatch.from_arrays([pa.array(nodes[enough].view(np.int64))], ["node"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks in _ranges(batches):
-            nodes, n, times = K.unpack_all(blocks, np.uint64, np.uint32, np.uint32)
-            nodes, first, inverse = np.unique(nodes, return_index=True, return_inverse=True)
-            n = n[first].astype(np.int64)
-            size, of = np.unique(n, return_inverse=True)
-            near = np.bincount(inverse, times, len(nodes)) >= np.array([_least_shared(x, percent) for x in size.tolist()], np.int64)[of]
-            if near.any():
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[near].view(np.int64))], ["node"])
+        at, held = None, []
+        for part, _, payload in rows_of(batches):
+            if part != at and held:
+                yield near(held)
+                held = []
+            at = part
+            held.append(payload)
+        if held:
+            yield near(held)
 
     return run
 
 
 def _tokens(k: int, keys: np.ndarray):
+    """The sets of a block of texts, which stay, and how many of them have each token, which asks for the token's frequency."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for table in K.gathered(batches, FLUSH_BYTES):
+        from pyspark import TaskContext
+
+        task, seen = TaskContext.get().partitionId(), set()
+        for number, table in enumerate(K.gathered(batches, FLUSH_BYTES)):
+            block = task << 12 | number
             values, at, signatures = _sets(table, k)
             n = np.diff(at)
-            rows = np.repeat(np.arange(len(n)), n)
-            here = _new(signatures, seen)[rows]
-            values, rows = values[here], rows[here]
-            order = np.argsort(values)
-            rows = rows[order]
-            yield _blocks(values[order], keys, signatures[rows], n[rows].astype(np.uint32))
+            use = _new(signatures, seen) & (n > 0)
+            values, n = values[use[np.repeat(np.arange(len(n)), n)]], n[use]
+            if not len(values):
+                continue
+            sets = packed_sets(signatures[use].view(np.uint64), n, np.zeros(len(n)), 8 * n, values.tobytes())
+            token, times = np.unique(values, return_counts=True)
+            yield batch([(block, BLOCK, sets), *spread(token, keys, -1 - block, times.astype(np.uint32))])
 
     return run
 
 
-def _shared_tokens(keys: np.ndarray):
-    """Back to the nodes: their tokens that others have too, with the number of nodes that have each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for blocks in _ranges(batches):
-            tokens, nodes, n = K.unpack_all(blocks, np.uint64, np.int64, np.uint32)
-            order = np.lexsort((nodes, tokens))
-            tokens, nodes, n = tokens[order], nodes[order], n[order]
-            new = np.ones(len(tokens), bool)
-            new[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
-            tokens, nodes, n = tokens[new], nodes[new], n[new]
-            _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-            df = counts[inverse]
-            many = df > 1
-            held.append([nodes[many].view(np.uint64), tokens[many], df[many].astype(np.uint32), n[many]])
-        if held:
-            nodes, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.argsort(nodes, kind="stable")
-            if len(order):
-                yield _blocks(nodes[order], keys, *(c[order] for c in columns))
-
-    return run
+def _frequencies(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
+    """To each block the frequencies of its tokens that several nodes have. Askers' kinds are negative; sets pass."""
+    out = [(part, BLOCK, p) for p in blocks.get(BLOCK, [])]
+    questions = {-1 - k: v for k, v in blocks.items() if k < 0}
+    if not questions:
+        return out
+    token, times, block = asked(questions, np.uint64, np.uint32)
+    order = np.argsort(token, kind="stable")
+    token, times, block = token[order], times[order], block[order]
+    start = np.flatnonzero(firsts(token))
+    df = np.repeat(np.add.reduceat(times.astype(np.int64), start), np.diff(np.append(start, len(token))))
+    many = df > 1
+    return out + answers(block[many], TIMES, token[many], np.minimum(df[many], 0xFFFFFFFF).astype(np.uint32))
 
 
 def _keys(tokens: np.ndarray, df: np.ndarray, n: int, percent: int) -> np.ndarray:
@@ -291,56 +281,66 @@ def _keys(tokens: np.ndarray, df: np.ndarray, n: int, percent: int) -> np.ndarra
     return np.unique(np.concatenate(keys))
 
 
-def _index(percent: int):
-    """node, n, u, tokens, keys and parity sketch of the nodes that have keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks in _ranges(batches):
-            nodes, tokens, df, n = K.unpack_all(blocks, np.uint64, np.uint64, np.uint32, np.uint32)
-            order = np.lexsort((tokens, df, nodes))
-            nodes, tokens, df, n = nodes[order], tokens[order], df[order], n[order].astype(np.int64)
-            cuts = np.flatnonzero(np.diff(nodes)) + 1
-            found: list[tuple] = []
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(nodes)], strict=True):
-                size = int(n[a])
-                keys = _keys(tokens[a:b], df[a:b], size, percent)
-                if len(keys):
-                    found.append((int(nodes[a : a + 1].view(np.int64)[0]), size, size - (b - a), np.sort(tokens[a:b]), keys.view(np.int64)))
-            for i in range(0, len(found), TOGETHER):
-                node, size, own, sets, keys = zip(*found[i : i + TOGETHER], strict=True)
-                offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-                sketch = K.parity(np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets))), len(sets), PARITY)
-                columns = [pa.array(x, pa.int64()) for x in (node, size, own)] + [pa.array([t.tobytes() for t in sets], pa.binary()), lists]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(PARITY)], ["node", "n", "u", "tokens", "keys", *_PARITY_COLUMNS])
-
-    return run
+def _index(percent: int, keys: np.ndarray):
+    """Sets, postings and labels of the nodes that have keys, at their homes."""
+
+    def step(_: int, blocks: dict[int, list[bytes]]) -> list[Row]:
+        if TIMES not in blocks or BLOCK not in blocks:
+            return []
+        known, times = K.unpack_all(blocks[TIMES], np.uint64, np.uint32)
+        order = np.argsort(known)
+        known, times = known[order], times[order]
+        node, n, _, offsets, data = unpacked_sets(blocks[BLOCK])
+        tokens = np.ascontiguousarray(data).view(np.uint64)
+        at, shared = looked_up(known, tokens)
+        df = times[at]
+        found: list[tuple] = []
+        for i, (a, b) in enumerate(zip((offsets[:-1] // 8).tolist(), (offsets[1:] // 8).tolist(), strict=True)):
+            use = shared[a:b]
+            own, often = tokens[a:b][use], df[a:b][use]
+            order = np.lexsort((own, often))
+            index = _keys(own[order], often[order], int(n[i]), percent)
+            if len(index):
+                found.append((node[i], n[i], n[i] - len(own), own, index))
+        if not found:
+            return []
+        order = np.argsort(np.array([f[0] for f in found], np.uint64))
+        found = [found[i] for i in order.tolist()]
+        node, n, own = (np.array([f[i] for f in found], kind) for i, kind in ((0, np.uint64), (1, np.uint32), (2, np.uint32)))
+        out = spread(node, keys, LABELS, node)
+        for part, s in K.by_part(node, keys):
+            some = found[s]
+            out.append((part, SETS, packed_sets(node[s], n[s], own[s], np.array([8 * len(f[3]) for f in some]), b"".join(f[3].tobytes() for f in some))))
+            count = [len(f[4]) for f in some]
+            spreaded = (np.repeat(x[s], count) for x in (node, n, own, node))
+            out.append((part, POSTINGS, K.pack(np.concatenate([f[4] for f in some]), *spreaded)))
+        return out
+
+    return step
 
 
 def linked(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    keys, per_node = K.even_keys(partitions(spark), 4), K.even_keys(partitions(spark), 1)
+    keys = ranges(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.filter("doc_id IS NOT NULL")
-    block = "part int, payload binary"
     read = materialize(docs.mapInArrow(_sizes(k), "doc_id long, n long, node long, part int, payload binary"))
     sizes = read.filter("part IS NULL").select("doc_id", "n", "node")
     frequent = _frequent(read.filter("part IS NOT NULL").select("part", "payload"), sizes.agg(F.sum("n")).first()[0] or 0)
-    prefixes = known.mapInArrow(_prefixes(k, percent, frequent, keys), block)
-    near = _by_part(_by_part(prefixes).mapInArrow(_sharing(percent, per_node), block)).mapInArrow(_enough(percent), "node long")
+    prefixes = known.mapInArrow(_prefixes(k, percent, frequent, keys), BLOCKS)
+    near = dealt(dealt(prefixes).mapInArrow(each_part(_sharing(percent, keys)), BLOCKS)).mapInArrow(_enough(percent), "node long")
     first = materialize(sizes.filter("doc_id IS NOT NULL").join(near, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     chosen = known.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "doc_id", "left_semi")
-    shared = _by_part(chosen.mapInArrow(_tokens(k, keys), block)).mapInArrow(_shared_tokens(per_node), block)
-    sets = materialize(_by_part(shared).mapInArrow(_index(percent), "node long, n long, u long, tokens binary, keys array<long>, " + ", ".join(f"{c} long" for c in _PARITY_COLUMNS)))
-    edges = connect(sets.select(F.explode("keys").alias("key"), "node", "n", "u", *_PARITY_COLUMNS), sets.select("node", "n", "tokens"), percent)
+    counted = dealt(chosen.mapInArrow(_tokens(k, keys), BLOCKS)).mapInArrow(each_part(_frequencies), BLOCKS)
+    state = materialize(dealt(counted).mapInArrow(each_part(_index(percent, keys)), BLOCKS), "kind")
+    labels = label_rows(connect(state, percent)).distinct()  # rows that repeat a doc_id can give a node twice
     least = sizes.filter("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    if edges is not None:
-        labels = components(edges).join(least, "node")
-        groups = labels.groupBy("component").agg(F.min("least").alias("smallest"))
-        labels = labels.join(groups, "component").select("node", "smallest")
-        least = least.join(labels, "node", "left").select("node", F.coalesce("smallest", "least").alias("least"))
+    linked_ones = labels.join(least, "node")
+    groups = linked_ones.groupBy("component").agg(F.min("least").alias("smallest"))
+    smallest = linked_ones.join(groups, "component").select("node", "smallest")
+    least = least.join(smallest, "node", "left").select("node", F.coalesce("smallest", "least").alias("least"))
     out = sizes.join(least, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share.
+    """A new folder below spark.checkpoint.dir (or the context's checkpoint folder), which all executors share.
 
-    Only where that setting is absent (tests, a single machine) is a local folder made and set.
+    Only where neither is set and the master is local (tests, a single machine) is a local folder made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        set_one = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = set_one.get() if set_one.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridmeter-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/gridmeter-{uuid.uuid4().hex}"
@@ -38,13 +42,32 @@ def ship(spark: SparkSession) -> None:
     context._gridmeter_shipped = True
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder as Parquet and read again: a cut in the lineage that outlives executors."""
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df, written once to the shared folder as Parquet and read again: a cut in the lineage that outlives executors.
+
+    by: a column that gets a folder for each of its values, so that filters on it read no others.
+    """
     spark = df.sparkSession
     path = shared_folder(spark)
     schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
+    out = spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+    out.folders = [path]
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the folders of a materialized table that nothing will read again."""
+    spark = df.sparkSession
+    for folder in getattr(df, "folders", []):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df, written once, with row, a long that tells equal rows apart."""
+    return materialize(df.withColumn("row", F.monotonically_increasing_id()))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -58,29 +81,5 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-#: Rows up to which a job is small, and rows for each of its partitions.
-SMALL_ROWS, SMALL_PART = 2_000_000, 50_000
-
-
-@contextmanager
-def small_job(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within, queries over so few rows run in few partitions and without re-planning, which holds a driver thread for every exchange.
-
-    More rows than SMALL_ROWS change nothing: then plans adapt, and skewed joins are split.
-    """
-    if rows > SMALL_ROWS:
-        yield
-        return
-    n = min(partitions(spark), max(4, rows // SMALL_PART))
-    held = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
-    try:
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
-        spark.conf.set("spark.sql.shuffle.partitions", str(n))
-        yield
-    finally:
-        for k, v in held.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-#: A side of at most so many rows of a few longs (some 64 MB) may be broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 2_000_000
+#: A side of at most so many rows of a few longs (some 16 MB) may be broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 500_000
