@@ -3,9 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
 the next stage's docs. All but the last return the columns of documents.
 
-Defined results: an empty table passes every stage; documents without doc_id are scored and kept, take no
-part in near-duplicate groups, and are mixed like any others; documents without words are clean, stay
-through the filters, and the mix takes none of them, as it takes words; of rows that repeat a doc_id one stays.
+Stages work on rows: a row is told from others by a number of its own, never by its doc_id. Defined results: an
+empty table passes every stage; documents without doc_id are scored and kept, take no part in near-duplicate
+groups, and are mixed like any others; documents without words are clean, stay through the filters, and the
+mix takes none of them, as it takes words; rows that repeat a doc_id are copies where their texts are near
+ones, and documents of their own where they are not. The mix's rows come in the order of its slots.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gridmeter.llm import decontamination, mixing, ngram_join, sharding
 from gridmeter.llm import toxicity as classifier
-from gridmeter.llm.storage import BROADCAST_ROWS, materialize, shared_folder
+from gridmeter.llm.storage import BROADCAST_ROWS, materialize, numbered, partitions, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,14 +35,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that 80 % of their five-word shingles link, the one with the least doc_id."""
-    found = materialize(ngram_join.linked(docs, k=5, percent=80))
-    stay = materialize(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
-    known = docs.select(*COLUMNS).filter("doc_id IS NOT NULL").join(_small(stay), "doc_id")
-    if stay.agg(F.max("rows")).first()[0] not in (None, 1):
-        again = known.filter("rows > 1").dropDuplicates(["doc_id"])
-        known = known.filter("rows = 1").unionByName(again)
-    return known.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    """Of each group of rows that 80 % of their five-word shingles link, the one with the least doc_id."""
+    rows = numbered(docs.select(*COLUMNS))
+    known = rows.filter("doc_id IS NOT NULL")
+    found = materialize(ngram_join.linked(known.select(F.col("row").alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias("row"), "component_id"))
+    several = found.filter("row <> component_id").select("component_id").distinct()
+    members = found.join(several, "component_id").join(known.select("row", "doc_id"), "row")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    lost = materialize(members.join(first, "component_id").filter("row <> first.row").select("row"))
+    return rows.join(_small(lost), "row", "left_anti").select(*COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +53,14 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole time: not at all, once or twice."""
-    taken = mixing.taken(docs).groupBy("doc_id").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("share"))
-    times = materialize(taken.select("doc_id", F.round("share").cast("int").alias("times")).filter("times > 0"))
-    both = docs.select(*COLUMNS).alias("d").join(_small(times).alias("t"), F.expr("d.doc_id <=> t.doc_id"))
-    return both.select("d.*", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).drop("time")
+    """Each row as often as the mix takes it, to the nearest whole time (not at all, once or twice), where its first and last slot have it."""
+    rows = numbered(docs.select(*COLUMNS))
+    mix = mixing.shares(materialize(mixing.sized(rows, "row")))
+    times = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
+    places = mix.select("row", F.slice(F.array("first_slot", "last_slot"), 1, times).alias("slots")).filter(F.size("slots") > 0)
+    places = materialize(places.select("row", F.explode("slots").alias("slot")))
+    both = rows.join(_small(places), "row").repartitionByRange(partitions(spark), "slot", "row").sortWithinPartitions("slot", "row")
+    return both.select(*COLUMNS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

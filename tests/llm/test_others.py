@@ -74,6 +74,34 @@ def test_shards_hold_all_rows_through_versions(spark, make_docs):
     assert sharding.placed(store).filter("shard IS NULL OR tier IS NULL").count() == 0
 
 
+def test_the_second_of_two_committers_starts_over(spark, make_docs, monkeypatch):
+    """The second has looked for the version before the first commits, and publishes after it."""
+    docs = make_docs(["one", "two"])
+    path = shared_folder(spark)
+    first, second = (sharding.ShardStore(spark, path, docs.schema, 1 << 20) for _ in range(2))
+    publish, meanwhile = second._publish, []
+
+    def late(file, target):
+        if not meanwhile:
+            meanwhile.append(first.append(docs.filter("doc_id = 0")))
+        return publish(file, target)
+
+    monkeypatch.setattr(second, "_publish", late)
+    with pytest.raises(sharding.Conflict):
+        second.commit([], second.version())
+    meanwhile.clear()
+    assert second.append(docs.filter("doc_id = 1")) == 3 and meanwhile == [2]
+    assert sorted(r.doc_id for r in first.read().collect()) == [0, 0, 1]
+
+
+def test_runs_are_of_similar_sizes(spark, make_docs):
+    store = sharding.ShardStore(spark, shared_folder(spark), make_docs(["x"]).schema, 128 << 20, 4)
+    size = lambda b: ("f", store.tier(b), b)
+    assert [store.tier(b) for b in (1 << 10, 2 << 20, 8 << 20, 32 << 20, 64 << 20, 1 << 30)] == [0, 1, 2, 3, 4, 4]
+    assert not store.runs([size(1 << 10)] * 3 + [size(60 << 20)] * 3 + [size(70 << 20)] * 9)
+    assert set(store.runs([size(1 << 10)] * 4 + [size(60 << 20)] * 3)) == {0}
+
+
 def test_empty_table_has_a_version(spark, make_docs):
     store = sharding.shard(make_docs(EDGES).limit(0), shared_folder(spark))
     assert store.version() >= 1 and store.read().count() == 0
@@ -153,7 +181,7 @@ def test_mix_meets_targets(make_docs, block):
 
 
 def test_schedule_prefixes_are_mixed(spark):
-    targets = spark.createDataFrame([("a", 60_000, 60_000.0), ("b", 30_000, 30_000.0), ("c", 10_000, 10_000.0)], "source string, source_size long, target double")
+    targets = spark.createDataFrame([(0, "a", 60_000, 60_000.0), (0, "b", 30_000, 30_000.0), (1, "c", 10_000, 10_000.0)], "p int, source string, source_size long, target double")
     slots = [r.source for r in mixing.schedule(targets, 100).orderBy("slot").collect()]
     assert len(slots) == 1000
     for n in (50, 200, 500):
@@ -218,6 +246,18 @@ def test_leaks_on_edges(spark, make_docs):
     assert not decontamination.contaminated(make_docs(EDGES).limit(0), items).collect()
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3, 8])
+def test_leaks_with_null_and_repeated_ids(spark, make_docs, vocabulary, parts):
+    """Items and documents that share an id, or have none, each count; the same rows in any partitioning."""
+    rng = random.Random(31)
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    a, b, c = text(20), text(25), text(30)
+    docs = [(1, text(40), "en", "s"), (1, text(9) + " " + a, "en", "s"), (1, text(9) + " " + a, "en", "s"), (2, b + " " + c, "en", "s"), (None, c, "en", "s"), (None, text(50), "en", "s")]
+    items = spark.createDataFrame([(1, a), (7, text(15)), (7, b), (None, c), (None, None), (7, b)], "item_id long, text string")
+    got = decontamination.contaminated(make_docs(docs).repartition(parts), items.repartition(parts)).collect()
+    assert sorted(((r.doc_id, r.item_id, r.start, r.similarity) for r in got), key=str) == sorted([(1, 1, 9, 1.0), (2, 7, 0, 1.0), (2, None, 25, 1.0), (None, None, 0, 1.0)], key=str)
+
+
 # --- toxicity
 def test_classifier_on_held_out_rows(spark, make_docs, vocabulary):
     rng = random.Random(9)
@@ -241,9 +281,11 @@ def test_classifier_on_held_out_rows(spark, make_docs, vocabulary):
 
 def test_classifier_trains_on_6000_rows(spark, make_docs, monkeypatch):
     seen = []
-    monkeypatch.setattr(toxicity, "train", lambda words, rows, y, lang: seen.append((len(y), len(lang), len(rows) - 1, len(words), int(y.sum()))))
+    monkeypatch.setattr(toxicity, "train", lambda words, rows, y, lang: seen.append((len(y), len(lang), len(rows) - 1, len(words), int(y.sum()))) or toxicity.Model())
     docs = [(i, f"word{i} other", "en", "s") for i in range(8000)]
-    toxicity.fit(make_docs(docs), spark.createDataFrame([(i, i % 2) for i, *_ in docs], "doc_id long, toxic int"))
+    chosen = toxicity.training_rows(make_docs(docs), spark.createDataFrame([(i, i % 2) for i, *_ in docs], "doc_id long, toxic int"))
+    assert chosen.rdd.getNumPartitions() == 1  # the one task that trains
+    list(toxicity._train(iter(chosen.toArrow().to_batches(max_chunksize=700))))
     assert seen == [(6000, 6000, 6000, 12000, 3000)]
 
 
@@ -261,6 +303,57 @@ def test_classifier_knows_every_language():
     assert all(model.languages[b, 0] == model.languages[:, 0].min() for b in alone.tolist() if b not in own)
 
 
+def test_conflicting_labels_teach_nothing(spark, make_docs):
+    docs = make_docs([f"text {i}" for i in range(40)])
+    labels = [(i, t) for i in range(40) for t in ((0, 1) if i % 4 == 0 else (i % 2,))] + [(41, 7), (None, 1)]
+    rows = toxicity.training_rows(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    want = [(f"text {i}", i % 2) for i in range(40) if i % 4 and zlib.crc32(str(i).encode()) % 5]
+    assert [(r.text, r.toxic) for r in rows] == want
+
+
+def test_model_survives_its_bytes():
+    texts = [f"good words {i}" + (" vile" if i % 2 else "") for i in range(80)]
+    words, rows = toxicity.features(pa.chunked_array([pa.array(texts)]))
+    model = toxicity.train(words, rows, np.arange(80) % 2.0, ["en"] * 80)
+    again = toxicity.Model.from_bytes(model.to_bytes())
+    column = pa.chunked_array([pa.array([*texts, "", "w " * 40_000 + "vile", None])])  # longer than what is scored at once
+    assert (model.scores(column) == again.scores(column)).all()
+    assert again.scores(column)[-2] > 0.5 > again.scores(column)[-3]
+
+
+def test_gradients_against_differences():
+    """One step of descent moves every parameter against its numerical gradient."""
+    texts = [f"a{i % 5} b{i % 3} c{i % 7} d" + (" vile stuff" if i % 2 else "") for i in range(32)]
+    words, rows = toxicity.features(pa.chunked_array([pa.array(texts)]))
+    y, rng = np.arange(32) % 2.0, np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(0, 0.3, (3, toxicity.BUCKETS, toxicity.DIM)), rng.normal(0, 0.3, (toxicity.DIM, sum(toxicity.WIDTHS) * toxicity.FILTERS)), rng.normal(0, 0.1, 24), rng.normal(0, 0.5, 24))
+
+    def loss(m):
+        z = m.responses(m.embed(words), rows)
+        top = np.maximum(0, np.array([z[a:b].max(axis=0) for a, b in zip(rows[:-1], rows[1:])]))
+        p = 1 / (1 + np.exp(-(top @ m.weight + m.bias)))
+        return float(np.mean(-y * np.log(p) - (1 - y) * np.log(1 - p)))
+
+    before = {n: getattr(model, n).copy() for n in ("filters", "offset", "weight")}
+    slope = {}
+    for name, at in (("weight", (3,)), ("weight", (17,)), ("offset", (1,)), ("offset", (9,)), ("filters", (2, 0)), ("filters", (5, 20)), ("filters", (0, 40))):
+        array, eps = getattr(model, name), 1e-5
+        array[at] += eps
+        up = loss(model)
+        array[at] -= 2 * eps
+        slope[name, at] = (up - loss(model)) / (2 * eps)
+        array[at] += eps
+    old = toxicity.EPOCHS
+    toxicity.EPOCHS = 1
+    try:
+        toxicity._descend(model, words, rows, y, np.arange(32), np.random.default_rng(2))
+    finally:
+        toxicity.EPOCHS = old
+    for (name, at), g in slope.items():
+        if abs(g) > 1e-3:
+            assert np.sign(getattr(model, name)[at] - before[name][at]) == -np.sign(g), (name, at)
+
+
 def test_classifier_without_labels(spark, make_docs):
     rows = toxicity.scored(make_docs(EDGES), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len(rows) == len(EDGES) and all(r.predicted == 0 for r in rows)

@@ -36,3 +36,31 @@ def test_near_duplicates_one_word_longer(spark, make_docs):
     text = "one two three four five six seven eight nine"
     docs = make_docs([text.rsplit(" ", 1)[0], text, "nothing else here has any of those words at all"])
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2]
+
+
+def test_rows_that_repeat_a_doc_id(spark, make_docs):
+    """An exact copy goes, whatever it shares its id with."""
+    a, z = "one text of quite a few words that stand here", "and another one with nothing at all in common"
+    docs = make_docs([(3, a, "en", "s"), (5, a, "en", "s"), (5, z, "en", "s")])
+    rows = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [(3, a), (5, z)]
+
+
+def test_rows_without_doc_id_keep_their_sources_shares(spark, make_docs):
+    """Sources a and b, weights 3 and 1: 2 times a, and what is left of b."""
+    docs = [(None, f"{s} {i} " + "w " * 18, "en", s) for s, n in (("a", 4), ("b", 40)) for i in range(n)]
+    got = [r.source for r in corpus_pipeline.source_mix(spark, make_docs(docs), "").collect()]
+    assert got.count("a") == 8 and got.count("b") == 58
+
+
+def test_the_mix_comes_in_the_order_of_its_slots(spark, make_docs):
+    docs = [(i, "w " * 1024, "en", "ab"[i % 2]) for i in range(60)]
+    got = [r.source for r in corpus_pipeline.source_mix(spark, make_docs(docs), "").collect()]
+    assert len(got) == 90 and all(abs(got[:n].count("a") / n - got.count("a") / 90) < 0.12 for n in (30, 45, 60))
+
+
+def test_empty_tables_pass_every_stage(spark, make_docs, tmp_path):
+    make_docs(["x"]).limit(0).drop("node", "part").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
