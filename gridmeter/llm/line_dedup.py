@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .linking import LABELS, POSTINGS, SETS, U32, U64, connect, packed_sets, picked_sets, ranges, unpacked_sets
-from .ranges import BLOCKS, Row, answers, asked, batch, dealt, each_part, firsts, looked_up, rows_of, spread
+from .ranges import BLOCKS, Row, answers, asked, asker, batch, dealt, each_part, firsts, looked_up, rows_of, spread
 from .storage import materialize, release, small_batches
 
 FLUSH_BYTES = 2 << 20
@@ -169,13 +169,13 @@ def _band(keys: np.ndarray):
         flat = np.sort(bands.reshape(-1))
         new = np.flatnonzero(firsts(flat))
         times = np.minimum(np.diff(np.append(new, len(flat))), 2).astype(np.uint8)
-        return [(part, BANDED, K.pack(*(np.ascontiguousarray(bands[:, i]) for i in range(BANDS))) + text), *spread(flat[new], keys, part, times)]
+        return [(part, BANDED, K.pack(*(np.ascontiguousarray(bands[:, i]) for i in range(BANDS))) + text), *spread(flat[new], keys, asker(part), times)]
 
     return step
 
 
 def _shared_bands(_: int, blocks: dict[int, list[bytes]]) -> list[Row]:
-    band, times, home = asked({k: v for k, v in blocks.items() if k != BANDED}, U64, np.uint8)
+    band, times, home = asked(blocks, U64, np.uint8)
     order = np.argsort(band, kind="stable")
     band, times, home = band[order], times[order], home[order]
     start = np.flatnonzero(firsts(band))
@@ -222,7 +222,7 @@ def _ask_kept(keys: np.ndarray):
         order = np.lexsort((number, doc, label))
         label, doc, number = label[order], doc[order], number[order]
         new = firsts(label)
-        return spread(label[new], keys, part, doc[new], number[new])
+        return spread(label[new], keys, asker(part), doc[new], number[new])
 
     return step
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .ranges import BLOCKS, Row, answers, asked, batch, dealt, each_block, each_part, firsts, looked_up, rows_of, spread
+from .ranges import BLOCKS, Row, answers, asked, asker, batch, dealt, each_block, each_part, firsts, looked_up, rows_of, spread
 from .storage import materialize, partitions, release
 
 U64, U32 = np.uint64, np.uint32
@@ -45,7 +45,7 @@ def _ask_turn(keys: np.ndarray):
             label, near = label[new], near[new]
         else:
             label = near = np.unique(K.unpack(payload, *(_POSTING if kind == POSTINGS else (U64, U64)))[-1])
-        return spread(label, keys, part, near)
+        return spread(label, keys, asker(part), near)
 
     return step
 
@@ -141,7 +141,7 @@ def _choose(pivots: int, keys: np.ndarray):
     """The pivots of the keys that have several labels, to all homes that asked, and the pivots' sets wanted there."""
 
     def step(_: int, blocks: dict[int, list[bytes]]) -> list[Row]:
-        key, low, high, home = asked({k // 2: v for k, v in blocks.items() if k % 2 == 0}, U64, U64, U64)
+        key, low, high, home = asked({asker(k // 2): v for k, v in blocks.items() if k % 2 == 0}, U64, U64, U64)
         order = np.argsort(key, kind="stable")
         key, low, high, home = key[order], low[order], high[order], home[order]
         start = np.flatnonzero(firsts(key))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .linking import LABELS, POSTINGS, SETS, connect, label_rows, packed_sets, ranges, unpacked_sets
-from .ranges import BLOCKS, Row, answers, asked, batch, dealt, each_part, firsts, looked_up, rows_of, spread
+from .ranges import BLOCKS, Row, answers, asked, asker, batch, dealt, each_part, firsts, looked_up, rows_of, spread
 from .storage import BROADCAST_ROWS, materialize, partitions, small_batches
 
 FLUSH_BYTES = 3 << 20
@@ -244,18 +244,17 @@ def _tokens(k: int, keys: np.ndarray):
                 continue
             sets = packed_sets(signatures[use].view(np.uint64), n, np.zeros(len(n)), 8 * n, values.tobytes())
             token, times = np.unique(values, return_counts=True)
-            yield batch([(block, BLOCK, sets), *spread(token, keys, -1 - block, times.astype(np.uint32))])
+            yield batch([(block, BLOCK, sets), *spread(token, keys, asker(block), times.astype(np.uint32))])
 
     return run
 
 
 def _frequencies(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
-    """To each block the frequencies of its tokens that several nodes have. Askers' kinds are negative; sets pass."""
+    """To each block the frequencies of its tokens that several nodes have. Sets pass."""
     out = [(part, BLOCK, p) for p in blocks.get(BLOCK, [])]
-    questions = {-1 - k: v for k, v in blocks.items() if k < 0}
-    if not questions:
+    token, times, block = asked(blocks, np.uint64, np.uint32)
+    if not len(token):
         return out
-    token, times, block = asked(questions, np.uint64, np.uint32)
     order = np.argsort(token, kind="stable")
     token, times, block = token[order], times[order], block[order]
     start = np.flatnonzero(firsts(token))

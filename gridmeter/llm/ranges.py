@@ -73,11 +73,17 @@ def spread(values: np.ndarray, keys: np.ndarray, kind: int, *columns: np.ndarray
     return [(part, kind, K.pack(values[s], *(c[s] for c in columns))) for part, s in K.by_part(values, keys)]
 
 
+def asker(block: int) -> int:
+    """The kind of a block's questions, below all other kinds."""
+    return -1 - block
+
+
 def asked(blocks: dict[int, list[bytes]], *kinds: type) -> list[np.ndarray]:
-    """The rows of all asking blocks, whose number is their kind, and as the last column that number."""
-    got = [K.unpack_all(payloads, *kinds) for payloads in blocks.values()]
-    columns = [np.concatenate([g[i] for g in got]) for i in range(len(kinds))]
-    return [*columns, np.repeat(np.fromiter(blocks, np.int32, len(blocks)), [len(g[0]) for g in got])]
+    """The rows of all questions, and as the last column the block that asked."""
+    questions = {-1 - k: payloads for k, payloads in blocks.items() if k < 0}
+    got = [K.unpack_all(payloads, *kinds) for payloads in questions.values()]
+    columns = [np.concatenate([g[i] for g in got]) if got else np.zeros(0, kind) for i, kind in enumerate(kinds)]
+    return [*columns, np.repeat(np.fromiter(questions, np.int32, len(questions)), [len(g[0]) for g in got])]
 
 
 def answers(to: np.ndarray, kind: int, *columns: np.ndarray) -> list[Row]:
