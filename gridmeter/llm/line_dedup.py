@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .linking import LABELS, POSTINGS, SETS, U32, U64, connect, packed_sets, picked_sets, ranges, unpacked_sets
+from .linking import LABELS, POSTINGS, SETS, U32, U64, connect, packed_sets, ranges
 from .ranges import BLOCKS, Row, answers, asked, asker, batch, dealt, each_part, firsts, looked_up, rows_of, spread
 from .storage import materialize, release, small_batches
 
@@ -138,69 +138,89 @@ def _read_lines(keys: np.ndarray):
             raw = data.tobytes()
             for part, s in K.by_part(node, keys):
                 at = order[s]
-                nothing = np.zeros(len(at), U32)
-                out.append((part, TEXTS, packed_sets(node[s], nothing, nothing, (ends - starts)[at], b"".join(raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)))))
+                out.append((part, TEXTS, _packed_texts(node[s], (ends - starts)[at], b"".join(raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)))))
             yield batch(out)
 
     return run
 
 
-def _distinct(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines once each: node, start and end, ascending, and the bytes."""
-    node, _, _, offsets, data = unpacked_sets(payloads)
+def _packed_texts(node: np.ndarray, size: np.ndarray, raw: bytes) -> bytes:
+    return K.pack(node, size.astype(np.int64)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _texts(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines once each: node, start and end, ascending, and all bytes."""
+    heads = [K.unpack(p, U64, np.int64) for p in payloads]
+    node, size = (np.concatenate([h[i] for h in heads]) if heads else np.zeros(0, kind) for i, kind in enumerate((U64, np.int64)))
+    data = b"".join(pa.decompress(p[8 + 16 * len(n) :], int(s.sum()), codec="zstd", asbytes=True) for p, (n, s) in zip(payloads, heads, strict=True))
+    ends = np.cumsum(size)
     first = np.sort(np.unique(node, return_index=True)[1])
-    return node[first], offsets[:-1][first], offsets[1:][first], data
+    return node[first], (ends - size)[first], ends[first], np.frombuffer(data, np.uint8)
+
+
+def _short(bands: np.ndarray) -> np.ndarray:
+    """32 bits of a band, below those that make its range; enough to ask whether any other line may share it."""
+    return ((bands << U64(8)) >> U64(32)).astype(U32)
 
 
 def _band(keys: np.ndarray):
-    """Each line's sets and bands, which stay; its bands also ask how many lines share them."""
+    """Each line's bands, which stay and ask whether other lines share them."""
 
     def step(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
-        node, starts, ends, data = _distinct(blocks[TEXTS])
-        sizes, bands = np.empty(len(node), np.int64), np.empty((len(node), BANDS), U64)
-        for i in range(0, len(node), 4096):
-            s = slice(i, i + 4096)
-            grams, at = _grams(data, starts[s], ends[s])
-            bands[s] = _bands(grams, at)
-            rows = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(grams))))
-            sizes[s] = np.diff(K.distinct_by_row(grams, rows, len(at))[1])
-        raw = data.tobytes()
-        text = packed_sets(node, sizes, np.zeros(len(node), U32), ends - starts, b"".join(raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)))
+        node, starts, ends, data = _texts(blocks[TEXTS])
+        bands = np.empty((len(node), BANDS), U64)
+        for i in range(0, len(node), 1024):
+            low, high = int(starts[i]), int(ends[i : i + 1024][-1])
+            bands[i : i + 1024] = _bands(*_grams(data[low:high], starts[i : i + 1024] - low, ends[i : i + 1024] - low))
         flat = np.sort(bands.reshape(-1))
         new = np.flatnonzero(firsts(flat))
         times = np.minimum(np.diff(np.append(new, len(flat))), 2).astype(np.uint8)
-        return [(part, BANDED, K.pack(*(np.ascontiguousarray(bands[:, i]) for i in range(BANDS))) + text), *spread(flat[new], keys, asker(part), times)]
+        flat = flat[new]
+        out = [(place, asker(part), K.pack(_short(flat[s]), times[s])) for place, s in K.by_part(flat, keys)]
+        return [*out, (part, BANDED, K.pack(node, *(np.ascontiguousarray(bands[:, i]) for i in range(BANDS))))]
 
     return step
 
 
-def _shared_bands(_: int, blocks: dict[int, list[bytes]]) -> list[Row]:
-    band, times, home = asked(blocks, U64, np.uint8)
+def _shared_bands(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
+    """To each home those of its bands that other lines share. Lines pass."""
+    out = [(part, BANDED, p) for p in blocks.get(BANDED, [])]
+    band, times, home = asked(blocks, U32, np.uint8)
     order = np.argsort(band, kind="stable")
     band, times, home = band[order], times[order], home[order]
     start = np.flatnonzero(firsts(band))
     if not len(start):
-        return []
+        return out
     several = np.repeat(np.add.reduceat(times.astype(np.int64), start) > 1, np.diff(np.append(start, len(band))))
-    return answers(home[several], SHARED, band[several])
+    return out + answers(home[several], SHARED, band[several])
 
 
 def _prepare(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
     """What linking needs of the lines that share a band."""
-    shared = np.unique(K.unpack_all(blocks.get(SHARED, []), U64)[0])
+    shared = np.unique(K.unpack_all(blocks.get(SHARED, []), U32)[0])
+    if not len(shared):
+        return []
+    its, *bands = K.unpack_all(blocks[BANDED], *[U64] * (1 + BANDS))
+    bands = np.stack(bands, axis=1)
+    there = looked_up(shared, _short(bands).reshape(-1))[1].reshape(bands.shape)
+    node, starts, ends, data = _texts(blocks[TEXTS])
+    order = np.argsort(its)
+    place = order[np.searchsorted(its[order], node)]
+    bands, there = bands[place], there[place]
+    some = np.flatnonzero(there.any(axis=1))
     out: list[Row] = []
-    for payload in blocks.get(BANDED, []):
-        bands = np.stack(K.unpack(payload, *[U64] * BANDS), axis=1)
-        node, n, own, offsets, data = unpacked_sets([payload[8 + 8 * BANDS * len(bands) :]])
-        there = looked_up(shared, bands.reshape(-1))[1].reshape(bands.shape)
-        row, column = np.nonzero(there)
-        if not len(row):
-            continue
-        some = np.unique(row)
+    raw = data.tobytes()
+    for i in range(0, len(some), 4096):
+        at = some[i : i + 4096]
+        texts = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        offsets = np.concatenate([[0], np.cumsum(ends[at] - starts[at])])
+        n = np.diff(line_sets(np.frombuffer(b"".join(texts), np.uint8), offsets)[1])
+        row, column = np.nonzero(there[at])
+        none = np.zeros(len(at), U32)
         out += [
-            (part, SETS, picked_sets(some, node, n, own, offsets, data)),
-            (part, LABELS, K.pack(node[some], node[some])),
-            (part, POSTINGS, K.pack(bands[row, column], node[row], n[row], own[row], node[row])),
+            (part, SETS, packed_sets(node[at], n, none, np.diff(offsets), b"".join(texts))),
+            (part, LABELS, K.pack(node[at], node[at])),
+            (part, POSTINGS, K.pack(bands[at][row, column], node[at][row], n[row].astype(U32), none[row], node[at][row])),
         ]
     return out
 
@@ -300,11 +320,11 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     read = materialize(docs.mapInArrow(_read_lines(keys), BLOCKS), "kind")
     only = lambda df, *kinds: df.filter(F.col("kind").isin(*kinds))
-    banded = materialize(dealt(only(read, TEXTS)).mapInArrow(each_part(_band(keys)), BLOCKS).withColumn("stays", F.when(F.col("kind") == BANDED, 1).otherwise(0)), "stays")
-    questions = banded.filter("stays = 0").select("part", "kind", "payload")
-    shared = dealt(questions).mapInArrow(each_part(_shared_bands), BLOCKS)
-    prepared = materialize(dealt(banded.filter("stays = 1"), shared).mapInArrow(each_part(_prepare), BLOCKS), "kind")
-    release(banded)
+    texts = only(read, TEXTS)
+    banded = dealt(texts).mapInArrow(each_part(_band(keys)), BLOCKS)
+    shared = dealt(banded).mapInArrow(each_part(_shared_bands), BLOCKS)
+    prepared = materialize(dealt(texts, shared).mapInArrow(each_part(_prepare), BLOCKS), "kind")
+    release(read, f"kind={TEXTS}")
     labels = connect(prepared, percent, line_sets)
     first = only(read, FIRSTS)
     kept = dealt(dealt(first, labels).mapInArrow(each_part(_ask_kept(keys)), BLOCKS)).mapInArrow(each_part(_answer_kept), BLOCKS)

@@ -57,11 +57,11 @@ def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Deletes the folders of a materialized table that nothing will read again."""
+def release(df: DataFrame, part: str = "") -> None:
+    """Deletes the folders of a materialized table, or one part of them, that nothing will read again."""
     spark = df.sparkSession
     for folder in getattr(df, "folders", []):
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}" if part else folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
