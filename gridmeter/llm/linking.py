@@ -23,8 +23,8 @@ U64, U32 = np.uint64, np.uint32
 #: what a label becomes (from, to); pivots of keys (like postings); wanted sets (node, home); lent sets (like sets).
 EDGES, LABELS, POSTINGS, SETS, TURNS, PIVOTS, WANTED, LENT = range(8)
 _POSTING = (U64, U64, U32, U32, U64)
-#: Ranges for each shuffle partition, words of a parity sketch, pairs compared at once, and by how much the pivots of a bucket grow from round to round.
-RANGES, SKETCH, PAIRS, GROWTH = 4, 12, 1 << 18, 4
+#: Ranges for each shuffle partition, words of a parity sketch, pairs compared at once, a bucket's pivots in the first round, and by how much they grow from round to round.
+RANGES, SKETCH, PAIRS, FIRST, GROWTH = 1, 12, 1 << 18, 4, 8
 
 
 def ranges(spark: SparkSession) -> np.ndarray:
@@ -293,11 +293,11 @@ def connect(state: DataFrame, percent: int, read: Read = packed_tokens) -> DataF
     In each round the homes propose, for every bucket (the nodes of a key) that holds several labels, nodes
     of its rarest labels; of these some become pivots, and every other node of the bucket is compared with
     them, at home, by sets that the pivots' homes lend. A pivot then leaves the bucket; buckets with one
-    label are done: a group of copies costs a comparison for each copy. The pivots of a bucket grow fourfold
+    label are done: a group of copies costs a comparison for each copy. The pivots of a bucket grow eightfold
     from round to round, so what is not similar at all is compared within a logarithm of rounds. There is no
     last round: it ends when no bucket holds several labels.
     """
-    keys, pivots = ranges(state.sparkSession), 1
+    keys, pivots = ranges(state.sparkSession), FIRST
     while True:
         only = lambda *kinds: state.filter(F.col("kind").isin(*kinds))  # noqa: B023, E731
         proposed = only(POSTINGS).mapInArrow(each_block(_propose(pivots, keys)), BLOCKS)
