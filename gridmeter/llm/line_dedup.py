@@ -14,7 +14,7 @@ pair by pair, and the homes tell the blocks which occurrence stays.
 
 Defined results: blank lines are never removed; null or empty text has 0 lines; a row without doc_id
 neither removes nor loses lines; rows that repeat a doc_id count as one document. Other columns are
-ignored. Lines are told apart by 64-bit hashes of a polynomial modulo a Mersenne prime (see kernels).
+ignored. Lines are told apart by 64-bit hashes (see kernels).
 """
 
 from __future__ import annotations
@@ -325,7 +325,7 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = dealt(banded).mapInArrow(each_part(_shared_bands), BLOCKS)
     prepared = materialize(dealt(texts, shared).mapInArrow(each_part(_prepare), BLOCKS), "kind")
     release(read, f"kind={TEXTS}")
-    labels = connect(prepared, percent, line_sets)
+    labels = connect(prepared, percent, keys, line_sets)
     first = only(read, FIRSTS)
     kept = dealt(dealt(first, labels).mapInArrow(each_part(_ask_kept(keys)), BLOCKS)).mapInArrow(each_part(_answer_kept), BLOCKS)
     told = dealt(first, labels, kept).mapInArrow(each_part(_tell), BLOCKS)

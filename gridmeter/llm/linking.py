@@ -23,12 +23,14 @@ U64, U32 = np.uint64, np.uint32
 #: what a label becomes (from, to); pivots of keys (like postings); wanted sets (node, home); lent sets (like sets).
 EDGES, LABELS, POSTINGS, SETS, TURNS, PIVOTS, WANTED, LENT = range(8)
 _POSTING = (U64, U64, U32, U32, U64)
-#: Ranges for each shuffle partition, words of a parity sketch, pairs compared at once, a bucket's pivots in the first round, and by how much they grow from round to round.
-RANGES, SKETCH, PAIRS, FIRST, GROWTH = 1, 12, 1 << 18, 4, 8
+#: Sets of a home, where there are few, words of a parity sketch, pairs compared at once, a bucket's pivots in the first round, and by how much they grow from round to round.
+HOME, SKETCH, PAIRS, FIRST, GROWTH = 1000, 12, 1 << 18, 4, 8
 
 
-def ranges(spark: SparkSession) -> np.ndarray:
-    return K.even_keys(partitions(spark), RANGES)
+def ranges(spark: SparkSession, rows: int | None = None) -> np.ndarray:
+    """The ranges of hashes that one step deals rows to: one for each partition, or fewer, with HOME rows on average."""
+    n = partitions(spark)
+    return K.even_keys(n if rows is None else max(1, min(n, -(-rows // HOME))), 1)
 
 
 # --- union-find
@@ -85,16 +87,16 @@ def _turn(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
     return out
 
 
-def _unite(state: DataFrame) -> DataFrame:
+def _unite(state: DataFrame, keys: np.ndarray) -> DataFrame:
     """state (edges between labels, labels of nodes, postings) with all edges contracted.
 
     A label that has a smaller neighbour becomes the smallest of them. As labels are hashes, chains of ever
     smaller labels are short, and the rounds are about the logarithm of the largest component's size.
     """
-    keys = ranges(state.sparkSession)
+    n = len(keys)
     while not state.filter(F.col("kind") == EDGES).isEmpty():
-        turns = dealt(state.mapInArrow(each_block(_ask_turn(keys)), BLOCKS)).mapInArrow(each_part(_answer_turn), BLOCKS)
-        new = materialize(dealt(state, turns).mapInArrow(each_part(_turn), BLOCKS), "kind")
+        turns = dealt(state.mapInArrow(each_block(_ask_turn(keys)), BLOCKS), n=n).mapInArrow(each_part(_answer_turn), BLOCKS)
+        new = materialize(dealt(state, turns, n=n).mapInArrow(each_part(_turn), BLOCKS), "kind")
         release(state)
         state = new
     return state
@@ -286,10 +288,10 @@ def _compare(percent: int, read: Read):
     return step
 
 
-def connect(state: DataFrame, percent: int, read: Read = packed_tokens) -> DataFrame:
+def connect(state: DataFrame, percent: int, keys: np.ndarray, read: Read = packed_tokens) -> DataFrame:
     """Blocks of labels (node, label): nodes that any chain of similar pairs links have one label.
 
-    state: blocks at their nodes' homes of sets, postings (similar nodes share a key) and labels (each node's is itself).
+    state: blocks at their nodes' homes (the ranges keys) of sets, postings (similar nodes share a key) and labels (each node's is itself).
     In each round the homes propose, for every bucket (the nodes of a key) that holds several labels, nodes
     of its rarest labels; of these some become pivots, and every other node of the bucket is compared with
     them, at home, by sets that the pivots' homes lend. A pivot then leaves the bucket; buckets with one
@@ -297,18 +299,18 @@ def connect(state: DataFrame, percent: int, read: Read = packed_tokens) -> DataF
     from round to round, so what is not similar at all is compared within a logarithm of rounds. There is no
     last round: it ends when no bucket holds several labels.
     """
-    keys, pivots = ranges(state.sparkSession), FIRST
+    n, pivots = len(keys), FIRST
     while True:
         only = lambda *kinds: state.filter(F.col("kind").isin(*kinds))  # noqa: B023, E731
         proposed = only(POSTINGS).mapInArrow(each_block(_propose(pivots, keys)), BLOCKS)
-        chosen = materialize(dealt(proposed).mapInArrow(each_part(_choose(pivots, keys)), BLOCKS), "kind")
+        chosen = materialize(dealt(proposed, n=n).mapInArrow(each_part(_choose(pivots, keys)), BLOCKS), "kind")
         if chosen.isEmpty():
             return only(LABELS)
-        lent = dealt(only(SETS), chosen.filter(F.col("kind") == WANTED)).mapInArrow(each_part(_lend), BLOCKS)
-        compared = materialize(dealt(only(SETS, POSTINGS, LABELS), chosen.filter(F.col("kind") == PIVOTS), lent).mapInArrow(each_part(_compare(percent, read)), BLOCKS), "kind")
+        lent = dealt(only(SETS), chosen.filter(F.col("kind") == WANTED), n=n).mapInArrow(each_part(_lend), BLOCKS)
+        compared = materialize(dealt(only(SETS, POSTINGS, LABELS), chosen.filter(F.col("kind") == PIVOTS), lent, n=n).mapInArrow(each_part(_compare(percent, read)), BLOCKS), "kind")
         release(chosen)
         release(state)
-        united = _unite(compared.filter(F.col("kind") != SETS))
+        united = _unite(compared.filter(F.col("kind") != SETS), keys)
         sets = compared.filter(F.col("kind") == SETS)
         state = united.unionByName(sets)
         state.folders = [*getattr(united, "folders", []), *getattr(compared, "folders", [])]
@@ -340,7 +342,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     state = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(pack, BLOCKS), "kind")
     state = materialize(dealt(state).mapInArrow(each_part(_once), BLOCKS), "kind")
-    rows = label_rows(_unite(state))
+    rows = label_rows(_unite(state, keys))
     found = rows.mapInArrow(_unmixed, "node long, component long")
     least = found.groupBy("component").agg(F.min("node").alias("least"))
     return found.join(least, "component").select("node", F.col("least").alias("component"))

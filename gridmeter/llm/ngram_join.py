@@ -331,10 +331,12 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     prefixes = known.mapInArrow(_prefixes(k, percent, frequent, keys), BLOCKS)
     near = dealt(dealt(prefixes).mapInArrow(each_part(_sharing(percent, keys)), BLOCKS)).mapInArrow(_enough(percent), "node long")
     first = materialize(sizes.filter("doc_id IS NOT NULL").join(near, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
-    chosen = known.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "doc_id", "left_semi")
+    nodes = first.count()
+    homes = ranges(spark, nodes)
+    chosen = known.join(F.broadcast(first) if nodes <= BROADCAST_ROWS else first, "doc_id", "left_semi")
     counted = dealt(chosen.mapInArrow(_tokens(k, keys), BLOCKS)).mapInArrow(each_part(_frequencies), BLOCKS)
-    state = materialize(dealt(counted).mapInArrow(each_part(_index(percent, keys)), BLOCKS), "kind")
-    labels = label_rows(connect(state, percent)).distinct()  # rows that repeat a doc_id can give a node twice
+    state = materialize(dealt(counted).mapInArrow(each_part(_index(percent, homes)), BLOCKS), "kind")
+    labels = label_rows(connect(state, percent, homes)).distinct()  # rows that repeat a doc_id can give a node twice
     least = sizes.filter("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     linked_ones = labels.join(least, "node")
     groups = linked_ones.groupBy("component").agg(F.min("least").alias("smallest"))

@@ -27,12 +27,12 @@ def batch(rows: list[Row]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], ["part", "kind", "payload"])
 
 
-def dealt(*tables: DataFrame) -> DataFrame:
-    """All blocks, each part's together."""
+def dealt(*tables: DataFrame, n: int | None = None) -> DataFrame:
+    """All blocks, each part's together, in n partitions."""
     union = tables[0].select("part", "kind", "payload")
     for t in tables[1:]:
         union = union.unionByName(t.select("part", "kind", "payload"))
-    return union.repartition(partitions(union.sparkSession), "part").sortWithinPartitions("part")
+    return union.repartition(n or partitions(union.sparkSession), "part").sortWithinPartitions("part")
 
 
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[Row]:
