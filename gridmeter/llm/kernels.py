@@ -1,12 +1,13 @@
 """Vectorised text kernels over Arrow buffers: words, spans, polynomial hashes, packed blocks.
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. All hashes are 64 bits wide and
-computed modulo 2**64 with odd multipliers over randomised byte values, then mixed.
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. All hashes are 64 bits wide,
+polynomials modulo 2**64 with odd multipliers over randomised byte values, then mixed; long spans have BLAKE2.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,7 +17,11 @@ U = np.uint64
 _libc = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
+_OTHER = U(0xD1342543DE82EF95)
+_OTHER_INVERSE = U(pow(int(_OTHER), -1, 1 << 64))
 _CHUNK = 1 << 18
+#: Bytes from which a span is hashed by BLAKE2: polynomials modulo 2**64 have known collisions among long strings.
+LONG_SPAN = 256
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -99,6 +104,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
         back = powers(high - low + 1, _INVERSE)
         out[i:j] = mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
         i = j
+    for i in np.flatnonzero(ends - starts >= LONG_SPAN).tolist():
+        raw = data[starts[i] : ends[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(raw.lower() if table is FOLDED else raw, digest_size=8).digest(), "little")
     return out
 
 
@@ -116,6 +124,16 @@ def windows(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray
     return mix((sums[at + k] - sums[at]) * powers(len(hashes) + 1, _INVERSE)[at]), row, start
 
 
+def checks(hashes: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
+    """32 bits of a second hash, of another base and other word values, of every window that windows() gives."""
+    n = np.maximum(np.diff(offsets) - k + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    at = offsets[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes ^ _BASE) * powers(len(hashes), _OTHER), out=sums[1:])
+    return (mix((sums[at + k] - sums[at]) * powers(len(hashes) + 1, _OTHER_INVERSE)[at]) >> U(32)).astype(np.uint32)
+
+
 def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """k-word shingles of every row, with repeats; a shorter row has its whole sequence as one. Row of each, ascending."""
     found, row, _ = windows(hashes, offsets, k)
