@@ -43,23 +43,33 @@ LEAST, DISCOUNT, MIN_PAGES = 0.2, 0.9, 5
 BROADCAST_PATHS, SALTS = 200_000, 64
 #: HTML's elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas object select".split())
+INLINE = frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder semantics a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 NOISE_TAGS = frozenset("nav footer aside form button head dialog menu".split())
 MAIN_TAGS = frozenset(("article", "main"))
 #: A new one of these ends an open one (and what is open in it), up to the nearest of the second set.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body div article main section nav aside header footer ul ol dl table td th blockquote form".split())
 BLOCKS_END_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: Words of classes, ids and roles that mark a branch as no part of the article.
+#: Words of classes, ids and roles that mark a branch as no part of the article, wherever they stand in a name ...
 NOISE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
-    "footer sidebar aside widget widgets related recommended cookie cookies consent notice notices notification alert gdpr popup modal overlay newsletter subscribe "
-    "subscription signup login share sharing social comment comments commentlist disqus reply replies respond toolbar pagination pager masthead topbar search hidden "
-    "contentinfo complementary dialog form skip".split()
+    "ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs footer sidebar "
+    "cookie cookies consent gdpr newsletter subscription signup comments commentlist disqus pagination pager masthead topbar contentinfo complementary".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.DOTALL)
-_NAMES = re.compile(r"\b(class|id|role|href|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+#: ... and only where the name has nothing but such words and words for parts of a page.
+NOISE_PARTS = frozenset(
+    "promo promotion aside widget widgets related recommended notice notices notification alert popup modal overlay subscribe login share sharing social comment "
+    "reply replies respond toolbar search hidden dialog form skip".split()
+)
+PART_WORDS = frozenset("area articles bar block bottom box button buttons container content header icons inner item items left link links list main panel posts right row section site stories title top wrap wrapper".split())
+#: An article element with one of these is no main part of its page.
+TEASERS = frozenset("teaser card preview promo related recommended summary".split())
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=\s*+[^\s>\"']*+|[\"'])*+)(>|\Z)",
+    re.DOTALL,
+)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -84,7 +94,20 @@ class Block:
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _NAMES.finditer(raw)} if raw.strip() else {}
+    """The attributes of a tag; of several of one name the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or (m[4] or "").strip("\"'")))
+    return out
+
+
+def _noise(names: list[str]) -> bool:
+    """Whether one of the names marks a branch as no part of the article."""
+    for name in names:
+        parts = _WORD.findall(name)
+        if any(p in NOISE_NAMES for p in parts) or any(p in NOISE_PARTS for p in parts) and all(p in NOISE_PARTS or p in PART_WORDS for p in parts):
+            return True
+    return False
 
 
 def parse(source: str) -> tuple[list[Block], dict[str, list[str]], bool]:
@@ -157,11 +180,12 @@ def parse(source: str) -> tuple[list[Block], dict[str, list[str]], bool]:
                 elif stack[i].tag in SCOPES and stack[i].tag not in shut:
                     break
         a = _attributes(m[3])
-        names = set(_WORD.findall(f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".lower()))
+        names = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".lower().split()
         parent = stack[-1]
-        main = parent.main or tag in MAIN_TAGS or a.get("role", "").lower() in ("main", "article")
+        own_main = tag in MAIN_TAGS or a.get("role", "").lower() in ("main", "article")
+        main = parent.main or own_main and not (tag == "article" and any(w in TEASERS for n in names for w in _WORD.findall(n)))
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
-        noise = parent.noise or tag in NOISE_TAGS or hidden or bool(names & NOISE_NAMES) and tag not in ("html", "body", *MAIN_TAGS) or tag == "header" and not parent.main
+        noise = parent.noise or tag in NOISE_TAGS or hidden or _noise(names) and tag not in ("html", "body", *MAIN_TAGS) or tag == "header" and not parent.main
         label = f"{tag}.{'.'.join(sorted(_DIGITS.sub('0', a.get('class', '') + ' ' + a.get('id', '')).split()))}" if names else tag
         parent.children.append(label)
         node = Node(tag, f"{parent.path}/{label}", noise, main and not noise)
