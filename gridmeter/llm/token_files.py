@@ -12,7 +12,8 @@ u8 width, u16 exceptions, packed bits, u16 exception positions, u32 exception hi
 Container: Parquet rows (part, seq, n_ids, payload), so that any store Spark writes to can hold it.
 
 Defined results: null text is empty and holds the end id only; rows without doc_id come first; rows
-that repeat a doc_id stand in the order of their texts. Other columns are ignored.
+that repeat a doc_id stand in the order of their texts' hashes, so that one id may hold most rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -204,17 +205,45 @@ class WordEncoder:
         return out, np.diff(total[edges])
 
 
-_encoders: dict[tuple[str, int], WordEncoder] = {}
+class TextEncoder:
+    """Encodes whole texts, for vocabularies to which white space matters."""
+
+    def __init__(self, path: str, end_id: int):
+        self.tokenizer, self.end_id = _tokenizer(path), end_id
+
+    def encode(self, column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+        lengths = np.fromiter((len(ids) + 1 for ids in found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in (*ids, self.end_id)), np.uint32, int(lengths.sum())), lengths
+
+
+def drops_space(path: str) -> bool:
+    """Whether a vocabulary's pre-tokenizer cuts at white space and leaves none, not even a mark for it, in what it cuts."""
+    cutter = _tokenizer(path).pre_tokenizer
+    if cutter is None:
+        return False
+    words = ["one", "Two", "x1", "drei"]
+    bare = [w for word in words for w, _ in cutter.pre_tokenize_str(word)]
+    return all([w for w, _ in cutter.pre_tokenize_str(text)] == bare for space in (" ", "  ", "\t", "\n", "\x0b", "\f", "\r", " \n ") for text in (space.join(words), space + space.join(words) + space))
+
+
+def encoder(path: str, end_id: int) -> WordEncoder | TextEncoder:
+    return (WordEncoder if drops_space(path) else TextEncoder)(path, end_id)
+
+
+_encoders: dict[tuple[str, int], WordEncoder | TextEncoder] = {}
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = _encoders.setdefault((path, end_id), WordEncoder(path, end_id))
+        if (path, end_id) not in _encoders:
+            _encoders[path, end_id] = encoder(path, end_id)
+        own = _encoders[path, end_id]
         part, seq = TaskContext.get().partitionId(), 0
         for table in K.gathered(batches, FLUSH_BYTES):
-            ids, lengths = encoder.encode(table["text"])
+            ids, lengths = own.encode(table["text"])
             doc_ids = table["doc_id"].fill_null(-(1 << 63)).to_numpy()
             ends = np.cumsum(lengths)
             a = 0
@@ -232,7 +261,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1) -> None:
     """Files of the ids of every row of docs (doc_id, text), in ascending doc_id order, under path."""
     small_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     rows.mapInArrow(_encode(vocabulary, end_id), _FILES).write.option("compression", "none").parquet(path)
 
 
