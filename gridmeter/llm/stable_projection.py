@@ -24,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize, small_batches
@@ -138,6 +138,13 @@ class Block:
         return best, scores
 
 
+def _tame(v: str) -> Column:
+    """A vector whose squares neither overflow nor vanish: extreme ones are scaled by a power of two, which is exact and leaves cosines alone."""
+    most = F.array_max(F.transform(v, F.abs))
+    scale = F.pow(F.lit(2.0), -F.floor(F.log2(most)))
+    return F.when(most.between(1e-100, 1e100), F.col(v)).otherwise(F.transform(v, lambda x: x * scale))
+
+
 def _vectors(rows: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
     """id, v (doubles, all finite, not all zero, of the commonest length) and that length."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -213,7 +220,7 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     visits = queries.join(bound, "q", "left").withColumn("far", F.coalesce("far", F.lit(8.0))).select("q", "v", "cell", "far").mapInArrow(others, "q long, v array<double>, cell int, far double")
     all_found = near.unionByName(meet(visits)).select("q", "vid")
     # exact scores on the original vectors, answers for every query row, ties to the smaller id
-    v, a = found.select(F.col("id").alias("vid"), F.col("v").alias("w")), queries.select("q", F.col("v").alias("a"))
+    v, a = found.select(F.col("id").alias("vid"), _tame("v").alias("w")), queries.select("q", _tame("v").alias("a"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: i * j), F.lit(0.0), lambda s, i: s + i)
     pairs = all_found.distinct().join(v, "vid").join(a, "q").select("q", "vid", (dot("a", "w") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("w", "w")))).alias("score"))
     top = pairs.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("r") <= k + 1).drop("r")

@@ -32,6 +32,29 @@ def test_broken_markup_does_not_crash(page):
     assert isinstance(site_style.main_text(page), str)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<p title="some hidden gem">Article sentence.</p>', "Article sentence."),
+        ('<p>See <a title="the hidden history">the book</a> now</p>', "See the book now"),
+        ('<p data-id="ad">Kept</p><p data-hidden=1>too</p>', "Kept too"),
+        ("<article><p data-x=it's>One</p><p>Two</p></article>", "One Two"),
+        ('<p>One</p><p class="x>Two</p>', "One Two"),
+        ("<article class=teaser><p>Read on</p></article><div><p>The story itself.</p></div>", "Read on The story itself."),
+        ('<div class="share-price"><p>12 euros</p></div><p class=search-term>word</p><div class="form-group">x</div>', "12 euros word x"),
+        ('<p>Keep</p><div class="share-buttons">a</div><div class="search-form">b</div><div id=site-footer>c</div><div class="cookie-banner">d</div><p hidden>e</p>', "Keep"),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold</p></article>", "Let x=1 hold"),
+        ('<a href="?a=1&b>2">go</a> on <b class=\'q"q\'>x</b>', "go on x"),
+    ],
+)
+def test_attributes_are_read_as_attributes(page, text):
+    assert site_style.main_text(page) == text
+
+
+def test_long_broken_markup_takes_linear_time():
+    assert site_style.main_text("<p a=" * 20_000 + "'" * 20_000 + "<b \"" * 20_000) is not None
+
+
 def test_site_statistics_find_unmarked_boilerplate(spark):
     rng = random.Random(1)
     names = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(2000)]
@@ -133,6 +156,12 @@ def test_neighbours_against_brute_force(spark):
     assert [i for _, i, _ in sorted(got[150])] == [100, 101, 102, 103, 104]
 
 
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e-200, 1e-200]), (2, [-3.0, 0.0]), (3, [2.0, 1.0]), (3, [2.0, 1.0]), (50, [0.0, 1e300])]
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in stable_projection.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 1, 3, 0.894427191), (0, 2, 1, 0.707106781), (0, 3, 50, 0.0), (0, 4, 2, -1.0), (50, 1, 1, 0.707106781), (50, 2, 3, 0.447213595), (50, 3, 0, 0.0), (50, 4, 2, -0.0)]
+
+
 def test_neighbours_on_edges(spark):
     kind = "vec_id long, embedding array<float>"
     assert not stable_projection.search(spark.createDataFrame([], kind)).collect()
@@ -386,3 +415,17 @@ def test_token_files_against_the_library(make_docs):
         start += len(ids)
     assert not token_files.round_trip(make_docs(EDGES).limit(0), path).collect()
     assert len(token_files.round_trip(make_docs(EDGES), path).collect()) == len(EDGES)
+
+
+def test_vocabularies_that_keep_white_space(make_docs):
+    """Any vocabulary file gives the library's ids."""
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    assert token_files.drops_space(public.path("word_bpe_49k.json"))
+    path = public.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    assert not token_files.drops_space(path)
+    docs = [(i, t, "en", "s") for i, t in enumerate(["two  spaces", "a\nb", None, "", " x "])] + [(1, "again", "en", "s")]
+    got = token_files.round_trip(make_docs(docs), path).collect()
+    want = sorted((i, zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for i, t, *_ in docs)
+    assert sorted((r.doc_id, r.ids_crc32) for r in got) == want

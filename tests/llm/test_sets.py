@@ -4,11 +4,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cases import EDGES
-from gridmeter.llm import kernels, line_dedup, ngram_join, substring_dedup
+from gridmeter.llm import kernels, line_dedup, linking, ngram_join, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -208,3 +209,47 @@ def test_keys_deal_evenly(spark):
     df = spark.createDataFrame([(int(k),) for k in keys], "k int").repartition(13, "k")
     counts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
     assert counts == [3] * 13
+
+
+def test_long_spans_with_equal_polynomials_differ():
+    """Two Thue-Morse strings, which collide in every polynomial hash modulo 2**64."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    two = one.translate({97: 98, 98: 97})
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    a, b = kernels.span_hashes(data, np.array([0, 2048]), np.array([2048, 4096]))
+    assert a != b
+    low = np.frombuffer((one + one.upper()).encode(), np.uint8)
+    a, b = kernels.span_hashes(low, np.array([0, 2048]), np.array([2048, 4096]), kernels.FOLDED)
+    assert a == b
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "cliques"])
+def test_components_against_a_plain_union_find(spark, shape):
+    rng = random.Random(shape)
+    edges = {"path": [(i, i + 1) for i in range(300)], "star": [(7, i) for i in range(300)], "cliques": [(10 * rng.randrange(40) + rng.randrange(10), 10 * rng.randrange(4) + rng.randrange(10)) for _ in range(150)]}[shape]
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    got = {r.node: r.component for r in linking.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent}
+
+
+def test_one_line_in_most_rows_costs_a_row_for_each_block(make_docs, vocabulary):
+    """What any home gets of a line that every document has: a place for each block of texts, not for each document."""
+    docs = make_docs(["the same line in all documents\n" + f"{w} stands alone in here" for w in vocabulary[:400]])
+    rows = line_dedup.report(docs).collect()
+    assert sum(0 in r.removed_lines for r in rows) == 399
+    blocks = docs.select("doc_id", "text").coalesce(1).mapInArrow(line_dedup._read_lines(kernels.even_keys(4, 1)), "part int, kind int, payload binary").filter(f"kind = {line_dedup.FIRSTS}").collect()
+    first = np.concatenate([kernels.unpack(bytes(r.payload), np.uint64, np.int64, np.int32, np.int32)[0] for r in blocks])
+    assert len(first) == len(np.unique(first))
+
+
+def test_one_shingle_in_most_documents_costs_few_rows(vocabulary):
+    """Of a hot token only the ends of each size leave a block."""
+    nodes = np.arange(5000, dtype=np.uint64)
+    rows = ngram_join._prefix_rows(np.full(5000, 9, np.uint64), nodes, (nodes % 3 + 10).astype(np.uint32), kernels.even_keys(4, 1))
+    tokens = [kernels.unpack(p, np.uint64, np.uint64, np.uint32) for _, kind, p in rows if kind == ngram_join.TOKENS]
+    assert sum(len(t[0]) for t in tokens) == 6
+    assert sum(len(kernels.unpack(p, np.uint64, np.uint32, np.uint32)[0]) for _, kind, p in rows if kind == ngram_join.COUNTS) == 5000
