@@ -118,7 +118,7 @@ def _start_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_starts(docs: DataFrame, width: int = 20) -> DataFrame:
     """doc_id, starts (packed 32-bit numbers): every window that occurs earlier elsewhere, for documents that have any."""
     n = partitions(docs.sparkSession)
-    keys = K.even_keys(n, 4)
+    keys = K.even_keys(n, 1)
     blocks = docs.select("doc_id", "text").mapInArrow(_first_occurrences(width, keys), BLOCKS)
     later = dealt(blocks).mapInArrow(each_part(_later_ones(keys)), BLOCKS)
     return materialize(dealt(later).mapInArrow(_start_lists, "doc_id long, starts binary"))
