@@ -257,7 +257,6 @@ def _compare(percent: int, read: Read):
         mine, lent = _Sets(blocks[SETS], read), _Sets(blocks.get(LENT, []), read)
         stays = count > 0
         edges: list[tuple[np.ndarray, np.ndarray]] = []
-        done = np.zeros((0, 2), np.int64)
         steps = np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + PAIRS, PAIRS))
         for a, b in zip(steps, [*steps[1:], len(key)], strict=False):
             some = np.repeat(np.arange(a, b), count[a:b])
@@ -272,9 +271,10 @@ def _compare(percent: int, read: Read):
             i, mine_there = mine.at(node[some])
             j, lent_there = lent.at(p_node[at])
             there = mine_there & lent_there
-            pair, where = np.unique(np.stack([i[there], j[there]], axis=1), axis=0, return_index=True) if there.any() else (done, np.zeros(0, np.int64))
-            hit = where[similar(mine, pair[:, 0], lent, pair[:, 1], percent)] if len(pair) else where
-            edges.append((label[some[there][hit]], p_label[at[there][hit]]))
+            some, at, i, j = some[there], at[there], i[there], j[there]
+            _, where = np.unique(i * len(lent.n) + j, return_index=True)
+            hit = where[similar(mine, i[where], lent, j[where], percent)]
+            edges.append((label[some[hit]], p_label[at[hit]]))
         u, v = (np.concatenate([e[k] for e in edges]) if edges else np.zeros(0, U64) for k in (0, 1))
         if len(u):
             both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
