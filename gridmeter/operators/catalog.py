@@ -26,7 +26,7 @@ def dropped_formats(resources: DataFrame) -> DataFrame:
 
 
 def with_stems(resources: DataFrame) -> DataFrame:
-    """stem, stem_region and normal names from titles, in Arrow batches."""
+    """stem, stem_region and normal names from titles."""
     return resources.withColumns({"stem": T.title_stem("title"), "stem_region": T.title_stem_with_region("title"), "table_no": T.normal_name("table_no"), "table_name": T.normal_name("table_name")})
 
 

@@ -73,12 +73,32 @@ def test_rounding_like_python(spark):
     assert [r[0] for r in df.select(py_round(F.col("x"), 4)).collect()] == [0.0312, 0.0063, 2.675]
 
 
-def test_titles():
-    assert T.title_stem_of("令和３年度 家計調査（第2回）東京都") == "家計調査"
-    assert T.title_stem_of("労働力調査_2020年1月_月報") == "労働力調査_月報"
-    assert T.title_stem_of("2015-2019 13東京 人口【】・、・概況") == "人口 ・概況"  # a run of separators becomes one
-    assert T.title_stem_of("北海道 統計", strip_region=False) == "北海道 統計" and T.title_stem_of(None) == ""
-    assert T.name_of(" Ａ　 b ") == "A b"
+STEMS = {
+    "令和３年度 家計調査（第2回）東京都": "家計調査",
+    "労働力調査_2020年1月_月報": "労働力調査_月報",
+    "2015-2019 13東京 人口【】・、・概況": "人口 ・概況",  # a run of separators becomes one
+    "人口((・)) 表": "人口 表",  # brackets around hollow ones are hollow
+    "人口(] 表": "人口 表",
+    "(概要) - a【平成元年】(速報)": "(概要) a (速報)",
+    "((a) b ) c": "((a) b ) c",
+    "((a)(2020年度)": "((a)",
+    "a _ _ b": "a b",
+    "a_ _b": "a_b",
+    "H30年度 統計 １２月末現在": "統計",
+    "北海道 統計": "統計",
+    "_京都_統計": "統計",
+    "東京都市圏": "市圏",
+    " 、": "",
+    "": "",
+    None: "",
+}
+
+
+def test_titles(spark):
+    df = spark.createDataFrame([(t,) for t in STEMS], "t string")
+    assert {r.t: r.s for r in df.select("t", T.title_stem("t").alias("s")).collect()} == STEMS
+    kept = one(spark, T.title_stem_with_region(F.lit("北海道 統計 2020年")), T.normal_name(F.lit(" Ａ　 b ")), T.normal_name(F.lit(None).cast("string")))
+    assert tuple(kept) == ("北海道 統計", "A b", "")
 
 
 def test_date_keys(spark):
