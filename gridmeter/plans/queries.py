@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
+from ..functions import names as N
 from ..functions import text as T
 from ..functions.numeric import wilson_high, wilson_low
 from ..operators import catalog, checks, evidence, fingerprint, layout, reports, rules, sampling, sensitivity, tables
@@ -456,6 +457,31 @@ def title_stem(spark: SparkSession, d: str) -> DataFrame:
     return r.select("ord", era.alias("title")).select("ord", "title", T.title_stem("title").alias("stem"), T.title_stem_with_region("title").alias("stem_region"))
 
 
+NAMED = "SELECT p_partkey, 'e' || (p_partkey % 7) || '__' || p_partkey || '_t.' || list_extract(['xls', 'xlsx', 'XLSX', 'tar.gz', 'csv'], CAST(p_partkey % 5 + 1 AS INT)) AS name, list_extract(['a\\a\\b', 'a/b', 'a', 'a/a', 'a/ab'], CAST(p_partkey % 5 + 1 AS INT)) AS folder, list_extract(['基幹統計', '業務統計', '加工統計', 'その他', '?'], CAST(p_partkey % 5 + 1 AS INT)) AS stat_type, list_extract(['00200', '00550', '00999'], CAST(p_partkey % 3 + 1 AS INT)) AS code FROM part"
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("p_partkey")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+    name = F.concat(F.lit("e"), (key % 7).cast("string"), F.lit("__"), key.cast("string"), F.lit("_t."), pick(["xls", "xlsx", "XLSX", "tar.gz", "csv"]))
+    folder, kind = pick(["a\\a\\b", "a/b", "a", "a/a", "a/ab"]), pick(["基幹統計", "業務統計", "加工統計", "その他", "?"])
+    return spark.read.parquet(f"{d}/part.parquet").select(key, name.alias("name"), folder.alias("folder"), kind.alias("stat_type"), pick(["00200", "00550", "00999"]).alias("code"))
+
+
+@_add("path_names", f"""WITH n AS ({NAMED}), s AS (SELECT *, replace(folder, '\\', '/') AS f, regexp_replace(name, '\\.[^.]+$', '') AS bare FROM n)
+SELECT p_partkey, CASE WHEN lower(name) LIKE '%.xlsx' THEN name ELSE bare || '.xlsx' END AS scoring_name, f || '/' || name AS workbook_path,
+CASE WHEN f = 'a/a' THEN 'a' WHEN starts_with(f, 'a/a/') THEN f[3:] ELSE f END || '/' || bare || '.xls' AS raw_path, split_part(name, '__', 1) AS owner, split_part(name, '_', 1) AS survey_code FROM s""")
+def path_names(spark: SparkSession, d: str) -> DataFrame:
+    name, folder = F.col("name"), F.col("folder")
+    return _named(spark, d).select("p_partkey", N.scoring_name(name).alias("scoring_name"), N.workbook_path(folder, name).alias("workbook_path"), N.raw_path(folder, name).alias("raw_path"), N.owner(name).alias("owner"), N.survey_code(name).alias("survey_code"))
+
+
+@_add("sample_cells", f"""WITH n AS ({NAMED}), c AS (SELECT CASE WHEN stat_type IN ('基幹統計', '一般統計', '業務統計') THEN stat_type || '×' || CASE code WHEN '00200' THEN '総務省' WHEN '00550' THEN '経済産業省' ELSE 'その他集約' END
+WHEN stat_type <> '?' THEN stat_type || '×―' END AS cell FROM n) SELECT cell, count(*) AS n FROM c GROUP BY cell""")
+def sample_cells(spark: SparkSession, d: str) -> DataFrame:
+    return _named(spark, d).groupBy(N.cell_id(N.cell_of(F.col("stat_type"), F.col("code"))).alias("cell")).agg(F.count("*").alias("n"))
+
+
 @_add("catalog_flatten", """SELECT CAST(event_id AS STRING) AS stat, user_id AS number, unnest(CASE WHEN event_id % 3 = 0 THEN ['a', 'b'] ELSE ['a'] END) AS organization_code, event_type AS organization_name FROM events""")
 def catalog_flatten(spark: SparkSession, d: str) -> DataFrame:
     e = view(spark, d, "events")

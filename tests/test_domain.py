@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridmeter.functions import boxes as B
+from gridmeter.functions import names as N
 from gridmeter.functions import text as T
 from gridmeter.functions.numeric import py_round, wilson_high, wilson_low
 from gridmeter.operators import catalog, checks, evidence, fingerprint, layout, reports, rules, sampling, sensitivity
@@ -101,6 +102,56 @@ def test_titles(spark):
     assert tuple(kept) == ("北海道 統計", "A b", "")
 
 
+def test_names_of_files(spark):
+    c = lambda f, *xs: f(*map(F.lit, xs))
+    got = one(spark, c(N.scoring_name, "d/a.b.xls"), c(N.scoring_name, "a.XLSX"), c(N.scoring_name, ".xls"), c(N.raw_path, "x\\x\\y", "t.1.xlsx"), c(N.raw_path, "x/xy", "t"), c(N.raw_path, "x", "t.xlsx"), c(N.raw_path, "x/x", "t.xlsx"))
+    assert tuple(got) == ("a.b.xlsx", "a.XLSX", ".xls.xlsx", "x/y/t.1.xls", "x/xy/t.xls", "x/t.xls", "x/t.xls")
+    got = one(spark, c(N.owner, "ann__x__1.xlsx"), c(N.survey_code, "0020_1_2.xlsx"), N.severity(F.lit(None).cast("int")), N.severity(F.lit("high")), N.organization(F.lit(None).cast("string")))
+    assert tuple(got) == ("ann", "0020", None, "high", "その他集約")
+
+
+def test_cells_of_the_plan(spark):
+    cells = [(r.stat_type, r.organization) for r in N.cells(spark).orderBy("ord").collect()]
+    assert len(set(cells)) == 20 and cells[0] == ("基幹統計", "総務省") and cells[5][1] == "その他集約" and cells[-1] == ("その他", "―")
+    rows = spark.createDataFrame([("一般統計", "00450"), ("一般統計", "1"), ("その他", "00450"), ("?", "00450"), (None, None)], "t string, c string")
+    got = [r[0] for r in rows.select(N.cell_id(N.cell_of(F.col("t"), F.col("c")))).collect()]
+    assert got == ["一般統計×厚生労働省", "一般統計×その他集約", "その他×―", None, None]
+
+
+def test_provenance(spark):
+    row = N.with_provenance(spark.range(1), "2", "1.0", "strict", "n", source="s").first()
+    assert row.provenance.asDict() == {"schema_version": "2", "checker_version": "1.0", "mode": "strict", "ai": "off", "note": "n", "source": "s"}
+
+
+def test_weights_hashes_and_kinds(spark):
+    weights = spark.createDataFrame([(x,) for x in ("3", "0", "-1", "x", "", None, "2.5")], "x string")
+    assert [r[0] for r in weights.select(T.entry_weight(F.col("x"))).collect()] == [3, 1, 1, 1, 1, 1, 2.5]
+    import hashlib
+
+    got = one(spark, T.content_hash(F.lit(b"abc")), T.stable_seed(7, F.lit("k")), T.digest_id(F.lit("a"), F.lit("b")), T.is_blank(F.lit("\u3000 ")), T.is_blank(F.lit("x")))
+    digest = hashlib.sha256(b"k").hexdigest()
+    assert tuple(got) == (hashlib.sha256(b"abc").hexdigest()[:16], 7 + int(digest[:8], 16), hashlib.sha1(b"a\x1fb").hexdigest()[:16], True, False)
+
+
+def test_surveys_by_folder_and_documents(spark, tmp_path):
+    for code in ("001", "002"):
+        (tmp_path / code).mkdir()
+        (tmp_path / code / "rows.csv").write_text(f"a,b\n{code},0{code}\n", encoding="utf-8")
+    rows = tables.csv_strings(spark, f"{tmp_path}/*/rows.csv", ["a", "b"]).withColumn("survey", tables.survey_of_path())
+    assert sorted((r.survey, r.a, r.b) for r in rows.collect()) == [("001", "001", "0001"), ("002", "002", "0002")]
+    (tmp_path / "good.json").write_text('{"n": 1,\n "s": "é"}', encoding="utf-8")
+    (tmp_path / "bad.json").write_text("{", encoding="utf-8")
+    assert [tuple(r) for r in tables.json_documents(spark, f"{tmp_path}/good.json", "n int, s string").collect()] == [(1, "é")]
+    with pytest.raises(Exception, match="MALFORMED|Malformed|FAILFAST"):
+        tables.json_documents(spark, f"{tmp_path}/bad.json", "n int, s string").collect()
+
+
+def test_write_back_leaves_other_rows(spark):
+    old = spark.createDataFrame([("a", "x", 1), ("b", "y", 2), (None, "z", 3)], "k string, v string, n int")
+    new = spark.createDataFrame([("a", "X"), ("c", "W")], "k string, v string")
+    assert sorted((r.k or "", r.v, r.n) for r in sinks.upsert(old, new, "k", ["v"]).collect()) == [("", "z", 3), ("a", "X", 1), ("b", "y", 2)]
+
+
 def test_date_keys(spark):
     df = spark.createDataFrame([(x,) for x in ("", "2020", "202004", "2019-2020", "01234", None)], "x string")
     got = [tuple(r) for r in df.select(T.date_key(F.col("x")), T.date_value(F.col("x"))).collect()]
