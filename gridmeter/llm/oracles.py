@@ -97,4 +97,25 @@ SELECT doc_id, item_id, CAST(s - 1 AS INTEGER) AS start, similarity
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS r FROM good) WHERE r = 1
 """
 
-ORACLES: dict[str, str] = {"op2_ngram_join": OP2, "op3_sharding": OP3, "op4_stable_projection": OP4, "op5_source_mixing": OP5, "op6_substring_dedup": OP6, "op8_decontamination": OP8}
+OP11 = rf"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+mark AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+least AS (SELECT md5(text) AS h, min(doc_id) AS first FROM docs GROUP BY h),
+fails AS (SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text) AS c,
+          regexp_matches(text, '[#$%&*|]') AS d, coalesce(first < docs.doc_id, false) AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+          FROM docs JOIN least ON h = md5(text) LEFT JOIN mark ON mark.doc_id = docs.doc_id),
+cell AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY ALL),
+letter AS (SELECT unnest(range(5)) AS i),
+perm AS (SELECT [p.i, q.i, r.i, s.i, t.i] AS o FROM letter p, letter q, letter r, letter s, letter t WHERE len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5),
+step AS (SELECT array_to_string([substr('ABCDE', CAST(x + 1 AS INT), 1) for x in o], '') AS filter_order, CAST(k AS INTEGER) AS step, CAST(1 << o[k] AS INT) AS bit,
+         CAST(list_sum([1 << x for x in list_slice(o, 1, k - 1)]) AS INT) AS before FROM perm, (SELECT unnest(range(1, 6)) AS k)),
+each AS (SELECT part, filter_order, step, bit, sum(n) FILTER (mask & (bit | coalesce(before, 0)) = 0) AS kept, sum(n) FILTER (mask & bit > 0 AND mask & coalesce(before, 0) = 0) AS removed,
+         sum(n) FILTER (mask & bit > 0 AND mask & coalesce(before, 0) > 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+         sum(good) FILTER (mask & bit > 0 AND mask & coalesce(before, 0) = 0) AS good_lost, sum(toxic) FILTER (mask & bit > 0 AND mask & coalesce(before, 0) = 0) AS toxic_lost
+         FROM cell, step GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM each
+"""
+
+ORACLES: dict[str, str] = {"op2_ngram_join": OP2, "op3_sharding": OP3, "op4_stable_projection": OP4, "op5_source_mixing": OP5, "op6_substring_dedup": OP6, "op8_decontamination": OP8, "op11_filter_audit": OP11}
