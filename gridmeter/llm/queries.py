@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, filter_audit, line_dedup, mixing, ngram_join, sharding, site_style, stable_projection, substring_dedup, token_files, toxicity
+from . import decontamination, filter_audit, line_dedup, mixing, ngram_join, sharding, site_style, stable_projection, substring_dedup, token_counts, token_files, toxicity
 from .storage import shared_folder
 
 
@@ -63,6 +63,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_style": op1_site_style,
     "op2_ngram_join": op2_ngram_join,
@@ -75,4 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
     "op6_substring_dedup": op6_substring_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op13_token_counts": op13_token_counts,
 }
