@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, filter_audit, line_dedup, mixing, ngram_join, sharding, site_style, stable_projection, substring_dedup, token_counts, token_files, toxicity
+from . import decontamination, filter_audit, line_dedup, mixing, ngram_join, sharding, site_style, stable_projection, substring_dedup, time_partitions, token_counts, token_files, toxicity
 from .storage import shared_folder
 
 
@@ -63,6 +63,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return time_partitions.rewritten_clicks(_read(spark, sf_dir, "clicks"), cutoff="2024-05-01 00:00:00")
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
     "op6_substring_dedup": op6_substring_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_time_partitions": op12_time_partitions,
     "op13_token_counts": op13_token_counts,
 }

@@ -184,6 +184,7 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
+        self.merges._beside.clear()
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
         self.bits = 21
