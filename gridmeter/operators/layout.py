@@ -5,24 +5,32 @@ Boxes are 0-based and inclusive. gt and pred have doc, sheet, idx (order in the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions.numeric import harmonic, precision, ratio_or_zero, recall
+from ..sources.scratch import written
+from . import selection, spatial
 
 KEYS = ["doc", "sheet"]
 ROLES = ("Header", "Data", "Other")
 #: A range that spans more rows or columns than this (by difference) isn't expanded to cells.
 SPAN_LIMIT = 10_000
 TOLERANCES = (0, 1, 2)
-_MATCHES = "array<struct<be:int,pi:int,gi:int,iou:double>>"
 
 
 def _boxes(df: DataFrame, name: str) -> DataFrame:
     return df.select(*KEYS, F.col("idx").cast("int").alias(f"{name}i"), B.box().alias(name))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Boxes that several steps read, written once."""
+    return written(df.select(*KEYS, "idx", *B.SIDES))
+
+
 def visible(pred: DataFrame) -> DataFrame:
     """Predictions that don't abstain."""
     return pred.filter(~F.coalesce("abstain", F.lit(False)))
@@ -30,32 +38,53 @@ def visible(pred: DataFrame) -> DataFrame:
 
 def pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """All box pairs of a sheet, with boundary error and IoU. Sheets are the equi-key."""
-    both = _boxes(gt, "g").join(_boxes(pred, "p"), KEYS)
-    return both.select(*KEYS, "pi", "gi", B.boundary_error(F.col("p"), F.col("g")).cast("int").alias("be"), B.iou(F.col("p"), F.col("g")).alias("iou"))
+    return _measured(_boxes(gt, "g").join(_boxes(pred, "p"), KEYS))
+
+
+def _measured(df: DataFrame) -> DataFrame:
+    return df.select(*KEYS, "pi", "gi", B.boundary_error(F.col("p"), F.col("g")).cast("int").alias("be"), B.iou(F.col("p"), F.col("g")).alias("iou"))
 
 
 def close_pairs(gt: DataFrame, pred: DataFrame, most: int = max(TOLERANCES)) -> DataFrame:
-    return pairs(gt, pred).filter(F.col("be") <= most)
+    """The pairs with a boundary error of at most `most`, by buckets of all four sides."""
+    return _measured(spatial.close_boxes(_boxes(gt, "g"), _boxes(pred, "p"), KEYS, "g", "p", most))
+
+
+def overlapping_pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """The pairs with an IoU above 0, by tiles."""
+    return _measured(spatial.overlapping_boxes(_boxes(gt, "g"), _boxes(pred, "p"), KEYS, "g", "p"))
 
 
 def greedy_matches(gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """doc, sheet, matches: one-to-one pairs, by ascending (error, -IoU, prediction, truth). Those within a smaller tolerance are the matches for it."""
-    order = F.array_sort(F.collect_list(F.struct("be", (-F.col("iou")).alias("neg"), "pi", "gi")))
-    taken = lambda m, x: F.exists(m, lambda y: (y["pi"] == x["pi"]) | (y["gi"] == x["gi"]))
-    add = lambda m, x: F.concat(m, F.array(F.struct(x["be"].alias("be"), x["pi"].alias("pi"), x["gi"].alias("gi"), (-x["neg"]).alias("iou"))))
-    fold = F.aggregate("c", F.array().cast(_MATCHES), lambda m, x: F.when(taken(m, x), m).otherwise(add(m, x)))
-    return close_pairs(gt, pred).groupBy(*KEYS).agg(order.alias("c")).select(*KEYS, fold.alias("matches"))
+    """doc, sheet, be, pi, gi, iou: one-to-one pairs, by ascending (error, -IoU, prediction, truth). Those within a smaller tolerance are the matches for it.
+
+    A round takes every pair that is the first one left for its prediction and for its truth: greedy order takes it too,
+    as nothing before it holds either box. What shares a box with a taken pair goes; rounds end when no pair is left.
+    """
+    first = F.struct("be", (-F.col("iou")).alias("neg"), "pi", "gi")
+    left, taken = close_pairs(gt, pred).withColumn("first", first), []
+    of_p, of_g = Window.partitionBy(*KEYS, "pi"), Window.partitionBy(*KEYS, "gi")
+    while True:
+        best = left.withColumn("best_p", F.min("first").over(of_p)).withColumn("best_g", F.min("first").over(of_g))
+        best = best.withColumn("takes", (F.col("first") == F.col("best_p")) & (F.col("first") == F.col("best_g")))
+        best = best.withColumn("gone", F.max("takes").over(of_g)).withColumn("gone", F.col("gone") | F.max("takes").over(of_p))
+        best = written(best.filter("takes OR NOT gone").select(*left.columns, "takes"))
+        taken.append(best.filter("takes").select(*KEYS, "be", "pi", "gi", "iou"))
+        left = best.filter("NOT takes").drop("takes")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
 
 
 def eob_by_sheet(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """doc, sheet, n (tolerance), tp, fp, fn, iou_sum of every sheet with truth; predictions on others are ignored."""
-    n_gt, n_pred = gt.groupBy(*KEYS).agg(F.count("*").alias("n_gt")), pred.groupBy(*KEYS).agg(F.count("*").alias("n_pred"))
-    sheets = n_gt.join(n_pred, KEYS, "left").join(greedy_matches(gt, pred), KEYS, "left")
-    rows = sheets.select("*", F.explode(F.array(*map(F.lit, TOLERANCES))).alias("n"))
-    m = F.filter(F.coalesce("matches", F.array().cast(_MATCHES)), lambda y: y["be"] <= F.col("n"))
-    tp = F.size(m)
-    total = F.aggregate(m, F.lit(0.0), lambda s, y: s + y["iou"])
-    return rows.select(*KEYS, "n", tp.alias("tp"), (F.coalesce("n_pred", F.lit(0)) - tp).alias("fp"), (F.col("n_gt") - tp).alias("fn"), total.alias("iou_sum"))
+    gt, pred = _kept(gt), _kept(pred)
+    kind = lambda df, name: df.groupBy(*KEYS).agg(F.count("*").alias(name))
+    within = lambda n: F.col("be") <= n
+    matched = greedy_matches(gt, pred).groupBy(*KEYS).agg(*(c for n in TOLERANCES for c in (F.count_if(within(n)).alias(f"tp{n}"), F.sum(F.when(within(n), F.col("iou"))).alias(f"sum{n}"))))
+    sheets = kind(gt, "n_gt").join(kind(pred, "n_pred"), KEYS, "left").join(matched, KEYS, "left")
+    each = F.array(*(F.struct(F.lit(n).alias("n"), F.coalesce(f"tp{n}", F.lit(0)).cast("int").alias("tp"), F.coalesce(f"sum{n}", F.lit(0.0)).alias("iou_sum")) for n in TOLERANCES))
+    rows = sheets.select(*KEYS, "n_gt", "n_pred", F.inline(each))
+    return rows.select(*KEYS, "n", "tp", (F.coalesce("n_pred", F.lit(0)) - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"), "iou_sum")
 
 
 def eob(by_sheet: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,23 +95,8 @@ def eob(by_sheet: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def union_areas(gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """doc, sheet, gt_area, pred_area, inter_area: cells that any truth, any prediction, and both cover.
-
-    Edges cut each axis to intervals; only interval pairs are enumerated, never cells.
-    """
-    g = gt.groupBy(*KEYS).agg(F.collect_list(B.box()).alias("g"))
-    p = pred.groupBy(*KEYS).agg(F.collect_list(B.box()).alias("p"))
-    none = F.array().cast(g.schema["g"].dataType)
-    sheets = g.join(p, KEYS, "left").withColumn("p", F.coalesce("p", none)).withColumn("all", F.concat("g", "p"))
-    edges = lambda a, b: F.array_sort(F.array_distinct(F.concat(F.transform("all", lambda x: x[a]), F.transform("all", lambda x: x[b] + 1))))
-    spans = lambda e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda i: F.struct(F.get(e, i - 1).alias("lo"), F.get(e, i).alias("hi")))
-    sheets = sheets.withColumn("rows", edges("first_row", "last_row")).withColumn("cols", edges("first_col", "last_col"))
-    cells = sheets.select(*KEYS, "g", "p", "cols", F.explode(spans(F.col("rows"))).alias("r")).select(*KEYS, "g", "p", "r", F.explode(spans(F.col("cols"))).alias("c"))
-    covers = lambda boxes: F.exists(boxes, lambda b: (b["first_row"] <= F.col("r.lo")) & (F.col("r.hi") <= b["last_row"] + 1) & (b["first_col"] <= F.col("c.lo")) & (F.col("c.hi") <= b["last_col"] + 1))
-    size = ((F.col("r.hi") - F.col("r.lo")) * (F.col("c.hi") - F.col("c.lo"))).cast("long")
-    part = cells.select(*KEYS, size.alias("size"), covers("g").alias("in_g"), covers("p").alias("in_p"))
-    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0))
-    return part.groupBy(*KEYS).agg(of(F.col("in_g")).alias("gt_area"), of(F.col("in_p")).alias("pred_area"), of(F.col("in_g") & F.col("in_p")).alias("inter_area"))
+    """doc, sheet, gt_area, pred_area, inter_area: cells that any truth, any prediction, and both cover; for sheets with truth."""
+    return spatial.union_areas(gt, pred, KEYS, ("gt_area", "pred_area", "inter_area"))
 
 
 def coverage(areas: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,22 +107,21 @@ def coverage(areas: DataFrame, keys: list[str]) -> DataFrame:
 
 def best_iou(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """doc, sheet, side (gt or pred), idx, best: each box's best IoU with the other side; predictions of sheets without truth are ignored."""
-    every = pairs(gt, pred)
-    sheets = gt.select(*KEYS).distinct()
-
-    def side(df: DataFrame, name: str, i: str) -> DataFrame:
-        top = every.groupBy(*KEYS, i).agg(F.max("iou").alias("best"))
-        return _boxes(df, i[0]).select(*KEYS, i).join(top, [*KEYS, i], "left").select(*KEYS, F.lit(name).alias("side"), F.col(i).alias("idx"), F.coalesce("best", F.lit(0.0)).alias("best"))
-
-    return side(gt, "gt", "gi").unionByName(side(pred.join(sheets, KEYS, "left_semi"), "pred", "pi"))
+    gt, pred = _kept(gt), _kept(pred)
+    one = lambda name, i: F.struct(F.lit(name).alias("side"), F.col(i).cast("int").alias("idx"))
+    met = overlapping_pairs(gt, pred).select(*KEYS, F.inline(F.array(one("gt", "gi"), one("pred", "pi"))), F.col("iou").alias("best"))
+    alone = [df.select(*KEYS, F.lit(name).alias("side"), F.col("idx").cast("int").alias("idx"), F.lit(0.0).alias("best")) for df, name in ((gt, "gt"), (pred.join(gt.select(*KEYS).distinct(), KEYS, "left_semi"), "pred"))]
+    return alone[0].unionByName(alone[1]).unionByName(met).groupBy(*KEYS, "side", "idx").agg(F.max("best").alias("best"))
 
 
 def summarize(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, mean, quantiles (linear), shares at 0, from .5 and from .9."""
-    v = F.col(value)
-    quantiles = {f"p{q}": F.percentile(v, F.lit(q / 100)) for q in (10, 25, 50, 75, 90)}
-    shares = {"share_zero": v == 0, "share_ge_05": v >= 0.5, "share_ge_09": v >= 0.9}
-    return values.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), *(q.alias(n) for n, q in quantiles.items()), *((F.count_if(c) / F.count(v)).alias(n) for n, c in shares.items()))
+    """n, mean, quantiles (linear), shares at 0, from .5 and from .9. Equal values count as one row; quantiles are exact."""
+    counted = written(values.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n")))
+    shares = {"share_zero": F.col("value") == 0, "share_ge_05": F.col("value") >= 0.5, "share_ge_09": F.col("value") >= 0.9}
+    n = F.sum("n")
+    sums = counted.groupBy(*keys).agg(n.alias("n"), (F.sum(F.col("value") * F.col("n")) / n).alias("mean"), *((F.sum(F.when(c, F.col("n")).otherwise(0)) / n).alias(k) for k, c in shares.items()))
+    quantiles = selection.quantiles(counted, keys, {f"p{q}": q / 100 for q in (10, 25, 50, 75, 90)})
+    return selection.joined(sums, quantiles, keys).select(*keys, "n", "mean", *(f"p{q}" for q in (10, 25, 50, 75, 90)), *shares)
 
 
 def histogram(values: DataFrame, keys: list[str], value: str, bins: int = 10) -> DataFrame:
