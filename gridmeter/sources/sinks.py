@@ -29,13 +29,3 @@ def upsert(manifest: DataFrame, new: DataFrame, key: str, columns: list[str]) ->
     """manifest with columns set from new where it has the key; other rows are untouched."""
     side = new.select(key, *(F.col(c).alias(f"_{c}") for c in columns))
     return manifest.join(side, key, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*(f"_{c}" for c in columns))
-
-
-def keyed_cache(df: DataFrame, compute, path: str, key: str) -> DataFrame:
-    """compute's rows for every key of df, from the tables under path where they are there; the missing are computed in one pass and added."""
-    spark = df.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    known = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    missing = df.join(spark.read.parquet(path).select(key), key, "left_anti") if known else df
-    compute(missing).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(df.select(key).distinct(), key, "left_semi")

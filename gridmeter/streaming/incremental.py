@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..sources.keyed import KeyedTable
+
 
 def stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def append_new(source: DataFrame, target: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Appends rows whose key target doesn't have; a batch that comes again adds nothing."""
+def append_new(source: DataFrame, target: str, key: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Adds rows whose key the keyed table at target lacks; a batch that comes again adds nothing.
+
+    A batch reads only the buckets of its own keys, not the whole target; KeyedTable(spark, target, [key]).read() has the rows.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(target)
-        rows = df.dropDuplicates([key])
-        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            rows = rows.join(spark.read.parquet(target).select(key), key, "left_anti")
-        rows.write.mode("append").parquet(target)
+        df.persist()
+        KeyedTable(df.sparkSession, target, [key], buckets).add_missing(df)
+        df.unpersist()
 
     return source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
 

@@ -16,7 +16,7 @@ from gridmeter.functions.numeric import py_round, wilson_high, wilson_low
 from gridmeter.operators import catalog, checks, evidence, fingerprint, layout, reports, rules, sampling, sensitivity
 from gridmeter.plans import queries as Q
 from gridmeter.plans.standins import view
-from gridmeter.sources import sinks, tables, workbook
+from gridmeter.sources import keyed, sinks, tables, workbook
 from gridmeter.streaming import incremental
 
 DATA = "/root/testdata/sf0.001"
@@ -326,7 +326,7 @@ def test_scans_and_sinks(spark, tmp_path):
     out = f"{tmp_path}/out.csv"
     assert sinks.write_once(df, out, "csv") and not sinks.write_once(df, out, "csv")
     assert tables.csv_strings(spark, out, ["k", "v"]).first().v == "[1,2]" and tables.row_count(spark, out) == 1
-    assert sinks.keyed_cache(df.select("k"), lambda d: d.withColumn("x", F.col("k") * 2), f"{tmp_path}/cache", "k").first().x == 2
+    assert keyed.cached(df.select("k"), lambda d: d.withColumn("x", F.col("k") * 2), f"{tmp_path}/cache", ["k"], "1").first().x == 2
     assert tables.latest_run(spark.createDataFrame([("2024-01-02",), ("zzz",), ("2023-05-05",)], "run string")).first().run == "2024-01-02"
     a = spark.createDataFrame([("f__1", "S", "0", "Table", "1", "1", " 2", "3"), ("f__1", "S", "0", "GroupHead", "1", "1", "1", "2"), ("f__1", "S", "0", "??", "1", "1", "1", "2")], tables.RANGES)
     assert tuple(tables.table_ranges(a).first())[3:] == (1, 1, 2, 3) and tables.cell_roles(a).count() == 2
@@ -337,7 +337,7 @@ def test_streams(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     for turn in range(2):
         incremental.append_new(incremental.stream(spark, f"{tmp_path}/in", rows.schema), f"{tmp_path}/out", "id", f"{tmp_path}/check{turn}").awaitTermination()
-        assert spark.read.parquet(f"{tmp_path}/out").count() == 40
+        assert keyed.KeyedTable(spark, f"{tmp_path}/out", ["id"]).read().count() == 40
     q = incremental.running_rates(incremental.stream(spark, f"{tmp_path}/in", rows.schema)).writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.rule_id, r.n, r.n_pass) for r in spark.table("rates").collect()} == {(r.rule_id, r.n, r.n_pass) for r in incremental.running_rates(rows).collect()}
