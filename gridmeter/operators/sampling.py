@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
 from random import Random
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions import text as T
+from ..sources.scratch import small, written
+from . import selection
 
 # What keeps a table from being a starter, and what makes it a flagship.
 NO_STARTER = "正誤|訂正|目次|利用上|付録|凡例|調査の概要|お知らせ|取扱説明書"
@@ -67,43 +71,50 @@ def two_picks(templates: DataFrame) -> DataFrame:
 
 
 def hash_stratified(rows: DataFrame, cell: str, key: str, n: int, seed: int) -> DataFrame:
-    """n rows of each cell by the hash of seed and key: native, and stable under any partitioning."""
-    w = Window.partitionBy(cell).orderBy(F.xxhash64(F.lit(seed), key), key)
+    """n rows of each cell by the SHA-256 of seed and key: native, stable under any partitioning, and the same in other engines."""
+    w = Window.partitionBy(cell).orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key)
     return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
+def _drawn(seed: int, cell: str, size: int, n: int, attempt: int) -> list[int]:
+    """The places that Python's sample of n out of `size` ordered keys takes, seeded by the cell and the attempt: they depend on the size alone."""
+    own = int(hashlib.sha256(f"{seed}:{cell}:{attempt}".encode()).hexdigest()[:16], 16)
+    return Random(own).sample(range(size), min(n, size))
+
+
 def seeded_stratified(rows: DataFrame, cell: str, key: str, survey: str, n: int, seed: int) -> DataFrame:
     """cell, key, attempt, status: Python's own seeded samples of each cell's keys in order, drawn again until two surveys are in.
 
-    A cell is one task: its keys have to fit in memory; hash_stratified has no such limit.
+    Keys are numbered in their cell where they are; only places are drawn, from each cell's size, so no task or driver holds a cell. A
+    round draws for the cells that have no valid sample yet. Cells are a design's strata: their sizes come to the driver, a row for each.
     """
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
-        name = pdf[cell].iloc[0]
-        pool = sorted(zip(pdf[key], pdf[survey], strict=True))
-        take = min(n, len(pool))
-        possible = len({s for _, s in pool}) >= MIN_SURVEYS
-        attempt, status = 0, "impossible" if not possible else "unsatisfied"
-        for attempt in range(TRIES if possible else 1):
-            picked = Random(int(hashlib.sha256(f"{seed}:{name}:{attempt}".encode()).hexdigest()[:16], 16)).sample(pool, take)
-            if possible and len({s for _, s in picked}) >= MIN_SURVEYS:
-                status = "ok"
-                break
-        tries = TRIES if status == "unsatisfied" else attempt
-        return pd.DataFrame([(name, k, tries, status) for k, _ in picked], columns=[cell, key, "attempt", "status"])
-
+    spark = rows.sparkSession
     kind = dict(rows.dtypes)
-    return rows.select(cell, key, survey).groupBy(cell).applyInPandas(one, f"{cell} {kind[cell]}, {key} {kind[key]}, attempt int, status string")
+    ranked = written(selection.numbered(rows.select(cell, key, survey), [cell], [key, survey]))
+    sizes = {r[0]: (r.n, r.surveys) for r in ranked.groupBy(cell).agg(F.count("*").alias("n"), F.least(F.count_distinct(survey), F.lit(MIN_SURVEYS)).alias("surveys")).collect()}
+    possible = [c for c, (_, surveys) in sizes.items() if surveys >= MIN_SURVEYS]
+    picked, open_cells, attempt = [], {c: None for c in sizes}, 0
+    while open_cells:
+        last = attempt + 1 == TRIES
+        places = [(c, p, i) for c in open_cells for i, p in enumerate(_drawn(seed, c, sizes[c][0], n, attempt))]
+        side = spark.createDataFrame(places, f"{cell} {kind[cell]}, place long, i int")
+        found = written(ranked.join(small(side), [ranked[cell].eqNullSafe(side[cell]), ranked["place"] == side["place"]]).select(ranked[cell], key, survey))
+        good = {r[0] for r in found.groupBy(cell).agg(F.count_distinct(survey).alias("s")).filter(F.col("s") >= MIN_SURVEYS).select(cell).collect()}
+        status = {c: ("ok", attempt) if c in good and c in possible else ("impossible", 0) if c not in possible else ("unsatisfied", TRIES) for c in open_cells}
+        done = {c: v for c, v in status.items() if v[0] != "unsatisfied" or last}
+        marks = spark.createDataFrame([(c, a, s) for c, (s, a) in done.items()], f"{cell} {kind[cell]}, attempt int, status string")
+        picked.append(found.join(F.broadcast(marks), found[cell].eqNullSafe(marks[cell])).select(found[cell], key, "attempt", "status"))  # a row for each cell
+        open_cells = {c: v for c, v in open_cells.items() if c not in done}
+        attempt += 1
+    return reduce(DataFrame.unionByName, picked) if picked else spark.createDataFrame([], f"{cell} {kind[cell]}, {key} {kind[key]}, attempt int, status string")
 
 
 def flat_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows by Python's own seeded sample of the ordered keys (a file list: small), in order."""
-    keys = [r[0] for r in rows.select(key).distinct().orderBy(key).collect()]
-    picked = Random(seed).sample(keys, min(n, len(keys)))
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in picked], rows.select(key).schema)), key, "left_semi").orderBy(key)
+    """The rows of n keys by Python's own seeded sample of the ordered keys, in order. Places are drawn from the count; the keys stay where they are."""
+    ranked = written(selection.numbered(rows.select(key).distinct(), [], [key]))
+    size = ranked.count()
+    places = rows.sparkSession.createDataFrame([(p,) for p in Random(seed).sample(range(size), min(n, size))], "place long")
+    return rows.join(small(ranked.join(small(places), "place").select(key)), key, "left_semi").orderBy(key)
 
 
 def stratum_summary(pool: DataFrame, selected: DataFrame, cells: DataFrame, per_cell: int) -> DataFrame:

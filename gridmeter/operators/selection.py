@@ -39,6 +39,21 @@ def order_statistics(counted: DataFrame, keys: list[str], ranks: DataFrame) -> D
         state = written(met)
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """rows with place, from 0, in their group by order, however large the group: ranges of the order are numbered each, and shifted by the ranges before."""
+    spark = rows.sparkSession
+    number = F.monotonically_increasing_id()
+    keys = [*group, *order]
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    dealt = written(dealt.withColumns({"_range": F.shiftright(number, 33), "_at": number}))
+    ranges = dealt.groupBy(*group, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    ahead = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ranges = written(ranges.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))))
+    side = ranges.select(*(F.col(k).alias(f"_{k}") for k in group), F.col("_range").alias("_r"), "_first", "_before")
+    met = dealt.join(small(side), [F.col("_range") == F.col("_r"), *(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in group)])
+    return met.select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias("place"))
+
+
 def _magnitude(c: str) -> Column:
     """Grows with a double, by the same amount for each doubling; zero lies between the smallest ones."""
     return F.when(F.col(c) == 0, 0.0).otherwise(F.signum(c) * (F.log2(F.abs(c)) + 1100))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
@@ -31,6 +31,34 @@ def perturbed(tables: DataFrame, sheets: DataFrame) -> DataFrame:
     return parts.select("variant", "doc", "sheet", "idx", "part", "x.*")
 
 
+REGION = "struct<header_rows:array<bigint>,body_start_row:bigint,body_end_row:bigint>"
+
+
+def moved_header(region: Column, delta: int) -> Column:
+    """A region's layout (header_rows, body_start_row, body_end_row) with the header one row longer or shorter; null where that can't be.
+
+    Longer: the first body row becomes a header row, unless it is the body's last. Shorter: the last header row becomes the first body row.
+    """
+    rows, start, end = region["header_rows"], region["body_start_row"], region["body_end_row"]
+    layout = lambda rows, start: F.struct(F.array_sort(rows).alias("header_rows"), start.alias("body_start_row"), end.alias("body_end_row")).cast(REGION)
+    if delta == 1:
+        return F.when(start + 1 <= end, layout(F.array_union(rows, F.array(start)), start + 1))
+    if delta == -1:
+        last = F.array_max(rows)
+        return F.when(F.size(rows) > 0, layout(F.array_except(rows, F.array(last)), last))
+    raise ValueError(f"a header moves by one row, not by {delta}")
+
+
+def header_moves(regions: DataFrame) -> DataFrame:
+    """variant (header+1, header-1), the region's keys and its layout after the move, all null where it can't be moved.
+
+    regions: doc, sheet, idx, header_rows (an array), body_start_row, body_end_row.
+    """
+    region = F.struct(*(F.col(c) for c in ("header_rows", "body_start_row", "body_end_row"))).cast(REGION)
+    moves = F.array(*(F.struct(F.lit(f"header{d:+d}").alias("variant"), moved_header(region, d).alias("region")) for d in (1, -1)))
+    return regions.select("doc", "sheet", "idx", F.inline(moves)).select("variant", "doc", "sheet", "idx", "region.*")
+
+
 def perturbation_counts(tables: DataFrame, changed: DataFrame) -> DataFrame:
     """variant, n_tables, n_perturbed (boxes after), n_dropped (tables of which nothing is left)."""
     total = tables.agg(F.count("*").alias("n_tables"))

@@ -450,7 +450,13 @@ def modal_org(spark: SparkSession, d: str) -> DataFrame:
     return catalog.modal("organization", ["survey"], view(spark, d, "resources"))
 
 
-@_add("title_stem", None)
+#: For titles without old forms of letters but the wide brackets; the library's patterns that such titles can meet.
+_TITLE = "'令和' || (ord % 6 + 1) || '年度 ' || stem || '（東京都）第' || (ord % 9 + 1) || '回'"
+_PERIODLESS = "regexp_replace(translate(title, '（）', '()'), '(令和|平成|昭和|大正|明治)(元|\\d{1,2})年度?|第\\d{1,3}回', ' ', 'g')"
+_TIDY = "trim(regexp_replace(regexp_replace({}, '\\(\\s*\\)', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@_add("title_stem", f"SELECT ord, title, {_TIDY.format(f"replace({_PERIODLESS}, '東京都', ' ')")} AS stem, {_TIDY.format(_PERIODLESS)} AS stem_region FROM (SELECT ord, {_TITLE} AS title FROM resources) t", "resources")
 def title_stem(spark: SparkSession, d: str) -> DataFrame:
     r = view(spark, d, "resources")
     era = F.concat(F.lit("令和"), (F.col("ord") % 6 + 1).cast("string"), F.lit("年度 "), "stem", F.lit("（東京都）第"), (F.col("ord") % 9 + 1).cast("string"), F.lit("回"))
@@ -537,7 +543,7 @@ def stratum_summary(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stratum_summary(p, p.filter("id % 10 = 0"), p.select("cell").distinct(), 30)
 
 
-@_add("hash_stratified_sample", None)
+@_add("hash_stratified_sample", "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY sha256('20260804:' || CAST(id AS VARCHAR)), id) AS r FROM pool) x WHERE r <= 30", "pool")
 def hash_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.hash_stratified(view(spark, d, "pool"), "cell", "id", 30, 20260804)
 
@@ -572,6 +578,30 @@ def header_depth(spark: SparkSession, d: str) -> DataFrame:
     return fingerprint.header_depth(fingerprint.row_profiles(view(spark, d, "cells")))
 
 
+REGIONS = f"{HEADS}, rg AS (SELECT doc, sheet, 0 AS idx, bottom, CASE WHEN start IS NULL THEN [] ELSE [start + i for i in range(header_depth)] END AS hr, coalesce(start, top) + header_depth AS bs FROM he), mv AS (SELECT 'header+1' AS variant, doc, sheet, idx, bottom, bs + 1 <= bottom AS ok, list_concat(hr, [bs]) AS hr, bs + 1 AS bs FROM rg UNION ALL SELECT 'header-1', doc, sheet, idx, bottom, len(hr) > 0, list_slice(hr, 1, len(hr) - 1), list_max(hr) FROM rg)"
+
+
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    heads = fingerprint.header_depth(fingerprint.row_profiles(view(spark, d, "cells")))
+    rows = F.when(F.col("start").isNull() | (F.col("header_depth") < 1), F.array().cast("array<bigint>")).otherwise(F.sequence(F.col("start").cast("long"), F.col("start") + F.col("header_depth") - 1))
+    return heads.select("doc", "sheet", F.lit(0).alias("idx"), rows.alias("header_rows"), (F.coalesce("start", "top") + F.col("header_depth")).alias("body_start_row"), F.col("bottom").alias("body_end_row"))
+
+
+@_add("header_moves", f"WITH {REGIONS} SELECT variant, doc, sheet, idx, CASE WHEN ok THEN array_to_string(hr, ',') END AS header_rows, CASE WHEN ok THEN CAST(bs AS BIGINT) END AS body_start_row, CASE WHEN ok THEN CAST(bottom AS BIGINT) END AS body_end_row FROM mv", "cells")
+def header_moves(spark: SparkSession, d: str) -> DataFrame:
+    moved = sensitivity.header_moves(_regions(spark, d))
+    return moved.withColumn("header_rows", F.when(F.col("header_rows").isNotNull(), F.array_join("header_rows", ",")))
+
+
+@_add("header_move_roles", f"WITH {REGIONS} SELECT variant, CASE WHEN list_contains(hr, c.row) THEN 'Header' ELSE 'Data' END AS role, count(*) AS n FROM mv JOIN cells c USING (doc, sheet) WHERE ok AND c.row BETWEEN coalesce(list_min(hr), bs) AND bottom AND c.value IS NOT NULL GROUP BY ALL", "cells")
+def header_move_roles(spark: SparkSession, d: str) -> DataFrame:
+    """Cells by role in all regions whose header moved."""
+    moved = sensitivity.header_moves(_regions(spark, d)).filter("body_start_row IS NOT NULL")
+    sides = moved.withColumns({"first_row": F.coalesce(F.array_min("header_rows"), "body_start_row"), "last_row": F.col("body_end_row"), "first_col": F.lit(0), "last_col": F.lit(1 << 14)})
+    roles = [layout.cells_in_regions(view(spark, d, "cells"), sides.filter(F.col("variant") == v)).select(F.lit(v).alias("variant"), "role") for v in ("header+1", "header-1")]
+    return roles[0].unionByName(roles[1]).groupBy("variant", "role").agg(F.count("*").alias("n"))
+
+
 FEATURES = f"""{HEADS}, sz AS (SELECT doc, sheet, max(last_col) + 1 AS n_cols, CAST(sum(n) AS BIGINT) AS n_nonempty FROM pr GROUP BY ALL), nb AS (SELECT doc, sheet, count(*) FILTER (n_rows >= 3 AND width >= 2) AS n_blocks FROM bl GROUP BY ALL),
  bd AS (SELECT doc, sheet, round(avg(numeric_ratio), 4) AS bnr, round(avg(CASE WHEN stub_is_label THEN 1 ELSE 0 END), 4) AS sr FROM pr JOIN he USING (doc, sheet) WHERE row >= first_data GROUP BY ALL),
  cn AS (SELECT c.doc, c.sheet, bool_or(row = start AND col = 0) AS used FROM cells c JOIN he ON he.doc = c.doc AND he.sheet = c.sheet GROUP BY ALL),
