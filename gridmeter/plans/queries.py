@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import names as N
+from ..functions import sql as S
 from ..functions import text as T
 from ..functions.numeric import wilson_high, wilson_low
 from ..operators import catalog, checks, evidence, fingerprint, layout, reports, rules, sampling, sensitivity, tables
@@ -194,6 +195,12 @@ def nested_violations(spark: SparkSession, d: str) -> DataFrame:
     return evidence.flatten_violations(evidence.flatten_checks(_documents(spark, d)))
 
 
+@_add("nested_checks_in_sql", f"SELECT *, 1 AS n_violations FROM ({ORACLES['nested_checks']}) x")
+def nested_checks_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    S.register(spark)
+    return spark.sql("SELECT * FROM flatten_checks(TABLE({documents}) PARTITION BY stem)", documents=_documents(spark, d))
+
+
 # --- layout -----------------------------------------------------------------------------------
 PREDS = "p AS (SELECT * FROM pred WHERE NOT abstain)"
 PAIRS = f"""{PREDS}, pr AS (SELECT g.doc, g.sheet, CAST(p.idx AS INT) AS pi, CAST(g.idx AS INT) AS gi, CAST(greatest(abs(g.first_row - p.first_row), abs(g.first_col - p.first_col), abs(g.last_row - p.last_row), abs(g.last_col - p.last_col)) AS INT) AS be,
@@ -463,6 +470,13 @@ def title_stem(spark: SparkSession, d: str) -> DataFrame:
     return r.select("ord", era.alias("title")).select("ord", "title", T.title_stem("title").alias("stem"), T.title_stem_with_region("title").alias("stem_region"))
 
 
+@_add("title_stem_in_sql", ORACLES["title_stem"])
+def title_stem_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    S.register(spark)
+    titles = "SELECT ord, concat('令和', ord % 6 + 1, '年度 ', stem, '（東京都）第', ord % 9 + 1, '回') AS title FROM {resources}"
+    return spark.sql(f"SELECT ord, title, title_stem(title) AS stem, title_stem_with_region(title) AS stem_region FROM ({titles})", resources=view(spark, d, "resources"))
+
+
 NAMED = "SELECT p_partkey, 'e' || (p_partkey % 7) || '__' || p_partkey || '_t.' || list_extract(['xls', 'xlsx', 'XLSX', 'tar.gz', 'csv'], CAST(p_partkey % 5 + 1 AS INT)) AS name, list_extract(['a\\a\\b', 'a/b', 'a', 'a/a', 'a/ab'], CAST(p_partkey % 5 + 1 AS INT)) AS folder, list_extract(['基幹統計', '業務統計', '加工統計', 'その他', '?'], CAST(p_partkey % 5 + 1 AS INT)) AS stat_type, list_extract(['00200', '00550', '00999'], CAST(p_partkey % 3 + 1 AS INT)) AS code FROM part"
 
 
