@@ -13,7 +13,8 @@ The line's home learns which of its bands other lines share, linking.connect com
 pair by pair, and the homes tell the blocks which occurrence stays.
 
 Defined results: blank lines are never removed; null or empty text has 0 lines; a row without doc_id
-neither removes nor loses lines; rows that repeat a doc_id count as one document. Other columns are
+neither removes nor loses lines; rows that repeat a doc_id count as one document where their texts are equal,
+and as documents of their own where they differ, in the order of the texts' hashes. Other columns are
 ignored. Lines are told apart by 64-bit hashes (see kernels).
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .linking import LABELS, POSTINGS, SETS, U32, U64, connect, packed_sets, ranges
 from .ranges import BLOCKS, Row, answers, asked, asker, batch, dealt, each_part, firsts, looked_up, rows_of, spread
-from .storage import materialize, release, small_batches
+from .storage import materialize, release, small_batches, with_keys
 
 FLUSH_BYTES = 2 << 20
 SHINGLE, BANDS, ROWS, PERCENT = 8, 10, 4, 80
@@ -337,16 +338,22 @@ def n_lines(text: Column) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.size(F.split(text, "\n"))).otherwise(0).cast("long")
 
 
+def _lost(rows: DataFrame, percent: int) -> DataFrame:
+    """key and removed of the rows (key, text) that lose lines."""
+    return materialize(duplicate_lines(rows.select(F.col("key").alias("doc_id"), "text"), percent)).withColumnRenamed("doc_id", "key")
+
+
 def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines of every row of docs."""
-    lost = materialize(duplicate_lines(docs, percent))
-    out = docs.select("doc_id", n_lines(F.col("text")).alias("n_lines")).join(lost, "doc_id", "left")
+    rows = with_keys(docs.select("doc_id", "text"))
+    out = rows.select("key", "doc_id", n_lines(F.col("text")).alias("n_lines")).join(_lost(rows, percent), "key", "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))
 
 
 def without_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with the removed lines cut out of text."""
-    lost = materialize(duplicate_lines(docs, percent))
-    marked = docs.join(lost, "doc_id", "left")
+    rows = with_keys(docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("others")))
+    marked = rows.join(_lost(rows, percent), "key", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    return marked.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
+    return marked.select(*(text.alias(c) if c == "text" else F.col("others")[c].alias(c) for c in docs.columns))

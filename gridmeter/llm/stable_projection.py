@@ -141,8 +141,9 @@ class Block:
 def _tame(v: str) -> Column:
     """A vector whose squares neither overflow nor vanish: extreme ones are scaled by a power of two, which is exact and leaves cosines alone."""
     most = F.array_max(F.transform(v, F.abs))
-    scale = F.pow(F.lit(2.0), -F.floor(F.log2(most)))
-    return F.when(most.between(1e-100, 1e100), F.col(v)).otherwise(F.transform(v, lambda x: x * scale))
+    exponent = -F.floor(F.log2(most))  # up to 1074, more than one factor can hold
+    first = F.least(exponent, F.lit(1000))
+    return F.when(most.between(1e-100, 1e100), F.col(v)).otherwise(F.transform(v, lambda x: x * F.pow(F.lit(2.0), first) * F.pow(F.lit(2.0), exponent - first)))
 
 
 def _vectors(rows: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.selection import numbered as numbered_in_order
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir (or the context's checkpoint folder), which all executors share.
@@ -70,6 +72,21 @@ def numbered(df: DataFrame) -> DataFrame:
     return materialize(df.withColumn("row", F.monotonically_increasing_id()))
 
 
+def with_keys(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) with key, a long in the order of doc_id that tells rows of one doc_id apart where their texts differ.
+
+    It is doc_id itself where none repeats. Else each pair of doc_id and text gets its place among all, in the order of doc_id and the text's
+    SHA-256; rows that repeat both share it. Null where doc_id is.
+    """
+    named = docs.filter("doc_id IS NOT NULL")
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs.withColumn("key", F.col("doc_id").cast("long"))
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    places = numbered_in_order(named.select(F.col("doc_id").alias("_id"), digest.alias("_digest")).distinct(), [], ["_id", "_digest"])
+    marked = docs.withColumn("_own", digest)
+    return marked.join(places.withColumnRenamed("place", "key"), [F.col("doc_id") == F.col("_id"), F.col("_own") == F.col("_digest")], "left").select(*docs.columns, "key")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
