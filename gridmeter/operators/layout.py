@@ -26,7 +26,7 @@ def _boxes(df: DataFrame, name: str) -> DataFrame:
     return df.select(*KEYS, F.col("idx").cast("int").alias(f"{name}i"), B.box().alias(name))
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Boxes that several steps read, written once."""
     return written(df.select(*KEYS, "idx", *B.SIDES))
 
@@ -77,7 +77,7 @@ def greedy_matches(gt: DataFrame, pred: DataFrame) -> DataFrame:
 
 def eob_by_sheet(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """doc, sheet, n (tolerance), tp, fp, fn, iou_sum of every sheet with truth; predictions on others are ignored."""
-    gt, pred = _kept(gt), _kept(pred)
+    gt, pred = kept(gt), kept(pred)
     kind = lambda df, name: df.groupBy(*KEYS).agg(F.count("*").alias(name))
     within = lambda n: F.col("be") <= n
     matched = greedy_matches(gt, pred).groupBy(*KEYS).agg(*(c for n in TOLERANCES for c in (F.count_if(within(n)).alias(f"tp{n}"), F.sum(F.when(within(n), F.col("iou"))).alias(f"sum{n}"))))
@@ -107,7 +107,7 @@ def coverage(areas: DataFrame, keys: list[str]) -> DataFrame:
 
 def best_iou(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """doc, sheet, side (gt or pred), idx, best: each box's best IoU with the other side; predictions of sheets without truth are ignored."""
-    gt, pred = _kept(gt), _kept(pred)
+    gt, pred = kept(gt), kept(pred)
     one = lambda name, i: F.struct(F.lit(name).alias("side"), F.col(i).cast("int").alias("idx"))
     met = overlapping_pairs(gt, pred).select(*KEYS, F.inline(F.array(one("gt", "gi"), one("pred", "pi"))), F.col("iou").alias("best"))
     alone = [df.select(*KEYS, F.lit(name).alias("side"), F.col("idx").cast("int").alias("idx"), F.lit(0.0).alias("best")) for df, name in ((gt, "gt"), (pred.join(gt.select(*KEYS).distinct(), KEYS, "left_semi"), "pred"))]
