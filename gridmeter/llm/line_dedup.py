@@ -25,15 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .linking import LABELS, POSTINGS, SETS, U32, U64, connect, packed_sets, ranges
+from .linking import LABELS, POSTINGS, SETS, U32, U64, connect, packed_sets
 from .ranges import BLOCKS, Row, answers, asked, asker, batch, dealt, each_part, firsts, looked_up, rows_of, spread
-from .storage import materialize, release, small_batches, with_keys
+from .storage import materialize, partitions, release, small_batches, with_keys
 
 FLUSH_BYTES = 2 << 20
+#: Bytes of text for each home of lines.
+HOME_BYTES = 12 << 20
 SHINGLE, BANDS, ROWS, PERCENT = 8, 10, 4, 80
 #: Shingles whose minima are taken at once; lines a task remembers having sent, which changes the volume only.
 CACHED, REMEMBERED = 1 << 16, 1 << 20
@@ -313,23 +315,29 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield step(at, held)
 
 
+def homes(spark: SparkSession, size: int) -> np.ndarray:
+    """The ranges of lines: one for each HOME_BYTES of text, as far as there are partitions, so that small inputs don't fill many tasks with little."""
+    return K.even_keys(max(1, min(partitions(spark), -(-size // HOME_BYTES))), 1)
+
+
 def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, removed (ascending line numbers from 0) of the documents of docs (doc_id, text) that lose lines."""
     spark = docs.sparkSession
     small_batches(spark)
-    keys = ranges(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+    keys = homes(spark, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     read = materialize(docs.mapInArrow(_read_lines(keys), BLOCKS), "kind")
     only = lambda df, *kinds: df.filter(F.col("kind").isin(*kinds))
     texts = only(read, TEXTS)
-    banded = dealt(texts).mapInArrow(each_part(_band(keys)), BLOCKS)
-    shared = dealt(banded).mapInArrow(each_part(_shared_bands), BLOCKS)
-    prepared = materialize(dealt(texts, shared).mapInArrow(each_part(_prepare), BLOCKS), "kind")
+    n = len(keys)
+    banded = dealt(texts, n=n).mapInArrow(each_part(_band(keys)), BLOCKS)
+    shared = dealt(banded, n=n).mapInArrow(each_part(_shared_bands), BLOCKS)
+    prepared = materialize(dealt(texts, shared, n=n).mapInArrow(each_part(_prepare), BLOCKS), "kind")
     release(read, f"kind={TEXTS}")
     labels = connect(prepared, percent, keys, line_sets)
     first = only(read, FIRSTS)
-    kept = dealt(dealt(first, labels).mapInArrow(each_part(_ask_kept(keys)), BLOCKS)).mapInArrow(each_part(_answer_kept), BLOCKS)
-    told = dealt(first, labels, kept).mapInArrow(each_part(_tell), BLOCKS)
+    kept = dealt(dealt(first, labels, n=n).mapInArrow(each_part(_ask_kept(keys)), BLOCKS), n=n).mapInArrow(each_part(_answer_kept), BLOCKS)
+    told = dealt(first, labels, kept, n=n).mapInArrow(each_part(_tell), BLOCKS)
     lost = dealt(only(read, OCCURRENCES), told).mapInArrow(_removed, "doc_id long, removed array<int>")
     return lost.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
 
