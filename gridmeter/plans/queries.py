@@ -12,7 +12,7 @@ from ..functions import names as N
 from ..functions import sql as S
 from ..functions import text as T
 from ..functions.numeric import wilson_high, wilson_low
-from ..operators import catalog, checks, evidence, fingerprint, layout, reports, rules, sampling, sensitivity, tables
+from ..operators import catalog, checks, evidence, fingerprint, headers, layout, reports, rules, sampling, sensitivity, tables
 from .standins import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -616,6 +616,17 @@ def header_move_roles(spark: SparkSession, d: str) -> DataFrame:
     return roles[0].unionByName(roles[1]).groupBy("variant", "role").agg(F.count("*").alias("n"))
 
 
+@_add("header_agreement", f"""WITH {REGIONS}, h AS (SELECT DISTINCT c.doc % 10 AS template, c.doc AS doc, trim(c.value) AS header FROM cells c JOIN rg USING (doc, sheet) WHERE list_contains(hr, c.row) AND trim(c.value) <> ''),
+ s AS (SELECT template, doc, list_sort(list(header)) AS k FROM h GROUP BY ALL), g AS (SELECT template, k, len(k) AS n_headers, count(*) AS n_docs FROM s GROUP BY ALL), e AS (SELECT template, k, unnest(k) AS header FROM g),
+ p AS (SELECT a.template AS template, a.k AS k, b.k AS other, count(*) AS shared FROM e a JOIN e b ON a.template = b.template AND a.header = b.header AND a.k <> b.k GROUP BY ALL),
+ w AS (SELECT p.template AS template, p.k AS k, count(*) AS n_sets, sum(o.n_docs) AS n_docs FROM p JOIN g ON g.template = p.template AND g.k = p.k JOIN g o ON o.template = p.template AND o.k = p.other WHERE 100 * shared >= 80 * g.n_headers GROUP BY ALL)
+ SELECT g.template AS template, substr(sha256(array_to_string(g.k, chr(31))), 1, 16) AS set_id, g.n_headers AS n_headers, g.n_docs AS n_docs, CAST(coalesce(w.n_sets, 0) AS BIGINT) AS n_containing_sets, CAST(coalesce(w.n_docs, 0) AS BIGINT) AS n_containing_docs FROM g LEFT JOIN w ON w.template = g.template AND w.k = g.k""", "cells")
+def header_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Header sets across the files of a template, which documents with the same last digit stand for."""
+    cells = headers.header_cells(view(spark, d, "cells"), _regions(spark, d))
+    return headers.header_agreement(cells.select((F.col("doc") % 10).alias("template"), "doc", "header"))
+
+
 FEATURES = f"""{HEADS}, sz AS (SELECT doc, sheet, max(last_col) + 1 AS n_cols, CAST(sum(n) AS BIGINT) AS n_nonempty FROM pr GROUP BY ALL), nb AS (SELECT doc, sheet, count(*) FILTER (n_rows >= 3 AND width >= 2) AS n_blocks FROM bl GROUP BY ALL),
  bd AS (SELECT doc, sheet, round(avg(numeric_ratio), 4) AS bnr, round(avg(CASE WHEN stub_is_label THEN 1 ELSE 0 END), 4) AS sr FROM pr JOIN he USING (doc, sheet) WHERE row >= first_data GROUP BY ALL),
  cn AS (SELECT c.doc, c.sheet, bool_or(row = start AND col = 0) AS used FROM cells c JOIN he ON he.doc = c.doc AND he.sheet = c.sheet GROUP BY ALL),
