@@ -1,11 +1,14 @@
 """Size-tiered compaction of shards under versioned manifests. DataFrame operations only.
 
-A store is a folder. Arrivals are appended as small immutable shards (a Parquet file each). A shard's tier is
-that of its size: tiers grow by fan_in up to FULL of the target, and shards of at least
-FULL of the target are finished. Once a tier has a run of fan_in shards, which are thus of similar size, they
+A store is a folder. Arrivals are appended as small immutable shards (a Parquet file each). A shard is
+finished once its own size reaches FULL of the target, and never before. The others are in classes that grow by
+fan_in, by the bytes of the arrivals in them as these came: unlike the sizes of files, which share footers and
+dictionaries once they are merged, these add up. Tiers are the upper classes; all below them are tier 0. Once a
+class has a run of fan_in shards, which are thus of similar size, they
 are read together, dealt to as many tasks as target-sized files hold them, and written as larger shards;
-nothing is shuffled. A merged shard rises by a tier at least, so no row is written more than TIERS + 1 times. Runs
-go on until no tier has one. A commit writes the list of live shards as one file
+nothing is shuffled. A merged shard is in a higher class, so no row is written more
+than once for each class, their number being the logarithm of arrivals' bytes; and however tiny arrivals are, none ends in a small shard that is out of reach. Runs
+go on until no class has one; each leaves fewer shards. A commit writes the list of live shards as one file
 and gives it the next version's name, which fails if that name exists: on a local file system by a hard
 link, elsewhere by a rename that does not overwrite. So of two committers one wins and the other starts
 over. Readers take the highest version; files that no manifest names are debris of lost attempts, harmless
@@ -28,6 +31,7 @@ from pyspark.sql.types import StructType
 TARGET_BYTES, FAN_IN = 128 << 20, 4
 #: Tiers below the finished shards, and the share of the target from which a shard is finished.
 TIERS, FULL = 4, 0.5
+#: bytes: of the arrivals that a shard holds, as they came.
 _ENTRIES = "shard string, tier int, bytes long"
 
 
@@ -97,16 +101,32 @@ class ShardStore:
             raise
         return True
 
+    def size_class(self, size: int) -> int:
+        """The power of fan_in, counted from FULL of the target, that a size reaches: 0 from there on, -1 below it and so on."""
+        power, least = 0, FULL * self.target
+        while max(size, 1) < least:
+            power, least = power - 1, least / self.fan_in
+        while size >= least * self.fan_in:
+            power, least = power + 1, least * self.fan_in
+        return power
+
     def tier(self, size: int) -> int:
         """0 for the smallest shards, TIERS for finished ones."""
-        if size >= FULL * self.target:
-            return TIERS
-        return next(t for t in range(TIERS) if t == TIERS - 1 or size < FULL * self.target / self.fan_in ** (TIERS - 1 - t))
+        return min(TIERS, max(0, TIERS + self.size_class(size)))
 
-    def _write(self, df: DataFrame, least: int = 0) -> list[tuple[str, int, int]]:
+    def _write(self, df: DataFrame, arrived: int | None = None) -> list[tuple[str, int, int]]:
+        """Shards of the rows of df, which came as so many bytes (None: they come now)."""
         folder = f"shards/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
-        return [(name, max(least, self.tier(size)), size) for name, size in self._files(folder)]
+        files = self._files(folder)
+        total = sum(size for _, size in files)
+        shards = [(name, size, size if arrived is None else arrived * size // total) for name, size in files]
+        return [(name, TIERS if size >= FULL * self.target else min(TIERS - 1, self.tier(came)), came) for name, size, came in shards]
+
+    def _sizes(self, names: list[str]) -> list[int]:
+        """Sizes of the files of shards."""
+        known = dict(f for folder in sorted({n.rpartition("/")[0] for n in names}) for f in self._files(folder))
+        return [known[n] for n in names]
 
     def append(self, df: DataFrame) -> int:
         """The rows of df as small shards, one for each of its partitions with rows."""
@@ -119,12 +139,16 @@ class ShardStore:
                 continue
 
     def runs(self, entries: list[tuple[str, int, int]]) -> dict[int, list[tuple[str, int, int]]]:
-        """By tier, the unfinished shards to merge, if they are enough."""
-        small: dict[int, list[tuple[str, int, int]]] = {}
+        """By tier, the unfinished shards of its fullest class, if they are enough to merge."""
+        small: dict[tuple[int, int], list[tuple[str, int, int]]] = {}
         for e in entries:
             if e[1] < TIERS:
-                small.setdefault(e[1], []).append(e)
-        return {tier: run for tier, run in small.items() if len(run) >= self.fan_in}
+                small.setdefault((e[1], self.size_class(e[2])), []).append(e)
+        out: dict[int, list[tuple[str, int, int]]] = {}
+        for (tier, _), run in sorted(small.items()):
+            if len(run) >= max(self.fan_in, len(out.get(tier, ())) + 1):
+                out[tier] = run
+        return out
 
     def read_shards(self, names: list[str]) -> DataFrame:
         if not names:
@@ -138,10 +162,10 @@ class ShardStore:
         runs = self.runs(entries)
         if not runs:
             return base
-        for tier, run in sorted(runs.items()):
-            total = sum(e[2] for e in run)
-            files = max(1, min(len(run) // self.fan_in, -(-total // self.target)) if total < self.target else -(-total // self.target))
-            merged = self._write(self.read_shards([e[0] for e in run]).coalesce(files), min(tier + 1, TIERS))
+        for _, run in sorted(runs.items()):
+            names = [e[0] for e in run]
+            files = max(1, -(-sum(self._sizes(names)) // self.target))
+            merged = self._write(self.read_shards(names).coalesce(files), sum(e[2] for e in run))
             gone = {e[0] for e in run}
             entries = [e for e in entries if e[0] not in gone] + merged
         return self.commit(entries, base)

@@ -125,6 +125,30 @@ def test_runs_are_of_similar_sizes(spark, make_docs):
     assert set(store.runs([size(1 << 10)] * 4 + [size(60 << 20)] * 3)) == {0}
 
 
+def test_tiny_appends_end_in_shards_that_may_still_merge(spark, make_docs):
+    docs = make_docs(["one row"]).coalesce(1)
+    store = sharding.ShardStore(spark, shared_folder(spark), docs.schema, fan_in=4)
+    names = store._write(docs.withColumn("doc_id", F.explode(F.sequence(F.lit(0), F.lit(255)))).repartition(256, "doc_id").select(*docs.columns))
+    assert len(names) > 100  # files of a row or a few
+    store.commit(names, store.version())
+    store.settle()
+    left = store.manifest()
+    assert sorted(r.doc_id for r in store.read().collect()) == list(range(256))
+    assert len(left) < 4 * 4 and {t for _, t, _ in left} == {0} and all(t == store.tier(b) for _, t, b in left)
+    for i in range(4):
+        store.append(docs.withColumn("doc_id", F.lit(1000 + i).cast("long")))
+    store.settle()
+    assert len(store.manifest()) < len(left) + 4 and store.read().count() == 260
+
+
+def test_unlike_sizes_do_not_merge(spark, make_docs):
+    store = sharding.ShardStore(spark, shared_folder(spark), make_docs(["x"]).schema, 128 << 20, 4)
+    size = lambda b: (f"f{b}", store.tier(b), b)
+    assert not store.runs([size(300)] * 3 + [size(5_000)] * 3 + [size(70_000)] * 3)
+    run = store.runs([size(300)] * 4 + [size(5_000)] * 5 + [size(70_000)] * 3 + [size(2 << 20)] * 4)
+    assert {t: {b for _, _, b in r} for t, r in run.items()} == {0: {5_000}, 1: {2 << 20}}
+
+
 def test_empty_table_has_a_version(spark, make_docs):
     store = sharding.shard(make_docs(EDGES).limit(0), shared_folder(spark))
     assert store.version() >= 1 and store.read().count() == 0
