@@ -9,11 +9,12 @@ content features are the texts of its blocks and the targets of its links. With
 
 A leaf's composite importance adds the presentation importance of its ancestors, the nearest first,
 discounted by (1 - g) g**distance, to g**depth times its content importance. A branch goes when all its
-leaves fall below `least`. Landmarks give the tree a prior: branches that are menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, comments or hidden have importance 0 (a header within an
-article counts as its heading), and where a page has an article or main element, what stands outside has
-importance 0 too. If sampling the site would take more than half of what the priors leave of a page (hosts
-whose pages are all near copies), the priors alone decide for that page.
+leaves fall below `least`; below twice that where a class or id in its path has a word of NOISE_NAMES. Landmarks give the tree a prior: branches that are menus, headers, footers,
+sidebars, notices, adverts, scripts, comments or hidden have importance 0 (a header within an
+article counts as its heading). A name says so only if all its words do ("cookie-banner", not "cookie-recipe"). Where a page has an article or main element with prose, what stands
+outside has importance 0 too, unless that is four times as much prose; articles of headings and links alone are teasers beside one with prose.
+A form goes, but for one around an article or around most of a page's prose, which loses its labels only. If
+the tree would leave nothing but headings of a page (hosts whose pages are all copies), the priors alone decide for that page.
 
 Only paths, counts and hashes leave the pages; equal pages of a host count once. The low branches go to
 the pages by a broadcast up to a checked size and else by a join whose keys are salted, so that one host
@@ -41,27 +42,34 @@ from .storage import materialize, small_batches
 #: Composite importance below which a branch goes, the discount, and the pages from which a host is judged.
 LEAST, DISCOUNT, MIN_PAGES = 0.2, 0.9, 5
 BROADCAST_PATHS, SALTS = 200_000, 64
+#: So many times an article's prose outside of it, and it is no main part.
+OUTSIDE = 4
 #: HTML's elements by kind.
+PROSE_TAGS = frozenset("p li td dd dt pre blockquote".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg canvas object select".split())
 INLINE = frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder semantics a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-NOISE_TAGS = frozenset("nav footer aside form button head dialog menu".split())
+NOISE_TAGS = frozenset("nav footer aside button head dialog menu".split())
+HEADINGS, LABELS = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("label legend".split())
 MAIN_TAGS = frozenset(("article", "main"))
 #: A new one of these ends an open one (and what is open in it), up to the nearest of the second set.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body div article main section nav aside header footer ul ol dl table td th blockquote form".split())
 BLOCKS_END_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: Words of classes, ids and roles that mark a branch as no part of the article, wherever they stand in a name ...
+#: Words of classes, ids and roles for what is no part of an article, and words for parts of a page. A name of such words alone, with one of the
+#: first or second list, marks a branch as no part of the article; a word of the first list anywhere makes the tree doubt the branch.
 NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs footer sidebar "
     "cookie cookies consent gdpr newsletter subscription signup comments commentlist disqus pagination pager masthead topbar contentinfo complementary".split()
 )
-#: ... and only where the name has nothing but such words and words for parts of a page.
 NOISE_PARTS = frozenset(
     "promo promotion aside widget widgets related recommended notice notices notification alert popup modal overlay subscribe login share sharing social comment "
-    "reply replies respond toolbar search hidden dialog form skip".split()
+    "reply replies respond toolbar search hidden skip".split()
+)
+PART_WORDS = frozenset(
+    "area article articles bar block blog bottom box button buttons container content desktop dialog entry fixed form global header icons inner item items left link links list main "
+    "mobile page panel post posts primary right row secondary section site slot sticky stories thread title top unit wrap wrapper".split()
 )
-PART_WORDS = frozenset("area articles bar block bottom box button buttons container content header icons inner item items left link links list main panel posts right row section site stories title top wrap wrapper".split())
 #: An article element with one of these is no main part of its page.
 TEASERS = frozenset("teaser card preview promo related recommended summary".split())
 _TOKEN = re.compile(
@@ -75,19 +83,20 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("children", "main", "noise", "path", "tag")
+    __slots__ = ("article", "children", "form", "link", "main", "noise", "path", "tag")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main, self.children = tag, path, noise, main, []
+    def __init__(self, tag: str, path: str, noise: bool, main: bool, article: int = 0, form: int = 0, link: bool = False):
+        """article and form: numbers of the outermost article and form that the node is in, or 0."""
+        self.tag, self.path, self.noise, self.main, self.article, self.form, self.link, self.children = tag, path, noise, main, article, form, link, []
 
 
 class Block:
     """Text of one block element, in page order, up to the next block's start."""
 
-    __slots__ = ("href", "main", "node", "parts")
+    __slots__ = ("href", "main", "node", "parts", "prose")
 
     def __init__(self, node: Node, main: bool):
-        self.node, self.main, self.parts, self.href = node, main, [], []
+        self.node, self.main, self.parts, self.href, self.prose = node, main, [], [], 0
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
@@ -102,18 +111,24 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _noise(names: list[str]) -> bool:
-    """Whether one of the names marks a branch as no part of the article."""
+    """Whether one of the names says, with all its words, that a branch is no part of the article."""
     for name in names:
         parts = _WORD.findall(name)
-        if any(p in NOISE_NAMES for p in parts) or any(p in NOISE_PARTS for p in parts) and all(p in NOISE_PARTS or p in PART_WORDS for p in parts):
+        if any(p in NOISE_NAMES or p in NOISE_PARTS for p in parts) and all(p in NOISE_NAMES or p in NOISE_PARTS or p in PART_WORDS for p in parts):
             return True
     return False
 
 
-def parse(source: str) -> tuple[list[Block], dict[str, list[str]], bool]:
-    """Blocks in page order that no prior removes (with whether they stand in the main part), child sequences by path, whether there is a main part."""
+def _hidden(a: dict[str, str]) -> bool:
+    style = "".join(a.get("style", "").lower().split())
+    return "hidden" in a or a.get("aria-hidden", "").strip().lower() == "true" or "display:none" in style or "visibility:hidden" in style
+
+
+def parse(source: str) -> tuple[list[Block], dict[str, list[str]], set[int]]:
+    """Blocks in page order that no landmark removes (with whether they stand in the main part), child sequences by path, forms that hold a main part."""
     root = Node("", "", False, False)
-    stack, blocks, styles, has_main = [root], [], {}, False
+    stack, blocks, styles, around = [root], [], {}, set()
+    articles = forms = 0
     block: Block | None = None
     skip = ""  # the raw element we are in
     at = 0
@@ -129,6 +144,8 @@ def parse(source: str) -> tuple[list[Block], dict[str, list[str]], bool]:
             block = Block(node, stack[-1].main)
             blocks.append(block)
         block.parts.append(text)
+        if not stack[-1].link:
+            block.prose += len(text.strip())
 
     def close(k: int) -> None:
         nonlocal block
@@ -184,12 +201,19 @@ def parse(source: str) -> tuple[list[Block], dict[str, list[str]], bool]:
         parent = stack[-1]
         own_main = tag in MAIN_TAGS or a.get("role", "").lower() in ("main", "article")
         main = parent.main or own_main and not (tag == "article" and any(w in TEASERS for n in names for w in _WORD.findall(n)))
-        hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
-        noise = parent.noise or tag in NOISE_TAGS or hidden or _noise(names) and tag not in ("html", "body", *MAIN_TAGS) or tag == "header" and not parent.main
+        noise = parent.noise or tag in NOISE_TAGS or tag in LABELS and parent.form > 0 or _hidden(a) or _noise(names) and tag not in ("html", "body", *MAIN_TAGS) or tag == "header" and not parent.main
         label = f"{tag}.{'.'.join(sorted(_DIGITS.sub('0', a.get('class', '') + ' ' + a.get('id', '')).split()))}" if names else tag
         parent.children.append(label)
-        node = Node(tag, f"{parent.path}/{label}", noise, main and not noise)
-        has_main |= node.main
+        if own_main:
+            around.add(parent.form)
+        article = parent.article
+        if not article and (tag == "article" or a.get("role", "").lower() == "article"):
+            articles += 1
+            article = articles
+        if tag == "form" and not parent.form:
+            forms += 1
+        form = parent.form or (forms if tag == "form" else 0)
+        node = Node(tag, f"{parent.path}/{label}", noise, main and not noise, article, form, parent.link or tag == "a" or tag in HEADINGS)
         if tag not in INLINE:
             block = None
         stack.append(node)
@@ -198,27 +222,39 @@ def parse(source: str) -> tuple[list[Block], dict[str, list[str]], bool]:
     if not skip and at < len(source):
         add(html.unescape(source[at:]))
     close(0)
-    return blocks, styles, has_main
+    return blocks, styles, around
+
+
+def _prose(blocks: list[Block]) -> int:
+    """Characters outside headings and links."""
+    return sum(b.prose for b in blocks)
 
 
 def _kept(source: str | None) -> tuple[list[Block], dict[str, list[str]]]:
     """Blocks after the priors."""
-    blocks, styles, has_main = parse(source or "")
+    blocks, styles, around = parse(source or "")
     blocks = [b for b in blocks if b.text()]
-    if has_main and any(b.main for b in blocks):
-        blocks = [b for b in blocks if b.main]
+    wide = {f for f in {b.node.form for b in blocks} if 2 * _prose([b for b in blocks if b.node.form == f and b.node.tag in PROSE_TAGS]) > _prose(blocks)}
+    blocks = [b for b in blocks if not b.node.form or b.node.form in around or b.node.form in wide]
+    told = {b.node.article for b in blocks if b.main and b.prose}
+    if told - {0}:
+        blocks = [b for b in blocks if not (b.main and b.node.article and b.node.article not in told)]
+    main = [b for b in blocks if b.main]
+    if main and _prose([b for b in blocks if not b.main and b.node.tag in PROSE_TAGS]) <= OUTSIDE * _prose(main):
+        return main, styles
+    if main and told - {0}:  # articles beside a longer story are its teasers
+        return [b for b in blocks if not (b.main and b.node.article)], styles
     return blocks, styles
 
 
 def main_text(source: str | None, low: set[str] = frozenset()) -> str:
     """The page's text without the branches whose paths are low."""
     blocks, _ = _kept(source)
-    texts = [b.text() for b in blocks]
     if low:
-        stay = [t for b, t in zip(blocks, texts, strict=True) if b.node.path not in low]
-        if 2 * sum(map(len, stay)) >= sum(map(len, texts)):
-            texts = stay
-    return " ".join(texts)
+        stay = [b for b in blocks if b.node.path not in low]
+        if any(b.node.tag not in HEADINGS for b in stay):
+            blocks = stay
+    return " ".join(b.text() for b in blocks)
 
 
 def host(url: Column) -> Column:
@@ -255,6 +291,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["host", "path", "kind", "feature", "pages", "times"])
 
 
+def _doubted(path: Column) -> Column:
+    """Whether a class or id below the body has a word of NOISE_NAMES."""
+    return F.regexp_replace(F.lower(path), "^/html[^/]*/body[^/]*", "").rlike(f"(?<![a-z])({'|'.join(sorted(NOISE_NAMES))})(?![a-z])")
+
+
 def low_paths(pages: DataFrame, least: float = LEAST, discount: float = DISCOUNT, min_pages: int = MIN_PAGES) -> DataFrame:
     """host, path of the leaves whose composite importance on their host is below least. pages: host, html."""
     distinct = pages.dropDuplicates(["host", "html"])
@@ -273,7 +314,7 @@ def low_paths(pages: DataFrame, least: float = LEAST, discount: float = DISCOUNT
     joined = up.join(styles, ["host", "ancestor"], "left")
     weight = F.lit(1 - discount) * F.pow(F.lit(discount), F.col("far"))
     composite = F.sum(weight * F.coalesce("style", F.lit(1.0))) + F.pow(F.lit(discount), F.max("depth")) * F.max("content")
-    return materialize(joined.groupBy("host", "path").agg(composite.alias("importance")).filter(F.col("importance") < least).groupBy("host").agg(F.collect_set("path").alias("low")))
+    return materialize(joined.groupBy("host", "path").agg(composite.alias("importance")).filter(F.col("importance") < F.when(_doubted(F.col("path")), 2 * least).otherwise(least)).groupBy("host").agg(F.collect_set("path").alias("low")))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

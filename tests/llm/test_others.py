@@ -51,6 +51,87 @@ def test_attributes_are_read_as_attributes(page, text):
     assert site_style.main_text(page) == text
 
 
+STORY = "<p>" + "A sentence of the story itself. " * 9 + "</p>"
+TOLD = " ".join(["A sentence of the story itself."] * 9)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p class="ad-hoc">One</p></article>', "One"),
+        ('<article><section id="history-of-the-banner"><p>One</p></section></article>', "One"),
+        ('<div id="menu-of-the-day"><p>Soup</p></div>', "Soup"),
+        ('<article><div class="cookie-recipe"><p>Flour</p></div></article>', "Flour"),
+        ('<article><p class="dialog">Said she.</p></article>', "Said she."),
+        ('<article><h2 id="comments-on-the-budget">Budget</h2><p>Text</p></article>', "Budget Text"),
+        ('<article><p class="newsletter-history">Text</p></article>', "Text"),
+        (f"<form id=aspnetForm><input><label>Search</label><article><h1>T</h1>{STORY}</article><select><option>x</select></form>", f"T {TOLD}"),
+        (f"<form id=aspnetForm><input><h1>T</h1>{STORY}<div><button>Go</button></div></form>", f"T {TOLD}"),
+        (f"<article>{STORY}</article><form><p>Your name</p><input></form>", TOLD),
+        (f"<div>{STORY}</div><form><p>Your name</p><input></form>", TOLD),
+        (f"<article><h1>T</h1>{STORY}</article><article><h3><a href=/x>Other headline</a></h3></article>", f"T {TOLD}"),
+        (f"<main><h1>T</h1><article>{STORY}</article></main>", f"T {TOLD}"),
+        (f"<article><h1>T</h1><section><article>{STORY}</article></section></article>", f"T {TOLD}"),
+        (f"<article><h3>Other</h3><p>Read on</p></article><div class=story>{STORY}</div>", TOLD),
+        (f"<article>{STORY}</article><div><p>Short note</p></div>", TOLD),
+        (f'{STORY}<p style="Visibility: hidden">x</p><p aria-hidden="TRUE">y</p><div class="ad-slot-3">z</div><div class="entry-footer">by</div>', TOLD),
+    ],
+)
+def test_names_forms_and_teasers_do_not_cost_the_article(page, text):
+    assert site_style.main_text(page) == text
+
+
+def test_boilerplate_goes_from_short_stories_too(spark):
+    rng = random.Random(5)
+    boxes = "".join(f"<div class=b{c}><p>{' '.join(c * 4 for _ in range(18))}</p></div>" for c in "uvwxyz")
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    pages = [(i, "http://a.example/", f"<html><body>{boxes}<div class=story><p>{' '.join(rng.choices(words, k=6))}</p></div></body></html>") for i in range(8)]
+    rows = site_style.extract(spark.createDataFrame(pages, PAGES)).collect()
+    assert all(r.text == re.search("story><p>(.*?)</p>", pages[r.page_id][2])[1] for r in rows)
+
+
+def test_copies_that_differ_in_their_headings_keep_their_text(spark):
+    pages = [(i, "http://a.example/", f"<article><h1>Day {chr(97 + i)}</h1>{STORY}</article>") for i in range(9)]
+    rows = site_style.extract(spark.createDataFrame(pages, PAGES)).collect()
+    assert all(r.text == f"Day {chr(97 + r.page_id)} {TOLD}" for r in rows)
+
+
+def test_importance_against_a_plain_version(spark):
+    """Entropies of a small host, counted page by page."""
+    rng = random.Random(8)
+    pages = []
+    for i in range(12):
+        tag = rng.choice(["p", "p", "pre"])
+        body = "".join(f"<{tag}>{rng.choice('abc')} {rng.choice('defghi')}</{tag}>" for _ in range(rng.randint(1, 3)))
+        pages.append(f"<html><body><div class=s>{body}</div><div class=menu-card><p>{rng.choice(['same', 'same', 'same', 'other'])}</p></div><div class=z>always</div></body></html>")
+    pages = sorted(set(pages))
+    shown, styles, times = defaultdict(set), defaultdict(Counter), Counter()
+    for k, page in enumerate(pages):
+        blocks, seqs = site_style._kept(page)
+        paths = {"/".join(b.node.path.split("/")[:n]) for b in blocks for n in range(2, len(b.node.path.split("/")) + 1)}
+        for path in paths:
+            styles[path]["|".join(seqs[path])] += 1
+        for b in blocks:
+            shown[b.node.path, b.text()].add(k)
+            times[b.node.path, b.text()] += 1
+    want = set()
+    for leaf in {path for path, _ in times}:
+        m, total = sum(styles[leaf].values()), sum(n for (p, _), n in times.items() if p == leaf)
+        if m < site_style.MIN_PAGES:
+            continue
+        content = 1 - sum(n * math.log(len(shown[leaf, t]), m) for (p, t), n in times.items() if p == leaf) / total
+        parts, value = leaf.split("/"), 0.0
+        for far in range(len(parts) - 1):
+            up = styles["/".join(parts[: len(parts) - far])]
+            n = sum(up.values())
+            value += 0.1 * 0.9**far * -sum(c / n * math.log(c / n, n) for c in up.values())
+        value += 0.9 ** (len(parts) - 1) * content
+        if value < (0.4 if "menu-card" in leaf else 0.2):
+            want.add(leaf)
+    low = site_style.low_paths(spark.createDataFrame([("h", p) for p in pages], "host string, html string")).collect()
+    assert want and {p for r in low for p in r.low} == want and len(want) < len({p for p, _ in times})
+
+
 def test_long_broken_markup_takes_linear_time():
     assert site_style.main_text("<p a=" * 20_000 + "'" * 20_000 + "<b \"" * 20_000) is not None
 
