@@ -7,14 +7,15 @@ Stages work on rows: a row is told from others by a number of its own, never by
 empty table passes every stage; documents without doc_id are scored and kept, take no part in near-duplicate
 groups, and are mixed like any others; documents without words are clean, stay through the filters, and the
 mix takes none of them, as it takes words; rows that repeat a doc_id are copies where their texts are near
-ones, and documents of their own where they are not. The mix's rows come in the order of its slots.
+ones, and documents of their own where they are not. The mix's rows come in the order of its slots, which the shards' rows carry as `slot`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridmeter.llm import decontamination, mixing, ngram_join, sharding
@@ -63,9 +64,26 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return both.select(*COLUMNS)
 
 
+def _in_place(docs: DataFrame) -> DataFrame:
+    """docs with slot, from 0: the order of rows in the files of the table that docs is read from, which is the mix's; nothing but a count for each file is moved.
+
+    Of docs that are no table's (made in the session) slot is the order of their partitions and rows, with gaps.
+    """
+    try:
+        placed = docs.select(*COLUMNS, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        placed.schema  # noqa: B018 - resolves the names
+    except AnalysisException:
+        return docs.select(*COLUMNS, F.monotonically_increasing_id().alias("slot"))
+    part = F.expr("CAST(regexp_extract(_file, 'part-([0-9]+)', 1) AS LONG)")
+    counts = placed.groupBy("_file").agg(F.count("*").alias("n"))
+    ahead = Window.orderBy(part, "_file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    before = materialize(counts.select("_file", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before")))
+    return placed.join(_small(before), "_file").select(*COLUMNS, (F.col("before") + F.col("_at")).alias("slot"))
+
+
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the committed version of a compacted store holds them, with their shards."""
-    return sharding.placed(sharding.shard(docs.select(*COLUMNS), shared_folder(spark))).select(*COLUMNS, "shard", "tier")
+    """The documents as the committed version of a compacted store holds them, with the slots that the mix has them at, and their shards."""
+    return sharding.placed(sharding.shard(_in_place(docs), shared_folder(spark))).select(*COLUMNS, "slot", "shard", "tier")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
