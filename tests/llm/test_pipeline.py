@@ -1,5 +1,7 @@
 import random
 
+import pyarrow.parquet as pq
+
 import corpus_pipeline
 import __spark_entry__
 
@@ -59,6 +61,18 @@ def test_the_mix_comes_in_the_order_of_its_slots(spark, make_docs):
     assert len(got) == 90 and all(abs(got[:n].count("a") / n - got.count("a") / 90) < 0.12 for n in (30, 45, 60))
 
 
+def test_the_shards_carry_the_slots_of_the_mix(spark, make_docs, tmp_path):
+    docs = [(i, "w " * (900 + i), "en", "abc"[i % 3]) for i in range(90)]
+    mixed = corpus_pipeline.source_mix(spark, make_docs(docs), "").select(*corpus_pipeline.COLUMNS)
+    mixed.write.parquet(f"{tmp_path}/mixed.parquet")
+    files = sorted(tmp_path.glob("mixed.parquet/part-*.parquet"))
+    order = [i for f in files for i in pq.read_table(f)["doc_id"].to_pylist()]
+    out = corpus_pipeline.shards(spark, spark.read.parquet(f"{tmp_path}/mixed.parquet"), "").orderBy("slot").collect()
+    assert len(files) > 1 and [r.slot for r in out] == list(range(len(order))) and [r.doc_id for r in out] == order
+    own = corpus_pipeline.shards(spark, make_docs(["x", "y", "z"]), "").orderBy("slot").collect()
+    assert [r.text for r in own] == ["x", "y", "z"]
+
+
 def test_empty_tables_pass_every_stage(spark, make_docs, tmp_path):
     make_docs(["x"]).limit(0).drop("node", "part").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
