@@ -120,12 +120,14 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE, similarity
     summed = tokens.groupBy("window", "length", "k").agg(*_fingerprint())
     heavy = summed.join(small(least), ["length", "k"]).filter(F.col("held") >= F.lit(similarity) * F.col("least"))  # lighter windows hold no item of their length
     prints = marks.groupBy("item", "item_id", "length", "k").agg(*_fingerprint()).select("item", "item_id", "length", "k", F.col("held").alias("total"), _joined())
-    left = heavy.select("window", "length", "k", _joined()).select("window", "length", "k", "fingerprint", _blocks(radius)).select("window", "length", "k", "fingerprint", "x.*")
+    left = heavy.select("window", "length", "k", "held", _joined()).select("window", "length", "k", "held", "fingerprint", _blocks(radius)).select("window", "length", "k", "held", "fingerprint", "x.*")
     right = prints.select("item", "item_id", "total", "length", "k", "fingerprint", _blocks(radius)).select("item", "item_id", "total", "length", "k", F.col("fingerprint").alias("own"), "x.*")
     distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("own")))
-    near = left.join(small(right), ["length", "k", "block", "value"]).select("window", "item", "item_id", "total", distance.alias("distance")).filter(F.col("distance") <= radius).distinct()
-    shared = tokens.join(small(marks.select("item", "k", "shingle")), ["k", "shingle"]).groupBy("window", "item").agg(F.sum("weight").alias("shared"))
-    held = near.join(shared, ["window", "item"]).withColumn("similarity", F.col("shared") / F.col("total")).filter(F.col("similarity") >= similarity)
+    near = left.join(small(right), ["length", "k", "block", "value"]).filter(F.col("held") >= F.lit(similarity) * F.col("total"))  # no window shares more with an item than it holds
+    near = materialize(near.select("window", "item", "item_id", "total", distance.alias("distance")).filter(F.col("distance") <= radius).distinct())
+    met = near.select("window", "item", "item_id", "total", "distance").join(tokens.select("window", "shingle", "weight"), "window")  # the candidates' shingles only
+    shared = met.join(small(marks.select("item", "shingle")), ["item", "shingle"]).groupBy("window", "item", "item_id", "total", "distance").agg(F.sum("weight").alias("shared"))
+    held = shared.withColumn("similarity", F.col("shared") / F.col("total")).filter(F.col("similarity") >= similarity)
     both = windows.select("doc_id", "start", F.xxhash64("length", "k", "content").alias("window")).join(held.select("window", "item_id", "distance", "similarity"), "window")
     best = both.groupBy("doc_id", "item_id").agg(F.min_by(F.struct("start", "distance", "similarity"), F.struct(-F.col("similarity"), "start", "distance")).alias("x"))
     return best.select("doc_id", "item_id", "x.*")
