@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .linking import LABELS, POSTINGS, SETS, U32, U64, connect, packed_sets
-from .ranges import BLOCKS, Row, answers, asked, asker, batch, dealt, each_part, firsts, looked_up, rows_of, spread
+from .ranges import BLOCKS, Row, answers, asked, asker, batch, block_number, dealt, each_part, firsts, looked_up, rows_of, spread
 from .storage import materialize, partitions, release, small_batches, with_keys
 
 FLUSH_BYTES = 2 << 20
@@ -119,7 +119,7 @@ def _read_lines(keys: np.ndarray):
 
         task, seen = TaskContext.get().partitionId(), set()
         for number_of_block, table in enumerate(K.gathered(batches, FLUSH_BYTES)):
-            block = task << 12 | number_of_block
+            block = block_number(task, number_of_block)
             table = table.filter(pc.is_valid(table["doc_id"]))
             data, starts, ends, row, number = lines(table["text"])
             if not len(starts):

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .linking import LABELS, POSTINGS, SETS, connect, label_rows, packed_sets, ranges, unpacked_sets
-from .ranges import BLOCKS, Row, answers, asked, asker, batch, dealt, each_part, firsts, looked_up, rows_of, spread
+from .ranges import BLOCKS, Row, answers, asked, asker, batch, block_number, dealt, each_part, firsts, looked_up, rows_of, spread
 from .storage import BROADCAST_ROWS, materialize, partitions, small_batches
 
 FLUSH_BYTES = 3 << 20
@@ -235,7 +235,7 @@ def _tokens(k: int, keys: np.ndarray):
 
         task, seen = TaskContext.get().partitionId(), set()
         for number, table in enumerate(K.gathered(batches, FLUSH_BYTES)):
-            block = task << 12 | number
+            block = block_number(task, number)
             values, at, signatures = _sets(table, k)
             n = np.diff(at)
             use = _new(signatures, seen) & (n > 0)

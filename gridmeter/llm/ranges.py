@@ -22,6 +22,13 @@ BLOCKS = "part int, kind int, payload binary"
 Row = tuple[int, int, bytes]
 
 
+def block_number(task: int, number: int) -> int:
+    """A number for the number-th block of a task, which no other block has; an error where 32 bits do not hold it, rather than another block's number."""
+    if task >> 19 or number >> 12:
+        raise OverflowError(f"block {number} of task {task}: more than 524,288 tasks or 4096 blocks of one; read the input in larger or smaller splits")
+    return task << 12 | number
+
+
 def batch(rows: list[Row]) -> pa.RecordBatch:
     part, kind, payload = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], ["part", "kind", "payload"])

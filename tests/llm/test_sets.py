@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cases import EDGES
-from gridmeter.llm import kernels, line_dedup, linking, ngram_join, substring_dedup
+from gridmeter.llm import kernels, line_dedup, linking, ngram_join, ranges, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -253,3 +253,11 @@ def test_one_shingle_in_most_documents_costs_few_rows(vocabulary):
     tokens = [kernels.unpack(p, np.uint64, np.uint64, np.uint32) for _, kind, p in rows if kind == ngram_join.TOKENS]
     assert sum(len(t[0]) for t in tokens) == 6
     assert sum(len(kernels.unpack(p, np.uint64, np.uint32, np.uint32)[0]) for _, kind, p in rows if kind == ngram_join.COUNTS) == 5000
+
+
+def test_blocks_never_share_a_number():
+    numbers = [ranges.block_number(t, n) for t in (0, 1, 4095, (1 << 19) - 1) for n in (0, 1, 4095)]
+    assert len(set(numbers)) == 12 and ranges.batch([(n, ranges.asker(n), b"") for n in numbers])["part"].to_pylist() == numbers
+    for task, number in ((0, 4096), (1 << 19, 0)):
+        with pytest.raises(OverflowError):
+            ranges.block_number(task, number)
