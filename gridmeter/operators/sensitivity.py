@@ -17,18 +17,35 @@ def variants(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "variant string, kind string, edge string, delta int, k int")
 
 
-def perturbed(tables: DataFrame, sheets: DataFrame) -> DataFrame:
+def _steps(spark: SparkSession) -> DataFrame:
+    """variant, part, k and the steps of the four sides, of the variants that need no cell contents: 25 rows, one for each box that a variant may make of one."""
+    edge = dict(zip(B.SIDES, ("top", "left", "bottom", "right"), strict=True))
+    out = lambda s: F.lit(-1 if s.startswith("first") else 1)
+    step = lambda s: F.when(F.col("kind") == "grow", out(s) * F.col("delta")).when(F.col("edge") == edge[s], F.col("delta")).otherwise(0)
+    specs = variants(spark).filter(F.col("kind").isin("shift", "grow", "split_equal")).select("variant", "k", *(step(s).alias(f"{s}_step") for s in B.SIDES))
+    return specs.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest("k", F.lit(1)) - 1)))
+
+
+def perturbed(tables: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
     """variant, doc, sheet, idx, part and the four sides of all boxes under the variants that need no cell contents.
 
-    tables: doc, sheet, idx, sides (1-based); sheets: doc, sheet, max_row, max_col. Boxes that turn inside out or leave the sheet drop out.
+    tables: doc, sheet, idx, sides (1-based); sheets: doc, sheet, max_row, max_col, which may be columns of tables instead. Boxes that turn
+    inside out or leave the sheet drop out. All is arithmetic on columns of one join with the 25 steps: no row holds an array of boxes.
     """
-    specs = variants(tables.sparkSession).filter(F.col("kind").isin("shift", "grow", "split_equal"))
-    rows = tables.join(sheets, ["doc", "sheet"]).withColumn("b", B.box()).crossJoin(F.broadcast(specs))  # 22 rows
-    inside = lambda b: B.clamped(b, F.col("max_row"), F.col("max_col"))
-    one = lambda b: F.array(b.cast("struct<first_row:bigint,first_col:bigint,last_row:bigint,last_col:bigint>"))
-    boxes = F.when(F.col("kind") == "shift", one(inside(B.moved(F.col("b"), F.col("edge"), F.col("delta"))))).when(F.col("kind") == "grow", one(inside(B.grown(F.col("b"), F.col("delta"))))).otherwise(B.bands(F.col("b"), F.greatest("k", F.lit(1))))
-    parts = rows.select("variant", "doc", "sheet", "idx", F.posexplode(boxes).alias("part", "x")).filter("x IS NOT NULL")
-    return parts.select("variant", "doc", "sheet", "idx", "part", "x.*")
+    known = tables if sheets is None else tables.join(sheets, ["doc", "sheet"])
+    rows = known.crossJoin(F.broadcast(_steps(tables.sparkSession)))  # 25 rows
+    moved = {s: F.col(s) + F.col(f"{s}_step") for s in B.SIDES}
+    cut = {"first_row": F.greatest(moved["first_row"], F.lit(1)), "first_col": F.greatest(moved["first_col"], F.lit(1)), "last_row": F.least(moved["last_row"], "max_row"), "last_col": F.least(moved["last_col"], "max_col")}
+    proper = lambda b: (b["first_row"] <= b["last_row"]) & (b["first_col"] <= b["last_col"])
+    # bands of a split: k of them, or the box itself where it has under 2 k rows
+    n = F.col("last_row") - F.col("first_row") + 1
+    whole = ~F.coalesce(n >= 2 * F.col("k"), F.lit(False))
+    start = lambda i: F.col("first_row") + i * F.floor(n / F.col("k")) + F.least(i, n % F.col("k"))
+    band = {s: F.col(s) for s in B.SIDES} | {"first_row": F.when(whole, F.col("first_row")).otherwise(start(F.col("part"))), "last_row": F.when(whole, F.col("last_row")).otherwise(start(F.col("part") + 1) - 1)}
+    split = F.col("k") > 0
+    known_sheet = F.col("doc").isNotNull() & F.col("sheet").isNotNull()
+    kept = rows.filter(F.when(split, ~whole | (F.col("part") == 0)).otherwise(known_sheet & proper(moved) & proper(cut)))
+    return kept.select("variant", "doc", "sheet", "idx", "part", *(F.when(split, band[s]).otherwise(cut[s]).cast("long").alias(s) for s in B.SIDES))
 
 
 REGION = "struct<header_rows:array<bigint>,body_start_row:bigint,body_end_row:bigint>"
@@ -60,9 +77,12 @@ def header_moves(regions: DataFrame) -> DataFrame:
 
 
 def perturbation_counts(tables: DataFrame, changed: DataFrame) -> DataFrame:
-    """variant, n_tables, n_perturbed (boxes after), n_dropped (tables of which nothing is left)."""
+    """variant, n_tables, n_perturbed (boxes after), n_dropped (tables of which nothing is left).
+
+    doc, sheet and idx name one table, and the parts of what a variant makes of it count from 0: part 0 stands for the table, and no keys are compared.
+    """
     total = tables.agg(F.count("*").alias("n_tables"))
-    kept = changed.groupBy("variant").agg(F.count("*").alias("n_perturbed"), F.countDistinct("doc", "sheet", "idx").alias("n_kept"))
+    kept = changed.groupBy("variant").agg(F.count("*").alias("n_perturbed"), F.count_if(F.col("part") == 0).alias("n_kept"))
     return kept.crossJoin(F.broadcast(total)).select("variant", "n_tables", "n_perturbed", (F.col("n_tables") - F.col("n_kept")).alias("n_dropped"))  # one row
 
 
