@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import dealt, parts
+
 _ORD = "ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 _BASE = f"SELECT *, row_number() OVER (PARTITION BY l_orderkey {_ORD}) AS ord FROM {{lineitem}}"
 _SHIFT = "l_partkey % 4 - 1"
@@ -53,6 +55,8 @@ VIEWS: dict[str, str] = {
     "files": "SELECT o_orderkey AS file, CASE WHEN o_orderkey % 3 = 0 THEN '.xls' ELSE '.xlsx' END AS ext, CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE year(o_orderdate) END AS year, o_custkey % 60 AS survey, CASE o_orderkey % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'timeout' ELSE 'ok' END AS status FROM {orders}",
     "ranges": "SELECT 'own' || CAST(l_suppkey % 9 AS STRING) || '__' || CAST(l_orderkey % 700 AS STRING) AS file, 's' || CAST(l_linenumber % 3 AS STRING) AS sheet, CASE l_partkey % 5 WHEN 0 THEN 'Derived' WHEN 1 THEN 'Notes' ELSE 'Table' END AS label FROM {lineitem}",
 }
+#: Views that sort, join or number the lines of each order: their inputs come dealt out by order, by a count of the lines.
+_BY_ORDER = {"checks": {"lineitem": "l_orderkey", "orders": "o_orderkey"}, "violations": {"lineitem": "l_orderkey"}, "gt": {"lineitem": "l_orderkey"}}
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -65,7 +69,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in _TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
-    return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in _names(sql)})
+    inputs = {n: view(spark, sf_dir, n) for n in _names(sql)}
+    if name in _BY_ORDER:
+        n = parts(inputs["lineitem"])
+        inputs |= {t: dealt(inputs[t], n, key) for t, key in _BY_ORDER[name].items()}
+    return spark.sql(sql, **inputs)
 
 
 def with_views(sql: str, *names: str, recursive: bool = False) -> str:

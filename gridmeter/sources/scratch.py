@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side of at most so many rows of a few numbers may be broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
+#: Rows of a partition where a step deals rows out by their count.
+ROWS_OF_PART = 100_000
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -48,3 +50,13 @@ def written(df: DataFrame) -> DataFrame:
 def small(df: DataFrame) -> DataFrame:
     """df, to be broadcast if its counted rows are few."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def parts(df: DataFrame) -> int:
+    """How many partitions df's rows fill. df is a stored table, whose count is in its files' footers."""
+    return max(1, -(-df.count() // ROWS_OF_PART))
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """df by keys in n partitions, so that a task's sorts and maps hold the same whether there are few or many rows. What follows by these keys stays in them."""
+    return df.repartition(n, *keys)
