@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions.numeric import harmonic, precision, ratio_or_zero, recall
-from ..sources.scratch import written
+from ..sources.scratch import dealt, parts, written
 from . import selection, spatial
 
 KEYS = ["doc", "sheet"]
@@ -111,7 +111,8 @@ def best_iou(gt: DataFrame, pred: DataFrame) -> DataFrame:
     one = lambda name, i: F.struct(F.lit(name).alias("side"), F.col(i).cast("int").alias("idx"))
     met = overlapping_pairs(gt, pred).select(*KEYS, F.inline(F.array(one("gt", "gi"), one("pred", "pi"))), F.col("iou").alias("best"))
     alone = [df.select(*KEYS, F.lit(name).alias("side"), F.col("idx").cast("int").alias("idx"), F.lit(0.0).alias("best")) for df, name in ((gt, "gt"), (pred.join(gt.select(*KEYS).distinct(), KEYS, "left_semi"), "pred"))]
-    return alone[0].unionByName(alone[1]).unionByName(met).groupBy(*KEYS, "side", "idx").agg(F.max("best").alias("best"))
+    each = [*KEYS, "side", "idx"]
+    return dealt(alone[0].unionByName(alone[1]).unionByName(met), parts(gt) + parts(pred), *each).groupBy(*each).agg(F.max("best").alias("best"))
 
 
 def summarize(values: DataFrame, keys: list[str], value: str) -> DataFrame:
