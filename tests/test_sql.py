@@ -32,6 +32,21 @@ def test_nested_checks_in_sql(spark):
     assert sorted(map(tuple, native.collect())) == sorted(tuple(r)[:7] for r in got.collect())
 
 
+def test_documents_stream_in_batches(spark):
+    """No shuffle by document, and calls by batch: a null sheet, a null area and null arrays have no rows, as natively."""
+    sql.register(spark)
+    docs = spark.range(5000).selectExpr("id AS stem", """transform(sequence(1, int(id % 4)), s -> if(s = 2, null, named_struct('name', 's' || s, 'areas',
+        transform(sequence(1, int(id % 3)), a -> if(id % 5 = 0 AND a = 2, null, named_struct('range', 'A' || a, 'checks',
+        if(a = 1 AND id % 7 = 0, null, transform(sequence(1, int(id % 2 + 1)), c -> named_struct('rule_id', 'r' || c, 'violations', if(c = 2, null, array_repeat(named_struct('cell_range', 'x'), int(id % 6)))))))))))) AS sheets""")
+    got = spark.sql("SELECT * FROM flatten_checks(TABLE({docs}))", docs=docs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPythonUDTF" in plan and "Exchange" not in plan
+    native = evidence.flatten_checks(docs).selectExpr("stem", "sheet_no", "sheet_name", "area_no", "range", "check_no", "rule_id", "coalesce(size(violations), 0) AS n")
+    native = native.withColumn("n", F.greatest("n", F.lit(0)))
+    want = sorted(map(tuple, native.collect()))
+    assert len(want) > 5000 and sorted(map(tuple, got.collect())) == want
+
+
 def test_header_moves(spark):
     schema = "doc int, sheet string, idx int, header_rows array<bigint>, body_start_row bigint, body_end_row bigint"
     regions = spark.createDataFrame([(1, "s", 0, [2, 0, 1], 3, 9), (2, "s", 0, [], 0, 4), (3, "s", 0, [0], 1, 1), (4, "s", 0, [0, 3], 5, 8)], schema)
