@@ -60,28 +60,30 @@ def greedy_matches(gt: DataFrame, pred: DataFrame) -> DataFrame:
 
     A round takes every pair that is the first one left for its prediction and for its truth: greedy order takes it too,
     as nothing before it holds either box. What shares a box with a taken pair goes; rounds end when no pair is left.
+    Only predictions with several pairs are met again after their truths: mostly few.
     """
     first = F.struct("be", (-F.col("iou")).alias("neg"), "pi", "gi")
     left, taken = close_pairs(gt, pred).withColumn("first", first), []
     of_p, of_g = Window.partitionBy(*KEYS, "pi"), Window.partitionBy(*KEYS, "gi")
     while True:
-        best = left.withColumn("best_p", F.min("first").over(of_p)).withColumn("best_g", F.min("first").over(of_g))
-        best = best.withColumn("takes", (F.col("first") == F.col("best_p")) & (F.col("first") == F.col("best_g")))
-        best = best.withColumn("gone", F.max("takes").over(of_g)).withColumn("gone", F.col("gone") | F.max("takes").over(of_p))
-        best = written(best.filter("takes OR NOT gone").select(*left.columns, "takes"))
+        best = left.withColumns({"best_p": F.min("first").over(of_p), "of_p": F.count("*").over(of_p)}).withColumn("best_g", F.min("first").over(of_g))
+        best = best.withColumn("takes", (F.col("first") == F.col("best_p")) & (F.col("first") == F.col("best_g"))).withColumn("gone", F.max("takes").over(of_g))
+        best = written(best.filter("takes OR NOT gone").select(*left.columns, "takes", "of_p"))
         taken.append(best.filter("takes").select(*KEYS, "be", "pi", "gi", "iou"))
-        left = best.filter("NOT takes").drop("takes")
-        if left.isEmpty():
+        if best.filter("NOT takes").isEmpty():
             return reduce(DataFrame.unionByName, taken)
+        left = best.filter("NOT takes OR of_p > 1").withColumn("gone", F.max("takes").over(of_p)).filter("NOT gone").select(*left.columns)
 
 
 def eob_by_sheet(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """doc, sheet, n (tolerance), tp, fp, fn, iou_sum of every sheet with truth; predictions on others are ignored."""
     gt, pred = kept(gt), kept(pred)
-    kind = lambda df, name: df.groupBy(*KEYS).agg(F.count("*").alias(name))
     within = lambda n: F.col("be") <= n
-    matched = greedy_matches(gt, pred).groupBy(*KEYS).agg(*(c for n in TOLERANCES for c in (F.count_if(within(n)).alias(f"tp{n}"), F.sum(F.when(within(n), F.col("iou"))).alias(f"sum{n}"))))
-    sheets = kind(gt, "n_gt").join(kind(pred, "n_pred"), KEYS, "left").join(matched, KEYS, "left")
+    one = lambda df, g, p: df.select(*KEYS, F.lit(g).alias("g"), F.lit(p).alias("p"))
+    boxes = one(gt, 1, 0).unionByName(one(pred.dropna(subset=KEYS), 0, 1))  # a null key is no prediction's sheet
+    rows = boxes.unionByName(greedy_matches(gt, pred).select(*KEYS, "be", "iou"), allowMissingColumns=True)
+    sheets = rows.groupBy(*KEYS).agg(F.count_if(F.col("g") == 1).alias("n_gt"), F.count_if(F.col("p") == 1).alias("n_pred"), *(c for n in TOLERANCES for c in (F.count_if(within(n)).alias(f"tp{n}"), F.sum(F.when(within(n), F.col("iou"))).alias(f"sum{n}"))))
+    sheets = sheets.filter("n_gt > 0")
     each = F.array(*(F.struct(F.lit(n).alias("n"), F.coalesce(f"tp{n}", F.lit(0)).cast("int").alias("tp"), F.coalesce(f"sum{n}", F.lit(0.0)).alias("iou_sum")) for n in TOLERANCES))
     rows = sheets.select(*KEYS, "n_gt", "n_pred", F.inline(each))
     return rows.select(*KEYS, "n", "tp", (F.coalesce("n_pred", F.lit(0)) - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"), "iou_sum")

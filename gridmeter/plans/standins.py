@@ -64,12 +64,12 @@ def _names(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain table; or a test table."""
+def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """A domain table; or a test table. given: domain tables that it reads, where the caller has them."""
     if name in _TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
-    inputs = {n: view(spark, sf_dir, n) for n in _names(sql)}
+    inputs = {n: given[n] if n in given else view(spark, sf_dir, n) for n in _names(sql)}
     if name in _BY_ORDER:
         n = parts(inputs["lineitem"])
         inputs |= {t: dealt(inputs[t], n, key) for t, key in _BY_ORDER[name].items()}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridmeter.operators import layout, sensitivity
 from gridmeter.plans import queries as Q
+from gridmeter.plans import standins
 from gridmeter.plans.standins import view
 from gridmeter.sources import scratch
 
@@ -60,6 +61,30 @@ def test_perturbed_boxes_by_hand(spark):
     assert sorted(alone) == ["split_2"] * 2 + ["split_3"] * 3
 
 
+@needs_data
+def test_matches_compute_the_truth_once(spark, monkeypatch):
+    """Predictions derive from the truth; counts and matches of a sheet are one aggregate, not joins of three."""
+    seen = []
+
+    def spied(spark, sf_dir, name, **given):
+        seen.append(name)
+        return view(spark, sf_dir, name, **given)
+
+    monkeypatch.setattr(Q, "view", spied)
+    monkeypatch.setattr(standins, "view", spied)
+    df = Q.QUERIES["eob_match"](spark, DATA)
+    assert seen.count("gt") == 1 and seen.count("pred") == 1
+    assert "Join" not in plan(df)
+
+
+def test_predictions_of_null_sheets_are_of_none(spark):
+    box = "doc int, sheet string, idx int, first_row int, first_col int, last_row int, last_col int"
+    gt = spark.createDataFrame([(1, None, 0, 0, 0, 1, 1), (1, "s", 0, 0, 0, 1, 1)], box)
+    pred = spark.createDataFrame([(1, None, 0, 0, 0, 1, 1), (1, "s", 0, 0, 0, 1, 1), (2, "s", 0, 0, 0, 1, 1)], box)
+    got = layout.eob_by_sheet(gt, pred).filter("n = 0").collect()
+    assert sorted(tuple(r)[:6] for r in got if r.sheet) == [(1, "s", 0, 1, 0, 0)] and [tuple(r)[2:6] for r in got if not r.sheet] == [(0, 0, 0, 1)] and len(got) == 2
+
+
 def test_best_overlaps_are_dealt_by_count(spark, monkeypatch):
     boxes = spark.range(60).selectExpr("id % 3 AS doc", "'s' AS sheet", "id AS idx", "id * 5 AS first_row", "0L AS first_col", "id * 5 + 3 AS last_row", "2L AS last_col")
     monkeypatch.setattr(scratch, "ROWS_OF_PART", 10)
