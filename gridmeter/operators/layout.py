@@ -114,7 +114,7 @@ def best_iou(gt: DataFrame, pred: DataFrame) -> DataFrame:
     met = overlapping_pairs(gt, pred).select(*KEYS, F.inline(F.array(one("gt", "gi"), one("pred", "pi"))), F.col("iou").alias("best"))
     alone = [df.select(*KEYS, F.lit(name).alias("side"), F.col("idx").cast("int").alias("idx"), F.lit(0.0).alias("best")) for df, name in ((gt, "gt"), (pred.join(gt.select(*KEYS).distinct(), KEYS, "left_semi"), "pred"))]
     each = [*KEYS, "side", "idx"]
-    return dealt(alone[0].unionByName(alone[1]).unionByName(met), parts(gt) + parts(pred), *each).groupBy(*each).agg(F.max("best").alias("best"))
+    return dealt(alone[0].unionByName(alone[1]).unionByName(met), parts(gt, pred), *each).groupBy(*each).agg(F.max("best").alias("best"))
 
 
 def summarize(values: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Rows of a partition where a step deals rows out by their count.
 ROWS_OF_PART = 100_000
+#: Up to so many partitions a shuffle's rows go straight to their files (spark.shuffle.sort.bypassMergeThreshold); with more, a map task holds and sorts all it has read.
+DIRECT_PARTS = 200
+#: Rows of a partition from which on there are more than DIRECT_PARTS, as a multiple of ROWS_OF_PART.
+MOST_TIMES = 15
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -52,9 +56,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def parts(df: DataFrame) -> int:
-    """How many partitions df's rows fill. df is a stored table, whose count is in its files' footers."""
-    return max(1, -(-df.count() // ROWS_OF_PART))
+def parts(*tables: DataFrame) -> int:
+    """How many partitions the tables' rows fill together. They are stored, so that their counts are in their files' footers."""
+    rows = sum(df.count() for df in tables)
+    of = lambda size: -(-rows // size)
+    return max(1, min(of(ROWS_OF_PART), max(DIRECT_PARTS, of(MOST_TIMES * ROWS_OF_PART))))
 
 
 def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:

@@ -34,6 +34,19 @@ def test_lines_are_dealt_by_order_and_count(spark, monkeypatch, name):
     assert places.distinct().groupBy(df.columns[0]).count().filter("count > 1").isEmpty()
 
 
+@needs_data
+def test_dealt_rows_are_not_held_by_the_tasks_that_read_them(spark, monkeypatch):
+    """More partitions than a shuffle writes directly would have each reading task sort all its rows in memory."""
+    lines = view(spark, DATA, "lineitem")
+    rows = lines.count()
+    monkeypatch.setattr(scratch, "ROWS_OF_PART", rows // 1000)
+    assert scratch.parts(lines) == scratch.parts(lines, lines) == 200
+    p = plan(Q.QUERIES["rule_pass_rate"](spark, DATA))
+    assert {int(n) for n in re.findall(r"hashpartitioning\((?:l|o)_orderkey#\d+L?, (\d+)\)", p)} == {200}
+    monkeypatch.setattr(scratch, "ROWS_OF_PART", 1)  # tables beyond the most rows of a partition
+    assert scratch.parts(lines) == -(-rows // 15)
+
+
 @needs_data
 def test_perturbed_boxes_are_columns(spark):
     """No arrays of boxes, no shuffle by 22 variants of each table."""
