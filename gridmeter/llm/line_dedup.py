@@ -39,6 +39,9 @@ HOME_BYTES = 12 << 20
 SHINGLE, BANDS, ROWS, PERCENT = 8, 10, 4, 80
 #: Shingles whose minima are taken at once; lines a task remembers having sent, which changes the volume only.
 CACHED, REMEMBERED = 1 << 16, 1 << 20
+#: Bits of a band that are kept; two bands that agree in them by chance only make a candidate.
+BAND_BITS = 40
+CUT = U64(64 - BAND_BITS)
 #: Kinds of blocks beside linking's: occurrences of a block's lines, its first ones, texts of lines, lines with all their bands, shared bands, what stays.
 OCCURRENCES, FIRSTS, TEXTS, BANDED, SHARED, STAYS = range(20, 26)
 _PLACE = (U64, np.int64, np.int32)
@@ -84,7 +87,7 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 
 def _bands(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """lines x BANDS keys; some lines at a time, so that their shingles stay in the processor's cache."""
+    """lines x BANDS keys, of which the upper BAND_BITS bits say all; some lines at a time, so that their shingles stay in the processor's cache."""
     keys = np.empty((len(at), BANDS), np.uint64)
     ends = np.append(at[1:], len(grams))
     i = 0
@@ -99,7 +102,7 @@ def _bands(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
                 np.multiply(base, MULTIPLY[r], out=scratch)
                 scratch += ADD[r]
                 key = K.mix(key * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(scratch, begin))
-            keys[i:j, band] = key
+            keys[i:j, band] = key >> CUT << CUT
         i = j
     return keys
 
@@ -112,7 +115,7 @@ def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _read_lines(keys: np.ndarray):
-    """Per block of documents: its occurrences (which stay), its first ones and the texts of lines (which go to the lines' homes)."""
+    """Per block of documents: its occurrences (which stay), its first ones and the bands and texts of lines (which go to the lines' homes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -138,15 +141,41 @@ def _read_lines(keys: np.ndarray):
             fresh = np.fromiter((x not in seen for x in node.tolist()), bool, len(node))
             seen.update(node[fresh].tolist())
             node, order = node[fresh], order[fresh]
-            raw = data.tobytes()
+            raw, size = data.tobytes(), (ends - starts)[order]
+            raw = b"".join([raw[a:b] for a, b in zip(starts[order].tolist(), ends[order].tolist(), strict=True)])
+            edges = np.append(0, np.cumsum(size))
+            bands = _bands_of(np.frombuffer(raw, np.uint8), edges)
             for part, s in K.by_part(node, keys):
-                at = order[s]
-                out.append((part, TEXTS, _packed_texts(node[s], (ends - starts)[at], b"".join(raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)))))
+                out.append((part, BANDED, _packed_bands(node[s], bands[s])))
+                out.append((part, TEXTS, _packed_texts(node[s], size[s], raw[edges[s.start] : edges[s.stop]])))
             yield batch(out)
 
     return run
 
 
+def _bands_of(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The bands of normalised lines that stand end to end."""
+    bands = np.empty((len(edges) - 1, BANDS), U64)
+    for i in range(0, len(bands), 1024):
+        some = edges[i : i + 1025]
+        bands[i : i + 1024] = _bands(*_grams(data[some[0] : some[-1]], some[:-1] - some[0], some[1:] - some[0]))
+    return bands
+
+
+def _packed_bands(node: np.ndarray, bands: np.ndarray) -> bytes:
+    return K.pack(node, *((bands[:, i] >> U64(32)).astype(U32) for i in range(BANDS)), *((bands[:, i] >> CUT).astype(np.uint8) for i in range(BANDS)))
+
+
+def _banded(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lines once each, ascending, and their bands."""
+    node, *columns = K.unpack_all(payloads, U64, *[U32] * BANDS, *[np.uint8] * BANDS)
+    node, first = np.unique(node, return_index=True)
+    bands = np.empty((len(node), BANDS), U64)
+    for i in range(BANDS):
+        bands[:, i] = columns[i][first].astype(U64) << U64(32) | columns[BANDS + i][first].astype(U64) << CUT
+    return node, bands
+
+
 def _packed_texts(node: np.ndarray, size: np.ndarray, raw: bytes) -> bytes:
     return K.pack(node, size.astype(np.int64)) + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -166,36 +195,27 @@ def _short(bands: np.ndarray) -> np.ndarray:
     return ((bands << U64(8)) >> U64(32)).astype(U32)
 
 
-def _band(keys: np.ndarray):
-    """Each line's bands, which stay and ask whether other lines share them."""
+def _ask_bands(keys: np.ndarray):
+    """A home asks of each of its lines' bands whether other lines share it."""
 
     def step(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
-        node, starts, ends, data = _texts(blocks[TEXTS])
-        bands = np.empty((len(node), BANDS), U64)
-        for i in range(0, len(node), 1024):
-            low, high = int(starts[i]), int(ends[i : i + 1024][-1])
-            bands[i : i + 1024] = _bands(*_grams(data[low:high], starts[i : i + 1024] - low, ends[i : i + 1024] - low))
-        flat = np.sort(bands.reshape(-1))
+        flat = np.sort(_banded(blocks[BANDED])[1].reshape(-1))
         new = np.flatnonzero(firsts(flat))
         times = np.minimum(np.diff(np.append(new, len(flat))), 2).astype(np.uint8)
         flat = flat[new]
-        out = [(place, asker(part), K.pack(_short(flat[s]), times[s])) for place, s in K.by_part(flat, keys)]
-        return [*out, (part, BANDED, K.pack(node, *(np.ascontiguousarray(bands[:, i]) for i in range(BANDS))))]
+        return [(place, asker(part), K.pack(_short(flat[s]), times[s])) for place, s in K.by_part(flat, keys)]
 
     return step
 
 
-def _shared_bands(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
-    """To each home those of its bands that other lines share. Lines pass."""
-    out = [(part, BANDED, p) for p in blocks.get(BANDED, [])]
+def _shared_bands(_: int, blocks: dict[int, list[bytes]]) -> list[Row]:
+    """To each home those of its bands that other lines share."""
     band, times, home = asked(blocks, U32, np.uint8)
     order = np.argsort(band, kind="stable")
     band, times, home = band[order], times[order], home[order]
     start = np.flatnonzero(firsts(band))
-    if not len(start):
-        return out
     several = np.repeat(np.add.reduceat(times.astype(np.int64), start) > 1, np.diff(np.append(start, len(band))))
-    return out + answers(home[several], SHARED, band[several])
+    return answers(home[several], SHARED, band[several])
 
 
 def _prepare(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
@@ -203,12 +223,10 @@ def _prepare(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
     shared = np.unique(K.unpack_all(blocks.get(SHARED, []), U32)[0])
     if not len(shared):
         return []
-    its, *bands = K.unpack_all(blocks[BANDED], *[U64] * (1 + BANDS))
-    bands = np.stack(bands, axis=1)
+    its, bands = _banded(blocks[BANDED])
     there = looked_up(shared, _short(bands).reshape(-1))[1].reshape(bands.shape)
     node, starts, ends, data = _texts(blocks[TEXTS])
-    order = np.argsort(its)
-    place = order[np.searchsorted(its[order], node)]
+    place = np.searchsorted(its, node)
     bands, there = bands[place], there[place]
     some = np.flatnonzero(there.any(axis=1))
     out: list[Row] = []
@@ -328,12 +346,12 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keys = homes(spark, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     read = materialize(docs.mapInArrow(_read_lines(keys), BLOCKS), "kind")
     only = lambda df, *kinds: df.filter(F.col("kind").isin(*kinds))
-    texts = only(read, TEXTS)
     n = len(keys)
-    banded = dealt(texts, n=n).mapInArrow(each_part(_band(keys)), BLOCKS)
-    shared = dealt(banded, n=n).mapInArrow(each_part(_shared_bands), BLOCKS)
-    prepared = materialize(dealt(texts, shared, n=n).mapInArrow(each_part(_prepare), BLOCKS), "kind")
-    release(read, f"kind={TEXTS}")
+    asks = dealt(only(read, BANDED), n=n).mapInArrow(each_part(_ask_bands(keys)), BLOCKS)
+    shared = dealt(asks, n=n).mapInArrow(each_part(_shared_bands), BLOCKS)
+    prepared = materialize(dealt(only(read, BANDED, TEXTS), shared, n=n).mapInArrow(each_part(_prepare), BLOCKS), "kind")
+    for kind in (BANDED, TEXTS):
+        release(read, f"kind={kind}")
     labels = connect(prepared, percent, keys, line_sets)
     first = only(read, FIRSTS)
     kept = dealt(dealt(first, labels, n=n).mapInArrow(each_part(_ask_kept(keys)), BLOCKS), n=n).mapInArrow(each_part(_answer_kept), BLOCKS)
@@ -343,7 +361,8 @@ def duplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def n_lines(text: Column) -> Column:
-    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.size(F.split(text, "\n"))).otherwise(0).cast("long")
+    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.when(F.coalesce(F.octet_length(text), F.lit(0)) > 0, feeds + 1).otherwise(0).cast("long")
 
 
 def _lost(rows: DataFrame, percent: int) -> DataFrame:

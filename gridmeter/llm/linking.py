@@ -23,8 +23,11 @@ U64, U32 = np.uint64, np.uint32
 #: what a label becomes (from, to); pivots of keys (like postings); wanted sets (node, home); lent sets (like sets).
 EDGES, LABELS, POSTINGS, SETS, TURNS, PIVOTS, WANTED, LENT = range(8)
 _POSTING = (U64, U64, U32, U32, U64)
-#: Sets of a home, where there are few, words of a parity sketch, pairs compared at once, a bucket's pivots in the first round, and by how much they grow from round to round.
-HOME, SKETCH, PAIRS, FIRST, GROWTH = 1000, 12, 1 << 18, 4, 8
+#: Sets of a home, where there are few, words of a parity sketch, pairs compared at once, a bucket's pivots in the first round, by how much they grow from round to round, and nodes of
+#: a bucket that are all pivots at once.
+HOME, SKETCH, PAIRS, FIRST, GROWTH, SMALL = 1000, 12, 1 << 18, 4, 8, 32
+#: Bytes of blocks for each task of a step, which may hold several homes.
+TASK_BYTES = 2 << 20
 
 
 def ranges(spark: SparkSession, rows: int | None = None) -> np.ndarray:
@@ -33,6 +36,16 @@ def ranges(spark: SparkSession, rows: int | None = None) -> np.ndarray:
     return K.even_keys(n if rows is None else max(1, min(n, -(-rows // HOME))), 1)
 
 
+def _bytes(blocks: DataFrame) -> dict[int, int]:
+    """Bytes of blocks by kind."""
+    return dict(blocks.groupBy("kind").agg(F.sum(F.octet_length("payload"))).collect())
+
+
+def _tasks(size: int, keys: np.ndarray) -> int:
+    """Tasks for blocks of so many bytes: what little is left in later rounds does not start one for each home."""
+    return max(1, min(len(keys), -(-size // TASK_BYTES)))
+
+
 # --- union-find
 def _ask_turn(keys: np.ndarray):
     """For each label of a block its smallest neighbour there."""
@@ -93,8 +106,8 @@ def _unite(state: DataFrame, keys: np.ndarray) -> DataFrame:
     A label that has a smaller neighbour becomes the smallest of them. As labels are hashes, chains of ever
     smaller labels are short, and the rounds are about the logarithm of the largest component's size.
     """
-    n = len(keys)
-    while not state.filter(F.col("kind") == EDGES).isEmpty():
+    while (size := _bytes(state)).get(EDGES):
+        n = _tasks(sum(size.values()), keys)
         turns = dealt(state.mapInArrow(each_block(_ask_turn(keys)), BLOCKS), n=n).mapInArrow(each_part(_answer_turn), BLOCKS)
         new = materialize(dealt(state, turns, n=n).mapInArrow(each_part(_turn), BLOCKS), "kind")
         release(state)
@@ -121,7 +134,8 @@ def picked_sets(chosen: np.ndarray, node: np.ndarray, n: np.ndarray, own: np.nda
 
 
 def _propose(pivots: int, keys: np.ndarray):
-    """Of each key the least and greatest label of a block, and the nodes of its rarest labels there."""
+    """Of each key the least and greatest label of a block and its number of nodes, and the nodes of its rarest labels there."""
+    pivots = max(pivots, SMALL)
 
     def step(part: int, kind: int, payload: bytes) -> list[Row]:
         key, node, n, own, label = K.unpack(payload, *_POSTING)
@@ -130,7 +144,7 @@ def _propose(pivots: int, keys: np.ndarray):
         start = np.flatnonzero(firsts(key))
         of = np.flatnonzero(firsts(key, label))
         times = np.repeat(np.diff(np.append(of, len(key))), np.diff(np.append(of, len(key)))).astype(U32)
-        out = spread(key[start], keys, 2 * part, label[start], label[np.append(start[1:], len(key)) - 1])
+        out = spread(key[start], keys, 2 * part, label[start], label[np.append(start[1:], len(key)) - 1], np.diff(np.append(start, len(key))).astype(U32))
         order = np.lexsort((node, own, times, key))
         rank = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
         order = order[rank < pivots]
@@ -140,16 +154,21 @@ def _propose(pivots: int, keys: np.ndarray):
 
 
 def _choose(pivots: int, keys: np.ndarray):
-    """The pivots of the keys that have several labels, to all homes that asked, and the pivots' sets wanted there."""
+    """The pivots of the keys that have several labels, to all homes that asked, and the pivots' sets wanted there.
+
+    All nodes of a small bucket are its pivots; of two pivots the greater node is compared with the lesser one, so only homes of greater ones want it.
+    """
+    by_key = np.argsort(keys)
 
     def step(_: int, blocks: dict[int, list[bytes]]) -> list[Row]:
-        key, low, high, home = asked({asker(k // 2): v for k, v in blocks.items() if k % 2 == 0}, U64, U64, U64)
+        key, low, high, size, home = asked({asker(k // 2): v for k, v in blocks.items() if k % 2 == 0}, U64, U64, U64, U32)
         order = np.argsort(key, kind="stable")
-        key, low, high, home = key[order], low[order], high[order], home[order]
+        key, low, high, size, home = key[order], low[order], high[order], size[order], home[order]
         start = np.flatnonzero(firsts(key))
-        several = np.minimum.reduceat(low, start) < np.maximum.reduceat(high, start)
-        several = np.repeat(several, np.diff(np.append(start, len(key))))
-        key, home = key[several], home[several]
+        times = np.diff(np.append(start, len(key)))
+        several = np.repeat(np.minimum.reduceat(low, start) < np.maximum.reduceat(high, start), times)
+        size = np.repeat(np.add.reduceat(size.astype(np.int64), start), times)
+        key, home, size = key[several], home[several], size[several]
         if not len(key):
             return []
         rows = K.unpack_all([p for k, v in blocks.items() if k % 2 for p in v], U64, U64, U32, U32, U64, U32)
@@ -161,14 +180,22 @@ def _choose(pivots: int, keys: np.ndarray):
         order = np.lexsort((rows[1], rows[3], times, rows[0]))
         rows = [x[order] for x in rows[:5]]
         start = np.flatnonzero(firsts(rows[0]))
-        few = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order)))) < pivots
+        most = np.where(size[np.searchsorted(key, rows[0])] <= SMALL, max(pivots, SMALL), pivots)
+        few = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order)))) < most
         rows = [x[few] for x in rows]
+        order = np.lexsort((rows[1], rows[0]))
+        rows = [x[order] for x in rows]
         at = np.searchsorted(rows[0], key)  # every home gets all pivots of its keys
         count = np.searchsorted(rows[0], key, side="right") - at
         index = np.repeat(at - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         to = np.repeat(home, count)
         out = answers(to, PIVOTS, *(x[index] for x in rows))
-        node = rows[1][index]
+        place = ((rows[1] >> U64(32)) * U64(len(keys)) >> U64(32)).astype(np.int64)  # among the homes, which ascend as nodes do
+        whole = np.repeat(count == size, count)
+        beside = np.append((rows[0][1:] == rows[0][:-1]) & (place[1:] == place[:-1]), False)
+        its = by_key[np.searchsorted(keys[by_key], to)]
+        wanted = ~whole | (its > place[index]) | ((its == place[index]) & beside[index])
+        node, to = rows[1][index][wanted], to[wanted]
         order = np.lexsort((to, node))
         node, to = node[order], to[order]
         new = firsts(node, to)
@@ -218,8 +245,8 @@ class _Sets:
         return (self.first[at] if len(self.first) else at), there
 
 
-def similar(a: _Sets, i: np.ndarray, b: _Sets, j: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs (i of a, j of b) are similar.
+def possible(a: _Sets, i: np.ndarray, b: _Sets, j: np.ndarray, percent: int) -> np.ndarray:
+    """The places of the pairs (i of a, j of b) that may be similar; no other is.
 
     A node's own tokens, which no other node has and which its bytes may lack, bound its similarity: |A & B|
     <= n - own and |A | B| >= n + own of the other. Two parity sketches differ in at most as many bits as the
@@ -229,18 +256,37 @@ def similar(a: _Sets, i: np.ndarray, b: _Sets, j: np.ndarray, percent: int) -> n
     maybe = (100 * (na - ua) >= percent * (na + ub)) & (100 * (nb - ub) >= percent * (nb + ua)) & (100 * na >= percent * nb) & (100 * nb >= percent * na)
     at = np.flatnonzero(maybe)
     apart = np.bitwise_count(a.sketch[i[at]] ^ b.sketch[j[at]]).sum(axis=1, dtype=np.int64)
-    at = at[(100 + percent) * (apart + ua[at] + ub[at]) <= (100 - percent) * (na[at] + nb[at])]
-    out = np.zeros(len(i), bool)
-    for k in at.tolist():
-        x, y = a.tokens[a.offsets[i[k]] : a.offsets[i[k] + 1]], b.tokens[b.offsets[j[k]] : b.offsets[j[k] + 1]]
-        if len(x) > len(y):
-            x, y = y, x
-        if len(x):
-            where = np.searchsorted(y, x)
-            where[where == len(y)] = 0
-            shared = int((y[where] == x).sum())
-            out[k] = 100 * shared >= percent * (int(na[k]) + int(nb[k]) - shared)
-    return out
+    return at[(100 + percent) * (apart + ua[at] + ub[at]) <= (100 - percent) * (na[at] + nb[at])]
+
+
+def similar(a: _Sets, i: int, b: _Sets, j: int, percent: int) -> bool:
+    x, y = a.tokens[a.offsets[i] : a.offsets[i + 1]], b.tokens[b.offsets[j] : b.offsets[j + 1]]
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return False
+    where = np.searchsorted(y, x)
+    where[where == len(y)] = 0
+    shared = int((y[where] == x).sum())
+    return 100 * shared >= percent * (int(a.n[i]) + int(b.n[j]) - shared)
+
+
+class _Forest:
+    """Labels that edges tie already; a pair of them need not be compared."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each tied label and the root of its tree."""
+        u = sorted(x for x in self.parent if self.root(x) != x)
+        return np.array(u, U64), np.array([self.root(x) for x in u], U64)
 
 
 def _compare(percent: int, read: Read):
@@ -256,7 +302,7 @@ def _compare(percent: int, read: Read):
         count = np.searchsorted(p_key, key, side="right") - first
         mine, lent = _Sets(blocks[SETS], read), _Sets(blocks.get(LENT, []), read)
         stays = count > 0
-        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        forest = _Forest()
         steps = np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + PAIRS, PAIRS))
         for a, b in zip(steps, [*steps[1:], len(key)], strict=False):
             some = np.repeat(np.arange(a, b), count[a:b])
@@ -266,19 +312,23 @@ def _compare(percent: int, read: Read):
             at = np.repeat(first[a:b] - began, count[a:b]) + np.arange(len(some))
             itself = p_node[at] == node[some]
             stays[some[itself]] = False  # a pivot that is compared leaves its bucket
-            open_ = p_label[at] != label[some]
+            pivot = np.zeros(b - a, bool)
+            pivot[some[itself] - a] = True
+            open_ = (p_label[at] != label[some]) & (~pivot[some - a] | (p_node[at] < node[some]))
             some, at = some[open_], at[open_]
             i, mine_there = mine.at(node[some])
             j, lent_there = lent.at(p_node[at])
             there = mine_there & lent_there
             some, at, i, j = some[there], at[there], i[there], j[there]
             _, where = np.unique(i * len(lent.n) + j, return_index=True)
-            hit = where[similar(mine, i[where], lent, j[where], percent)]
-            edges.append((label[some[hit]], p_label[at[hit]]))
-        u, v = (np.concatenate([e[k] for e in edges]) if edges else np.zeros(0, U64) for k in (0, 1))
+            where = where[possible(mine, i[where], lent, j[where], percent)]
+            for x, y, u, v in zip(i[where].tolist(), j[where].tolist(), label[some[where]].tolist(), p_label[at[where]].tolist(), strict=True):
+                u, v = forest.root(u), forest.root(v)
+                if u != v and similar(mine, x, lent, y, percent):
+                    forest.parent[max(u, v)] = min(u, v)
+        u, v = forest.edges()
         if len(u):
-            both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
-            out.append((part, EDGES, K.pack(np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]))))
+            out.append((part, EDGES, K.pack(u, v)))
         if stays.any():
             out.append((part, POSTINGS, K.pack(key[stays], node[stays], n[stays], own[stays], label[stays])))
             at, there = mine.at(np.unique(node[stays]))
@@ -294,14 +344,16 @@ def connect(state: DataFrame, percent: int, keys: np.ndarray, read: Read = packe
     state: blocks at their nodes' homes (the ranges keys) of sets, postings (similar nodes share a key) and labels (each node's is itself).
     In each round the homes propose, for every bucket (the nodes of a key) that holds several labels, nodes
     of its rarest labels; of these some become pivots, and every other node of the bucket is compared with
-    them, at home, by sets that the pivots' homes lend. A pivot then leaves the bucket; buckets with one
-    label are done: a group of copies costs a comparison for each copy. The pivots of a bucket grow eightfold
+    them, at home, by sets that the pivots' homes lend; pairs that a home's edges tie already are passed over.
+    A pivot then leaves the bucket, and buckets with one label are done: a group of copies costs a comparison
+    for each copy. All nodes of a small bucket are pivots at once. The pivots of other buckets grow eightfold
     from round to round, so what is not similar at all is compared within a logarithm of rounds. There is no
     last round: it ends when no bucket holds several labels.
     """
-    n, pivots = len(keys), FIRST
+    pivots = FIRST
     while True:
         only = lambda *kinds: state.filter(F.col("kind").isin(*kinds))  # noqa: B023, E731
+        n = _tasks(sum(_bytes(only(SETS, POSTINGS)).values()), keys)
         proposed = only(POSTINGS).mapInArrow(each_block(_propose(pivots, keys)), BLOCKS)
         chosen = materialize(dealt(proposed, n=n).mapInArrow(each_part(_choose(pivots, keys)), BLOCKS), "kind")
         if chosen.isEmpty():

@@ -261,3 +261,94 @@ def test_blocks_never_share_a_number():
     for task, number in ((0, 4096), (1 << 19, 0)):
         with pytest.raises(OverflowError):
             ranges.block_number(task, number)
+
+
+def linked_at_homes(sets, keys, percent):
+    """One round of linking.connect over a single bucket of sets by node, step by step: wanted (node, home), edges, and nodes that stay in the bucket."""
+    nodes = np.array(sorted(sets), np.uint64)
+    home = {int(n): int(keys[(int(n) >> 32) * len(keys) >> 32]) for n in nodes}
+    held = {}
+    for part in set(home.values()):
+        its = np.array([n for n in nodes if home[int(n)] == part], np.uint64)
+        n = np.array([len(sets[int(x)]) for x in its], np.uint32)
+        none = np.zeros(len(its), np.uint32)
+        raw = [np.array(sorted(sets[int(x)]), np.uint64).tobytes() for x in its]
+        held[part] = {
+            linking.SETS: [linking.packed_sets(its, n, none, np.array([len(x) for x in raw]), b"".join(raw))],
+            linking.POSTINGS: [kernels.pack(np.full(len(its), 5, np.uint64), its, n, none, its)],
+        }
+    asked = {}
+    for part, blocks in held.items():
+        for _, kind, payload in linking._propose(linking.FIRST, keys)(part, linking.POSTINGS, blocks[linking.POSTINGS][0]):
+            asked.setdefault(kind, []).append(payload)
+    wanted = []
+    for part, kind, payload in linking._choose(linking.FIRST, keys)(0, asked):
+        held[part].setdefault(kind, []).append(payload)
+        if kind == linking.WANTED:
+            wanted += list(zip(*(x.tolist() for x in kernels.unpack(payload, np.uint64, np.int32)), strict=True))
+    for part in list(held):
+        for to, kind, payload in linking._lend(part, held[part]):
+            held[to].setdefault(kind, []).append(payload)
+    edges, stay = [], []
+    for part, blocks in held.items():
+        for _, kind, payload in linking._compare(percent, linking.packed_tokens)(part, blocks):
+            if kind == linking.EDGES:
+                edges += list(zip(*(x.tolist() for x in kernels.unpack(payload, np.uint64, np.uint64)), strict=True))
+            if kind == linking.POSTINGS:
+                stay += kernels.unpack(payload, *linking._POSTING)[1].tolist()
+    return wanted, edges, stay
+
+
+def test_a_bucket_of_two_lends_one_set():
+    keys = kernels.even_keys(4, 1)
+    low, high = 7 << 40, 3 << 62
+    wanted, edges, stay = linked_at_homes({low: set(range(50)), high: set(range(49))}, keys, 80)
+    assert wanted == [(low, int(keys[3]))] and edges == [(high, low)] and not stay
+
+
+def test_small_buckets_end_in_one_round_with_all_their_links():
+    rng = random.Random(5)
+    for seed in range(20):
+        rng.seed(seed)
+        sets = {}
+        for _ in range(rng.randint(2, linking.SMALL)):
+            base = set(range(40)) if rng.random() < 0.4 else set(rng.sample(range(1000), 40))
+            sets[rng.getrandbits(64)] = base - set(rng.sample(sorted(base), rng.randint(0, 5)))
+        _, edges, stay = linked_at_homes(sets, kernels.even_keys(rng.randint(1, 5), 1), 80)
+
+        def parts(pairs, names):
+            parent = {x: x for x in names}
+
+            def find(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in pairs:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+            return {x: find(x) for x in names}
+
+        alike = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        assert parts(edges, sets) == parts(alike, sets) and not stay
+
+
+def test_near_copies_of_one_home_are_tied_by_a_tree():
+    sets = {(i + 1) << 20: set(range(100)) - {i % 100} for i in range(300)}
+    _, edges, stay = linked_at_homes(sets, kernels.even_keys(1, 1), 80)
+    assert len(edges) == 299 and len(stay) == 296
+
+
+def test_bands_go_with_the_texts_of_a_block(make_docs, vocabulary):
+    """Homes need not read all texts for the bands; what they get of a band are its upper bits."""
+    texts = ["\n".join(" ".join(vocabulary[i + j : i + j + 9]) for j in range(3)) for i in range(0, 60, 2)]
+    keys = kernels.even_keys(3, 1)
+    blocks = make_docs(texts).select("doc_id", "text").coalesce(1).mapInArrow(line_dedup._read_lines(keys), ranges.BLOCKS).collect()
+    for part in {r.part for r in blocks if r.kind == line_dedup.TEXTS}:
+        payloads = lambda kind: [bytes(r.payload) for r in blocks if r.part == part and r.kind == kind]  # noqa: B023, E731
+        node, starts, ends, data = line_dedup._texts(payloads(line_dedup.TEXTS))
+        its, bands = line_dedup._banded(payloads(line_dedup.BANDED))
+        assert its.tolist() == sorted(node.tolist())
+        want = {int(n): line_dedup._bands(*line_dedup._grams(data[a:b], np.array([0]), np.array([b - a])))[0].tolist() for n, a, b in zip(node, starts, ends, strict=True)}
+        assert {int(n): b.tolist() for n, b in zip(its, bands, strict=True)} == want
+        assert all(b % (1 << 24) == 0 for bs in want.values() for b in bs)
