@@ -62,12 +62,11 @@ def lines(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, n
     if not len(starts):
         none = np.zeros(0, np.int64)
         return data, none, none, none, none
-    row = np.searchsorted(offsets, starts, side="right") - 1
-    number = np.searchsorted(feeds, starts) - np.searchsorted(feeds, offsets)[row]
-    new = np.ones(len(starts), bool)
-    new[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
-    first = np.flatnonzero(new)
-    return data, starts[first], ends[np.concatenate([first[1:], [len(starts)]]) - 1], row[first], number[first]
+    first = np.unique(np.searchsorted(starts, np.concatenate([offsets[:-1], feeds])))  # the words that rows and line feeds are followed by
+    first = first[first < len(starts)]
+    begin, end = starts[first], ends[np.append(first[1:], len(starts)) - 1]
+    row = np.searchsorted(offsets, begin, side="right") - 1
+    return data, begin, end, row, np.searchsorted(feeds, begin) - np.searchsorted(feeds, offsets)[row]
 
 
 def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +87,7 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 def _bands(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     """lines x BANDS keys, of which the upper BAND_BITS bits say all; some lines at a time, so that their shingles stay in the processor's cache."""
-    keys = np.empty((len(at), BANDS), np.uint64)
+    minima = np.empty((BANDS * ROWS, len(at)), np.uint32)
     ends = np.append(at[1:], len(grams))
     i = 0
     while i < len(at):
@@ -96,14 +95,17 @@ def _bands(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
         base = ((grams[at[i] : ends[j - 1]] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
         begin = at[i:j] - at[i]
         scratch = np.empty_like(base)
-        for band in range(BANDS):
-            key = np.full(j - i, band + 1, np.uint64)
-            for r in range(band * ROWS, (band + 1) * ROWS):
-                np.multiply(base, MULTIPLY[r], out=scratch)
-                scratch += ADD[r]
-                key = K.mix(key * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(scratch, begin))
-            keys[i:j, band] = key >> CUT << CUT
+        for r in range(BANDS * ROWS):
+            np.multiply(base, MULTIPLY[r], out=scratch)
+            scratch += ADD[r]
+            np.minimum.reduceat(scratch, begin, out=minima[r, i:j])
         i = j
+    keys = np.empty((len(at), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(at), band + 1, np.uint64)
+        for r in range(band * ROWS, (band + 1) * ROWS):
+            key = K.mix(key * np.uint64(0xD6E8FEB86659FD93) + minima[r])
+        keys[:, band] = key >> CUT << CUT
     return keys
 
 
