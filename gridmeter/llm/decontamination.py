@@ -114,7 +114,7 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE, similarity
     least = totals.groupBy("length", "k").agg(F.min("total").alias("least"))
     weights = marks.select("k", "shingle", "weight").distinct()
     small = lambda df: F.broadcast(df) if few else df
-    windows = materialize(found)
+    windows = materialize(found, adaptive=not few)
     distinct = windows.select("length", "k", "content").distinct().withColumn("window", F.xxhash64("length", "k", "content"))
     tokens = distinct.select("window", "length", "k", F.explode("content").alias("shingle")).join(small(weights), ["k", "shingle"])
     summed = tokens.groupBy("window", "length", "k").agg(*_fingerprint())
@@ -124,7 +124,7 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE, similarity
     right = prints.select("item", "item_id", "total", "length", "k", "fingerprint", _blocks(radius)).select("item", "item_id", "total", "length", "k", F.col("fingerprint").alias("own"), "x.*")
     distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("own")))
     near = left.join(small(right), ["length", "k", "block", "value"]).filter(F.col("held") >= F.lit(similarity) * F.col("total"))  # no window shares more with an item than it holds
-    near = materialize(near.select("window", "item", "item_id", "total", distance.alias("distance")).filter(F.col("distance") <= radius).distinct())
+    near = materialize(near.select("window", "item", "item_id", "total", distance.alias("distance")).filter(F.col("distance") <= radius).distinct(), adaptive=not few)
     met = near.select("window", "item", "item_id", "total", "distance").join(tokens.select("window", "shingle", "weight"), "window")  # the candidates' shingles only
     shared = met.join(small(marks.select("item", "shingle")), ["item", "shingle"]).groupBy("window", "item", "item_id", "total", "distance").agg(F.sum("weight").alias("shared"))
     held = shared.withColumn("similarity", F.col("shared") / F.col("total")).filter(F.col("similarity") >= similarity)

@@ -109,7 +109,7 @@ def _unite(state: DataFrame, keys: np.ndarray) -> DataFrame:
     while (size := _bytes(state)).get(EDGES):
         n = _tasks(sum(size.values()), keys)
         turns = dealt(state.mapInArrow(each_block(_ask_turn(keys)), BLOCKS), n=n).mapInArrow(each_part(_answer_turn), BLOCKS)
-        new = materialize(dealt(state, turns, n=n).mapInArrow(each_part(_turn), BLOCKS), "kind")
+        new = materialize(dealt(state, turns, n=n).mapInArrow(each_part(_turn), BLOCKS), "kind", adaptive=False)
         release(state)
         state = new
     return state
@@ -355,11 +355,11 @@ def connect(state: DataFrame, percent: int, keys: np.ndarray, read: Read = packe
         only = lambda *kinds: state.filter(F.col("kind").isin(*kinds))  # noqa: B023, E731
         n = _tasks(sum(_bytes(only(SETS, POSTINGS)).values()), keys)
         proposed = only(POSTINGS).mapInArrow(each_block(_propose(pivots, keys)), BLOCKS)
-        chosen = materialize(dealt(proposed, n=n).mapInArrow(each_part(_choose(pivots, keys)), BLOCKS), "kind")
+        chosen = materialize(dealt(proposed, n=n).mapInArrow(each_part(_choose(pivots, keys)), BLOCKS), "kind", adaptive=False)
         if chosen.isEmpty():
             return only(LABELS)
         lent = dealt(only(SETS), chosen.filter(F.col("kind") == WANTED), n=n).mapInArrow(each_part(_lend), BLOCKS)
-        compared = materialize(dealt(only(SETS, POSTINGS, LABELS), chosen.filter(F.col("kind") == PIVOTS), lent, n=n).mapInArrow(each_part(_compare(percent, read)), BLOCKS), "kind")
+        compared = materialize(dealt(only(SETS, POSTINGS, LABELS), chosen.filter(F.col("kind") == PIVOTS), lent, n=n).mapInArrow(each_part(_compare(percent, read)), BLOCKS), "kind", adaptive=False)
         release(chosen)
         release(state)
         united = _unite(compared.filter(F.col("kind") != SETS), keys)
@@ -393,7 +393,7 @@ def components(edges: DataFrame) -> DataFrame:
             yield batch(spread(u[order], keys, EDGES, v[order]) + spread(ends, keys, LABELS, ends))
 
     state = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(pack, BLOCKS), "kind")
-    state = materialize(dealt(state).mapInArrow(each_part(_once), BLOCKS), "kind")
+    state = materialize(dealt(state).mapInArrow(each_part(_once), BLOCKS), "kind", adaptive=False)
     rows = label_rows(_unite(state, keys))
     found = rows.mapInArrow(_unmixed, "node long, component long")
     least = found.groupBy("component").agg(F.min("node").alias("least"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize, numbered, partitions
+from .storage import BROADCAST_ROWS, materialize, numbered, partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 0.6180339887498949
@@ -93,13 +93,14 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     point = F.expr(f"(id + 1) * {GOLDEN}D")
     slots = spark.range(n).withColumn("y", (point - F.floor(point)) * F.lit(float(n))).withColumn("cell", cell(F.col("y")))
     inside = (F.col("y") >= F.col("low")) & (F.col("y") < F.col("low") + F.col("quota"))
-    slots = slots.join(spans, "cell").filter(inside).select("id", "source", "goal", "quota", F.floor(F.col("id") / SLOT_CHUNK).alias("chunk"))
+    few = sources <= BROADCAST_ROWS // 4  # a source has two or three spans on average
+    slots = slots.join(F.broadcast(spans) if few else spans, "cell").filter(inside).select("id", "source", "goal", "quota", F.floor(F.col("id") / SLOT_CHUNK).alias("chunk"))
     counts = slots.groupBy("source", "chunk").agg(F.count("*").alias("n"))
     counts = counts.select("source", "chunk", _running(counts, ["source"], ["chunk"], F.col("n")).alias("before"))
     s, c = slots.alias("s"), counts.alias("c")
     within = F.row_number().over(Window.partitionBy("s.source", "s.chunk").orderBy("id")) - 1
     ranked = s.join(c, F.expr("s.source <=> c.source AND s.chunk = c.chunk")).select("id", "s.source", "goal", "quota", (within + F.col("before")).alias("rank")).filter("rank < quota")
-    ranked = materialize(ranked)
+    ranked = materialize(ranked, adaptive=not few)  # chunks are even, and cells meet no shuffle
     had = ranked.groupBy("source").agg(F.count("*").alias("had"))
     both = cuts.select("p", "source", "goal", "quota").alias("t").join(had.alias("h"), F.expr("t.source <=> h.source"), "left")
     missed = both.select("p", "t.source", "goal", "quota", (F.col("quota") - F.coalesce("had", F.lit(0))).alias("missed"))
@@ -144,7 +145,9 @@ def shares(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, source, size, row, source_size, target, taken, first_slot, last_slot of every row of sizes (doc_id, source, size, place, row)."""
     targets = source_targets(sizes)
     slots = schedule(targets, block_words)
-    got = materialize(mix(sizes, targets, slots, block_words).groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot")))
+    few = targets.count() <= BROADCAST_ROWS
+    met = mix(sizes, F.broadcast(targets) if few else targets, slots, block_words)  # the other joins are by even chunks and blocks of the sources
+    got = materialize(met.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot")), adaptive=not few)
     out = sizes.alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source")).select("d.*", "source_size", "target").join(got, "row", "left")
     return out.select("doc_id", "source", "size", "row", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "last_slot")
 

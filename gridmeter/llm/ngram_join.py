@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .linking import LABELS, POSTINGS, SETS, connect, label_rows, packed_sets, ranges, unpacked_sets
 from .ranges import BLOCKS, Row, answers, asked, asker, batch, block_number, dealt, each_part, firsts, looked_up, rows_of, spread
-from .storage import BROADCAST_ROWS, materialize, partitions, small_batches
+from .storage import BROADCAST_ROWS, materialize, partitions, planned_once, small_batches
 
 FLUSH_BYTES = 3 << 20
 #: Counters of the sketch (a byte for each of them in a task, a bit in the broadcast), in chunks of so many.
@@ -120,7 +120,9 @@ def _frequent(chunks: DataFrame, tokens: int) -> np.ndarray:
     spread = chunks.repartition(n, "part", F.pmod(F.xxhash64("payload"), F.lit(16))).mapInArrow(_add(None), kind)
     summed = spread.repartition(min(n, SKETCH // SKETCH_CHUNK), "part").mapInArrow(_add(2 * tokens // SKETCH + 32), kind)
     out = np.zeros(SKETCH // 8, np.uint8)
-    for part, bits in summed.collect():
+    with planned_once(chunks.sparkSession):
+        found = summed.collect()
+    for part, bits in found:
         out[part * SKETCH_CHUNK // 8 : (part + 1) * SKETCH_CHUNK // 8] = np.frombuffer(bits, np.uint8)
     return out
 
@@ -335,7 +337,7 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     homes = ranges(spark, nodes)
     chosen = known.join(F.broadcast(first) if nodes <= BROADCAST_ROWS else first, "doc_id", "left_semi")
     counted = dealt(chosen.mapInArrow(_tokens(k, keys), BLOCKS)).mapInArrow(each_part(_frequencies), BLOCKS)
-    state = materialize(dealt(counted).mapInArrow(each_part(_index(percent, homes)), BLOCKS), "kind")
+    state = materialize(dealt(counted).mapInArrow(each_part(_index(percent, homes)), BLOCKS), "kind", adaptive=nodes > BROADCAST_ROWS)
     labels = label_rows(connect(state, percent, homes)).distinct()  # rows that repeat a doc_id can give a node twice
     least = sizes.filter("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     linked_ones = labels.join(least, "node")

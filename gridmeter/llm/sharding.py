@@ -65,7 +65,7 @@ class ShardStore:
         version = self.version() if version is None else version
         if not version:
             return []
-        return [tuple(r) for r in self.spark.read.schema(_ENTRIES).json(f"{self.path}/manifests/v{version:09d}").orderBy("shard").collect()]
+        return sorted(tuple(r) for r in self.spark.read.schema(_ENTRIES).json(f"{self.path}/manifests/v{version:09d}").collect())
 
     def commit(self, entries: list[tuple[str, int, int]], base: int) -> int:
         """Makes entries the version after base; Conflict if that exists."""
@@ -196,6 +196,8 @@ def shard(docs: DataFrame, path: str, target_bytes: int = TARGET_BYTES) -> Shard
 
 
 def placed(store: ShardStore) -> DataFrame:
-    """The store's rows with the shard each is in and that shard's tier."""
-    rows = store.read().withColumn("shard", F.concat_ws("/", F.lit("shards"), F.element_at(F.split(F.input_file_name(), "/"), -2), F.element_at(F.split(F.input_file_name(), "/"), -1)))
-    return rows.join(F.broadcast(store.tiers().select("shard", "tier")) if len(store.manifest()) < 100_000 else store.tiers().select("shard", "tier"), "shard")
+    """The store's rows with the shard each is in and that shard's tier, all by one manifest."""
+    entries = store.manifest()
+    rows = store.read_shards([e[0] for e in entries]).withColumn("shard", F.concat_ws("/", F.lit("shards"), F.element_at(F.split(F.input_file_name(), "/"), -2), F.element_at(F.split(F.input_file_name(), "/"), -1)))
+    tiers = store.spark.createDataFrame(entries, _ENTRIES).select("shard", "tier")
+    return rows.join(F.broadcast(tiers) if len(entries) < 100_000 else tiers, "shard")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,16 +46,32 @@ def ship(spark: SparkSession) -> None:
     context._gridmeter_shipped = True
 
 
-def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
+@contextlib.contextmanager
+def planned_once(spark: SparkSession) -> Iterator[None]:
+    """Queries that start in here are planned before they run and not again after each shuffle.
+
+    For steps whose partitions are stated or even, and whose joins are broadcast or even: they gain nothing from another plan, while each
+    shuffle's own job, thread, plan and description stay in the driver for a while.
+    """
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def materialize(df: DataFrame, by: str | None = None, adaptive: bool = True) -> DataFrame:
     """df, written once to the shared folder as Parquet and read again: a cut in the lineage that outlives executors.
 
-    by: a column that gets a folder for each of its values, so that filters on it read no others.
+    by: a column that gets a folder for each of its values, so that filters on it read no others. adaptive: see planned_once.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
     schema = df.schema
     writer = df.write.partitionBy(by) if by else df.write
-    writer.parquet(path)
+    with contextlib.nullcontext() if adaptive else planned_once(spark):
+        writer.parquet(path)
     out = spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
     out.folders = [path]
     return out

@@ -78,3 +78,36 @@ def test_empty_tables_pass_every_stage(spark, make_docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_start_few_jobs(spark, make_docs, vocabulary, tmp_path):
+    """The driver's memory follows jobs and plans: steps that gain nothing from another plan are no job for each shuffle."""
+    rng = random.Random(3)
+    text = lambda k=60: " ".join(rng.choices(vocabulary, k=k))
+    docs = [(i, text(), "en", f"s{i % 3}") for i in range(60)]
+    leak = text(20)
+    docs += [(100, docs[5][1] + " more", "en", "s2"), (101, docs[7][1], "en", "s1"), (102, text() + " " + leak, "en", "s1")]
+    make_docs(docs).drop("node", "part").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows, jobs = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    for name, stage in corpus_pipeline.STAGES:
+        group = f"{tmp_path}/{name}"
+        spark.sparkContext.setJobGroup(group, name)
+        stage(spark, rows, str(tmp_path)).write.parquet(f"{tmp_path}/{name}.parquet")
+        jobs[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        rows = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(jobs.values()) <= 165, jobs
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
+
+
+def test_shards_and_tiers_are_of_one_manifest(spark, make_docs, tmp_path):
+    """A commit between two reads of the manifest would leave rows without their tier."""
+    from gridmeter.llm import sharding
+
+    store = sharding.shard(make_docs(["x", "y", "z"]).select("doc_id", "text"), f"file://{tmp_path}/store")
+    reads, manifest = [], store.manifest
+    store.manifest = lambda *a: (reads.append(a), manifest(*a))[1]
+    assert sorted(r.text for r in sharding.placed(store).collect()) == ["x", "y", "z"] and len(reads) == 1
