@@ -199,9 +199,14 @@ def unpack(block: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def unpack_all(blocks: Iterable[bytes], *kinds: type) -> list[np.ndarray]:
-    got = [unpack(b, *kinds) for b in blocks]
-    return [np.concatenate([g[i] for g in got]) if got else np.zeros(0, k) for i, k in enumerate(kinds)]
+def unpack_all(blocks: list[bytes], *kinds: type) -> list[np.ndarray]:
+    """The columns of all blocks, end to end; what is unpacked of a block goes straight to its place."""
+    edges = np.cumsum([0, *(int(np.frombuffer(b, np.int64, 1)[0]) for b in blocks)])
+    out = [np.empty(edges[-1], k) for k in kinds]
+    for block, a, b in zip(blocks, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        for whole, column in zip(out, unpack(block, *kinds), strict=True):
+            whole[a:b] = column
+    return out
 
 
 def _murmur(value: int) -> int:

@@ -7,7 +7,7 @@ and every step's result is a table in the shared folder. A step is one job of tw
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ _POSTING = (U64, U64, U32, U32, U64)
 #: Sets of a home, where there are few, words of a parity sketch, pairs compared at once, a bucket's pivots in the first round, by how much they grow from round to round, and nodes of
 #: a bucket that are all pivots at once.
 HOME, SKETCH, PAIRS, FIRST, GROWTH, SMALL = 1000, 12, 1 << 18, 4, 8, 32
-#: Bytes of blocks for each task of a step, which may hold several homes.
-TASK_BYTES = 2 << 20
+#: Bytes of blocks for each task of a step, which may hold several homes; bytes of lent sets that are compared at once.
+TASK_BYTES, LENT_BYTES = 2 << 20, 4 << 20
 
 
 def ranges(spark: SparkSession, rows: int | None = None) -> np.ndarray:
@@ -137,8 +137,8 @@ def _propose(pivots: int, keys: np.ndarray):
     """Of each key the least and greatest label of a block and its number of nodes, and the nodes of its rarest labels there."""
     pivots = max(pivots, SMALL)
 
-    def step(part: int, kind: int, payload: bytes) -> list[Row]:
-        key, node, n, own, label = K.unpack(payload, *_POSTING)
+    def step(part: int, kind: int, *payloads: bytes) -> list[Row]:
+        key, node, n, own, label = K.unpack_all(payloads, *_POSTING)
         order = np.lexsort((label, key))
         key, node, n, own, label = (x[order] for x in (key, node, n, own, label))
         start = np.flatnonzero(firsts(key))
@@ -204,10 +204,10 @@ def _choose(pivots: int, keys: np.ndarray):
     return step
 
 
-def _lend(_: int, blocks: dict[int, list[bytes]]) -> list[Row]:
-    """The wanted sets, to the homes that want them."""
+def _lend(_: int, blocks: dict[int, list[bytes]]) -> Iterator[Row]:
+    """The wanted sets, to the homes that want them, a home at a time."""
     if WANTED not in blocks:
-        return []
+        return
     wanted, home = K.unpack_all(blocks[WANTED], U64, np.int32)
     sets = unpacked_sets(blocks.get(SETS, []))
     node, first = np.unique(sets[0], return_index=True)
@@ -217,7 +217,22 @@ def _lend(_: int, blocks: dict[int, list[bytes]]) -> list[Row]:
     keep = firsts(home, wanted) & there
     home, at = home[keep], first[at[keep]]
     cuts = [0, *(np.flatnonzero(np.diff(home)) + 1).tolist(), len(home)]
-    return [(int(home[a]), LENT, picked_sets(at[a:b], *sets)) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield int(home[a]), LENT, picked_sets(at[a:b], *sets)
+
+
+def _moved(keys: np.ndarray):
+    """Sets and postings of a block, to their nodes' homes among other ranges."""
+
+    def step(_: int, kind: int, payload: bytes) -> Iterator[Row]:
+        columns = unpacked_sets([payload]) if kind == SETS else K.unpack(payload, *_POSTING)
+        node = columns[0 if kind == SETS else 1]
+        order = np.argsort(node, kind="stable")
+        for part, s in K.by_part(node[order], keys):
+            yield part, kind, picked_sets(order[s], *columns) if kind == SETS else K.pack(*(c[order[s]] for c in columns))
+
+    return step
 
 
 Read = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -289,56 +304,83 @@ class _Forest:
         return np.array(u, U64), np.array([self.root(x) for x in u], U64)
 
 
+def _gathered(payloads: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Payloads, some LENT_BYTES at a time."""
+    held, size = [], 0
+    for payload in payloads:
+        held.append(payload)
+        size += len(payload)
+        if size >= LENT_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _among(key: np.ndarray, node: np.ndarray, p_key: np.ndarray, p_node: np.ndarray) -> np.ndarray:
+    """Which of the rows (key, node) are among (p_key, p_node)."""
+    keys, nodes = np.concatenate([p_key, key]), np.concatenate([p_node, node])
+    order = np.lexsort((nodes, keys))  # stable, so that a pivot stands before equal rows
+    start = np.flatnonzero(firsts(keys[order], nodes[order]))
+    out = np.empty(len(order), bool)
+    out[order] = np.repeat(order[start] < len(p_key), np.diff(np.append(start, len(order))))
+    return out[len(p_key) :]
+
+
 def _compare(percent: int, read: Read):
-    def step(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
-        out: list[Row] = [(part, LABELS, p) for p in blocks.get(LABELS, [])]
+    def step(part: int, blocks: dict[int, Iterable[bytes]]) -> Iterator[Row]:
+        if LABELS in blocks:
+            yield part, LABELS, K.pack(*K.unpack_all(blocks[LABELS], U64, U64))
         if PIVOTS not in blocks or POSTINGS not in blocks:
-            return out
+            return
         key, node, n, own, label = K.unpack_all(blocks[POSTINGS], *_POSTING)
         pivots = K.unpack_all(blocks[PIVOTS], *_POSTING)
         order = np.lexsort((pivots[1], pivots[0]))
         p_key, p_node, _, _, p_label = (x[order] for x in pivots)
-        first = np.searchsorted(p_key, key)
-        count = np.searchsorted(p_key, key, side="right") - first
-        mine, lent = _Sets(blocks[SETS], read), _Sets(blocks.get(LENT, []), read)
-        stays = count > 0
-        forest = _Forest()
-        steps = np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + PAIRS, PAIRS))
-        for a, b in zip(steps, [*steps[1:], len(key)], strict=False):
-            some = np.repeat(np.arange(a, b), count[a:b])
-            if not len(some):
-                continue
-            began = np.cumsum(count[a:b]) - count[a:b]
-            at = np.repeat(first[a:b] - began, count[a:b]) + np.arange(len(some))
-            itself = p_node[at] == node[some]
-            stays[some[itself]] = False  # a pivot that is compared leaves its bucket
-            pivot = np.zeros(b - a, bool)
-            pivot[some[itself] - a] = True
-            open_ = (p_label[at] != label[some]) & (~pivot[some - a] | (p_node[at] < node[some]))
-            some, at = some[open_], at[open_]
-            i, mine_there = mine.at(node[some])
-            j, lent_there = lent.at(p_node[at])
-            there = mine_there & lent_there
-            some, at, i, j = some[there], at[there], i[there], j[there]
-            _, where = np.unique(i * len(lent.n) + j, return_index=True)
-            where = where[possible(mine, i[where], lent, j[where], percent)]
-            for x, y, u, v in zip(i[where].tolist(), j[where].tolist(), label[some[where]].tolist(), p_label[at[where]].tolist(), strict=True):
-                u, v = forest.root(u), forest.root(v)
-                if u != v and similar(mine, x, lent, y, percent):
-                    forest.parent[max(u, v)] = min(u, v)
+        pivot = _among(key, node, p_key, p_node)
+        stays = looked_up(p_key, key)[1] & ~pivot  # a pivot that is compared leaves its bucket
+        mine, forest = _Sets(blocks[SETS], read), _Forest()
+        for payloads in _gathered(blocks.get(LENT, [])):
+            lent = _Sets(payloads, read)
+            here = lent.at(p_node)[1]
+            _tie(forest, mine, lent, (key, node, label, pivot), (p_key[here], p_node[here], p_label[here]), percent)
         u, v = forest.edges()
         if len(u):
-            out.append((part, EDGES, K.pack(u, v)))
+            yield part, EDGES, K.pack(u, v)
         if stays.any():
-            out.append((part, POSTINGS, K.pack(key[stays], node[stays], n[stays], own[stays], label[stays])))
+            yield part, POSTINGS, K.pack(key[stays], node[stays], n[stays], own[stays], label[stays])
             at, there = mine.at(np.unique(node[stays]))
-            out.append((part, SETS, picked_sets(at[there], *mine.raw)))
-        return out
+            yield part, SETS, picked_sets(at[there], *mine.raw)
 
     return step
 
 
-def connect(state: DataFrame, percent: int, keys: np.ndarray, read: Read = packed_tokens) -> DataFrame:
+def _tie(forest: _Forest, mine: _Sets, lent: _Sets, postings: tuple[np.ndarray, ...], pivots: tuple[np.ndarray, ...], percent: int) -> None:
+    """Compares a home's postings with the pivots of their keys whose sets are lent, and ties the labels of similar ones."""
+    (key, node, label, pivot), (p_key, p_node, p_label) = postings, pivots
+    first = np.searchsorted(p_key, key)
+    count = np.searchsorted(p_key, key, side="right") - first
+    steps = np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + PAIRS, PAIRS))
+    for a, b in zip(steps, [*steps[1:], len(key)], strict=False):
+        some = np.repeat(np.arange(a, b), count[a:b])
+        if not len(some):
+            continue
+        began = np.cumsum(count[a:b]) - count[a:b]
+        at = np.repeat(first[a:b] - began, count[a:b]) + np.arange(len(some))
+        open_ = (p_label[at] != label[some]) & (~pivot[some] | (p_node[at] < node[some]))
+        some, at = some[open_], at[open_]
+        i, there = mine.at(node[some])
+        some, at, i = some[there], at[there], i[there]
+        j, _ = lent.at(p_node[at])
+        _, where = np.unique(i * len(lent.n) + j, return_index=True)
+        where = where[possible(mine, i[where], lent, j[where], percent)]
+        for x, y, u, v in zip(i[where].tolist(), j[where].tolist(), label[some[where]].tolist(), p_label[at[where]].tolist(), strict=True):
+            u, v = forest.root(u), forest.root(v)
+            if u != v and similar(mine, x, lent, y, percent):
+                forest.parent[max(u, v)] = min(u, v)
+
+
+def connect(state: DataFrame, percent: int, keys: np.ndarray, read: Read = packed_tokens, scattered: bool = False) -> DataFrame:
     """Blocks of labels (node, label): nodes that any chain of similar pairs links have one label.
 
     state: blocks at their nodes' homes (the ranges keys) of sets, postings (similar nodes share a key) and labels (each node's is itself).
@@ -349,17 +391,34 @@ def connect(state: DataFrame, percent: int, keys: np.ndarray, read: Read = packe
     for each copy. All nodes of a small bucket are pivots at once. The pivots of other buckets grow eightfold
     from round to round, so what is not similar at all is compared within a logarithm of rounds. There is no
     last round: it ends when no bucket holds several labels.
+
+    As the nodes that are left get fewer, so do their homes: a set is lent at most once to each home, so what is lent does not grow with
+    the homes that the first round had. A home compares what it is lent as it reads it.
+
+    scattered: a home's postings stand in many blocks, which meet before the first round; one proposal for each key of a home leaves then.
     """
     pivots = FIRST
     while True:
         only = lambda *kinds: state.filter(F.col("kind").isin(*kinds))  # noqa: B023, E731
         n = _tasks(sum(_bytes(only(SETS, POSTINGS)).values()), keys)
-        proposed = only(POSTINGS).mapInArrow(each_block(_propose(pivots, keys)), BLOCKS)
+        if pivots > FIRST and 2 * n <= len(keys):
+            keys, scattered = K.even_keys(n, 1), True
+            moved = materialize(only(SETS, POSTINGS).mapInArrow(each_block(_moved(keys)), BLOCKS), "kind", adaptive=False)
+            folders = [*moved.folders, *getattr(state, "folders", [])]
+            state = moved.unionByName(only(LABELS))  # labels stay: there is one for each node, however few are left
+            state.folders = folders
+        propose = _propose(pivots, keys)
+        if scattered:
+            met = dealt(only(POSTINGS), n=n)
+            proposed = met.mapInArrow(each_part(lambda part, blocks: propose(part, POSTINGS, *blocks[POSTINGS])), BLOCKS)  # noqa: B023
+        else:
+            proposed = only(POSTINGS).mapInArrow(each_block(propose), BLOCKS)
+        scattered = False
         chosen = materialize(dealt(proposed, n=n).mapInArrow(each_part(_choose(pivots, keys)), BLOCKS), "kind", adaptive=False)
         if chosen.isEmpty():
             return only(LABELS)
         lent = dealt(only(SETS), chosen.filter(F.col("kind") == WANTED), n=n).mapInArrow(each_part(_lend), BLOCKS)
-        compared = materialize(dealt(only(SETS, POSTINGS, LABELS), chosen.filter(F.col("kind") == PIVOTS), lent, n=n).mapInArrow(each_part(_compare(percent, read)), BLOCKS), "kind", adaptive=False)
+        compared = materialize(dealt(only(SETS, POSTINGS, LABELS), chosen.filter(F.col("kind") == PIVOTS), lent, n=n).mapInArrow(each_part(_compare(percent, read), last=LENT), BLOCKS), "kind", adaptive=False)
         release(chosen)
         release(state)
         united = _unite(compared.filter(F.col("kind") != SETS), keys)

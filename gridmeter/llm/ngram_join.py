@@ -39,7 +39,7 @@ from .linking import LABELS, POSTINGS, SETS, connect, label_rows, packed_sets, r
 from .ranges import BLOCKS, Row, answers, asked, asker, batch, block_number, dealt, each_part, firsts, looked_up, rows_of, spread
 from .storage import BROADCAST_ROWS, materialize, partitions, planned_once, small_batches
 
-FLUSH_BYTES = 3 << 20
+FLUSH_BYTES = 3 << 19
 #: Counters of the sketch (a byte for each of them in a task, a bit in the broadcast), in chunks of so many.
 SKETCH, SKETCH_CHUNK = 1 << 22, 1 << 16
 #: A token with at most so many nodes is rare and indexed alone; sets larger than LONG index frequent tokens alone too.
@@ -172,7 +172,7 @@ def _sharing(percent: int, keys: np.ndarray):
 
     def step(part: int, blocks: dict[int, list[bytes]]) -> list[Row]:
         out = [(part, COUNTS, p) for p in blocks.get(COUNTS, [])]
-        tokens, nodes, n = K.unpack_all(blocks.get(TOKENS, []), np.uint64, np.uint64, np.uint32)
+        tokens, nodes, n = K.unpack_all(blocks.pop(TOKENS, []), np.uint64, np.uint64, np.uint32)
         order = np.argsort(tokens, kind="stable")
         tokens = tokens[order]
         twin = np.zeros(len(tokens), bool)
@@ -338,7 +338,7 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     chosen = known.join(F.broadcast(first) if nodes <= BROADCAST_ROWS else first, "doc_id", "left_semi")
     counted = dealt(chosen.mapInArrow(_tokens(k, keys), BLOCKS)).mapInArrow(each_part(_frequencies), BLOCKS)
     state = materialize(dealt(counted).mapInArrow(each_part(_index(percent, homes)), BLOCKS), "kind", adaptive=nodes > BROADCAST_ROWS)
-    labels = label_rows(connect(state, percent, homes)).distinct()  # rows that repeat a doc_id can give a node twice
+    labels = label_rows(connect(state, percent, homes, scattered=True)).distinct()  # rows that repeat a doc_id can give a node twice
     least = sizes.filter("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     linked_ones = labels.join(least, "node")
     groups = linked_ones.groupBy("component").agg(F.min("least").alias("smallest"))

@@ -10,6 +10,8 @@ occurrence in one task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from . import kernels as K
 from .storage import partitions
 
 BLOCKS = "part int, kind int, payload binary"
+#: Bytes of payloads from which rows leave a task as a batch: a step's result is not held whole, here or in Java.
+BATCH_BYTES = 1 << 20
 Row = tuple[int, int, bytes]
 
 
@@ -34,12 +38,24 @@ def batch(rows: list[Row]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], ["part", "kind", "payload"])
 
 
+def batches_of(rows: Iterable[Row]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size >= BATCH_BYTES:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
+
+
 def dealt(*tables: DataFrame, n: int | None = None) -> DataFrame:
-    """All blocks, each part's together, in n partitions."""
+    """All blocks, each part's together and by kind, in n partitions."""
     union = tables[0].select("part", "kind", "payload")
     for t in tables[1:]:
         union = union.unionByName(t.select("part", "kind", "payload"))
-    return union.repartition(n or partitions(union.sparkSession), "part").sortWithinPartitions("part")
+    return union.repartition(n or partitions(union.sparkSession), "part").sortWithinPartitions("part", "kind")
 
 
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[Row]:
@@ -48,19 +64,21 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[Row]:
     K.trim()
 
 
-def each_part(step: Callable[[int, dict[int, list[bytes]]], Iterable[Row]]):
-    """A function for mapInArrow over dealt blocks: step(part, its payloads by kind) gives new blocks."""
+def each_part(step: Callable[[int, dict[int, Iterable[bytes]]], Iterable[Row]], last: int | None = None):
+    """A function for mapInArrow over dealt blocks: step(part, its payloads by kind) gives new blocks.
+
+    last: the greatest kind there is. Its payloads are not held: step gets them as an iterator, one at a time as they are read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, {}
-        for part, kind, payload in rows_of(batches):
-            if part != at and held:
-                yield batch(list(step(at, held)))
-                held = {}
-            at = part
-            held.setdefault(kind, []).append(payload)
-        if held:
-            yield batch(list(step(at, held)))
+        for part, rows in groupby(rows_of(batches), itemgetter(0)):
+            held: dict[int, Iterable[bytes]] = {}
+            for _, kind, payload in rows:
+                if kind == last:
+                    held[kind] = chain([payload], map(itemgetter(2), rows))
+                    break
+                held.setdefault(kind, []).append(payload)
+            yield from batches_of(step(part, held))
 
     return run
 
@@ -70,7 +88,7 @@ def each_block(step: Callable[[int, int, bytes], Iterable[Row]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, kind, payload in rows_of(batches):
-            yield batch(list(step(part, kind, payload)))
+            yield from batches_of(step(part, kind, payload))
 
     return run
 

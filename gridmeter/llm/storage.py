@@ -110,10 +110,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
-    """Arrow batches of so many rows and bytes at most: their buffers, in Java and in Python, otherwise hold 10,000 rows or 64 MB."""
+    """Arrow batches of so many rows and bytes at most: their buffers, in Java and in Python, otherwise hold 10,000 rows or 64 MB. Parquet's batches likewise: 4096 rows of texts."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
 
 
 #: A side of at most so many rows of a few longs (some 16 MB) may be broadcast; a larger one is shuffled.

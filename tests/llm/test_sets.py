@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cases import EDGES
-from gridmeter.llm import kernels, line_dedup, linking, ngram_join, ranges, substring_dedup
+from gridmeter.llm import kernels, line_dedup, linking, ngram_join, ranges, storage, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -352,3 +352,70 @@ def test_bands_go_with_the_texts_of_a_block(make_docs, vocabulary):
         want = {int(n): line_dedup._bands(*line_dedup._grams(data[a:b], np.array([0]), np.array([b - a])))[0].tolist() for n, a, b in zip(node, starts, ends, strict=True)}
         assert {int(n): b.tolist() for n, b in zip(its, bands, strict=True)} == want
         assert all(b % (1 << 24) == 0 for bs in want.values() for b in bs)
+
+
+def sets_in_blocks(sets, keys, key):
+    """Rows of a state for linking.connect: all nodes in one bucket, in a block for each node."""
+    rows = []
+    for node, its in sets.items():
+        one, n, none = np.array([node], np.uint64), np.array([len(its)], np.uint32), np.zeros(1, np.uint32)
+        part, raw = int(keys[(node >> 32) * len(keys) >> 32]), np.array(sorted(its), np.uint64).tobytes()
+        rows.append((part, linking.SETS, linking.packed_sets(one, n, none, np.array([len(raw)]), raw)))
+        rows.append((part, linking.POSTINGS, kernels.pack(np.array([key], np.uint64), one, n, none, one)))
+        rows.append((part, linking.LABELS, kernels.pack(one, one)))
+    return rows
+
+
+def test_what_a_step_gives_leaves_in_small_batches():
+    out = list(ranges.each_part(lambda part, blocks: [(part, 1, bytes(1 << 19)) for _ in range(16)])(iter([ranges.batch([(7, 0, b"x")])])))
+    assert sum(b.num_rows for b in out) == 16 and max(b.nbytes for b in out) < 3 << 19
+
+
+def test_lent_sets_are_compared_as_they_are_read():
+    """A home holds its own sets, not all that it is lent."""
+    read, seen = [], []
+
+    def rows():
+        for i, kind in enumerate([linking.LABELS, linking.SETS, *[linking.LENT] * 9]):
+            read.append(i)
+            yield ranges.batch([(3, kind, bytes([i]))])
+        yield ranges.batch([(4, linking.LABELS, b"y")])
+
+    def step(part, blocks):
+        for payload in blocks.get(linking.LENT, []):
+            seen.append((payload[0], len(read)))
+        yield part, 0, b"".join(blocks[linking.LABELS])
+
+    out = [r for b in ranges.each_part(step, last=linking.LENT)(rows()) for r in b.to_pylist()]
+    assert [r["part"] for r in out] == [3, 4] and seen == [(i, i + 1) for i in range(2, 11)]
+
+
+def test_blocks_of_a_home_give_one_proposal_for_a_key():
+    """However many blocks a home's postings stand in, one row for each range of keys tells of them."""
+    keys = kernels.even_keys(4, 1)
+    rng = np.random.default_rng(2)
+    blocks = []
+    for _ in range(50):
+        key = np.sort(rng.integers(0, 1 << 64, 20, dtype=np.uint64))
+        node = np.repeat(rng.integers(0, 1 << 64, 1, dtype=np.uint64), 20)
+        blocks.append(kernels.pack(key, node, np.full(20, 9, np.uint32), np.zeros(20, np.uint32), node))
+    rows = list(linking._propose(linking.FIRST, keys)(5, linking.POSTINGS, *blocks))
+    assert len(rows) == 2 * len(keys)
+    assert sum(len(kernels.unpack(p, np.uint64)[0]) for _, kind, p in rows if kind == 10) == 1000
+
+
+def test_sets_that_are_left_have_as_few_homes_as_they_fill(spark, monkeypatch):
+    """A bucket of many unlike sets among 16 homes: later rounds have one home, which is lent each set at most once; links are those of all pairs."""
+    rng = random.Random(3)
+    sets, keys = {}, kernels.even_keys(16, 1)
+    for _ in range(120):
+        base = set(rng.sample(range(1, 100_000), 40))
+        for _ in range(rng.choice((1, 1, 2))):
+            sets[rng.getrandbits(64)] = base - set(rng.sample(sorted(base), rng.randint(0, 2)))
+    homes, choose = [], linking._choose
+    monkeypatch.setattr(linking, "_choose", lambda pivots, keys: homes.append(len(keys)) or choose(pivots, keys))
+    storage.small_batches(spark)
+    state = storage.materialize(spark.createDataFrame(sets_in_blocks(sets, keys, 77), ranges.BLOCKS), "kind")
+    got = {r.node & (1 << 64) - 1: r.component & (1 << 64) - 1 for r in linking.label_rows(linking.connect(state, 80, keys, scattered=True)).collect()}
+    alike = {a: min(b for b in sets if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])) for a in sets}
+    assert got == alike and homes[0] == 16 and len(homes) > 2 and set(homes[1:]) == {1}
